@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import decontam, quality, secret_scan
+from papyra.llm import decontam, jaccard, quality, secret_scan
 from papyra.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality)}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op7_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
