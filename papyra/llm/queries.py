@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import decontam, jaccard, quality, secret_scan
+from papyra.llm import decontam, jaccard, mixing, quality, secret_scan
 from papyra.llm.common import table
 
 
@@ -24,5 +24,77 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op7_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op7_jaccard_join, op8_mix_sources)}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        grams AS (
+            SELECT DISTINCT item, len(g) AS n, g
+            FROM (SELECT item, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: w[i:i + least(13, len(w)) - 1])) AS g FROM item WHERE len(w) > 0)
+        ),
+        sizes AS (SELECT DISTINCT n FROM grams),
+        doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        runs AS (
+            SELECT r, n, i, w[i:i + n - 1] AS g
+            FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n)
+        ),
+        found AS (SELECT r, i, runs.n, item FROM runs JOIN grams ON runs.n = grams.n AND runs.g = grams.g),
+        covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
+    "op8_mix_sources": f"""
+        WITH RECURSIVE unit AS (
+            SELECT doc_id, source, coalesce(source, '') AS name, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS units,
+                   CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h
+            FROM documents
+        ),
+        stream AS (
+            SELECT *, CAST(sum(units) OVER (PARTITION BY name ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - units AS BIGINT) AS start FROM unit
+        ),
+        doc AS (SELECT *, start // {mixing.BLOCK_UNITS} + 1 AS block FROM stream),
+        src AS (SELECT name, sum(units) AS own_units, max(block) AS blocks FROM doc GROUP BY name),
+        weight AS (SELECT name, blocks, round(pow(own_units / (SELECT sum(own_units) FROM src), {mixing.TEMPERATURE}), 12) AS w FROM src),
+        exact AS (SELECT name, blocks, w / (SELECT sum(w ORDER BY name) FROM weight) * greatest({mixing.PARTS}, 10 * (SELECT count(*) FROM weight)) AS x FROM weight),
+        part AS (
+            SELECT name, blocks, CAST(greatest(1, floor(x)) AS BIGINT) + CASE WHEN
+                row_number() OVER (ORDER BY x - floor(x) DESC, name) <= greatest({mixing.PARTS}, 10 * (SELECT count(*) FROM weight)) - (SELECT sum(greatest(1, floor(x))) FROM exact)
+                THEN 1 ELSE 0 END AS p
+            FROM exact
+        ),
+        step AS (
+            SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS begin, 0 AS phase, CAST(NULL AS STRUCT(d BIGINT, k VARCHAR, i BIGINT, rel BIGINT)) AS pick, CAST(NULL AS BIGINT) AS made_phase,
+                   (SELECT list({{'k': name, 'p': p, 'had': CAST(0 AS BIGINT), 'gone': CAST(0 AS BIGINT), 'n': blocks}} ORDER BY name) FROM part) AS s
+            UNION ALL
+            SELECT t + 1,
+                   CASE WHEN ends THEN t + 1 ELSE begin END,
+                   phase + CASE WHEN ends THEN 1 ELSE 0 END,
+                   now, phase,
+                   CASE WHEN ends THEN list_transform(list_filter(next, lambda x: x.gone < x.n), lambda x: {{'k': x.k, 'p': x.p, 'had': CAST(0 AS BIGINT), 'gone': x.gone, 'n': x.n}}) ELSE next END
+            FROM (
+                SELECT *, len(list_filter(next, lambda x: x.gone >= x.n)) > 0 AS ends
+                FROM (
+                    SELECT *, list_transform(s, lambda x: {{'k': x.k, 'p': x.p, 'had': x.had + CASE WHEN x.k = now.k THEN 1 ELSE 0 END, 'gone': x.gone + CASE WHEN x.k = now.k THEN 1 ELSE 0 END, 'n': x.n}}) AS next
+                    FROM (
+                        SELECT *, list_sort(list_transform(
+                            list_filter(s, lambda x: x.had * total // x.p <= t - begin),
+                            lambda x: {{'d': ((x.had + 1) * total + x.p - 1) // x.p, 'k': x.k, 'i': x.gone + 1, 'rel': x.had * total // x.p}}))[1] AS now
+                        FROM (SELECT *, CAST(list_sum(list_transform(s, lambda x: x.p)) AS BIGINT) AS total FROM step WHERE len(s) > 0)
+                    )
+                )
+            )
+        )
+        SELECT doc_id, source, units, doc.block AS block, CAST(made_phase AS INTEGER) AS phase, t - 1 AS slot, pick.rel AS release, pick.d AS deadline, start
+        FROM doc JOIN step ON pick.k = doc.name AND pick.i = doc.block
+    """,
+}
