@@ -22,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, release, slices, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
-#: Fragments of the verification.
+#: Sets of a signature that are compared in one group, before it is cut into blocks.
+BLOCK = 1024
+#: Fragments of the verification, as a power of 2.
 COARSE_BITS = 4
 #: Stands for an empty segment.
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -109,89 +112,193 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(parts) if parts else np.empty(0, np.uint64))))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parity of each bucket of the set, a bit a bucket, about as many as n-grams.
+
+    Two sets differ in at least as many n-grams as their sketches in bits; half a
+    sketch xor the other half is the sketch of half the length.
+    """
+    length = 1 << max(0, len(grams).bit_length() - 7)
+    bit = _mixed(grams ^ _EMPTY) & np.uint64(64 * length - 1)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * length) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def _distance(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, at the length of the shorter; lengths differ by a factor of 2 at most."""
+    n = F.least(F.size(x), F.size(y))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda z: F.when(F.size(z) > n, F.zip_with(F.slice(z, F.lit(1), n), F.slice(z, n + 1, n), xor)).otherwise(z)
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
 def _sign(text_col: str, id_col: str, n: int, p: int, q: int):
     made = Segments(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            sizes, sums, parts = [], [], []
+            sizes, sums, parts, sketches = [], [], [], []
             for grams in gram_sets(*text_bytes(batch.column(text_col)), n):
                 sizes.append(len(grams))
-                sums.append(np.bitwise_xor.reduce(_mixed(grams)) if len(grams) else np.uint64(0))
+                sums.append(_whole(grams))
                 parts.append(made.signatures(grams))
+                sketches.append(sketch(grams) if len(grams) else grams)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(sums, np.uint64))), _lists(parts)],
-                names=["node", "size", "whole", "signatures"],
+                [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(sums, np.uint64))), _lists(sketches), _lists(parts)],
+                names=["node", "size", "whole", "sketch", "signatures"],
             )
 
     return run
 
 
+def _whole(grams: np.ndarray) -> np.uint64:
+    return np.bitwise_xor.reduce(_mixed(grams)) if len(grams) else np.uint64(0)
+
+
 def _cut_sets(text_col: str, id_col: str, n: int):
     bounds = (np.arange(1, 1 << COARSE_BITS, dtype=np.uint64)) << np.uint64(64 - COARSE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            ids, fragments, parts = [], [], []
+            ids, wholes, fragments, parts = [], [], [], []
             for node, grams in zip(batch.column(id_col).to_pylist(), gram_sets(*text_bytes(batch.column(text_col)), n), strict=True):
+                whole = _whole(grams)
                 for f, part in enumerate(np.split(grams, np.searchsorted(grams, bounds))):
                     if len(part):
                         ids.append(node)
+                        wholes.append(whole)
                         fragments.append(f)
                         parts.append(part)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), _lists(parts)], names=["node", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_signed(np.array(wholes, np.uint64))), pa.array(fragments, pa.int32()), _lists(parts)], names=["node", "whole", "fragment", "grams"])
 
     return run
 
 
+_PAIR = ["a", "whole_a", "size_a", "b", "whole_b", "size_b"]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, p: int, q: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, size_a, size_b) that reach the similarity; the overlap is counted fragment by fragment and summed."""
+    """Those of ``pairs`` that reach the similarity: the overlap is counted fragment by fragment and summed."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     some = docs.join(nodes, F.col(id_col) == F.col("node"), "left_semi")
-    cut = some.mapInArrow(_cut_sets(text_col, id_col, n), "node long, fragment int, grams array<long>")
-    left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a")
-    both = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
-    part = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
-    total = part.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
+    cut = some.mapInArrow(_cut_sets(text_col, id_col, n), "node long, whole long, fragment int, grams array<long>")
+    side = lambda x: cut.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), "fragment", F.col("grams").alias(f"grams_{x}"))
+    both = pairs.join(side("a"), ["a", "whole_a"]).join(side("b"), ["b", "whole_b", "fragment"])
+    part = both.select(*_PAIR, "fragment", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
+    # the same text under the same id twice gives equal rows here: they count once
+    total = part.groupBy(*_PAIR, "fragment").agg(F.max("overlap").alias("overlap")).groupBy(*_PAIR).agg(F.sum("overlap").alias("overlap"))
     return total.where(q * F.col("overlap") >= p * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b")
 
 
+def _near(p: int, q: int):
+    """Pairs across components within one block of one signature whose sizes and sketches don't rule them out."""
+
+    def matches(rows: dict[str, np.ndarray], sketches: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        length = min(map(len, sketches))
+        bits = np.empty((len(sketches), length), np.uint64)
+        for k, x in enumerate(sketches):
+            while len(x) > length:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            bits[k] = x
+        size, component, half = rows["size"], rows["component"], rows["half"]
+        for i in range(0, len(bits), 256):
+            j = slice(i, i + 256)
+            apart = np.zeros((len(bits[j]), len(bits)), np.int64)
+            for w in range(length):
+                apart += np.bitwise_count(bits[j, w][:, None] ^ bits[:, w][None, :])
+            a, b = size[j][:, None], size[None, :]
+            near = ((q + p) * apart <= (q - p) * (a + b)) & (q * np.minimum(a, b) >= p * np.maximum(a, b)) & (component[j][:, None] != component[None, :])
+            near &= (half[j][:, None] != half[None, :]) if half.any() and not half.all() else np.arange(len(bits))[j][:, None] < np.arange(len(bits))[None, :]
+            x, y = np.nonzero(near)
+            if len(x):
+                yield x + i, y
+
+    names = ["node", "size", "whole", "component", "half"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            column = batch.column("sketch")
+            values, ends = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
+            for x, y in matches(rows, [values[ends[k] : ends[k + 1]] for k in range(batch.num_rows)]):
+                x, y = np.where(rows["node"][x] < rows["node"][y], x, y), np.where(rows["node"][x] < rows["node"][y], y, x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][k]) for k in (x, y) for c in ("node", "whole", "size")], names=_PAIR)
+
+        def whole_groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from group(table.combine_chunks().to_batches()[0])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("signature", "low", "high")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in ("signature", "low", "high")):
+                yield from whole_groups(pa.Table.from_batches(held))
+                held = []
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                held.append(batch.slice(begin, end - begin))
+                if end < batch.num_rows:
+                    if len(held) > 1 or end - begin > 1:
+                        yield from whole_groups(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from whole_groups(pa.Table.from_batches(held))
+
+    return run
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Each row in the block pairs of its signature: a signature of many sets is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is a group (low, high); ``half`` tells the two blocks of a group apart."""
+    count = rest.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rest.join(count, "signature").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
-    """(set sizes: node, size, whole; components: node, component of each linked node).
+    """(set sizes: node, size; components: node, component of each linked node).
 
     No link that matters for a component is lost: within the sets of a
     signature, each is first compared to the smallest id of them; then, in
-    signatures whose sets aren't all in one component yet, every pair
-    across components is compared. Large groups of copies end after the first
-    step, so their pairs are never listed.
+    signatures whose sets aren't all in one component yet, every pair across
+    components is. Pairs are ruled out by sizes and sketches, which never rule
+    out a link, before their sets are read. Large groups of copies end after
+    the first step, so their pairs are never listed.
     """
     p, q = numerator, denominator
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    sets = written(docs.mapInArrow(_sign(text_col, id_col, words, p, q), "node long, size long, whole long, signatures array<long>"), "sets")
-    each = sets.where("node is not null").select("node", "size", "whole", F.explode("signatures").alias("signature"))
-    # a shared signature, its smallest node and that node's set
-    shared = each.groupBy("signature").agg(F.min(F.struct("node", "size", "whole")).alias("first"), F.count("*").alias("n")).where("n > 1").select("signature", "first")
+    sets = written(docs.mapInArrow(_sign(text_col, id_col, words, p, q), "node long, size long, whole long, sketch array<long>, signatures array<long>"), "sets")
+    each = sets.where("node is not null").select("node", F.explode("signatures").alias("signature"))
+    shared = each.groupBy("signature").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("signature", "first")
     held = written(each.join(shared, "signature"), "shared")
-    close = lambda a, b: (q * F.least(a, b) >= p * F.greatest(a, b))
-    star = held.where("node <> first.node").where(close(F.col("size"), F.col("first.size")))
-    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.size").alias("size_a"), F.col("size").alias("size_b"), ((F.col("size") == F.col("first.size")) & (F.col("whole") == F.col("first.whole"))).alias("same"))
-    star = written(star.distinct(), "star")
-    found = written(_verified(star.where("not same").drop("same"), docs, id_col, text_col, words, p, q).union(star.where("same").select("a", "b")), "links")
+    release(spark)
+    facts = sets.where("node is not null").select("node", "size", "whole", "sketch").dropDuplicates(["node", "whole"])
+    side = lambda x: facts.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    star = held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    star = star.where(q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b"))
+    star = star.where((q + p) * _distance(F.col("sketch_a"), F.col("sketch_b")) <= (q - p) * (F.col("size_a") + F.col("size_b")))
+    star = written(star.select(*_PAIR), "star")
+    same = (F.col("size_a") == F.col("size_b")) & (F.col("whole_a") == F.col("whole_b"))
+    found = written(_verified(star.where(~same), docs, id_col, text_col, words, p, q).union(star.where(same).select("a", "b")), "links")
     groups = written(components(found), "groups")
+    release(spark)
     # what is left: signatures whose sets are in more than one component
-    rest = held.join(groups, "node", "left").select("signature", "node", "size", "whole", F.coalesce("component", "node").alias("component"))
+    rest = held.select("signature", "node").join(groups, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    rest = written(rest.join(mixed, "signature", "left_semi"), "rest")
-    other = rest.select("signature", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("whole").alias("whole_b"), F.col("component").alias("component_b"))
-    pairs = rest.withColumnsRenamed({"node": "a", "size": "size_a"}).join(other, "signature").where("a < b and component <> component_b").where(close(F.col("size_a"), F.col("size_b")))
-    pairs = pairs.select("a", "b", "size_a", "size_b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_verified(written(pairs, "pairs"), docs, id_col, text_col, words, p, q), "more")
+    rest = _blocks(rest.join(mixed, "signature", "left_semi")).join(facts, "node")
+    rest = rest.select("signature", "low", "high", "half", "node", "size", "whole", "component", "sketch").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    pairs = rest.mapInArrow(_near(p, q), "a long, whole_a long, size_a long, b long, whole_b long, size_b long").distinct()
+    pairs = written(pairs.join(star.select(*_PAIR), _PAIR, "left_anti"), "pairs")
+    more = written(_verified(pairs, docs, id_col, text_col, words, p, q), "more")
     if more.limit(1).count():
         groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
-    return sets.select("node", "size", "whole"), groups
+    release(spark)
+    return sets.select("node", "size"), groups
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
