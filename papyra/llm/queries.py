@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import decontam, jaccard, langid, mixing, quality, secret_scan
+from papyra.llm import decontam, html_text, jaccard, langid, mixing, quality, secret_scan
 from papyra.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op5_language_id, op7_jaccard_join, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op5_language_id, op6_html_text, op7_jaccard_join, op8_mix_sources)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
