@@ -129,6 +129,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             begin = end
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of equal ``keys`` (integers without nulls) in sorted batches; a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])
+        cuts = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1, [batch.num_rows]]).tolist()
+        if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in keys):
+            yield whole()
+            held = []
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(begin, end - begin))
+            if end < batch.num_rows:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
+
+
+def blocked(rows: DataFrame, keys: list[str], id_col: str, most: int) -> DataFrame:
+    """Each row of a group in the block pairs of its group: a group of many rows is cut into blocks of about ``most``, and each pair of blocks (low, high) is a group; ``half`` tells its two blocks apart."""
+    count = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    own = rows.join(count, keys).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
+
+
 # --- words and their hashes -----------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, release, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, blocked, bounded_batches, grouped, release, slices, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
@@ -217,9 +217,9 @@ def _near(p: int, q: int):
     names = ["node", "size", "whole", "component", "half"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, ["signature", "low", "high"]):
+            if batch.num_rows < 2:
+                continue
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             column = batch.column("sketch")
             values, ends = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
@@ -227,37 +227,9 @@ def _near(p: int, q: int):
                 x, y = np.where(rows["node"][x] < rows["node"][y], x, y), np.where(rows["node"][x] < rows["node"][y], y, x)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c][k]) for k in (x, y) for c in ("node", "whole", "size")], names=_PAIR)
 
-        def whole_groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from group(table.combine_chunks().to_batches()[0])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("signature", "low", "high")])
-            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in ("signature", "low", "high")):
-                yield from whole_groups(pa.Table.from_batches(held))
-                held = []
-            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                held.append(batch.slice(begin, end - begin))
-                if end < batch.num_rows:
-                    if len(held) > 1 or end - begin > 1:
-                        yield from whole_groups(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield from whole_groups(pa.Table.from_batches(held))
-
     return run
 
 
-def _blocks(rest: DataFrame) -> DataFrame:
-    """Each row in the block pairs of its signature: a signature of many sets is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is a group (low, high); ``half`` tells the two blocks of a group apart."""
-    count = rest.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = rest.join(count, "signature").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
-
-
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
     """(set sizes: node, size; components: node, component of each linked node).
 
@@ -290,7 +262,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # what is left: signatures whose sets are in more than one component
     rest = held.select("signature", "node").join(groups, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    rest = _blocks(rest.join(mixed, "signature", "left_semi")).join(facts, "node")
+    rest = blocked(rest.join(mixed, "signature", "left_semi"), ["signature"], "node", BLOCK).join(facts, "node")
     rest = rest.select("signature", "low", "high", "half", "node", "size", "whole", "component", "sketch").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
     pairs = rest.mapInArrow(_near(p, q), "a long, whole_a long, size_a long, b long, whole_b long, size_b long").distinct()
     pairs = written(pairs.join(star.select(*_PAIR), _PAIR, "left_anti"), "pairs")
