@@ -153,14 +153,28 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield whole()
 
 
-def blocked(rows: DataFrame, keys: list[str], id_col: str, most: int) -> DataFrame:
-    """Each row of a group in the block pairs of its group: a group of many rows is cut into blocks of about ``most``, and each pair of blocks (low, high) is a group; ``half`` tells its two blocks apart."""
-    count = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+def blocked(rows: DataFrame, keys: list[str], id_col: str, most: int, weight: Column | None = None) -> DataFrame:
+    """Each row of a group in the block pairs of its group: a group of much weight (rows) is cut into blocks of about ``most``, and each pair of blocks (low, high) is a group; ``half`` tells its two blocks apart."""
+    total = F.count("*") if weight is None else F.sum(weight)
+    count = rows.groupBy(*keys).agg(F.ceil(total / most).cast("int").alias("blocks"))
     own = rows.join(count, keys).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
 
 
+def local_components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest position that each of ``n`` positions reaches by the links (x, y)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 # --- words and their hashes -----------------------------------------------------------
 
 

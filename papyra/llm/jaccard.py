@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, blocked, bounded_batches, grouped, release, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, blocked, bounded_batches, grouped, local_components, release, slices, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Sets of a signature that are compared in one group, before it is cut into blocks.
 BLOCK = 1024
+#: N-grams of the sets in one block of a group whose overlaps are counted, and n-grams of a fragment there.
+BLOCK_GRAMS, FRAGMENT = 200_000, 2048
 #: Fragments of the verification, as a power of 2.
 COARSE_BITS = 4
 #: Stands for an empty segment.
@@ -192,7 +194,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
 
 
 def _near(p: int, q: int):
-    """Pairs across components within one block of one signature whose sizes and sketches don't rule them out."""
+    """Within one block pair of one signature: pairs across components whose sizes and sketches don't rule them out, as an edge from each set in one to the first set it reaches."""
 
     def matches(rows: dict[str, np.ndarray], sketches: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         length = min(map(len, sketches))
@@ -223,9 +225,60 @@ def _near(p: int, q: int):
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             column = batch.column("sketch")
             values, ends = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-            for x, y in matches(rows, [values[ends[k] : ends[k + 1]] for k in range(batch.num_rows)]):
-                x, y = np.where(rows["node"][x] < rows["node"][y], x, y), np.where(rows["node"][x] < rows["node"][y], y, x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[c][k]) for k in (x, y) for c in ("node", "whole", "size")], names=_PAIR)
+            found = list(matches(rows, [values[ends[k] : ends[k + 1]] for k in range(batch.num_rows)]))
+            if found:
+                yield _edges(rows["node"], np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+
+    return run
+
+
+def _edges(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    label = local_components(len(nodes), x, y)
+    some = np.unique(np.concatenate([x, y]))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[label[some]]), pa.array(nodes[some])], names=["a", "b"])
+
+
+def _overlaps(p: int, q: int):
+    """Within one block pair of a group: the overlaps of all pairs across components are counted in each fragment of the global order and summed; links leave as edges of the local components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, ["group", "low", "high"]):
+            n = batch.num_rows
+            node, size, component, half = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "component", "half"))
+            if n < 2 or (component == component[0]).all():
+                continue
+            column = batch.column("grams")
+            values = column.flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(n), pc.list_value_length(column).to_numpy())
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            heads = np.concatenate([[True], values[1:] != values[:-1]])
+            gram = np.cumsum(heads) - 1
+            often = np.bincount(gram) > 1
+            number = np.cumsum(often) - 1
+            keep = often[gram]
+            gram, owner = number[gram[keep]], owner[keep]
+            overlap = np.zeros((n, n), np.float32)
+            cuts = np.searchsorted(gram, np.arange(0, int(often.sum()) + FRAGMENT, FRAGMENT))
+            for k, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part = np.zeros((n, FRAGMENT), np.float32)
+                part[owner[begin:end], gram[begin:end] - k * FRAGMENT] = 1
+                overlap += part @ part.T
+            linked = q * overlap >= p * (size[:, None] + size[None, :] - overlap)
+            linked &= component[:, None] != component[None, :]
+            linked &= half[:, None] != half[None, :] if half.any() and not half.all() else True
+            x, y = np.nonzero(np.triu(linked, 1))
+            if len(x):
+                yield _edges(node, x, y)
+
+    return run
+
+
+def _gram_lists(text_col: str, id_col: str, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            sets = list(gram_sets(*text_bytes(batch.column(text_col)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_signed(np.array([_whole(x) for x in sets], np.uint64))), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "whole", "size", "grams"])
 
     return run
 
@@ -234,11 +287,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """(set sizes: node, size; components: node, component of each linked node).
 
     No link that matters for a component is lost: within the sets of a
-    signature, each is first compared to the smallest id of them; then, in
-    signatures whose sets aren't all in one component yet, every pair across
-    components is. Pairs are ruled out by sizes and sketches, which never rule
-    out a link, before their sets are read. Large groups of copies end after
-    the first step, so their pairs are never listed.
+    signature the smallest id is a centre, and each set is compared to the centre
+    it shares most with; then, in signatures whose sets aren't all in one
+    component yet, every pair across components is looked at. Sizes and
+    sketches, which never rule out a link, leave groups of sets that are close;
+    within those, overlaps of all pairs across components are counted. Copies
+    of a centre end after the first step, and pairs are never listed: what
+    leaves a group is an edge for each set.
     """
     p, q = numerator, denominator
     spark = docs.sparkSession
@@ -251,7 +306,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     release(spark)
     facts = sets.where("node is not null").select("node", "size", "whole", "sketch").dropDuplicates(["node", "whole"])
     side = lambda x: facts.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    star = held.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    star = held.where("node <> first").groupBy("first", "node").agg(F.count("*").alias("n"))
+    star = star.groupBy("node").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("first"))
+    star = star.select(F.col("first").alias("a"), F.col("node").alias("b")).join(side("a"), "a").join(side("b"), "b")
     star = star.where(q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b"))
     star = star.where((q + p) * _distance(F.col("sketch_a"), F.col("sketch_b")) <= (q - p) * (F.col("size_a") + F.col("size_b")))
     star = written(star.select(*_PAIR), "star")
@@ -264,9 +321,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
     rest = blocked(rest.join(mixed, "signature", "left_semi"), ["signature"], "node", BLOCK).join(facts, "node")
     rest = rest.select("signature", "low", "high", "half", "node", "size", "whole", "component", "sketch").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
-    pairs = rest.mapInArrow(_near(p, q), "a long, whole_a long, size_a long, b long, whole_b long, size_b long").distinct()
-    pairs = written(pairs.join(star.select(*_PAIR), _PAIR, "left_anti"), "pairs")
-    more = written(_verified(pairs, docs, id_col, text_col, words, p, q), "more")
+    near = written(components(rest.mapInArrow(_near(p, q), "a long, b long")), "near")
+    release(spark)
+    some = docs.join(near.select("node").distinct(), F.col(id_col) == F.col("node"), "left_semi")
+    some = some.mapInArrow(_gram_lists(text_col, id_col, words), "node long, whole long, size long, grams array<long>")
+    some = some.join(near.withColumnRenamed("component", "group"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = ["group", "low", "high"]
+    some = blocked(written(some, "near-sets"), ["group"], "node", BLOCK_GRAMS, F.col("size") + 200).repartition(*keys).sortWithinPartitions(*keys)
+    more = written(some.mapInArrow(_overlaps(p, q), "a long, b long"), "more")
     if more.limit(1).count():
         groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
     release(spark)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocked, bounded_batches, grouped, release, written
+from papyra.llm.common import blocked, bounded_batches, grouped, local_components, release, written
 from papyra.llm.graph import components
 
 THRESHOLD = 0.9
@@ -163,15 +163,7 @@ def _compare(bits: int, bands: int, threshold: float):
             x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
             ids, weight = batch.column("id").to_numpy(), batch.column("weight").to_numpy()
             links = np.bincount(x, weight[y], minlength=n) + np.bincount(y, weight[x], minlength=n)
-            label = np.arange(n)
-            while True:
-                new = label.copy()
-                np.minimum.at(new, x, label[y])
-                np.minimum.at(new, y, label[x])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            label = local_components(n, x, y)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[label[some]])], names=["id", "links", "to"])
 
