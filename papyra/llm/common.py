@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import os
 import tempfile
 import uuid
@@ -100,6 +101,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a JSON literal, without an RDD of Python objects."""
+    fields = [x.strip().split(" ", 1) for x in schema.split(", ")]
+    text = json.dumps([dict(zip((name for name, _ in fields), r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}:{b}' for a, b in fields)}>>")))
+
+
 # --- texts of an Arrow batch as bytes -------------------------------------------------
 
 

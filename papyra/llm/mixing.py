@@ -14,15 +14,14 @@ rest is arithmetic and joins on DataFrames.
 from __future__ import annotations
 
 import heapq
-import json
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import written
+from papyra.llm.common import literal, written
 
 #: Parts that weights are fractions of.
 PARTS = 1000
@@ -107,13 +106,6 @@ def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> tuple[list[tu
     return runs, slots
 
 
-def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table as a JSON literal, without an RDD of Python objects."""
-    names = [x.split()[0] for x in schema.split(",")]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))}>>")))
-
-
 def _units(text_col: str) -> Column:
     return F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
 
@@ -181,9 +173,9 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
         runs += [(p + k, s + begin, n) for p, s, n in more_runs]
         slots += [(p + k, *x) for p, *x in more_slots]
     spans = sorted({(k, p, had, own, end) for p, k, had, _, _, own, end in slots})
-    spans_df = _literal(spark, spans, "name string, phase int, had long, own int, end long")
-    runs_df = _literal(spark, runs, "phase int, first long, period long")
-    slots_df = _literal(spark, [(p, k, i, t) for p, k, _, t, i, *_ in slots], "phase int, name string, turn long, place long")
+    spans_df = literal(spark, spans, "name string, phase int, had long, own int, end long")
+    runs_df = literal(spark, runs, "phase int, first long, period long")
+    slots_df = literal(spark, [(p, k, i, t) for p, k, _, t, i, *_ in slots], "phase int, name string, turn long, place long")
     # MOST_SOURCES bounds these tables: all are for the driver's schedule, not for the data
     spans_df = F.broadcast(spans_df.join(F.broadcast(runs_df), "phase"))
     placed = rows.join(spans_df, "name").where((F.col("block") > F.col("had")) & (F.col("block") <= F.col("end")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import decontam, html_text, jaccard, langid, lm, mixing, near_vectors, quality, secret_scan
+from papyra.llm import decontam, html_text, jaccard, langid, licenses, lm, mixing, near_vectors, quality, secret_scan
 from papyra.llm.common import table
 
 
@@ -44,7 +44,11 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op4_near_vectors, op5_language_id, op6_html_text, op7_jaccard_join, op8_mix_sources, op9_lm_scores)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_quality, op4_near_vectors, op5_language_id, op6_html_text, op7_jaccard_join, op8_mix_sources, op9_lm_scores, op10_license_scan)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
