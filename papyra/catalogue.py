@@ -1,14 +1,456 @@
-"""Registered queries over the driver's tables and their DuckDB SQL."""
+"""Registered queries over the driver's tables. Their DuckDB SQL is in :mod:`papyra.oracle`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from papyra.functions import extract, rules, text, vectors
+from papyra.operators import chunk, evaluate, filing, index, ocr, retrieve, store
+from papyra.oracle import ORACLE_SQL
+from papyra.plans import question as questions
+from papyra.sources import rendered
 
+#: Fixed questions of the retrieval queries: words of the corpus, and words that plans look for.
+QUESTION = "latest license amount of the thing on heer onatth"
+KEYWORDS = ["the", "license", "apache license", "rent", "عقد", "de la"]
+NEAREST_TO = 0
+YEAR = 2026
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as an archive has them: a name, a title, a type, a time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return docs.select(
+        "doc_id", "text", "lang", "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("general").alias("doc_type"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") * 7919) % 1_000_003).alias("updated_at"),
+    )
+
+
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk index of ``documents``. An archive stores it; here it is kept for the session, as many queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        docs = documents(spark, sf_dir)
+        _stored[key] = retrieve.with_ids(chunk.chunks(docs, "doc_id"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+    return _stored[key]
+
+
+def business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered business documents with their metadata."""
+    return extract.with_metadata(rendered.documents(spark, sf_dir), year=YEAR)
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = business(spark, sf_dir).withColumn("norm", text.normalized(F.concat_ws(" ", "text", "title")))
+    return filing.planned(docs)
+
+
+# --- text ---------------------------------------------------------------------------
+
+
+@query
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalized("text").alias("norm"))
+
+
+@query
+def normalize_digits(spark, sf_dir):
+    eastern = F.translate("text", "0123456789", rules.DIGITS[0][:10])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.ascii_digits(eastern).alias("digits"))
+
+
+@query
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_count("text").cast("long").alias("tokens"))
+
+
+def _readings(spark, sf_dir):
+    """Documents, pages as they are, and documents with a part of their letters lost."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    lost = docs.select((F.col("doc_id") + 1_000_000_000).alias("id"), F.translate("text", "etao", "????").alias("body"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).union(pages.select((F.col("page_id") + 2_000_000_000).alias("id"), F.col("html").alias("body"))).union(lost)
+
+
+@query
+def text_quality(spark, sf_dir):
+    q = text.quality("body")
+    return _readings(spark, sf_dir).select("id", text.legibility("body").cast("long").alias("points"), q["label"].alias("label"))
+
+
+@query
+def garbled_flag(spark, sf_dir):
+    return _readings(spark, sf_dir).select("id", text.garbled("body").alias("garbled"))
+
+
+@query
+def needs_ocr(spark, sf_dir):
+    return _readings(spark, sf_dir).select("id", text.needs_ocr("body").alias("needs_ocr"))
+
+
+@query
+def detect_language(spark, sf_dir):
+    return _readings(spark, sf_dir).select("id", text.language("body").alias("language"))
+
+
+@query
+def char_trigrams(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(text.normalized("text"), " ")).alias("w"))
+    return words.select(F.explode(text.trigrams(F.col("w"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def keyword_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalized("text").alias("norm"))
+    return docs.select("doc_id", *(text.has_keyword(F.col("norm"), k).alias(f"hit_{i}") for i, k in enumerate(KEYWORDS)))
+
+
+@query
+def query_expand(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", F.array_join(text.query_terms("text"), " ").alias("terms"))
+
+
+@query
+def query_plan(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    body = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, ["total bill", "passport expiry date", "latest rent", "price of clinic", ""])), (F.pmod("conv_id", F.lit(5)) + 1).cast("int")))
+    return asked.select("conv_id", "turn", questions.columns(body).alias("p")).select("conv_id", "turn", F.col("p.doc_type").alias("doc_type"), F.col("p.field").alias("field"), F.col("p.sort").alias("sort"))
+
+
+@query
+def lexical_score(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.lexical_score(text.normalized("text"), text.terms_of(QUESTION)).cast("long").alias("points"))
+
+
+@query
+def snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet("text", text.terms_of(QUESTION)).alias("snippet"))
+
+
+# --- chunks, index, retrieval -----------------------------------------------------------
+
+
+@query
+def split_blocks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.blocks("text")).alias("block", "text"))
+
+
+@query
+def chunk_documents(spark, sf_dir):
+    return chunk.chunks(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.col("token_count").cast("long").alias("token_count"))
+
+
+@query
+def chunks_documents_join(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return chunk.chunks(docs, "doc_id").join(docs.select("doc_id", "title", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.countDistinct("title").alias("n_documents"))
+
+
+@query
+def bm25_doc_stats(spark, sf_dir):
+    rows = index.postings(chunks(spark, sf_dir))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    terms = questions.index_terms(text.terms_of(QUESTION))
+    return index.bm25(chunks(spark, sf_dir), terms).orderBy(F.desc(F.round("bm25", 9)), "chunk_id").limit(rules.CANDIDATES).select("chunk_id", F.round("bm25", 9).alias("bm25"))
+
+
+@query
+def hash_embedding(spark, sf_dir):
+    return vectors.hashed(table(spark, sf_dir, "benchmark"), "item_id", text.normalized("text")).select("item_id", "dim", "weight")
+
+
+@query
+def cosine_pairs(spark, sf_dir):
+    """Each vector and the next by id."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(nxt, "vec_id").select("vec_id", F.round(vectors.cosine("embedding", "other"), 6).alias("cosine"))
+
+
+def _near(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = v.where(F.col("vec_id") == NEAREST_TO).select(F.col("embedding").alias("q")).limit(1)
+    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine("embedding", "q"), 6).alias("cosine"))  # one row is broadcast
+
+
+@query
+def knn_cosine(spark, sf_dir):
+    return _near(spark, sf_dir).orderBy(F.desc("cosine"), "vec_id").limit(rules.CANDIDATES)
+
+
+@query
+def vector_threshold(spark, sf_dir):
+    return _near(spark, sf_dir).where("cosine > 0.18").select("vec_id", F.round(1.5 + 3.0 * F.col("cosine"), 6).alias("score"))
+
+
+def _found(spark, sf_dir, limit=rules.RESULTS):
+    return retrieve.hybrid(chunks(spark, sf_dir), QUESTION, limit)
+
+
+@query
+def hybrid_fusion(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    out = retrieve.candidates(rows, QUESTION, questions.plan(QUESTION))
+    return out.select("chunk_id", F.round("score", 6).alias("score"), "retrieval")
+
+
+@query
+def rerank(spark, sf_dir):
+    rows, plan = chunks(spark, sf_dir), questions.plan(QUESTION)
+    out = retrieve.reranked(rows.join(retrieve.candidates(rows, QUESTION, plan), "chunk_id"), plan)
+    return out.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    return _found(spark, sf_dir).select("chunk_id", "document_id", "title", F.round("score", 6).alias("score"), "retrieval")
+
+
+@query
+def best_chunk_per_doc(spark, sf_dir):
+    return retrieve.best_chunks(_found(spark, sf_dir)).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def document_search(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("lang").alias("language"))
+    out = retrieve.search(rows, docs, QUESTION, 10, language="e")
+    return out.select("document_id", "title", F.round("score", 6).alias("score"), "snippet")
+
+
+@query
+def ask_sources(spark, sf_dir):
+    return retrieve.sources(_found(spark, sf_dir, 8), 8).select("source", "document_id", "title", "page", "snippet")
+
+
+@query
+def extractive_answer(spark, sf_dir):
+    return retrieve.extractive_answer(_found(spark, sf_dir, 8), QUESTION)
+
+
+@query
+def highlight_words(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("position", "t"))
+    return retrieve.highlighted(words, QUESTION).select("document_id", "position", "t")
+
+
+@query
+def rag_eval(spark, sf_dir):
+    """Each benchmark item expects its own first words, and to be cited; the answer of every third is cut short, every fifth is cited wrongly."""
+    items = table(spark, sf_dir, "benchmark")
+    cases = items.select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("expected"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("must_cite"))
+    answers = items.select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.concat(F.lit(">> "), "text")).alias("answer"))
+    cited = items.select(F.col("item_id").alias("id"), F.concat(F.lit("item "), (F.col("item_id") + F.when(F.col("item_id") % 5 == 0, 1000).otherwise(0)).cast("string"), F.lit(" /benchmark")).alias("cited"))
+    return evaluate.judged(cases, answers, cited)
+
+
+# --- business documents ------------------------------------------------------------------
+
+
+@query
+def classify_documents(spark, sf_dir):
+    return business(spark, sf_dir).select("doc_id", "doc_type", "language")
+
+
+@query
+def extract_date(spark, sf_dir):
+    return business(spark, sf_dir).select("doc_id", "date_guess")
+
+
+@query
+def extract_amount(spark, sf_dir):
+    return business(spark, sf_dir).select("doc_id", "amount")
+
+
+@query
+def extract_company(spark, sf_dir):
+    return business(spark, sf_dir).select("doc_id", "company")
+
+
+@query
+def structured_fields(spark, sf_dir):
+    f = business(spark, sf_dir).select("doc_id", "fields.*")
+    return f.select("doc_id", "title", "amount", "invoice_number", "due_or_expiry_date", F.array_join("amounts_found", ";").alias("amounts_found"), "currency", "total", "vat_number", "iban", "rent_amount", F.array_join("names_found", ";").alias("names_found"))
+
+
+@query
+def summarize(spark, sf_dir):
+    return business(spark, sf_dir).select("doc_id", "summary", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def parse_date_ym(spark, sf_dir):
+    docs = business(spark, sf_dir)
+    return docs.select("doc_id", extract.year_month("date_guess", F.col("mtime")).alias("ym"))
+
+
+@query
+def filing_category(spark, sf_dir):
+    return business(spark, sf_dir).select(filing.category(F.col("doc_type")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query
+def filing_subcategory(spark, sf_dir):
+    return filed(spark, sf_dir).groupBy("doc_type", "subcategory").agg(F.count("*").alias("n"))
+
+
+@query
+def filing_plan(spark, sf_dir):
+    return filed(spark, sf_dir).select("doc_id", "folder", "file", "relative")
+
+
+@query
+def filing_tree(spark, sf_dir):
+    return filing.tree(filed(spark, sf_dir))
+
+
+@query
+def filing_collisions(spark, sf_dir):
+    """Every document under a name without its company, so that names collide; every 20th is a copy of one content."""
+    docs = filed(spark, sf_dir).select("doc_id", F.concat_ws("/", "category", F.concat(F.col("doc_type"), F.lit("_"), F.col("ym"), F.lit(".pdf"))).alias("relative"))
+    docs = docs.withColumn("sha256", F.sha2(F.when(F.col("doc_id") % 20 == 1, "same").otherwise(F.col("doc_id").cast("string")), 256))
+    return filing.without_collisions(docs).select("doc_id", "target", "action")
+
+
+@query
+def company_counts(spark, sf_dir):
+    return filing.company_counts(business(spark, sf_dir))
+
+
+@query
+def normalize_filename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.file_name("url").alias("file"))
+
+
+@query
+def archive_export(spark, sf_dir):
+    return store.exported(business(spark, sf_dir)).drop("due_or_expiry_date", "iban", "rent_amount", "summary")
+
+
+# --- store ---------------------------------------------------------------------------------
+
+
+@query
+def dedup_exact(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return store.deduplicated(docs).select("doc_id", "status", "original")
+
+
+def _states(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
+    dup = store.deduplicated(docs.select("doc_id", "sha256")).select("doc_id", "status")
+    q = text.quality("text")["label"]
+    return docs.join(dup, "doc_id").select("doc_id", F.when(F.col("status") == "duplicate", "duplicate").when(q.isin("empty", "poor"), "needs_ocr").otherwise("indexed").alias("status"), F.when(F.col("doc_id") % 10 != 0, q).alias("ocr_quality"))
+
+
+@query
+def status_counts(spark, sf_dir):
+    return store.status_counts(_states(spark, sf_dir))
+
+
+@query
+def quality_histogram(spark, sf_dir):
+    return store.quality_histogram(_states(spark, sf_dir))
+
+
+@query
+def browse_filter(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("language", F.concat(F.lit("Lang-"), F.upper("lang")))
+    return store.browse(docs, "updated_at", "general", "lang-e", 50).select("doc_id", "language", "title")
+
+
+@query
+def documents_page(spark, sf_dir):
+    return store.browse(documents(spark, sf_dir), "updated_at", limit=25, offset=50).select("doc_id", "title")
+
+
+@query
+def distinct_pages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(F.contains(text.normalized("text"), F.lit("the"))).select("conv_id", "turn").distinct()
+
+
+@query
+def upsert_latest(spark, sf_dir):
+    """Accounts as paths; orders of odd days are the stored versions, the others the new ones."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("path"), "o_orderkey", F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("created_at"), F.struct("o_orderdate", "o_orderkey").alias("updated_at"))
+    odd = F.dayofmonth("created_at") % 2 == 1
+    return store.upserted(o.where(odd), o.where(~odd)).select("path", "o_orderkey", "amount", "created_at")
+
+
+@query
+def cascade_delete(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    left = store.deleted(table(spark, sf_dir, "lineitem"), o, "l_orderkey")
+    return left.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
+@query
+def longest_prefix_join(spark, sf_dir):
+    """Hosts of pages as watched folders: each site, and a more special one below each."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?:/", "").alias("path"))
+    folders = spark.sql("SELECT * FROM VALUES ('/', 'any'), ('/M.', 'mobile'), ('/th', 'th'), ('/the', 'the'), ('/theR', 'ther'), ('/in', 'in'), ('/www.', 'www'), ('/on', NULL), ('/oN', 'on'), ('/e', '') AS f(path, default_type)")
+    return store.folder_defaults(pages, folders).select("page_id", "default_type")
+
+
+@query
+def engine_select(spark, sf_dir):
+    """Readings of three engines of each document, with parts of the letters lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = docs.select("doc_id", F.lit(0).alias("place"), F.concat(F.lit("tesseract:conf"), (F.col("doc_id") % 90 + 10).cast("string")).alias("engine"), F.when(F.col("doc_id") % 3 == 0, F.translate("text", "etaoin", "??????")).otherwise(F.col("text")).alias("text"))
+    second = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("place"), F.lit("ollama").alias("engine"), F.translate("text", "e", "?").alias("text"))
+    third = docs.select("doc_id", F.lit(2).alias("place"), F.lit("azure").alias("engine"), F.substring("text", 1, 300).alias("text"))
+    return ocr.chosen(first.union(second).union(third), "doc_id").select("doc_id", "engine", F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def json_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("props"))
+    return e.select("event_type", store.parsed("props", "struct<k:bigint>")["k"].alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("known"), F.sum("k").alias("k_sum"))
+
+
+# --- beside the reference's own operators: labelled extensions ------------------------------
+
+
+@query
+def quality_rollup(spark, sf_dir):
+    q = text.quality("text")["label"]
+    return table(spark, sf_dir, "documents").select("lang", q.alias("quality")).rollup("lang", "quality").agg(F.count("*").alias("n"))
+
+
+@query
+def event_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    out = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.col("window.start").alias("day"), "event_type", "n", "total")
+
+
+flagship = QUERIES["hybrid_search"]
