@@ -138,7 +138,7 @@ def query_expand(spark, sf_dir):
 def query_plan(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'")
     body = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, ["total bill", "passport expiry date", "latest rent", "price of clinic", ""])), (F.pmod("conv_id", F.lit(5)) + 1).cast("int")))
-    return asked.select("conv_id", "turn", questions.columns(body).alias("p")).select("conv_id", "turn", F.col("p.doc_type").alias("doc_type"), F.col("p.field").alias("field"), F.col("p.sort").alias("sort"))
+    return questions.planned(asked.select("conv_id", "turn", body.alias("question"))).select("conv_id", "turn", F.col("plan.doc_type").alias("doc_type"), F.col("plan.field").alias("field"), F.col("plan.sort").alias("sort"))
 
 
 @query

@@ -35,11 +35,12 @@ def legislation(raw: Column, norm: Column) -> Column:
     return text.has_any(norm, rules.LEGISLATION) | ((articles >= 12) & ~text.has_any(norm, rules.PARTIES))
 
 
-def doc_type(raw: Column | str, name: Column | str) -> Column:
-    """The type of a document by its text and file name: laws by their form, then the first rule that fits."""
-    raw = text.text_of(raw)
-    norm = text.normalized(F.concat_ws(" ", raw, text.text_of(name)))
-    return F.when(legislation(raw, norm), "legal").otherwise(text.first_rule(norm, rules.DOC_TYPES, F.lit("general")))
+def doc_type(raw: Column | str, norm: Column) -> Column:
+    """The type of a document by its text and its normalised text and file name: laws by their form, then the first rule that fits.
+
+    ``norm`` should be a column of its own, as a hundred rules read it.
+    """
+    return F.when(legislation(text.text_of(raw), norm), "legal").otherwise(text.first_rule(norm, rules.DOC_TYPES, F.lit("general")))
 
 
 def legal_title(raw: Column | str) -> Column:
@@ -141,11 +142,12 @@ def year_month(guess: Column | str, mtime: Column) -> Column:
 def with_metadata(docs, text_col: str = "text", name_col: str = "name", year: int | None = None):
     """``docs`` with doc_type, language, legal_title, date_guess, amount, company, title, tags, summary and fields.
 
-    Steps build on each other in separate projections, so that each rule
-    chain is in the plan once.
+    Steps build on each other in separate projections: what many rules read is
+    computed once a row, and each rule chain is in the plan once.
     """
     c = F.col
-    out = docs.withColumns({"doc_type": doc_type(text_col, name_col), "language": text.language(text_col), "amount": amount(text_col), "company": company(text_col)})
+    out = docs.withColumn("_norm", text.normalized(F.concat_ws(" ", text.text_of(text_col), text.text_of(name_col))))
+    out = out.withColumns({"doc_type": doc_type(text_col, c("_norm")), "language": text.language(text_col), "amount": amount(text_col), "company": company(text_col)}).drop("_norm")
     out = out.withColumn("legal_title", F.when(c("doc_type") == "legal", legal_title(text_col)))
     out = out.withColumns({"date_guess": date_guess(text_col, c("doc_type"), c("legal_title"), year), "title": title(name_col, c("doc_type"), c("legal_title"))})
     return out.withColumns({

@@ -114,25 +114,28 @@ def language(c: Column | str) -> Column:
     return F.when(has_arabic(c) & latin, "Arabic + English").when(has_arabic(c), "Arabic").when(latin, "English").otherwise("unknown")
 
 
-def has_keyword(norm: Column, keyword: str) -> Column:
-    """Whether normalised text has the keyword: as a phrase of whole words, or, for an Arabic word, behind its usual prefixes."""
+def keyword_forms(keyword: str) -> list[str]:
+    """The words or phrases that count as the keyword: a phrase or an ASCII word as it is, an Arabic word also behind its usual prefixes."""
     kw = plain(keyword)
-    padded = F.concat(F.lit(" "), norm, F.lit(" "))
-    if not kw:
-        return F.lit(False)
-    if " " in kw or all(ch.isascii() and ch.isalnum() for ch in kw):
-        return F.contains(padded, F.lit(f" {kw} "))
+    if not kw or " " in kw or all(ch.isascii() and ch.isalnum() for ch in kw):
+        return [kw] if kw else []
     # a word is the keyword, one of its forms, or the keyword behind the first prefix that fits the word
-    fits: list[str] = []
+    fits = []
     for i, p in enumerate(rules.STRIPPED_ONCE):
         earlier = [q for q in rules.STRIPPED_ONCE[:i] if (p + kw).startswith(q) and len(p + kw) > len(q) + 1]
         if not earlier and len(kw) > 1:
             fits.append(p + kw)
-    return functools.reduce(lambda a, b: a | b, (F.contains(padded, F.lit(f" {w} ")) for w in dict.fromkeys([kw, *(p + kw for p in rules.KEYWORD_FORMS), *fits])))
+    return list(dict.fromkeys([kw, *(p + kw for p in rules.KEYWORD_FORMS), *fits]))
 
 
 def has_any(norm: Column, keywords: list[str]) -> Column:
-    return functools.reduce(lambda a, b: a | b, (has_keyword(norm, k) for k in keywords))
+    """Whether normalised text has one of the keywords as whole words; one expression, however many there are."""
+    forms = list(dict.fromkeys(f for k in keywords for f in keyword_forms(k)))
+    return F.concat(F.lit(" "), norm, F.lit(" ")).rlike(f" (?:{'|'.join(forms)}) ") if forms else F.lit(False)
+
+
+def has_keyword(norm: Column, keyword: str) -> Column:
+    return has_any(norm, [keyword])
 
 
 def first_rule(norm: Column, table: list[tuple[str, list[str]]], otherwise: Column) -> Column:

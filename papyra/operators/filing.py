@@ -26,12 +26,10 @@ def company_name(c: Column | str) -> Column:
     return F.when(x == "", "").otherwise(F.substring(text.file_name(x), 1, 40))
 
 
-def subcategory(docs_kind: Column, title: Column, company: Column, summary: Column, norm: Column, ym: Column) -> Column:
-    """Bills by provider, laws by kind of instrument (title first, then body), all else by year."""
-    body = text.normalized(F.concat(text.text_of(company), F.lit(" "), text.text_of(title), F.lit(" "), text.text_of(summary), F.lit(" "), F.substring(text.text_of(norm), 1, 2000)))
-    head = text.normalized(title)
+def subcategory(kind: Column, head: Column, body: Column, ym: Column) -> Column:
+    """Bills by provider, laws by kind of instrument (normalised title first, then body), all else by year."""
     law = text.first_rule(head, rules.LEGAL_SUBTYPES, F.when(text.has_any(head, rules.LAW_TITLE), "Laws").otherwise(text.first_rule(body, rules.LEGAL_SUBTYPES, F.lit("Other Legal"))))
-    return F.when(docs_kind.isin("invoice", "receipt"), text.first_rule(body, rules.PROVIDERS, F.lit("General"))).when(docs_kind == "legal", law).otherwise(F.substring(ym, 1, 4))
+    return F.when(kind.isin("invoice", "receipt"), text.first_rule(body, rules.PROVIDERS, F.lit("General"))).when(kind == "legal", law).otherwise(F.substring(ym, 1, 4))
 
 
 def company_counts(docs: DataFrame) -> DataFrame:
@@ -50,7 +48,9 @@ def planned(docs: DataFrame, pattern: str | None = None, suffix: Column | None =
     kind = F.coalesce("doc_type", F.lit("general"))
     out = docs.withColumns({"ym": extract.year_month("date_guess", F.col("mtime")), "company_name": company_name("company"), "kind": kind})
     out = out.join(company_counts(docs).withColumnRenamed("n", "company_n"), "company_name", "left")
-    out = out.withColumns({"category": category(F.col("kind")), "subcategory": subcategory(F.col("kind"), F.col("title"), F.col("company"), F.col("summary"), F.col("norm"), F.col("ym"))})
+    body = F.concat_ws(" ", text.text_of("company"), text.text_of("title"), text.text_of("summary"), F.substring(text.text_of("norm"), 1, 2000))
+    out = out.withColumns({"_head": text.normalized("title"), "_body": text.normalized(body)})
+    out = out.withColumns({"category": category(F.col("kind")), "subcategory": subcategory(F.col("kind"), F.col("_head"), F.col("_body"), F.col("ym"))})
     parts = {
         "{type}": _mapped(F.col("kind"), rules.TYPE_CODES, "doc"), "{company}": F.coalesce(F.nullif("company_name", F.lit("")), F.lit("unknown")),
         "{date}": F.col("ym"), "{year}": F.substring("ym", 1, 4), "{title}": F.substring(text.file_name("title"), 1, 60),
@@ -67,7 +67,7 @@ def planned(docs: DataFrame, pattern: str | None = None, suffix: Column | None =
     firm = F.when(F.col("kind").isin(*rules.BUSINESS) & (F.col("company_n") >= rules.COMPANY_FOLDER_FROM), F.substring("company_name", 1, 30))
     folder = F.when(F.col("kind") == "legal", F.concat_ws("/", "category", "subcategory", F.substring("ym", 1, 4))).otherwise(F.concat_ws("/", "category", "subcategory", F.nullif(firm, F.lit(""))))
     out = out.withColumns({"file": F.concat(named, ext), "folder": folder})
-    return out.withColumn("relative", F.concat_ws("/", "folder", "file")).drop("kind", "company_n")
+    return out.withColumn("relative", F.concat_ws("/", "folder", "file")).drop("kind", "company_n", "_head", "_body")
 
 
 def without_collisions(plan: DataFrame, key: str = "doc_id", content: str = "sha256") -> DataFrame:

@@ -53,7 +53,8 @@ def bm25(rows: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     length = F.col("dl") / (F.col("n_words") / F.col("n_chunks"))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * length))
-    return joined.groupBy(key).agg(F.sum(part).alias("bm25"))
+    # rounded, so that equal chunks tie whatever the order of their sums
+    return joined.groupBy(key).agg(F.round(F.sum(part), 12).alias("bm25"))
 
 
 def vector_hits(rows: DataFrame, question: str, least: float = 0.18, key: str = "chunk_id", dims: int = rules.DIMENSIONS) -> DataFrame:

@@ -36,7 +36,7 @@ def reranked(candidates: DataFrame, plan: questions.Plan) -> DataFrame:
         score = score + F.when(F.col("text").rlike(_DATE), 0.7).otherwise(0.0)
     if plan.sort == "latest" and "updated_at" in candidates.columns:
         score = score + F.when(F.col("updated_at").isNotNull(), 0.15).otherwise(0.0)
-    return candidates.withColumn("score", score)
+    return candidates.withColumn("score", F.round(score, 9))
 
 
 def candidates(chunks: DataFrame, question: str, plan: questions.Plan, most: int = rules.CANDIDATES) -> DataFrame:

@@ -148,7 +148,7 @@ RETRIEVAL = CHUNKS + f""",
     tf AS (SELECT chunk_id, any_value(len(words)) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, words, unnest(words) AS term FROM item) WHERE term IN ({_IN_TERMS}) GROUP BY chunk_id, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     word_score AS (
-        SELECT chunk_id, sum(greatest(ln((n_chunks - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (n_words / n_chunks)))) AS bm25
+        SELECT chunk_id, round(sum(greatest(ln((n_chunks - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (n_words / n_chunks)))), 12) AS bm25
         FROM tf JOIN df USING (term), corpus GROUP BY chunk_id
     ),
     question AS (SELECT 1 AS q, {s(' '.join(QUESTION_TERMS))} AS t),
@@ -166,7 +166,7 @@ RETRIEVAL = CHUNKS + f""",
     ),
     scored AS (
         SELECT chunk_id, doc_id AS document_id, chunk_index, text, retrieval, 'Document ' || CAST(doc_id AS VARCHAR) AS title,
-            score + least(3.0, 0.08 * ({_SCORE})) + CASE WHEN regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)') THEN 0.9 ELSE 0 END + 0.15 AS score
+            round(score + least(3.0, 0.08 * ({_SCORE})) + CASE WHEN regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)') THEN 0.9 ELSE 0 END + 0.15, 9) AS score
         FROM fused JOIN (SELECT *, string_split(n, ' ') AS ws FROM item) USING (chunk_id)
     ),
     top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)"""

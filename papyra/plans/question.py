@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions import rules, text
@@ -52,13 +52,13 @@ def index_terms(terms: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def columns(question: Column | str) -> Column:
-    """struct<doc_type, field, sort, terms> for a table of questions."""
-    norm = text.normalized(question)
-    nothing = F.lit(None).cast("string")
-    return F.struct(
+def planned(asked: DataFrame, question: str = "question") -> DataFrame:
+    """``asked`` with ``plan``: struct<doc_type, field, sort, terms> of each question."""
+    norm, nothing = F.col("_norm"), F.lit(None).cast("string")
+    plan_of = F.struct(
         text.first_rule(norm, rules.INTENTS, nothing).alias("doc_type"),
         F.when(text.has_any(norm, rules.ASKS_AMOUNT), "amount").when(text.has_any(norm, rules.ASKS_DATE), "date").alias("field"),
         F.when(text.has_any(norm, rules.ASKS_LATEST), "latest").alias("sort"),
         text.query_terms(question).alias("terms"),
     )
+    return asked.withColumn("_norm", text.normalized(question)).withColumn("plan", plan_of).drop("_norm")
