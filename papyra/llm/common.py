@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import json
 import os
 import tempfile
@@ -57,6 +56,9 @@ def _clean() -> None:
             pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -65,25 +67,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/papyra-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    # the plan runs once, so its shuffle files can go as soon as the table is there
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._papyra_path = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing will read again."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        for k, (spark, known) in enumerate(_tables):
-            if path.rstrip("/").endswith(known.rpartition("/papyra-")[2]):
-                _remove(spark, known)
-                del _tables[k]
-                break
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that nothing will read again."""
+    for path in (t._papyra_path for t in tables):
+        for entry in [e for e in _tables if e[1] == path]:
+            _remove(*entry)
+            _tables.remove(entry)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark deletes them when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def sized_broadcast(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (a written table) to be broadcast if it has at most so many rows, else to be joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -161,13 +168,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield whole()
 
 
+def block_pairs(rows: DataFrame, id_col: str) -> DataFrame:
+    """Each row of a group in the block pairs of its group: a group is cut into ``blocks`` (a column) by a hash of the id, and each pair of blocks (low, high) is a group; ``half`` tells its two blocks apart."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
+
+
 def blocked(rows: DataFrame, keys: list[str], id_col: str, most: int, weight: Column | None = None) -> DataFrame:
-    """Each row of a group in the block pairs of its group: a group of much weight (rows) is cut into blocks of about ``most``, and each pair of blocks (low, high) is a group; ``half`` tells its two blocks apart."""
+    """:func:`block_pairs` with blocks of about ``most`` in weight (rows)."""
     total = F.count("*") if weight is None else F.sum(weight)
     count = rows.groupBy(*keys).agg(F.ceil(total / most).cast("int").alias("blocks"))
-    own = rows.join(count, keys).withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") > F.col("other")}).drop("own", "other", "blocks")
+    return block_pairs(rows.join(count, keys), id_col)
 
 
 def local_components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:

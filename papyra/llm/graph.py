@@ -32,8 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         small = written(small, "small")
         changed = small.exceptAll(pairs).limit(1).count() or pairs.exceptAll(small).limit(1).count()
-        drop_written(large)
-        drop_written(pairs)
+        drop_written(large, pairs)
         pairs = small
         if not changed:
             break

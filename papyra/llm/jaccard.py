@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, blocked, bounded_batches, grouped, local_components, release, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, block_pairs, blocked, bounded_batches, drop_written, grouped, local_components, sized_broadcast, slices, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
 #: Sets of a signature that are compared in one group, before it is cut into blocks.
 BLOCK = 1024
+#: Ids of documents to read again that are broadcast; beyond, the texts are shuffled to them.
+MOST_BROADCAST = 4_000_000
 #: N-grams of the sets in one block of a group whose overlaps are counted, and n-grams of a fragment there.
 BLOCK_GRAMS, FRAGMENT = 200_000, 2048
 #: Fragments of the verification, as a power of 2.
@@ -183,7 +185,7 @@ _PAIR = ["a", "whole_a", "size_a", "b", "whole_b", "size_b"]
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, p: int, q: int) -> DataFrame:
     """Those of ``pairs`` that reach the similarity: the overlap is counted fragment by fragment and summed."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = docs.join(nodes, F.col(id_col) == F.col("node"), "left_semi")
+    some = docs.join(sized_broadcast(written(nodes, "nodes"), MOST_BROADCAST), F.col(id_col) == F.col("node"), "left_semi")
     cut = some.mapInArrow(_cut_sets(text_col, id_col, n), "node long, whole long, fragment int, grams array<long>")
     side = lambda x: cut.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), "fragment", F.col("grams").alias(f"grams_{x}"))
     both = pairs.join(side("a"), ["a", "whole_a"]).join(side("b"), ["b", "whole_b", "fragment"])
@@ -302,8 +304,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = written(docs.mapInArrow(_sign(text_col, id_col, words, p, q), "node long, size long, whole long, sketch array<long>, signatures array<long>"), "sets")
     each = sets.where("node is not null").select("node", F.explode("signatures").alias("signature"))
     shared = each.groupBy("signature").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("signature", "first")
-    held = written(each.join(shared, "signature"), "shared")
-    release(spark)
+    held = written(each.join(shared.hint("merge"), "signature"), "shared")
     facts = sets.where("node is not null").select("node", "size", "whole", "sketch").dropDuplicates(["node", "whole"])
     side = lambda x: facts.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     star = held.where("node <> first").groupBy("first", "node").agg(F.count("*").alias("n"))
@@ -315,24 +316,26 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     same = (F.col("size_a") == F.col("size_b")) & (F.col("whole_a") == F.col("whole_b"))
     found = written(_verified(star.where(~same), docs, id_col, text_col, words, p, q).union(star.where(same).select("a", "b")), "links")
     groups = written(components(found), "groups")
-    release(spark)
-    # what is left: signatures whose sets are in more than one component
-    rest = held.select("signature", "node").join(groups, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    rest = blocked(rest.join(mixed, "signature", "left_semi"), ["signature"], "node", BLOCK).join(facts, "node")
-    rest = rest.select("signature", "low", "high", "half", "node", "size", "whole", "component", "sketch").repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    # what is left: signatures whose sets are in more than one component. Merge joins, as all of these sides grow with the input
+    rest = held.select("signature", "node").join(groups.hint("merge"), "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
+    rest_held = rest = written(rest, "rest")
+    mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(mixed.where("low < high").select("signature", "blocks").hint("merge"), "signature").join(facts.hint("merge"), "node")
+    keys = ["signature", "low", "high"]
+    rest = block_pairs(rest, "node").select(*keys, "half", "node", "size", "whole", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     near = written(components(rest.mapInArrow(_near(p, q), "a long, b long")), "near")
-    release(spark)
-    some = docs.join(near.select("node").distinct(), F.col(id_col) == F.col("node"), "left_semi")
+    some = docs.join(sized_broadcast(near.select("node"), MOST_BROADCAST), F.col(id_col) == F.col("node"), "left_semi")
     some = some.mapInArrow(_gram_lists(text_col, id_col, words), "node long, whole long, size long, grams array<long>")
     some = some.join(near.withColumnRenamed("component", "group"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keys = ["group", "low", "high"]
-    some = blocked(written(some, "near-sets"), ["group"], "node", BLOCK_GRAMS, F.col("size") + 200).repartition(*keys).sortWithinPartitions(*keys)
+    near_sets = written(some, "near-sets")
+    some = blocked(near_sets, ["group"], "node", BLOCK_GRAMS, F.col("size") + 200).repartition(*keys).sortWithinPartitions(*keys)
     more = written(some.mapInArrow(_overlaps(p, q), "a long, b long"), "more")
+    sizes = written(sets.select("node", "size"), "sizes")
+    drop_written(sets, held, star, found, rest_held, near, near_sets)
     if more.limit(1).count():
         groups = written(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
-    release(spark)
-    return sets.select("node", "size"), groups
+    return sizes, groups
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

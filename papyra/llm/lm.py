@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, fold, grouped, release, slices, text_bytes, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, fold, grouped, slices, text_bytes, written
 
 #: Text bytes of a group, and of the text that a bucket of n-gram hashes stands for on average.
 GROUP_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
@@ -268,7 +268,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     bits = max(0, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
     asked = groups.mapInArrow(_ask(bits), "bucket long, g long, kind int, blob binary").repartition("bucket").sortWithinPartitions("bucket", "g")
     answers = written(asked.mapInArrow(_answer, "g long, kind int, bucket long, blob binary, tokens long, distinct long, counted long"), "lm-counts")
-    release(spark)
     total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "counted"))).first()
     both = groups.select("g", "kind", F.lit(-1).cast("long").alias("bucket"), "blob").union(answers.select("g", "kind", "bucket", "blob"))
     met = lambda x: x.repartition("g").sortWithinPartitions("g", "bucket")

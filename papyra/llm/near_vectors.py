@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocked, bounded_batches, grouped, local_components, release, written
+from papyra.llm.common import blocked, bounded_batches, grouped, local_components, written
 from papyra.llm.graph import components
 
 THRESHOLD = 0.9
@@ -199,7 +199,6 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     keys = ["dims", "band", "key"]
     parts = blocked(parts, keys, "id", BLOCK).repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
     found = written(parts.mapInArrow(_compare(bits, bands, threshold), "id long, links long, to long"), "near")
-    release(spark)
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     # a component's smallest row stands for it; its name is the smallest id of its classes
