@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import literal, written
+from papyra.llm.common import drop_written, literal, written
 
 #: Parts that weights are fractions of.
 PARTS = 1000
@@ -121,7 +121,7 @@ def streams(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_
     row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _units(text_col).alias("units"), row.alias("row"))
     rows = rows.withColumn("hash", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"))
-    rows = written(rows, "units")
+    rows = rows_table = written(rows, "units")
     count = rows.count()
     cuts = max(1, -(-count // PART_ROWS))
     rows = rows.withColumn("part", F.floor(F.col("hash").cast("double") / 2.0**60 * cuts).cast("long"))
@@ -136,7 +136,9 @@ def streams(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_
     order = Window.partitionBy("source", "part").orderBy("hash", "id", "row")
     own = rows.withColumn("in_part", F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("units"))
     own = own.join(before, on(own, before, "part")).select(own["id"], own["source"], own["units"], own["hash"], own["row"], (F.col("in_part") + F.col("before")).alias("start"))
-    return own.withColumn("block", F.floor(F.col("start") / block_units).cast("long") + 1)
+    out = written(own.withColumn("block", F.floor(F.col("start") / block_units).cast("long") + 1), "streams")
+    drop_written(rows_table, parts)
+    return out
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", parts: int = PARTS, block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE) -> DataFrame:
@@ -157,7 +159,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = written(streams(docs, id_col, source_col, text_col, block_units).withColumn("name", F.coalesce("source", F.lit(""))), "streams")
+    rows = streams(docs, id_col, source_col, text_col, block_units).withColumn("name", F.coalesce("source", F.lit("")))
     sums = rows.groupBy("name").agg(F.sum("units").alias("units"), F.max("block").alias("blocks")).orderBy("name").limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first, as weights and schedules are held by the driver")
