@@ -51,6 +51,15 @@ def ascii_digits(c: Column | str) -> Column:
     return F.translate(text_of(c), *rules.DIGITS)
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _stripped(c: Column | str) -> Column:
+    return F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
+
+
 def matches(c: Column, pattern: str) -> Column:
     """How often the pattern matches."""
     return F.regexp_count(c, F.lit(pattern))
@@ -76,37 +85,48 @@ def _odd(c: Column) -> Column:
 
 def garbled(c: Column | str) -> Column:
     """Text that an extraction left useless: empty, full of replacement marks, Greek noise, odd characters, or symbols only."""
-    x = F.regexp_replace(text_of(c), r"(?U)\s+", "")
-    n = F.length(x)
-    return (
-        (n == 0)
-        | ((n >= 8) & (_times(x, "?�□■") > 0.22 * n))
-        | (matches(x, r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]") >= 2)
-        | ((n >= 20) & (_odd(x) > 0.08 * n))
-        | (x.rlike(r"^(?:[^\p{L}\p{N}_]|[?0-9_])+$") & (_times(x, "?") >= 4))
-    )
+
+    def bad(x: Column) -> Column:
+        n = F.length(x)
+        return (
+            (n == 0)
+            | ((n >= 8) & (_times(x, "?�□■") > 0.22 * n))
+            | (matches(x, r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]") >= 2)
+            | ((n >= 20) & (_odd(x) > 0.08 * n))
+            | (x.rlike(r"^(?:[^\p{L}\p{N}_]|[?0-9_])+$") & (_times(x, "?") >= 4))
+        )
+
+    return let(F.regexp_replace(text_of(c), r"(?U)\s+", ""), bad)
 
 
 def needs_ocr(c: Column | str) -> Column:
-    x = F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
-    return (F.length(x) < 25) | garbled(x)
+    return let(_stripped(c), lambda x: (F.length(x) < 25) | garbled(x))
+
+
+def _points(x: Column, words: Column) -> Column:
+    letters = matches(x, f"[{rules.ARABIC}]") + matches(x, "[A-Za-z]")
+    return 2 * letters + matches(x, r"\p{Nd}") + 3 * words - 10 * _times(x, "?�□") - 2 * _odd(x)
 
 
 def legibility(c: Column | str) -> Column:
     """Points for letters, digits and words, points off for marks of failed recognition."""
-    x = F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
-    letters = matches(x, f"[{rules.ARABIC}]") + matches(x, "[A-Za-z]")
-    return 2 * letters + matches(x, r"\p{Nd}") + 3 * matches(x, f"{WORD}{{2,}}") - 10 * _times(x, "?�□") - 2 * _odd(x)
+    return let(_stripped(c), lambda x: _points(x, matches(x, f"{WORD}{{2,}}")))
 
 
 def quality(c: Column | str) -> Column:
     """struct<label, score>: empty, poor, medium or good, and points for each character."""
-    x = F.regexp_replace(text_of(c), r"(?U)^\s+|\s+$", "")
-    n = F.greatest(F.length(x), F.lit(1))
-    density = legibility(x) / n
-    low = (_times(x, "?�□") > 0.08 * n) | (matches(x, f"{WORD}{{2,}}") < 3)
-    label = F.when(F.length(x) == 0, "empty").when(low | (density < 0.55), "poor").when(density < 1.15, "medium").otherwise("good")
-    return F.struct(label.alias("label"), F.when(low, F.greatest(density, F.lit(0.0))).otherwise(density).alias("score"))
+
+    def judged(v: Column) -> Column:
+        low = (v["bad"] > 0.08 * v["n"]) | (v["words"] < 3)
+        density = v["points"] / v["n"]
+        label = F.when(v["empty"], "empty").when(low | (density < 0.55), "poor").when(density < 1.15, "medium").otherwise("good")
+        return F.struct(label.alias("label"), F.when(low, F.greatest(density, F.lit(0.0))).otherwise(density).alias("score"))
+
+    def counted(x: Column) -> Column:
+        words = matches(x, f"{WORD}{{2,}}")
+        return F.struct((F.length(x) == 0).alias("empty"), F.greatest(F.length(x), F.lit(1)).alias("n"), _times(x, "?�□").alias("bad"), words.alias("words"), _points(x, words).alias("points"))
+
+    return let(let(_stripped(c), counted), judged)
 
 
 def language(c: Column | str) -> Column:
@@ -184,11 +204,19 @@ def _alike(words: Column, term: str) -> Column:
 
 def snippet(c: Column | str, terms: list[str], size: int = 360, before: int = 100) -> Column:
     """The text around the first term that occurs, in the terms' order."""
-    clean = F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
-    norm = normalized(clean)
-    at = F.coalesce(*(F.nullif(F.locate(t, norm), F.lit(0)) for t in terms), F.lit(None).cast("int")) if terms else F.lit(None).cast("int")
-    begin = F.when(at.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.length(clean), at - 1) - before))
-    return F.concat(F.substring(clean, begin + 1, F.lit(size)), F.when(F.length(clean) > begin + size, "...").otherwise(""))
+    nowhere = F.lit(None).cast("int")
+
+    def found(norm: Column) -> Column:
+        return F.coalesce(*(F.nullif(F.locate(t, norm), F.lit(0)) for t in terms), nowhere) if terms else nowhere
+
+    def cut(clean: Column) -> Column:
+        def around(at: Column) -> Column:
+            begin = F.when(at.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.length(clean), at - 1) - before))
+            return let(begin, lambda b: F.concat(F.substring(clean, b + 1, F.lit(size)), F.when(F.length(clean) > b + size, "...").otherwise("")))
+
+        return let(let(normalized(clean), found), around)
+
+    return let(F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " ")), cut)
 
 
 def file_name(c: Column | str) -> Column:
