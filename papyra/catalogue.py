@@ -13,6 +13,7 @@ from papyra.operators import chunk, evaluate, filing, index, ocr, retrieve, stor
 from papyra.oracle import ORACLE_SQL
 from papyra.plans import question as questions
 from papyra.sources import rendered
+from papyra.sources.tables import spread, table
 
 #: Fixed questions of the retrieval queries: words of the corpus, and words that plans look for.
 QUESTION = "latest license amount of the thing on heer onatth"
@@ -29,13 +30,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as an archive has them: a name, a title, a type, a time."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return docs.select(
         "doc_id", "text", "lang", "source", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("general").alias("doc_type"),
         F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") * 7919) % 1_000_003).alias("updated_at"),
@@ -69,7 +66,7 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalized("text").alias("norm"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalized("text").alias("norm"))
 
 
 @query
@@ -80,12 +77,12 @@ def normalize_digits(spark, sf_dir):
 
 @query
 def token_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.token_count("text").cast("long").alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.token_count("text").cast("long").alias("tokens"))
 
 
 def _readings(spark, sf_dir):
     """Documents, pages as they are, and documents with a part of their letters lost."""
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    docs, pages = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     lost = docs.select((F.col("doc_id") + 1_000_000_000).alias("id"), F.translate("text", "etao", "????").alias("body"))
     return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).union(pages.select((F.col("page_id") + 2_000_000_000).alias("id"), F.col("html").alias("body"))).union(lost)
 
@@ -124,7 +121,7 @@ def content_hash(spark, sf_dir):
 
 @query
 def keyword_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalized("text").alias("norm"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalized("text").alias("norm"))
     return docs.select("doc_id", *(text.has_keyword(F.col("norm"), k).alias(f"hit_{i}") for i, k in enumerate(KEYWORDS)))
 
 
@@ -148,7 +145,7 @@ def lexical_score(spark, sf_dir):
 
 @query
 def snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet("text", text.terms_of(QUESTION)).alias("snippet"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.snippet("text", text.terms_of(QUESTION)).alias("snippet"))
 
 
 # --- chunks, index, retrieval -----------------------------------------------------------
@@ -156,12 +153,12 @@ def snippets(spark, sf_dir):
 
 @query
 def split_blocks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.blocks("text")).alias("block", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunk.blocks("text")).alias("block", "text"))
 
 
 @query
 def chunk_documents(spark, sf_dir):
-    return chunk.chunks(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.col("token_count").cast("long").alias("token_count"))
+    return chunk.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.col("token_count").cast("long").alias("token_count"))
 
 
 @query
@@ -366,7 +363,7 @@ def dedup_exact(spark, sf_dir):
 
 
 def _states(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("sha256", F.sha2("text", 256))
     dup = store.deduplicated(docs.select("doc_id", "sha256")).select("doc_id", "status")
     q = text.quality("text")["label"]
     return docs.join(dup, "doc_id").select("doc_id", F.when(F.col("status") == "duplicate", "duplicate").when(q.isin("empty", "poor"), "needs_ocr").otherwise("indexed").alias("status"), F.when(F.col("doc_id") % 10 != 0, q).alias("ocr_quality"))
@@ -424,7 +421,7 @@ def longest_prefix_join(spark, sf_dir):
 @query
 def engine_select(spark, sf_dir):
     """Readings of three engines of each document, with parts of the letters lost."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     first = docs.select("doc_id", F.lit(0).alias("place"), F.concat(F.lit("tesseract:conf"), (F.col("doc_id") % 90 + 10).cast("string")).alias("engine"), F.when(F.col("doc_id") % 3 == 0, F.translate("text", "etaoin", "??????")).otherwise(F.col("text")).alias("text"))
     second = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("place"), F.lit("ollama").alias("engine"), F.translate("text", "e", "?").alias("text"))
     third = docs.select("doc_id", F.lit(2).alias("place"), F.lit("azure").alias("engine"), F.substring("text", 1, 300).alias("text"))

@@ -99,8 +99,9 @@ def summary(raw: Column | str, kind: Column, lang: Column, date: Column, money:
 def fields(raw: Column | str, kind: Column, name: Column, firm: Column, date: Column, money: Column) -> Column:
     """A struct of all fields, null where the document has none; ``to_json`` of it drops those."""
     digits = text.ascii_digits(raw)
-    pairs = F.zip_with(every(digits, rf"{_PREFIXED}|{_SUFFIXED}", 1), every(digits, rf"{_PREFIXED}|{_SUFFIXED}", 2), lambda a, b: F.when(a != "", a).otherwise(b))
-    amounts = F.when(F.size(pairs) > 0, F.slice(pairs, F.greatest(F.size(pairs) - 7, F.lit(1)), 8))
+    both = rf"{_PREFIXED}|{_SUFFIXED}"
+    pairs = F.zip_with(every(digits, both, 1), every(digits, both, 2), lambda a, b: F.when(a != "", a).otherwise(b))
+    amounts = text.let(pairs, lambda p: F.when(F.size(p) > 0, F.slice(p, F.greatest(F.size(p) - 7, F.lit(1)), 8)))
     total_line = rf"({rules.NUMBER})\s*{rules.CURRENCY}|{rules.CURRENCY}\s*({rules.NUMBER})|({rules.NUMBER})\s*$"
     totals = F.filter(lines(digits), lambda x: x.rlike(_I + _TOTAL) & x.rlike(_I + total_line))
     total = F.try_element_at(totals, F.lit(1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.sources.tables import spread, table
+
 #: One text for each o_orderkey modulo their number; {key}, {company}, {money}, {date}, {due}, {year}, {clerk}.
 TEMPLATES = [
     "{company}\nInvoice No: INV-{key}\nDate: {date}\nDue date: {due}\nItem lines: {lines}\nTotal: USD {money}\nVAT no: 1{key9}\n",
@@ -36,9 +38,9 @@ def _filled(template: str, values: dict):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, name, text, template, mtime) of each order that has a customer."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey").cast("string")
     values = {
