@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, text
-from papyra.operators import chunk, filing, retrieve, store
+from papyra.operators import apply, chunk, evaluate, filing, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
 
@@ -56,8 +58,10 @@ class Archive:
         return status.groupBy("status").agg(F.count("*").alias("n"))
 
     def _index(self, texts: DataFrame) -> None:
-        named = texts.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("doc_id", F.xxhash64("path"))
-        rows = extract.with_metadata(named).withColumns({
+        defaults = store.folder_defaults(texts.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")), self.folders(), "_at").drop("_at")
+        named = defaults.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("doc_id", F.xxhash64("path"))
+        # a folder may say what it holds; what is said of the text itself stays
+        rows = extract.with_metadata(named).withColumn("doc_type", F.coalesce("default_type", "doc_type")).drop("default_type").withColumns({
             "ocr_quality": text.quality("text")["label"], "status": F.when(F.trim("text") == "", "needs_ocr").otherwise("indexed"),
             "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(),
             "norm": text.normalized(F.concat_ws(" ", "text", "title", F.array_join("tags", " "), F.to_json("fields"))),
@@ -113,3 +117,47 @@ class Archive:
 
     def filing_plan(self) -> DataFrame:
         return filing.without_collisions(filing.planned(self.read("documents")))
+
+    def file(self, base: str, mode: str = "copy") -> list[tuple[str, int]]:
+        """Carry out the filing plan below ``base``; (status, number of files)."""
+        return sorted(Counter(status.partition(":")[0] for _, status, _ in apply.carried_out(self.spark, self.filing_plan(), base, mode)).items())
+
+    def highlight(self, document_id: int, question: str) -> DataFrame:
+        """(document_id, page, position, t): the words of a document that a question's terms mark."""
+        rows = self.read("documents").where(F.col("doc_id") == document_id).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("position", "t"))
+        return retrieve.highlighted(rows, question)
+
+    def _settings(self, table: str, schema: str) -> DataFrame:
+        return self.read(table) if self._versions(table) else self.spark.createDataFrame([], schema)
+
+    def folders(self) -> DataFrame:
+        """Watched folders: path, recursive, watch, default_type."""
+        return self._settings("folders", "path string, recursive boolean, watch boolean, default_type string, created_at timestamp")
+
+    def add_folder(self, path: str, recursive: bool = True, watch: bool = False, default_type: str | None = None) -> None:
+        """Add a folder, or change the settings of a known one."""
+        old = self.folders()
+        new = self.spark.createDataFrame([(path, recursive, watch, default_type)], "path string, recursive boolean, watch boolean, default_type string").withColumn("created_at", F.current_timestamp())
+        first = old.select("path", F.col("created_at").alias("_first"))
+        new = new.join(first, "path", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+        self.write("folders", old.join(new.select("path"), "path", "left_anti").unionByName(new))
+
+    def remove_folder(self, path: str) -> None:
+        self.write("folders", self.folders().where(F.col("path") != path))
+
+    def eval_cases(self) -> DataFrame:
+        return self._settings("eval_cases", "id long, question string, expected string, must_cite string")
+
+    def add_eval_case(self, question: str, expected: str = "", must_cite: str = "") -> None:
+        number = (self.eval_cases().agg(F.max("id")).first()[0] or 0) + 1
+        self.write("eval_cases", self.eval_cases().unionByName(self.spark.createDataFrame([(number, question, expected, must_cite)], "id long, question string, expected string, must_cite string")))
+
+    def evaluate(self) -> tuple[DataFrame, DataFrame]:
+        """(each case judged, the score). Cases are a short list that users write; each is answered in turn."""
+        answers, cited = [], []
+        for case in self.eval_cases().toLocalIterator():
+            answer, sources = self.ask(case["question"])
+            answers.append((case["id"], answer))
+            cited += [(case["id"], r["title"]) for r in sources.select("title").collect()]
+        results = evaluate.judged(self.eval_cases(), self.spark.createDataFrame(answers, "id long, answer string"), self.spark.createDataFrame(cited, "id long, cited string"))
+        return results, evaluate.score(results)

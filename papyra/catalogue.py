@@ -434,6 +434,54 @@ def json_props(spark, sf_dir):
     return e.select("event_type", store.parsed("props", "struct<k:bigint>")["k"].alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("known"), F.sum("k").alias("k_sum"))
 
 
+@query
+def new_files(spark, sf_dir):
+    """Documents as found files: the archive knows every third, of those every ninth with another content; the rest are new, or copies of what is known."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.lit(1.0).alias("mtime"))
+    changed = F.when(F.col("doc_id") % 9 == 0, F.lit("old")).otherwise(F.col("sha256"))
+    known = docs.where("doc_id % 3 = 0").select("path", changed.alias("sha256"), "mtime", F.lit("indexed").alias("status"))
+    return store.new_files(docs.select("path", "sha256", "mtime"), known).select("path", "status")
+
+
+@query
+def scan_tally(spark, sf_dir):
+    return new_files(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def legislation_flag(spark, sf_dir):
+    docs = rendered.documents(spark, sf_dir).select("doc_id", "text", text.normalized("text").alias("norm"))
+    return docs.select("doc_id", extract.legislation(F.col("text"), F.col("norm")).alias("legislation"))
+
+
+@query
+def vision_fallback(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("tesseract:conf"), (F.col("doc_id") % 100).cast("string")).alias("engine"))
+    return docs.select("doc_id", ocr.wants_fallback("text", "engine").alias("wants"))
+
+
+@query
+def eval_pass_rate(spark, sf_dir):
+    return evaluate.score(rag_eval(spark, sf_dir)).select("total", "passed", F.round("share", 6).alias("share"))
+
+
+@query
+def engine_labels(spark, sf_dir):
+    """The engines of each source's documents as one sorted list."""
+    docs = table(spark, sf_dir, "documents").select("source", F.element_at(F.array(F.lit("text"), F.lit("ocr"), F.lit("word")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("engine"))
+    return docs.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("engine")), ", ").alias("engines"))
+
+
+@query
+def conversation_length(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+
+
+@query
+def embedding_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
 # --- beside the reference's own operators: labelled extensions ------------------------------
 
 

@@ -375,4 +375,14 @@ ORACLE_SQL = {
     "json_props": "SELECT event_type, count(*) AS n, count(k) AS known, CAST(sum(k) AS BIGINT) AS k_sum FROM (SELECT event_type, CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events) GROUP BY event_type",
     "quality_rollup": f"SELECT lang, quality, count(*) AS n FROM (SELECT lang, {label('text', points('text'))} AS quality FROM documents) GROUP BY ROLLUP (lang, quality)",
     "event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "new_files": """WITH d AS (SELECT doc_id, '/f/' || CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha FROM documents), k AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE doc_id % 3 = 0)
+        SELECT path, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 9 = 0 THEN 'new' ELSE 'unchanged' END
+            WHEN sha IN (SELECT sha FROM k) OR path > min(CASE WHEN doc_id % 3 <> 0 THEN path END) OVER (PARTITION BY sha) THEN 'duplicate' ELSE 'new' END AS status FROM d""",
+    "legislation_flag": f"WITH {_rendered()} SELECT doc_id, {some('n', rules.LEGISLATION)} OR ({times('text', _ARTICLES)} >= 12 AND NOT {some('n', rules.PARTIES)}) AS legislation FROM (SELECT *, {norm('text')} AS n FROM rendered)",
+    "vision_fallback": f"SELECT doc_id, {label('text', points('text'))} IN ('empty', 'poor') OR doc_id % 100 < 65 OR (regexp_matches(text, '[{AR}]') AND {label('text', points('text'))} = 'medium') AS wants FROM documents",
+    "engine_labels": "SELECT source, string_agg(e, ', ' ORDER BY e) AS engines FROM (SELECT DISTINCT source, ['text', 'ocr', 'word'][doc_id % 3 + 1] AS e FROM documents) GROUP BY source",
+    "conversation_length": "SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+    "embedding_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings",
 }
+ORACLE_SQL["scan_tally"] = f"SELECT status, count(*) AS n FROM ({ORACLE_SQL['new_files']}) GROUP BY status"
+ORACLE_SQL["eval_pass_rate"] = f"SELECT count(*) AS total, count(*) FILTER (pass) AS passed, round(avg(CAST(pass AS INTEGER)), 6) AS share FROM ({ORACLE_SQL['rag_eval']})"

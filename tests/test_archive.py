@@ -61,6 +61,12 @@ def test_archive(spark, tmp_path):
     a.correct_text(lease, "Passport of the bearer")
     assert a.read("documents").where(F.col("doc_id") == lease).first()["doc_type"] == "id"
     a.reclassify()
+    assert a.highlight(lease, "bearer").first()["t"] == "bearer"
+    assert a.file(str(tmp_path / "filed")) == [("copied", 5)] and a.file(str(tmp_path / "filed")) == [("already-exists", 5)]
+    a.add_eval_case("invoice total", "120.50", "Invoice")
+    a.add_eval_case("invoice total", "no such answer")
+    results, score = a.evaluate()
+    assert tuple(score.first()) in {(2, 1, 0.5), (2, 0, 0.0)} and results.count() == 2
     a.delete([lease])
     assert a.read("documents").count() == 4 and a.read("chunks").where(F.col("document_id") == lease).count() == 0
     assert a.search("").count() == 4
@@ -83,3 +89,30 @@ def test_backfill(spark, tmp_path):
     spark.range(10).selectExpr("cast(id as string) chunk_id", "concat('text ', id) text").write.parquet(str(tmp_path / "chunks"))
     watch.backfill(spark, str(tmp_path / "chunks"), str(tmp_path / "out"), str(tmp_path / "c"), lambda df: df.withColumn("n", F.length("text"))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_folder_settings(spark, tmp_path):
+    fill(tmp_path / "in")
+    a = Archive(spark, str(tmp_path / "archive"))
+    a.add_folder(str(tmp_path / "in"), default_type="news")
+    a.add_folder(str(tmp_path / "in" / "sub"), watch=True, default_type="legal")
+    a.add_folder(str(tmp_path / "in" / "sub"), default_type="medical")
+    a.add_folder("/gone")
+    a.remove_folder("/gone")
+    assert {r["path"].rpartition("/")[2]: (r["watch"], r["default_type"]) for r in a.folders().collect()} == {"in": (False, "news"), "sub": (False, "medical")}
+    a.ingest(str(tmp_path / "in"))
+    kinds = {r["name"]: r["doc_type"] for r in a.read("documents").collect()}
+    assert kinds["lease.docx"] == "news" and "medical" in (kinds.get("invoice_1.txt"), kinds.get("copy.txt"))
+
+
+def test_moving_and_pruning(spark, tmp_path):
+    from papyra.operators import apply
+
+    (tmp_path / "in" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "er" / "x.txt").write_text("x")
+    rows = [(f"file:{tmp_path}/in/deep/er/x.txt", "a/x.txt", "copy"), (f"{tmp_path}/none", "a/y.txt", "copy"), (f"{tmp_path}/out/a/z", "a/z", "copy"), (f"{tmp_path}/out/b", "c", "copy")]
+    plan = spark.createDataFrame(rows, "path string, target string, action string")
+    done = [s for _, s, _ in apply.carried_out(spark, plan, f"{tmp_path}/out", "move")]
+    assert done[0] == "moved" and done[1].startswith("error") and done[2] == "already-filed"
+    assert [s for _, s, _ in apply.carried_out(spark, plan, f"{tmp_path}/out", "auto")][3] == "inside-archive"
+    assert apply.Files(spark, str(tmp_path)).prune(f"{tmp_path}/in") == 2
