@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyra import importable
 from papyra.functions import text
 
 #: The order in which other engines are tried after the first.
@@ -60,5 +61,6 @@ def with_engine(images: DataFrame, engine: Callable[[bytes], tuple[str, str]], c
                     out.append(("", f"error:{type(error).__name__}"))
             yield batch.assign(text=[t for t, _ in out], engine=[e for _, e in out])
 
+    importable(images.sparkSession)
     own = ", ".join(f"`{n}` {t}" for n, t in images.dtypes if n not in ("text", "engine"))
     return images.drop("text", "engine").mapInPandas(run, f"{own}, text string, engine string")

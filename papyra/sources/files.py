@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra import importable
 from papyra.functions import rules
 
 SUFFIXES = {x: kind for kind, xs in rules.EXTENSIONS.items() for x in xs}
@@ -122,6 +123,7 @@ READERS: dict[str, Callable[[bytes], list[str]]] = {"text": text_pages, "rtf": l
 
 def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
     """(path, page, text, engine) of the files of :func:`scan`: a row for each page. A file that can't be read gives one empty page with the error's name as engine."""
+    importable(files.sparkSession)
     known = READERS | (readers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
