@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra import importable
+
 #: Text bytes that one numpy pass works on; a longer single text is taken alone.
 SLICE_BYTES = 2 << 20
 #: Bytes of one Arrow batch between the JVM and a Python worker.
@@ -95,6 +97,7 @@ def sized_broadcast(rows: DataFrame, most: int) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to a few MB, so that a worker's memory doesn't follow the length of the texts."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
