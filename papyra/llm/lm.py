@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, fold, grouped, slices, text_bytes, written
 
 #: Text bytes of a group, and of the text that a bucket of n-gram hashes stands for on average.
-GROUP_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Folds: scored only, held out for the mixture weights; counts come from the others, and from the latter at the end.
 FOLDS, SCORED, TUNED = 5, 1, 2
 #: Context classes (powers of 2 of the context's count), steps of the histogram for each factor of 2, rounds of the EM.
