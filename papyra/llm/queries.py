@@ -73,6 +73,40 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
     """,
+    "op4_near_vectors": f"""
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ),
+        good AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+        pair AS (SELECT a.r AS ra, b.r AS rb, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.r < b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {near_vectors.THRESHOLD}),
+        link AS (SELECT ra AS r, a AS x, b AS y FROM pair UNION ALL SELECT rb, b, a FROM pair),
+        reach AS (SELECT vec_id AS node, vec_id AS root FROM good UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.node),
+        name AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+        sums AS (SELECT r, count(*) AS n FROM link GROUP BY r)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+        FROM v LEFT JOIN sums USING (r) LEFT JOIN name ON name.node = vec_id
+    """,
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        gram AS (
+            SELECT DISTINCT r, g FROM (
+                SELECT r, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(range(1, len(w) - {jaccard.WORDS} + 2), lambda i: array_to_string(w[i:i + {jaccard.WORDS} - 1], ' ')) END) AS g
+                FROM doc)
+        ),
+        size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+        shared AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+        pair AS (
+            SELECT da.doc_id AS x, db.doc_id AS y
+            FROM shared JOIN size sa ON sa.r = ra JOIN size sb ON sb.r = rb JOIN doc da ON da.r = ra JOIN doc db ON db.r = rb
+            WHERE {jaccard.DENOMINATOR} * c >= {jaccard.NUMERATOR} * (sa.n + sb.n - c)
+        ),
+        link AS (SELECT x, y FROM pair UNION SELECT y, x FROM pair),
+        reach AS (SELECT x AS node, x AS root FROM link UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.node),
+        name AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id
+        FROM doc LEFT JOIN size USING (r) LEFT JOIN name ON name.node = doc_id
+    """,
     "op8_mix_sources": f"""
         WITH RECURSIVE unit AS (
             SELECT doc_id, source, coalesce(source, '') AS name, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS units,
