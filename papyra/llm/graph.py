@@ -24,15 +24,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node is linked to the smallest of its neighbours and itself
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # written, so that both sides of the join are plain shuffles and a hub's edges can be split among tasks
+        nearest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "nearest")
+        large = both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
         # small star: a node's smaller neighbours and itself are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         small = written(small, "small")
         changed = small.exceptAll(pairs).limit(1).count() or pairs.exceptAll(small).limit(1).count()
-        drop_written(large, pairs)
+        drop_written(nearest, large, pairs)
         pairs = small
         if not changed:
             break
