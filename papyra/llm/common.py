@@ -107,6 +107,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts))
 
 
+def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``3 * most`` of ``rows`` by a hash of ``key``, all of them if there are fewer: what a first ``most`` in the order of that hash is picked from.
+
+    Without it, every task would send ``most`` rows to the driver.
+    """
+    share = min(1.0, 3 * most / max(1, rows.count()))
+    return rows if share == 1 else rows.where(F.xxhash64(key) < int((2 * share - 1) * 2**63))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

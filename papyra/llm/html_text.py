@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, slices
+from papyra.llm.common import bounded_batches, by_hash, slices
 
 #: Slots of the hashed path tokens and words, numbers for each, other numbers of a block, hidden numbers of each direction.
 PATH_SLOTS, WORD_SLOTS, DEPTH, EXTRA, HIDDEN = 1024, 2048, 16, 8, 16
@@ -374,7 +374,8 @@ def varied(page: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[l
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = TRAIN_PAGES) -> Labeller:
     """A labeller fitted on ``most`` pages in the order of a hash of the id (``TRAIN_CHARS`` characters each at most), labelled by their own element names, and on the same blocks in other layouts."""
-    some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).where(F.length("h").between(1, TRAIN_CHARS)).withColumn("o", F.xxhash64("i"))
+    some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).where(F.length("h").between(1, TRAIN_CHARS))
+    some = by_hash(some, "i", most).withColumn("o", F.xxhash64("i"))
     found = some.orderBy("o", "i", "h").limit(most).collect()
     rng, data, labels = random.Random(0), [], []
     for r in found:

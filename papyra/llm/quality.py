@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, fold, slices, text_bytes
+from papyra.llm.common import bounded_batches, by_hash, fold, slices, text_bytes
 
 #: Bytes of a chunk, and from one chunk to the next.
 CHUNK, STEP = 512, 448
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", traina
     """
     trainable = F.lit(True) if trainable is None else trainable
     known = labels.where(F.col(label_col).isin(0, 1) & trainable).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
-    chosen = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(2 * rows)
+    chosen = by_hash(known, "doc_id", 2 * rows).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(2 * rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, chars))
     found = chosen.select("_h", "doc_id", "y", "text").orderBy("_h", "doc_id", "text").limit(rows).collect()
     if len({r.y for r in found}) < 2:
