@@ -41,7 +41,7 @@ def _bits(token: bytes) -> float:
 
 def _opaque(token: bytes) -> bool:
     """Digits and letters of both cases, with little repetition; letters alone or a path are not."""
-    return bool(_MARKS.search(token)) and token.lower() != token and token.upper() != token and b"/" not in token[:-1].strip(b"=")[:8] and _bits(token) >= OPAQUE_BITS
+    return bool(_MARKS.search(token)) and token.lower() != token and token.upper() != token and token.count(b"/") < 3 and _bits(token) >= OPAQUE_BITS
 
 
 def byte_spans(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
@@ -153,14 +153,13 @@ def redact(docs: DataFrame, text_col: str = "text", live_mark: str = "<SECRET>",
     Documents without spans stay as they are, null texts included.
     """
     out = judged(docs, text_col=text_col, keep=tuple(docs.columns), **options)
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("open"), F.lit("").alias("text"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["begin"] < acc["at"]
         mark = F.when(s["live"], F.lit(live_mark)).otherwise(F.lit(example_mark))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.lit(False).alias("open"),
             F.when(inside, acc["text"]).otherwise(F.concat(acc["text"], F.substring(F.col(text_col), acc["at"] + 1, s["begin"] - acc["at"]), mark)).alias("text"),
         )
 
