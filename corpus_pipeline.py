@@ -19,8 +19,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by the n-gram Jaccard join, the document of the smallest id stays."""
-    return jaccard.one_of_each(docs)
+    """Of each group linked by the n-gram Jaccard join at five words and 0.8, the document of the smallest id stays."""
+    return jaccard.one_of_each(docs, words=5, numerator=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
