@@ -23,6 +23,9 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _OPAQUE = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
 _MARKS = re.compile(rb"[0-9]")
+#: What the segments of a path are made of: words in one case, capitalised or in camel case, numbers after them.
+_NAME = rb"(?:[A-Z]*|[A-Z]?[a-z]*(?:[A-Z][a-z]{2,})*)[0-9]*"
+_PATH = re.compile(rb"(?:" + _NAME + rb"[/_-])*" + _NAME)
 
 #: An opaque token is a candidate from so many bits a character; it becomes a span if one owner alone uses it.
 OPAQUE_BITS = 3.5
@@ -40,8 +43,10 @@ def _bits(token: bytes) -> float:
 
 
 def _opaque(token: bytes) -> bool:
-    """Digits and letters of both cases, with little repetition; letters alone or a path are not."""
-    return bool(_MARKS.search(token)) and token.lower() != token and token.upper() != token and token.count(b"/") < 3 and _bits(token) >= OPAQUE_BITS
+    """Digits and letters of both cases, with little repetition; letters alone or a path, whose segments are all names, are not."""
+    if not (_MARKS.search(token) and token.lower() != token and token.upper() != token and _bits(token) >= OPAQUE_BITS):
+        return False
+    return token.count(b"/") < 3 or not _PATH.fullmatch(token)
 
 
 def byte_spans(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:

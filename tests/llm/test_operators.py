@@ -80,6 +80,18 @@ def test_ownership_separates_copied_from_own(spark):
     assert out[10]["spans"] == "opaque:0:24" and out[11]["spans"] == "" and out[12]["spans"] == ""
 
 
+def test_keys_with_slashes_are_candidates_and_paths_are_not(spark):
+    key, rng = "wJ4rXU/tnF3MI/K7MDENG/bPxRf1CYz9kLqT0aVe", random.Random(21)
+    paths = ["path/of/words/that/is/long/enough/A1", "/usr/local/lib/Python3/site-packages", "src/main/java/org/acme/UserServiceImpl2", "Docs/2024/Reports/annual_summary-v2"]
+    rows = [(0, f"key {key} end", "a"), *((k + 1, p, "a") for k, p in enumerate(paths))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert got(secret_scan.digest(df), "doc_id", "spans") == [(0, "opaque:4:44"), *((k + 1, "") for k in range(len(paths)))]
+    assert dict(got(secret_scan.redact(df), "doc_id", "text"))[0] == "key <SECRET> end"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [k for k in ("".join(rng.choice(letters) for _ in range(88)) for _ in range(3000)) if k.count("/") >= 3]
+    assert len(keys) > 300 and all(secret_scan._opaque(k.encode()) for k in keys)
+
+
 def test_redaction(spark):
     own = spark.createDataFrame([(1, "é token=abcdefgh end", "a"), (2, "clean", "b"), (3, None, "c"), (4, "token=deadbeefdeadbeefdeadbeef!", "d")], "doc_id long, text string, source string")
     out = dict(got(secret_scan.redact(own), "doc_id", "text"))
