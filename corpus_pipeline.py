@@ -35,8 +35,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its place in the mixture of sources; the training order is (slot, start)."""
-    return mixing.in_order(docs)
+    """Every document with its place in the mixture of sources, by exact weights; the training order is (slot, start)."""
+    return mixing.in_order(docs, parts=None)
 
 
 STAGES = [

@@ -6,16 +6,23 @@ blocks of the mixture; at each time the released block of the earliest deadline
 is next. So after any number of blocks each source is less than one block from
 its target.
 
-Weights are fractions of a fixed number of parts. Their schedule repeats after
-so many blocks, hence it is a small table that doesn't grow with the data: the
-rest is arithmetic and joins on DataFrames.
+By default weights are fractions of a fixed number of parts. Their schedule
+repeats after so many blocks, hence it is a small table that doesn't grow with
+the data: the rest is arithmetic and joins on DataFrames. The targets are those
+of the rounded weights then, and drift from the weights given by up to one
+part a block. Without parts (``parts=None``) weights are taken as they are, as
+rationals; this schedule has a row for each block.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import heapq
+import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +38,8 @@ BLOCK_UNITS = 65_536
 TEMPERATURE = 0.5
 #: Sources that a mixture can have: its weights and schedules are held by the driver.
 MOST_SOURCES = 500
+#: Blocks of a schedule that the driver holds at once as it writes that table.
+SCHEDULE_ROWS = 50_000
 #: Rows, on average, in each part of a source that is sorted in one task.
 PART_ROWS = 2000
 
@@ -53,6 +62,13 @@ def apportioned(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, i
     return out
 
 
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportions of the weights."""
+    own = {k: Fraction(w) for k, w in weights.items() if w and w > 0 and math.isfinite(w)}
+    whole = math.lcm(*(w.denominator for w in own.values()))
+    return {k: int(w * whole) for k, w in own.items()}
+
+
 def schedule(parts: Mapping[str, int], length: int | None = None) -> list[tuple[int, str, int, int, int]]:
     """(time, source, block, release, deadline) of the first ``length`` blocks, one period by default; deadlines tie in the order of names."""
     total = sum(parts.values())
@@ -106,6 +122,52 @@ def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> tuple[list[tu
     return runs, slots
 
 
+def every_block(blocks: Mapping[str, int], parts: Mapping[str, int]) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """(phase, source, block, slot, release, deadline) of all blocks in their order; phases are those of :func:`phases`.
+
+    Sources of the same parts wait in one line in the order of names, and lines
+    are opened by their deadlines, so a phase costs what it schedules and not
+    all sources that are left.
+    """
+    left, had, slot, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, 0
+    lines: dict[int, list[str]] = {}
+    for k in sorted(left):
+        lines.setdefault(parts[k], []).append(k)
+    sizes, total = sorted(lines, reverse=True), sum(parts[k] for k in left)
+    while left:
+        ready: list[tuple[int, str, int, int]] = []
+        coming: list[tuple[int, str, int]] = []
+        took: dict[str, int] = {}
+        opened, t, over = 0, 0, None
+        while over is None:
+            while coming and coming[0][0] <= t:
+                _, k, i = heapq.heappop(coming)
+                heapq.heappush(ready, (-(-i * total // parts[k]), k, i, -1))
+            while opened < len(sizes) and (not ready or -(-total // sizes[opened]) <= ready[0][0]):
+                heapq.heappush(ready, (-(-total // sizes[opened]), lines[sizes[opened]][0], 1, 0))
+                opened += 1
+            deadline, k, i, place = heapq.heappop(ready)
+            p = parts[k]
+            if 0 <= place < len(lines[p]) - 1:
+                heapq.heappush(ready, (deadline, lines[p][place + 1], 1, place + 1))
+            yield phase, k, had[k] + i, slot + t, (i - 1) * total // p, deadline
+            took[k], t = i, t + 1
+            if i == left[k]:
+                over = k
+            else:
+                heapq.heappush(coming, (i * total // p, k, i + 1))
+        for k, i in took.items():
+            had[k] += i
+            left[k] -= i
+        del left[over]
+        line = lines[parts[over]]
+        del line[bisect.bisect_left(line, over)]
+        if not line:
+            sizes.remove(parts[over])
+        total -= parts[over]
+        slot, phase = slot + t, phase + 1
+
+
 def _units(text_col: str) -> Column:
     return F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
 
@@ -141,7 +203,19 @@ def streams(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_
     return out
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", parts: int = PARTS, block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE) -> DataFrame:
+def _all_slots(rows: DataFrame, first: Mapping[str, int], own: Mapping[str, int], rest: Mapping[str, int]) -> DataFrame:
+    """``rows`` of :func:`streams` with the phase, slot, release and deadline of their blocks, by a table of all blocks that the driver writes bit by bit."""
+    spark, begin, k = rows.sparkSession, sum(first.values()), len(first)
+    more = ((p + k, name, b, s + begin, r, d) for p, name, b, s, r, d in every_block(rest, dict.fromkeys(rest, 1)))
+    made, pieces = itertools.chain(every_block(first, own), more), []
+    kind = "phase int, name string, block long, slot long, release long, deadline long"
+    while piece := list(itertools.islice(made, SCHEDULE_ROWS)):
+        pieces.append(written(literal(spark, piece, kind), "schedule"))
+    slots = functools.reduce(DataFrame.union, pieces) if pieces else literal(spark, [], kind)
+    return rows.join(slots, ["name", "block"])
+
+
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", parts: int | None = PARTS, block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE) -> DataFrame:
     """Each document once, with its place in the mixture.
 
     Columns: id, source, units, block, phase, slot (the time of the block),
@@ -152,8 +226,9 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     ``weights`` are target shares of units; by default a source's share of all
     units to the power ``temperature``. A null source is a source of its own,
     with its weight under the name ''. While all sources of a phase have
-    blocks, each is less than one block from its target at any time; when one
-    runs out, the others go on by their weights. Sources without a weight
+    blocks, each is less than one block from its target at any time, the
+    target of its weight in ``parts``, or of the very weight if ``parts`` is
+    None; when one runs out, the others go on by their weights. Sources without a weight
     above 0 come after all others, in one phase, by equal weights. Null and
     empty texts count one unit; repeated rows are rows of their own; an
     empty table gives an empty result.
@@ -168,7 +243,11 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
         weights = {r["name"]: round((r["units"] / total) ** temperature, 12) for r in sums}
     first = {r["name"]: r["blocks"] for r in sums if (weights.get(r["name"]) or 0) > 0}
     rest = {r["name"]: r["blocks"] for r in sums if r["name"] not in first}
-    runs, slots = phases(first, apportioned({k: weights[k] for k in first}, parts))
+    own = {k: weights[k] for k in first}
+    own = exact(own) if parts is None else apportioned(own, parts)
+    if parts is None:
+        return _all_slots(rows, first, own, rest).select("id", "source", "units", "block", "phase", "slot", "release", "deadline", "start", "row")
+    runs, slots = phases(first, own)
     if rest:
         more_runs, more_slots = phases(rest, dict.fromkeys(rest, 1))
         begin, k = sum(first.values()), len(runs)

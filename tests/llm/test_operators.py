@@ -420,6 +420,44 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.digest(empty).count() == 0
 
 
+def test_exact_weights_do_not_drift():
+    """A third and 19 equal sources: by rounded parts the first one is blocks off in the end."""
+    weights = {"a": 1 / 3, **{f"s{i:02}": 2 / 57 for i in range(19)}, "rare": 0.0001}
+    total, had, turns = sum(weights.values()), Counter(), 0
+    for phase, k, block, slot, release, deadline in mixing.every_block({k: math.ceil(12_000 * w) for k, w in weights.items()}, mixing.exact(weights)):
+        had[k] += 1
+        assert slot == turns and had[k] == block
+        turns += 1
+        if phase == 0:
+            assert release <= slot < deadline
+            assert all(abs(had[j] - turns * w / total) < 1 + 1e-6 for j, w in weights.items())
+    assert turns > 11_000
+
+
+def test_all_blocks_are_those_of_the_phases():
+    rng = random.Random(13)
+    for _ in range(60):
+        blocks = {f"s{i}": rng.randint(1, rng.choice([2, 40])) for i in range(rng.randint(1, 10))}
+        parts = mixing.apportioned({k: rng.choice([0.1, 0.5, rng.random() + 0.01]) for k in blocks}, 50)
+        runs, slots = mixing.phases(blocks, parts)
+        first = {p: (f, n) for p, f, n in runs}
+        expected = [
+            (p, k, i, first[p][0] + (i - had - 1) // own * first[p][1] + place, (i - had - 1) * first[p][1] // own, -(-(i - had) * first[p][1] // own))
+            for p, k, had, place, turn, own, end in slots for i in range(had + turn + 1, end + 1, own)
+        ]
+        assert list(mixing.every_block(blocks, parts)) == sorted(expected, key=lambda x: x[3])
+
+
+def test_mixing_by_exact_weights(spark):
+    rows = [(i, "x" * (1 + i % 90), f"s{i % 5}" if i % 7 else None) for i in range(300)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ("doc_id", "source", "units", "block", "phase", "slot", "release", "deadline", "start")
+    weights = {f"s{i}": 0.125 for i in range(4)} | {"": 0.5}
+    # weights that are whole parts: the same schedule both ways; s4 has no weight and comes last
+    assert got(mixing.digest(few, block_units=50, weights=weights, parts=None), *columns) == got(mixing.digest(few, block_units=50, weights=weights), *columns)
+    assert mixing.digest(few.limit(0), parts=None).count() == 0
+
+
 # --- 9 language model ---------------------------------------------------------------------
 
 
