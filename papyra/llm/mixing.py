@@ -11,7 +11,7 @@ repeats after so many blocks, hence it is a small table that doesn't grow with
 the data: the rest is arithmetic and joins on DataFrames. The targets are those
 of the rounded weights then, and drift from the weights given by up to one
 part a block. Without parts (``parts=None``) weights are taken as they are, as
-rationals; this schedule has a row for each block.
+rationals; this schedule, and one of many sources, has a row for each block.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ PARTS = 1000
 BLOCK_UNITS = 65_536
 #: The weight of a source is its share of all units to this power, if weights aren't given.
 TEMPERATURE = 0.5
-#: Sources that a mixture can have: its weights and schedules are held by the driver.
+#: Sources whose schedules are held by the driver; with more, the schedule is a table of all blocks.
 MOST_SOURCES = 500
 #: Blocks of a schedule that the driver holds at once as it writes that table.
 SCHEDULE_ROWS = 50_000
@@ -235,9 +235,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     """
     spark = docs.sparkSession
     rows = streams(docs, id_col, source_col, text_col, block_units).withColumn("name", F.coalesce("source", F.lit("")))
-    sums = rows.groupBy("name").agg(F.sum("units").alias("units"), F.max("block").alias("blocks")).orderBy("name").limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first, as weights and schedules are held by the driver")
+    sums = rows.groupBy("name").agg(F.sum("units").alias("units"), F.max("block").alias("blocks")).orderBy("name").collect()
     total = sum(r["units"] for r in sums) or 1
     if weights is None:
         weights = {r["name"]: round((r["units"] / total) ** temperature, 12) for r in sums}
@@ -245,7 +243,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     rest = {r["name"]: r["blocks"] for r in sums if r["name"] not in first}
     own = {k: weights[k] for k in first}
     own = exact(own) if parts is None else apportioned(own, parts)
-    if parts is None:
+    if parts is None or len(sums) > MOST_SOURCES:
         return _all_slots(rows, first, own, rest).select("id", "source", "units", "block", "phase", "slot", "release", "deadline", "start", "row")
     runs, slots = phases(first, own)
     if rest:

@@ -448,6 +448,15 @@ def test_all_blocks_are_those_of_the_phases():
         assert list(mixing.every_block(blocks, parts)) == sorted(expected, key=lambda x: x[3])
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SCHEDULE_ROWS", 300)
+    rows = [(i, "x" * (1 + i % 90), f"s{i % 600}" if i % 7 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.digest(df, block_units=50).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(1500))
+    assert len({(r["slot"], r["source"], r["block"]) for r in out}) == len({r["slot"] for r in out})
+
+
 def test_mixing_by_exact_weights(spark):
     rows = [(i, "x" * (1 + i % 90), f"s{i % 5}" if i % 7 else None) for i in range(300)]
     few = spark.createDataFrame(rows, "doc_id long, text string, source string")
