@@ -22,14 +22,17 @@ PATH_SLOTS, WORD_SLOTS, DEPTH, EXTRA, HIDDEN = 1024, 2048, 16, 8, 16
 TRAIN_PAGES, TRAIN_BLOCKS, TRAIN_CHARS = 240, 80, 60_000
 
 # Element names of the HTML standard.
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "select", "option", "button", "canvas", "audio", "video"}
+_RAW = {"script", "style", "title", "textarea", "iframe"}
+#: Elements within a paragraph whose text is a block of its own.
+_APART = {"noscript", "template", "object", "svg", "select", "optgroup", "option", "datalist", "button", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "mspace", "menclose", "merror", "maction", "semantics", "annotation"}
+_ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "select": {"select"}}
 _HOLDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "aside", "nav", "header", "footer", "blockquote", "form"}
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.I | re.A) for name in _RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -51,10 +54,11 @@ def _tokens(name: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in its order; comments, scripts, styles, form controls and markup are no part of any.
+    """The blocks of a page in its order; comments, scripts, styles, titles, text fields, frames and markup are no part of any.
 
     White space within a block, character references decoded, is one space. Inline
-    elements and line breaks do not end a block. Broken markup is read as
+    elements, formulas and line breaks do not end a block; buttons, lists of options,
+    and what stands for embedded media or scripts are blocks of their own. Broken markup is read as
     browsers do: an unclosed paragraph or item ends with the next, a cut-off
     tag is dropped.
     """
@@ -62,7 +66,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = at = links = 0
-    low = None
 
     def flush() -> None:
         nonlocal linked
@@ -125,13 +128,10 @@ def blocks(page: str) -> list[Block]:
                 links = sum(x == "a" for x, _ in stack)
             continue
         if name in _RAW:
-            if name not in ("noscript",):
-                parts.append(" ")
+            parts.append(" ")
             if not attributes.rstrip().endswith("/"):
-                if low is None:
-                    low = page.lower()
-                end = low.find("</" + name, at)
-                close = page.find(">", end) if end >= 0 else -1
+                end = _RAW_END[name].search(page, at)
+                close = page.find(">", end.end()) if end else -1
                 at = n if close < 0 else close + 1
             continue
         if name in _INLINE:
@@ -139,12 +139,12 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
         else:
             flush()
-            ends = _ENDS_ITSELF.get(name) or ({"p"} if name not in _VOID else set())
+            ends = _ENDS_ITSELF.get(name) or ({"p"} if name not in _VOID and name not in _APART else set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
                     del stack[i:]
                     break
-                if stack[i][0] in _HOLDS:
+                if stack[i][0] in _HOLDS or stack[i][0] in _APART:
                     break
             links = sum(x == "a" for x, _ in stack)
         if name not in _VOID and not (attributes.endswith("/") and name not in _HOLDS):
@@ -323,7 +323,7 @@ class Labeller:
 # --- training -------------------------------------------------------------------------
 
 #: Tokens of a path by which pages say themselves what a block is: fixed values, for labelling the training pages only.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"} | {
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "head", "button", "select", "datalist", "template"} | {
     f".{x}" for x in "ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments consent contentinfo cookie cookies copyright dialog disqus discussion footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification notifications pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget".split()
 }
 MAIN = {"article", "main", ".article", ".content", ".entry", ".post", ".main", ".story", ".body"}

@@ -298,6 +298,20 @@ def test_blocks_of_broken_markup():
     assert own("<div>a<span>b</div>c</span>") == ["ab", "c"]
 
 
+def test_only_raw_text_is_skipped():
+    own = lambda p: [b.text for b in html_text.blocks(p)]
+    assert own("<p>a<datalist><option value=x></datalist><p>b") == ["a", "b"]
+    assert own("<p>a <select><option>one<option>two</select> b</p>c") == ["a", "one", "two", "b", "c"]
+    assert own("<article><button>Go<p>kept</p><object><p>kept too</article><canvas><p>and this") == ["Go", "kept", "kept too", "and this"]
+    assert own("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == ["let x=2 hold"]
+    assert own("<p>a<noscript>no script</noscript>b") == ["a", "no script", "b"]
+    page = html_text.blocks("<p>a <svg><g><path d='M0'/></g></svg> b</p>")
+    assert [b.text for b in page] == ["a", "b"] and all("p" in b.path for b in page)
+    # a letter whose lower case is longer
+    assert own("<p>" + "\u0130" * 30 + "<SCRIPT>x</Script>after<p>last") == ["\u0130" * 30 + " after", "last"]
+    assert own("<p>a<script>'</scripts>'</script>b") == ["a b"]
+
+
 def test_lstm_gradients():
     rng = random.Random(7)
     page = [html_text.Block(prose(rng, 4), ("html", "body", rng.choice(["p", "nav"])), 0) for _ in range(5)]
