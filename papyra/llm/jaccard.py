@@ -349,8 +349,20 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     return sets.join(groups, "node", "left").select(F.col("node").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the smallest; rows of a null id and documents without words stay."""
-    _, groups = linked(docs, id_col=id_col, **options)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the one whose id is the smallest; rows of a null id and documents without words stay.
+
+    Repeated rows of the same id and text are one document, of which one row
+    stays. Different texts of one id are one node: they stay or go together.
+    """
+    _, groups = linked(docs, id_col=id_col, text_col=text_col, **options)
     gone = groups.where("node <> component").select(F.col("node").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    held = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = written(docs.where(held).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    # only the few rows of repeated ids meet by their texts
+    marked = kept.join(sized_broadcast(again, MOST_BROADCAST), F.col(id_col) == F.col("_again"), "left")
+    once = marked.where(held & F.col("_again").isNotNull()).dropDuplicates([id_col, text_col])
+    return marked.where(~held | F.col("_again").isNull()).union(once).drop("_again")

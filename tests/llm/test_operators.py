@@ -346,6 +346,15 @@ def test_jaccard_matches_brute_force(docs, rows, empty):
     assert got(kept, "doc_id") == sorted(expected, key=repr)
 
 
+def test_repeated_rows_are_one_document(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words), (1, words), (1, "another text of it"), (2, words), (2, words), (3, "alone"), (3, "alone"), (4, None), (4, None), (5, " "), (5, " "), (None, "x"), (None, "x")]
+    df = table(spark, rows)
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    assert got(out, "doc_id", "text") == sorted([(1, words), (1, "another text of it"), (3, "alone"), *rows[7:]], key=repr)
+
+
 def test_jaccard_at_the_limit_and_in_chains(spark, monkeypatch):
     """Chains of texts whose neighbours alone are close, groups around several limits, small blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
