@@ -6,12 +6,16 @@ blocks of the mixture; at each time the released block of the earliest deadline
 is next. So after any number of blocks each source is less than one block from
 its target.
 
-By default weights are fractions of a fixed number of parts. Their schedule
-repeats after so many blocks, hence it is a small table that doesn't grow with
-the data: the rest is arithmetic and joins on DataFrames. The targets are those
-of the rounded weights then, and drift from the weights given by up to one
-part a block. Without parts (``parts=None``) weights are taken as they are, as
-rationals; this schedule, and one of many sources, has a row for each block.
+Weights are taken as they are, as rationals, and releases and deadlines are
+whole-number arithmetic on them, so nothing drifts however long the mixture is.
+The schedule is a table of a row for each block, made with a heap of a row for
+each source and written bit by bit; blocks grow with the corpus beyond
+``MOST_BLOCKS`` of them, so its length is bounded. All else is sums and joins on
+DataFrames.
+
+A caller that can do with rounded weights may ask for a number of ``parts``:
+the schedule repeats after so many blocks then, and is a smaller table. Its
+targets drift from the weights given by up to one part a block.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import drop_written, literal, written
+from papyra.llm.common import drop_written, literal, quoted, spare, written
 
-#: Parts that weights are fractions of.
+#: Parts that weights are fractions of where a caller asks for rounded ones.
 PARTS = 1000
-#: Units (characters) of a block.
-BLOCK_UNITS = 65_536
+#: Units (characters) of a block at least, and blocks of the whole mixture at most: larger corpora have larger blocks.
+BLOCK_UNITS, MOST_BLOCKS = 65_536, 4_000_000
+#: Default weights are whole numbers of 1 / SCALE.
+SCALE = 10**12
 #: The weight of a source is its share of all units to this power, if weights aren't given.
 TEMPERATURE = 0.5
 #: Sources whose schedules are held by the driver; with more, the schedule is a table of all blocks.
@@ -62,7 +68,7 @@ def apportioned(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, i
     return out
 
 
-def exact(weights: Mapping[str, float]) -> dict[str, int]:
+def exact(weights: Mapping[str, float | int | Fraction]) -> dict[str, int]:
     """Whole numbers in the very proportions of the weights."""
     own = {k: Fraction(w) for k, w in weights.items() if w and w > 0 and math.isfinite(w)}
     whole = math.lcm(*(w.denominator for w in own.values()))
@@ -168,23 +174,26 @@ def every_block(blocks: Mapping[str, int], parts: Mapping[str, int]) -> Iterator
         slot, phase = slot + t, phase + 1
 
 
-def _units(text_col: str) -> Column:
-    return F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
+def _units(text: Column) -> Column:
+    return F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)).cast("long")
 
 
-def streams(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_units: int) -> DataFrame:
+def streams(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_units: int, row: Column | None = None) -> DataFrame:
     """id, source, units, start (units of the source's stream before the document) and block (from 1, that of its first unit).
 
+    A block has ``block_units`` units, or so many more that ``MOST_BLOCKS`` hold the corpus.
+
     The stream of a source is in the order of a hash of the id. It is cut into
     parts by that hash, about ``PART_ROWS`` rows each whatever the size of the
     source, so that no task sorts a whole source; the sums of the parts
     before are added from a table of a row for each part.
     """
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _units(text_col).alias("units"), row.alias("row"))
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), _units(quoted(text_col)).alias("units"), row.alias("row"))
     rows = rows.withColumn("hash", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"))
     rows = rows_table = written(rows, "units")
-    count = rows.count()
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("units"), F.lit(0))).first()
+    block_units = max(block_units, -(-total // MOST_BLOCKS))
     cuts = max(1, -(-count // PART_ROWS))
     rows = rows.withColumn("part", F.floor(F.col("hash").cast("double") / 2.0**60 * cuts).cast("long"))
     parts = rows.groupBy("source", "part").agg(F.sum("units").alias("sum"))
@@ -210,12 +219,13 @@ def _all_slots(rows: DataFrame, first: Mapping[str, int], own: Mapping[str, int]
     made, pieces = itertools.chain(every_block(first, own), more), []
     kind = "phase int, name string, block long, slot long, release long, deadline long"
     while piece := list(itertools.islice(made, SCHEDULE_ROWS)):
+        # releases and deadlines are whole blocks, however long the numbers of the weights are
         pieces.append(written(literal(spark, piece, kind), "schedule"))
     slots = functools.reduce(DataFrame.union, pieces) if pieces else literal(spark, [], kind)
     return rows.join(slots, ["name", "block"])
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", parts: int | None = PARTS, block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", parts: int | None = None, block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE, row: Column | None = None) -> DataFrame:
     """Each document once, with its place in the mixture.
 
     Columns: id, source, units, block, phase, slot (the time of the block),
@@ -225,20 +235,22 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
 
     ``weights`` are target shares of units; by default a source's share of all
     units to the power ``temperature``. A null source is a source of its own,
-    with its weight under the name ''. While all sources of a phase have
-    blocks, each is less than one block from its target at any time, the
-    target of its weight in ``parts``, or of the very weight if ``parts`` is
-    None; when one runs out, the others go on by their weights. Sources without a weight
-    above 0 come after all others, in one phase, by equal weights. Null and
-    empty texts count one unit; repeated rows are rows of their own; an
-    empty table gives an empty result.
+    with its weight under the name '', as is an empty one. While all sources of a phase have
+    blocks, each is less than one block from the target of its weight at any
+    time; when one runs out, the others go on by their weights. With ``parts``
+    that holds for the weights rounded to so many parts. Sources without a weight
+    above 0 come after all others, by equal weights. A document is served with
+    the block it begins in, so delivered units are within one block and the
+    longest document of a source's target. Null and
+    empty texts count one unit; ids tie by row; repeated rows are rows of their own; a
+    text may be longer than a block; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = streams(docs, id_col, source_col, text_col, block_units).withColumn("name", F.coalesce("source", F.lit("")))
+    rows = streams(docs, id_col, source_col, text_col, block_units, row).withColumn("name", F.coalesce("source", F.lit("")))
     sums = rows.groupBy("name").agg(F.sum("units").alias("units"), F.max("block").alias("blocks")).orderBy("name").collect()
     total = sum(r["units"] for r in sums) or 1
     if weights is None:
-        weights = {r["name"]: round((r["units"] / total) ** temperature, 12) for r in sums}
+        weights = {r["name"]: max(1, round((r["units"] / total) ** temperature * SCALE)) for r in sums}
     first = {r["name"]: r["blocks"] for r in sums if (weights.get(r["name"]) or 0) > 0}
     rest = {r["name"]: r["blocks"] for r in sums if r["name"] not in first}
     own = {k: weights[k] for k in first}
@@ -277,9 +289,10 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     agree; ordering the result by (slot, start) gives the training order.
     """
     names = ["phase", "slot", "release", "deadline", "block", "units", "start"]
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed-rows")
-    placed = mixed(rows, **options).select(F.col("row").alias("_row"), *names)
-    return rows.drop(*names).join(placed, "_row").drop("_row")
+    [number] = spare(docs.columns, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "mixed-rows")
+    placed = mixed(rows, row=F.col(number), **options).select(F.col("row").alias(number), *names)
+    return rows.drop(*names).join(placed, number).drop(number)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

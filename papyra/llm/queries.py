@@ -116,18 +116,11 @@ ORACLE_SQL: dict[str, str] = {
         stream AS (
             SELECT *, CAST(sum(units) OVER (PARTITION BY name ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - units AS BIGINT) AS start FROM unit
         ),
-        doc AS (SELECT *, start // {mixing.BLOCK_UNITS} + 1 AS block FROM stream),
+        doc AS (SELECT *, CAST(start // greatest({mixing.BLOCK_UNITS}, (SELECT (sum(units) + {mixing.MOST_BLOCKS - 1}) // {mixing.MOST_BLOCKS} FROM unit)) AS BIGINT) + 1 AS block FROM stream),
         src AS (SELECT name, sum(units) AS own_units, max(block) AS blocks FROM doc GROUP BY name),
-        weight AS (SELECT name, blocks, round(pow(own_units / (SELECT sum(own_units) FROM src), {mixing.TEMPERATURE}), 12) AS w FROM src),
-        exact AS (SELECT name, blocks, w / (SELECT sum(w ORDER BY name) FROM weight) * greatest({mixing.PARTS}, 10 * (SELECT count(*) FROM weight)) AS x FROM weight),
-        part AS (
-            SELECT name, blocks, CAST(greatest(1, floor(x)) AS BIGINT) + CASE WHEN
-                row_number() OVER (ORDER BY x - floor(x) DESC, name) <= greatest({mixing.PARTS}, 10 * (SELECT count(*) FROM weight)) - (SELECT sum(greatest(1, floor(x))) FROM exact)
-                THEN 1 ELSE 0 END AS p
-            FROM exact
-        ),
+        part AS (SELECT name, blocks, CAST(greatest(1, round(pow(own_units / (SELECT sum(own_units) FROM src), {mixing.TEMPERATURE}) * {mixing.SCALE})) AS HUGEINT) AS p FROM src),
         step AS (
-            SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS begin, 0 AS phase, CAST(NULL AS STRUCT(d BIGINT, k VARCHAR, i BIGINT, rel BIGINT)) AS pick, CAST(NULL AS BIGINT) AS made_phase,
+            SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS begin, 0 AS phase, CAST(NULL AS STRUCT(d HUGEINT, k VARCHAR, i BIGINT, rel HUGEINT)) AS pick, CAST(NULL AS BIGINT) AS made_phase,
                    (SELECT list({{'k': name, 'p': p, 'had': CAST(0 AS BIGINT), 'gone': CAST(0 AS BIGINT), 'n': blocks}} ORDER BY name) FROM part) AS s
             UNION ALL
             SELECT t + 1,
@@ -143,12 +136,12 @@ ORACLE_SQL: dict[str, str] = {
                         SELECT *, list_sort(list_transform(
                             list_filter(s, lambda x: x.had * total // x.p <= t - begin),
                             lambda x: {{'d': ((x.had + 1) * total + x.p - 1) // x.p, 'k': x.k, 'i': x.gone + 1, 'rel': x.had * total // x.p}}))[1] AS now
-                        FROM (SELECT *, CAST(list_sum(list_transform(s, lambda x: x.p)) AS BIGINT) AS total FROM step WHERE len(s) > 0)
+                        FROM (SELECT *, CAST(list_sum(list_transform(s, lambda x: x.p)) AS HUGEINT) AS total FROM step WHERE len(s) > 0)
                     )
                 )
             )
         )
-        SELECT doc_id, source, units, doc.block AS block, CAST(made_phase AS INTEGER) AS phase, t - 1 AS slot, pick.rel AS release, pick.d AS deadline, start
+        SELECT doc_id, source, units, doc.block AS block, CAST(made_phase AS INTEGER) AS phase, t - 1 AS slot, CAST(pick.rel AS BIGINT) AS release, CAST(pick.d AS BIGINT) AS deadline, start
         FROM doc JOIN step ON pick.k = doc.name AND pick.i = doc.block
     """,
 }
