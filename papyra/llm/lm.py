@@ -1,8 +1,12 @@
 """LM scoring by deleted interpolation of word n-grams.
 
-Unigram and bigram maximum-likelihood estimates and a uniform one are mixed with
-weights that depend on how frequent the context is; the weights are learned by
+Unigram, bigram and trigram maximum-likelihood estimates and a uniform one are
+mixed with weights that depend on how frequent the context is (that of the
+trigram if it was seen, else that of the bigram); the weights are learned by
 expectation-maximisation on a held-out part of the training documents.
+Scores are deleted estimates too: the occurrences in a training document itself
+are taken off the counts that it is scored by, so that training documents and
+others are on one scale, and what was learned by heart is no merit.
 
 Counts are exchanged as packed arrays. Documents are gathered in groups of
 some MB; a group asks for the counts of its distinct n-grams, bucket by bucket of
@@ -29,21 +33,47 @@ from papyra.llm.common import NOT_SPACE, Words, _mixed, bounded_batches, fold, g
 GROUP_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 #: Folds: scored only, held out for the mixture weights; counts come from the others, and from the latter at the end.
 FOLDS, SCORED, TUNED = 5, 1, 2
-#: Context classes (powers of 2 of the context's count), steps of the histogram for each factor of 2, rounds of the EM.
-CLASSES, STEPS, ROUNDS = 24, 8, 200
+#: Context classes of each order, steps of the histogram for each factor of 2, rounds of the EM.
+CLASSES, STEPS, ROUNDS = 32, 2, 200
 _END = np.uint64(0xA5A5_5A5A_C3C3_3C3D)
-#: Bits of a bigram's hash beside those of its bucket.
-_BIGRAM_BITS = 40
+#: Bits of the hash of a bigram or trigram beside those of its bucket.
+_GRAM_BITS = 36
 _KINDS = {"scored": 0, "tuned": 1, "counted": 2}
 
 
 def _zip(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Counts in the fewest bytes each that hold them all, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+    raw = x.astype(f"u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unzip(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), kind)
+def _unzip(x: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[9:], int.from_bytes(x[1:9], "little"), codec="zstd", asbytes=True), f"u{x[0]}").astype(np.int64)
+
+
+def _low_bytes(n: int) -> int:
+    return max(0, _GRAM_BITS - max(n, 1).bit_length() + 1) // 8
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers of ``_GRAM_BITS`` bits: their low bytes, and the rest as a bit for each number after a gap of zeros for each step (Elias-Fano)."""
+    n, low = len(values), _low_bytes(len(values))
+    steps = np.zeros(n + (1 << (_GRAM_BITS - 8 * low)) if n else 0, np.uint8)
+    steps[(values >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)] = 1
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes() + np.packbits(steps).tobytes()
+
+
+def unpacked(raw: memoryview, n: int) -> tuple[np.ndarray, int]:
+    """(the ``n`` numbers at the begin of ``raw``, bytes they take)."""
+    if not n:
+        return np.empty(0, np.uint64), 0
+    low = _low_bytes(n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(raw, np.uint8, n * low).reshape(n, low)
+    size = -(-(n + (1 << (_GRAM_BITS - 8 * low))) // 8)
+    steps = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, size, n * low))) - np.arange(n)
+    return out.view("<u8").ravel() | (steps.astype(np.uint64) << np.uint64(8 * low)), n * low + size
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +106,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Group:
-    """The tokens of a group's documents, its distinct n-grams in the order of their hashes, and where each token's are."""
+    """The tokens of a group's documents, its distinct n-grams of each order in the order of their hashes, and where each token's are.
+
+    The first token of a document has the end token as its context and no
+    trigram; ``at[2]`` is 0 there, which ``first`` marks.
+    """
 
     def __init__(self, blob: bytes, bits: int):
         table = pa.ipc.open_stream(blob).read_all().combine_chunks()
@@ -89,48 +123,70 @@ class Group:
         inner[self.ends] = False
         tokens[inner] = words.hash
         tokens[~inner] = _END
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[:1] = _END
-        pairs = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + _mixed(tokens)) >> np.uint64(64 - bits - _BIGRAM_BITS)
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
+        del words
+        self.first = np.zeros(len(tokens), bool)
+        self.first[np.concatenate([np.zeros(min(n, 1), np.int64), self.ends[:-1] + 1])] = True
+        before = np.concatenate([[_END], tokens[:-1]]).astype(np.uint64)
+        code = _mixed(tokens)
+        pairs = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + code)
+        triples = _mixed(np.concatenate([[_END], pairs[:-1]]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + code)
+        cut = np.uint64(64 - bits - _GRAM_BITS)
+        self.grams: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        for values in (tokens, pairs >> cut, (triples >> cut)[~self.first]):
+            known, place = np.unique(values, return_inverse=True)
+            self.grams.append(known)
+            self.at.append(place.astype(np.int32))
+        triple = np.zeros(len(tokens), np.int32)
+        triple[~self.first] = self.at[2]
+        self.at[2] = triple
         # the end token stands before each document; it is one of the words of any group
-        self.before[:1] = np.searchsorted(self.words, _END)
+        self.before = np.concatenate([[np.searchsorted(self.grams[0], _END)], self.at[0][:-1]]).astype(np.int32)
+        self.before_pair = np.concatenate([[0], self.at[1][:-1]]).astype(np.int32)
         self.bits = bits
 
-    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self) -> list[np.ndarray]:
+        at = [*self.at[:2], self.at[2][~self.first]]
+        return [np.bincount(x, minlength=len(u)) for x, u in zip(at, self.grams, strict=True)]
+
+    def cuts(self) -> list[np.ndarray]:
+        """Where each bucket's n-grams begin, for each order."""
         buckets = np.arange((1 << self.bits) + 1, dtype=np.uint64)
-        of_word = self.words >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(self.words), np.uint64)
-        return np.searchsorted(of_word, buckets), np.searchsorted(self.pairs >> np.uint64(_BIGRAM_BITS), buckets)
+        of_word = self.grams[0] >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(self.grams[0]), np.uint64)
+        return [np.searchsorted(x, buckets) for x in (of_word, *(g >> np.uint64(_GRAM_BITS) for g in self.grams[1:]))]
 
 
 def _ask(bits: int):
+    low = np.uint64((1 << _GRAM_BITS) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("g", "kind", "blob")), strict=True):
                 group = Group(blob, bits)
-                counts = [np.bincount(x, minlength=len(u)).astype(np.uint32) for x, u in ((group.word, group.words), (group.pair, group.pairs))]
-                w, p = group.cuts()
+                counts, cuts = group.counts() if kind else None, group.cuts()
                 buckets, blobs = [], []
-                for b in np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0)).tolist():
-                    i, j = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-                    low = group.pairs[j].view(np.uint8).reshape(-1, 8)[:, : _BIGRAM_BITS // 8]
-                    head = np.array([w[b + 1] - w[b], p[b + 1] - p[b]], np.int64)
-                    tail = _zip(np.concatenate([counts[0][i], counts[1][j]])) if kind else b""
-                    blobs.append(head.tobytes() + group.words[i].tobytes() + low.tobytes() + tail)
+                for b in np.flatnonzero(sum(np.diff(c) for c in cuts)).tolist():
+                    own = [slice(c[b], c[b + 1]) for c in cuts]
+                    grams = [x[i] for x, i in zip(group.grams, own, strict=True)]
+                    tail = _zip(np.concatenate([c[i] for c, i in zip(counts, own, strict=True)])) if kind else b""
+                    blobs.append(np.array([len(x) for x in grams], np.int64).tobytes() + grams[0].tobytes() + packed(grams[1] & low) + packed(grams[2] & low) + tail)
                     buckets.append(b)
-                for k in range(0, len(blobs), 256):
-                    n = len(blobs[k : k + 256])
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets[k : k + 256], pa.int64()), pa.array([g] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(blobs[k : k + 256], pa.binary())], names=["bucket", "g", "kind", "blob"])
+                    if len(blobs) == 256:
+                        yield _asked(buckets, g, kind, blobs)
+                        buckets, blobs = [], []
+                if blobs:
+                    yield _asked(buckets, g, kind, blobs)
 
     return run
 
 
+def _asked(buckets: list[int], g: int, kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+    n = len(blobs)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([g] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "g", "kind", "blob"])
+
+
 def _summed(hashes: list[np.ndarray], counts: list[np.ndarray | None], kinds: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(for each asker: both counts of its n-grams; both counts of all)."""
+    """(for each asker: the count of its n-grams in all training documents and, if it tunes the weights, that in those that don't; both counts of all)."""
     known, place = np.unique(np.concatenate(hashes), return_inverse=True)
     ends = np.cumsum([0, *map(len, hashes)])
     both = np.zeros((2, len(known)), np.int64)
@@ -140,82 +196,130 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray | None], kinds: li
             both[0, own] += c
             if kind == _KINDS["counted"]:
                 both[1, own] += c
-    return [both[:, place[ends[k] : ends[k + 1]]] for k in range(len(hashes))], both
+    return [both[: _views(kind), place[ends[k] : ends[k + 1]]] for k, kind in enumerate(kinds)], both
+
+
+def _views(kind: int) -> int:
+    return 2 if kind == _KINDS["tuned"] else 1
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in grouped(batches, ["bucket"]):
-        kinds, words, pairs, word_counts, pair_counts = batch.column("kind").to_pylist(), [], [], [], []
+        kinds = batch.column("kind").to_pylist()
+        grams: list[list[np.ndarray]] = [[], [], []]
+        counts: list[list[np.ndarray | None]] = [[], [], []]
         for kind, blob in zip(kinds, batch.column("blob"), strict=True):
-            raw = blob.as_buffer()
-            nw, np_ = np.frombuffer(raw, np.int64, 2).tolist()
-            width = _BIGRAM_BITS // 8
-            words.append(np.frombuffer(raw, np.uint64, nw, 16))
-            low = np.zeros((np_, 8), np.uint8)
-            low[:, :width] = np.frombuffer(raw, np.uint8, np_ * width, 16 + 8 * nw).reshape(-1, width)
-            pairs.append(low.view(np.uint64).ravel())
-            counts = _unzip(raw[16 + 8 * nw + np_ * width :].to_pybytes(), np.uint32) if kind else None
-            word_counts.append(None if counts is None else counts[:nw])
-            pair_counts.append(None if counts is None else counts[nw:])
-        by_word, all_words = _summed(words, word_counts, kinds)
-        by_pair, _ = _summed(pairs, pair_counts, kinds)
-        blobs = [_zip(np.concatenate([w[0], w[1], p[0], p[1]])) for w, p in zip(by_word, by_pair, strict=True)]
+            raw = memoryview(blob.as_buffer())
+            sizes = np.frombuffer(raw, np.int64, 3).tolist()
+            grams[0].append(np.frombuffer(raw, np.uint64, sizes[0], 24))
+            at = 24 + 8 * sizes[0]
+            for k in (1, 2):
+                own, took = unpacked(raw[at:], sizes[k])
+                grams[k].append(own)
+                at += took
+            own = np.split(_unzip(bytes(raw[at:])), np.cumsum(sizes)[:2]) if kind else [None] * 3
+            for k in range(3):
+                counts[k].append(own[k])
+        answers, totals = [], None
+        for k in range(3):
+            found, both = _summed(grams[k], counts[k], kinds)
+            answers.append(found)
+            totals = both if k == 0 else totals
+            grams[k] = counts[k] = []
+        blobs = [_zip(np.concatenate([x.ravel() for x in own])) for own in zip(*answers, strict=True)]
         n = batch.num_rows
         once = lambda x: pa.array([int(x)] + [0] * (n - 1), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("g"), batch.column("kind"), batch.column("bucket"), pa.array(blobs, pa.binary()), once(all_words[0].sum()), once((all_words[0] > 0).sum()), once(all_words[1].sum())],
+            [batch.column("g"), batch.column("kind"), batch.column("bucket"), pa.array(blobs, pa.binary()), once(totals[0].sum()), once((totals[0] > 0).sum()), once(totals[1].sum())],
             names=["g", "kind", "bucket", "blob", "tokens", "distinct", "counted"],
         )
 
 
-def _read(batch: pa.RecordBatch, bits: int) -> tuple[Group, np.ndarray, np.ndarray]:
-    """(group, both counts of its words, both counts of its bigrams) from the rows of a group: its documents first, then the answers by bucket."""
-    blobs = batch.column("blob")
+def _read(batch: pa.RecordBatch, bits: int) -> tuple[Group, list[np.ndarray]]:
+    """(group, view and n-gram -> count, for each order) from the rows of a group: its documents first, then the answers by bucket."""
+    blobs, views = batch.column("blob"), _views(batch.column("kind")[0].as_py())
     group = Group(blobs[0].as_py(), bits)
-    w, p = group.cuts()
-    words, pairs = np.zeros((2, len(group.words)), np.int64), np.zeros((2, len(group.pairs)), np.int64)
+    cuts = group.cuts()
+    out = [np.zeros((views, len(x)), np.int64) for x in group.grams]
     for k, b in enumerate(batch.column("bucket").to_pylist()[1:], 1):
-        got = _unzip(blobs[k].as_py(), np.int64)
-        nw, np_ = w[b + 1] - w[b], p[b + 1] - p[b]
-        words[:, w[b] : w[b + 1]] = got[: 2 * nw].reshape(2, nw)
-        pairs[:, p[b] : p[b + 1]] = got[2 * nw :].reshape(2, np_)
-    return group, words, pairs
+        got, at = _unzip(blobs[k].as_py()), 0
+        for x, c in zip(out, cuts, strict=True):
+            size = int(c[b + 1] - c[b])
+            x[:, c[b] : c[b + 1]] = got[at : at + views * size].reshape(views, size)
+            at += views * size
+    return group, out
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """The class of a context by its count: each of the smallest counts is its own, powers of 2 share one."""
+    return np.minimum(np.where(count <= 4, count, 3 + np.log2(np.maximum(count - 1, 1)).astype(np.int64)), CLASSES - 1)
+
+
+def _own(group: Group) -> list[np.ndarray]:
+    """Of each token's n-gram, for each order: its occurrences in the token's own document."""
+    lengths = np.diff(np.concatenate([[0], group.ends + 1]))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    out = []
+    for at, grams in zip(group.at, group.grams, strict=True):
+        at = np.where(group.first, len(grams), at) if grams is group.grams[2] else at
+        _, place, n = np.unique(doc * (len(grams) + 1) + at, return_inverse=True, return_counts=True)
+        out.append(n[place])
+    return out
 
 
-def _estimates(group: Group, words: np.ndarray, pairs: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context class, bigram estimate, unigram estimate) of each token."""
-    context = words[group.before]
-    two = np.where(context > 0, pairs[group.pair] / np.maximum(context, 1), 0.0)
-    return np.minimum(np.log2(context + 1).astype(np.int64), CLASSES - 1), np.minimum(two, 1.0), words[group.word] / max(tokens, 1)
+def _estimates(group: Group, counts: list[np.ndarray], tokens: int, deleted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context class, trigram, bigram and unigram estimate) of each token; ``counts``: of each order, in one view.
+
+    ``deleted``: the occurrences in the token's own document are taken off.
+    """
+    word, pair = counts[0][group.at[0]], counts[1][group.at[1]]
+    triple = counts[2][group.at[2]] if len(counts[2]) else np.zeros(len(word), np.int64)
+    context, longer = counts[0][group.before], counts[1][group.before_pair]
+    if deleted:
+        own = _own(group)
+        word, pair, triple = word - own[0], pair - own[1], triple - own[2]
+        shifted = [np.concatenate([[1], x[:-1]]) for x in own]
+        # the end token before a document is there once for the document itself
+        context, longer = context - np.where(group.first, 1, shifted[0]), longer - shifted[1]
+        lengths = np.diff(np.concatenate([[0], group.ends + 1]))
+        tokens = np.maximum(tokens - np.repeat(lengths, lengths), 1)
+    one = word / np.maximum(tokens, 1)
+    two = np.minimum(np.where(context > 0, pair / np.maximum(context, 1), 0.0), 1.0)
+    longer = np.where(group.first, 0, longer)
+    three = np.minimum(np.where(longer > 0, triple / np.maximum(longer, 1), 0.0), 1.0)
+    return np.where(longer > 0, CLASSES + level(longer), level(context)), three, two, one
 
 
 def _tally(bits: int, tokens: int, distinct: int):
-    """Histogram of the held-out tokens: context class and both estimates in steps of a factor 2 ** (1 / STEPS)."""
+    """Histogram of the held-out tokens: context class and the estimates in steps of a factor 2 ** (1 / STEPS)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["g"]):
-            group, words, pairs = _read(batch, bits)
-            level, two, one = _estimates(group, words[1], pairs[1], tokens)
-            step = lambda x: np.where(x > 0, np.rint(STEPS * np.log2(np.where(x > 0, x, 1) * (distinct + 1))).astype(np.int64) + 1024, 0)
-            keys, n = np.unique((level << 32) | (step(two) << 16) | step(one), return_counts=True)
+            group, counts = _read(batch, bits)
+            classes, *estimates = _estimates(group, [x[1] for x in counts], tokens)
+            keys = classes.astype(np.int64)
+            for x in estimates:
+                keys = (keys << 12) | np.where(x > 0, np.rint(STEPS * np.log2(np.where(x > 0, x, 1) * (distinct + 1))).astype(np.int64) + 1024, 0)
+            keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
     return run
 
 
 def weights(cells: list[tuple[int, int]], rounds: int = ROUNDS) -> np.ndarray:
-    """Context class -> weights of the uniform, unigram and bigram estimates, from (key, count) cells of the histogram.
+    """Context class -> weights of the uniform, unigram, bigram and trigram estimates, from (key, count) cells of the histogram.
 
+    Classes up to ``CLASSES`` are those of bigram contexts, without a trigram.
     Each class starts from the weights of all classes together, and counts as
     one token of those, so a class without held-out tokens has them too.
     """
-    out = np.full((CLASSES, 3), 1 / 3)
+    out = np.full((2 * CLASSES, 4), 1 / 4)
     if not cells:
-        return out * [1.5, 1.5, 0]
+        return out * [2, 2, 0, 0]
     key, n = np.array(cells, np.int64).T
     back = lambda s: np.where(s > 0, 2.0 ** ((s - 1024) / STEPS), 0.0)
-    p = np.stack([np.ones(len(key)), back(key & 0xFFFF), back((key >> 16) & 0xFFFF)], axis=1)
-    level = key >> 32
+    p = np.stack([np.ones(len(key)), *(back((key >> (12 * k)) & 0xFFF) for k in range(3))], axis=1)
+    of = key >> 36
 
     def em(rows: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
         w = start
@@ -226,23 +330,26 @@ def weights(cells: list[tuple[int, int]], rounds: int = ROUNDS) -> np.ndarray:
         return w
 
     common = em(np.arange(len(key)), out[0].copy(), 0.0)
-    for c in range(CLASSES):
-        rows = np.flatnonzero(level == c)
-        out[c] = em(rows, common, 1.0) if len(rows) else common
+    for c in range(2 * CLASSES):
+        start = common * (1, 1, c % CLASSES > 0, c >= CLASSES)
+        start /= start.sum()
+        rows = np.flatnonzero(of == c)
+        out[c] = em(rows, start, 1.0) if len(rows) else start
     return out
 
 
 def _score(bits: int, tokens: int, distinct: int, mix: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["g"]):
-            group, words, pairs = _read(batch, bits)
+            group, counts = _read(batch, bits)
             if not len(group.ends):
                 continue
-            level, two, one = _estimates(group, words[0], pairs[0], tokens)
-            w = mix[level]
-            score = np.log10(w[:, 0] / (distinct + 1) + w[:, 1] * one + w[:, 2] * two)
-            base = np.log10((words[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))[group.word]
-            known = (words[0] > 0)[group.word]
+            counts = [x[0] for x in counts]
+            classes, three, two, one = _estimates(group, counts, tokens, batch.column("kind")[0].as_py() != _KINDS["scored"])
+            w = mix[classes]
+            score = np.log10(w[:, 0] / (distinct + 1) + w[:, 1] * one + w[:, 2] * two + w[:, 3] * three)
+            base = np.log10((counts[0] + 0.5) / (tokens + 0.5 * (distinct + 1)))[group.at[0]]
+            known = (counts[0] > 0)[group.at[0]]
             begin = np.concatenate([[0], group.ends[:-1] + 1])
             sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), base, score)]
             yield pa.RecordBatch.from_arrays([group.ids, pa.array(group.ends - begin + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=["id", "n_tokens", "n_known", "base_score", "score"])
@@ -255,8 +362,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
     Training documents are those outside ``scored_fold``. Null and empty
     texts are an end token alone. Documents of a null id are in no fold and
-    learned from. Repeated rows count and are scored each. An empty table
-    gives an empty result.
+    learned from. ``score`` is the log10 probability of the text by the model of
+    all training documents but the text itself. Repeated rows count and are scored each. A text longer than a
+    group is a group of its own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

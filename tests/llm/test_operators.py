@@ -507,43 +507,81 @@ def test_lm_base_score(docs, rows, empty):
     assert lm.digest(empty).count() == 0
 
 
-def test_lm_score_is_deleted_interpolation(spark):
-    """The whole model again in plain Python, from the histogram's definition on."""
-    rng = random.Random(13)
-    data = [(i, prose(rng, rng.randrange(0, 40))) for i in range(300)]
-    words, pairs, words_a, pairs_a = Counter(), Counter(), Counter(), Counter()
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 2, 5, 200, 6000, 70_000):
+        values = np.unique(rng.integers(0, 1 << lm._GRAM_BITS, n).astype(np.uint64))
+        raw = lm.packed(values)
+        back, took = lm.unpacked(memoryview(raw + b"more"), len(values))
+        assert (back == values).all() and took == len(raw)
+
+
+def plain_model(data):
+    """doc_id -> score of the whole model in plain Python, from the histogram's definition on."""
+    counts, before = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
     texts = {i: [*brute.space_words(t), None] for i, t in data}
+
+    def grams(w):
+        return w, list(zip([None, *w], w, strict=False)), list(zip([None, *w], w, w[1:], strict=False))
+
     for i, w in texts.items():
-        if fold(i, 5) != 1:
-            words.update(w)
-            pairs.update(zip([None, *w], w, strict=False))
-        if fold(i, 5) not in (1, 2):
-            words_a.update(w)
-            pairs_a.update(zip([None, *w], w, strict=False))
-    n_a, v = sum(words_a.values()), len(words)
-    cells = Counter()
+        for k, g in enumerate(grams(w)):
+            if fold(i, 5) != 1:
+                counts[k].update(g)
+            if fold(i, 5) not in (1, 2):
+                before[k].update(g)
+    v = len(counts[0])
+
+    def estimates(w, c):
+        n, padded = c[0].total(), [None, None, *w]
+        for j, b in enumerate(w):
+            x, a = padded[j], padded[j + 1]
+            longer = c[1][x, a] if j else 0
+            two = min(c[1][a, b] / c[0][a], 1) if c[0][a] else 0
+            three = c[2][x, a, b] / longer if longer else 0
+            own = lm.CLASSES + int(lm.level(np.array(longer))) if longer else int(lm.level(np.array(c[0][a])))
+            yield own, three, two, c[0][b] / n
 
     def step(x):
         return int(np.rint(lm.STEPS * np.log2(x * (v + 1)))) + 1024 if x > 0 else 0
 
+    cells = Counter()
     for i, w in texts.items():
         if fold(i, 5) == 2:
-            for a, b in zip([None, *w], w, strict=False):
-                c = words_a[a]
-                cells[min(int(math.log2(c + 1)), lm.CLASSES - 1) << 32 | step(min(pairs_a[a, b] / c, 1) if c else 0) << 16 | step(words_a[b] / n_a)] += 1
-    mix, n = lm.weights(sorted(cells.items())), sum(words.values())
-    assert np.allclose(mix.sum(axis=1), 1)
-    out = {r["doc_id"]: r for r in lm.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+            for own, *e in estimates(w, before):
+                cells[own << 36 | step(e[0]) << 24 | step(e[1]) << 12 | step(e[2])] += 1
+    mix = lm.weights(sorted(cells.items()))
+    assert np.allclose(mix.sum(axis=1), 1) and (mix[: lm.CLASSES, 3] == 0).all()
+    out = {}
     for i, w in texts.items():
-        s = 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            m = mix[min(int(math.log2(words[a] + 1)), lm.CLASSES - 1)]
-            s += math.log10(m[0] / (v + 1) + m[1] * words[b] / n + m[2] * (pairs[a, b] / words[a] if words[a] else 0))
+        # a training document is scored without its own occurrences
+        left = counts if fold(i, 5) == 1 else [c - Counter(g) for c, g in zip(counts, grams(w), strict=True)]
+        out[i] = sum(math.log10(mix[own] @ (1 / (v + 1), one, two, three)) for own, three, two, one in estimates(w, left))
+    return out
+
+
+def test_lm_score_is_deleted_interpolation(spark):
+    rng = random.Random(13)
+    data = [(i, prose(rng, rng.randrange(0, 40))) for i in range(300)]
+    data += [(300 + k, data[k][1]) for k in range(40)]
+    out = {r["doc_id"]: r for r in lm.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, s in plain_model(data).items():
         assert out[i]["score"] == pytest.approx(s, abs=1e-6)
     held = [r for r in out.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_sets_repeated_documents_apart(spark):
+    """A text that occurs twice is likelier, a token, than one that occurs once."""
+    rng = random.Random(15)
+    texts = [prose(rng, 60) for _ in range(400)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(400 + k, texts[k]) for k in range(120)]
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    once = sorted(out[i] for i in range(120, 400))
+    twice = [out[i] for i in range(120) if fold(400 + i, 5) != 1]
+    assert sum(x > once[int(0.9 * len(once))] for x in twice) >= 0.9 * len(twice)
+
+
 # --- 10 licences ------------------------------------------------------------------------------
 
 
