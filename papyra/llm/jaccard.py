@@ -6,7 +6,8 @@ into fragments, so that each set falls into one segment a fragment:
 * Candidates. A pair of Jaccard >= p/q has a symmetric difference of at most
   (n + m)(q - p)/(q + p) n-grams. Cut into that many fragments and two more, at
   least two segments of the pair are identical. Each segment is one
-  64-bit signature; sets that share a signature are candidates.
+  64-bit signature; sets that share a signature are candidates. Equal sets are
+  linked by a hash of the whole, and only the first in each task gives signatures.
 * Verification. The sets of candidates are cut into a fixed number of coarse
   fragments, the overlap of each pair is counted in each fragment
   separately, and the counts are summed per pair.
@@ -25,8 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, block_pairs, blocked, bounded_batches, drop_written, grouped, local_components, sized_broadcast, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, block_pairs, blocked, bounded_batches, drop_written, grouped, local_components, quoted, sized_broadcast, slices, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
@@ -136,36 +138,64 @@ def _distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
 
 
-def _sign(text_col: str, id_col: str, n: int, p: int, q: int):
-    made = Segments(p, q)
+def _seen(seen: dict[tuple[int, int], int], node: int | None, grams: np.ndarray) -> int | None:
+    """The first node of the task with this set; None for a null id or an empty set."""
+    if node is None or not len(grams):
+        return None
+    return seen.setdefault((len(grams), int(_whole(grams))), node)
+
+
+def _facts(n: int):
+    """Size, hash and sketch of each set, and the first node of the task that has the same set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            sizes, sums, parts, sketches = [], [], [], []
-            for grams in gram_sets(*text_bytes(batch.column(text_col)), n):
+        seen: dict[tuple[int, int], int] = {}
+        for batch in slices(batches):
+            sizes, sums, sketches, first = [], [], [], []
+            for node, grams in zip(batch.column("node").to_pylist(), gram_sets(*text_bytes(batch.column("text")), n), strict=True):
                 sizes.append(len(grams))
                 sums.append(_whole(grams))
-                parts.append(made.signatures(grams))
                 sketches.append(sketch(grams) if len(grams) else grams)
+                first.append(_seen(seen, node, grams))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(sums, np.uint64))), _lists(sketches), _lists(parts)],
-                names=["node", "size", "whole", "sketch", "signatures"],
+                [batch.column("node"), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(sums, np.uint64))), _lists(sketches), pa.array(first, pa.int64())],
+                names=["node", "size", "whole", "sketch", "first"],
             )
 
     return run
 
 
+def _sign(n: int, p: int, q: int):
+    """(node, signature) of the first of each set in the task."""
+    made = Segments(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
+        for batch in slices(batches):
+            nodes, parts = [], []
+            for node, grams in zip(batch.column("node").to_pylist(), gram_sets(*text_bytes(batch.column("text")), n), strict=True):
+                known = len(seen)
+                _seen(seen, node, grams)
+                if len(seen) > known:
+                    nodes.append(node)
+                    parts.append(made.signatures(grams))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(x) for x in parts])), pa.array(_signed(np.concatenate(parts)))], names=["node", "signature"])
+
+    return run
+
+
 def _whole(grams: np.ndarray) -> np.uint64:
     return np.bitwise_xor.reduce(_mixed(grams)) if len(grams) else np.uint64(0)
 
 
-def _cut_sets(text_col: str, id_col: str, n: int):
+def _cut_sets(n: int):
     bounds = (np.arange(1, 1 << COARSE_BITS, dtype=np.uint64)) << np.uint64(64 - COARSE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches):
             ids, wholes, fragments, parts = [], [], [], []
-            for node, grams in zip(batch.column(id_col).to_pylist(), gram_sets(*text_bytes(batch.column(text_col)), n), strict=True):
+            for node, grams in zip(batch.column("node").to_pylist(), gram_sets(*text_bytes(batch.column("text")), n), strict=True):
                 whole = _whole(grams)
                 for f, part in enumerate(np.split(grams, np.searchsorted(grams, bounds))):
                     if len(part):
@@ -182,11 +212,11 @@ def _cut_sets(text_col: str, id_col: str, n: int):
 _PAIR = ["a", "whole_a", "size_a", "b", "whole_b", "size_b"]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, p: int, q: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Those of ``pairs`` that reach the similarity: the overlap is counted fragment by fragment and summed."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = docs.join(sized_broadcast(written(nodes, "nodes"), MOST_BROADCAST), F.col(id_col) == F.col("node"), "left_semi")
-    cut = some.mapInArrow(_cut_sets(text_col, id_col, n), "node long, whole long, fragment int, grams array<long>")
+    some = docs.join(sized_broadcast(written(nodes, "nodes"), MOST_BROADCAST), "node", "left_semi")
+    cut = some.mapInArrow(_cut_sets(n), "node long, whole long, fragment int, grams array<long>")
     side = lambda x: cut.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), "fragment", F.col("grams").alias(f"grams_{x}"))
     both = pairs.join(side("a"), ["a", "whole_a"]).join(side("b"), ["b", "whole_b", "fragment"])
     part = both.select(*_PAIR, "fragment", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
@@ -218,7 +248,7 @@ def _near(p: int, q: int):
             if len(x):
                 yield x + i, y
 
-    names = ["node", "size", "whole", "component", "half"]
+    names = ["node", "size", "component", "half"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["signature", "low", "high"]):
@@ -276,11 +306,11 @@ def _overlaps(p: int, q: int):
     return run
 
 
-def _gram_lists(text_col: str, id_col: str, n: int):
+def _gram_lists(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            sets = list(gram_sets(*text_bytes(batch.column(text_col)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_signed(np.array([_whole(x) for x in sets], np.uint64))), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "whole", "size", "grams"])
+        for batch in slices(batches):
+            sets = list(gram_sets(*text_bytes(batch.column("text")), n))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_signed(np.array([_whole(x) for x in sets], np.uint64))), pa.array([len(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "whole", "size", "grams"])
 
     return run
 
@@ -288,7 +318,7 @@ def _gram_lists(text_col: str, id_col: str, n: int):
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
     """(set sizes: node, size; components: node, component of each linked node).
 
-    No link that matters for a component is lost: within the sets of a
+    No link that matters for a component is lost: equal sets are linked; within the sets of a
     signature the smallest id is a centre, and each set is compared to the centre
     it shares most with; then, in signatures whose sets aren't all in one
     component yet, every pair across components is looked at. Sizes and
@@ -296,15 +326,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     within those, overlaps of all pairs across components are counted. Copies
     of a centre end after the first step, and pairs are never listed: what
     leaves a group is an edge for each set.
+
+    Texts are read twice rather than keeping their signatures. Those are shuffled once, as
+    two numbers a row that are sorted, not gathered; a set that a third of all
+    rows have is a row for each task by then.
     """
     p, q = numerator, denominator
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    sets = written(docs.mapInArrow(_sign(text_col, id_col, words, p, q), "node long, size long, whole long, sketch array<long>, signatures array<long>"), "sets")
-    each = sets.where("node is not null").select("node", F.explode("signatures").alias("signature"))
-    shared = each.groupBy("signature").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("signature", "first")
-    held = written(each.join(shared.hint("merge"), "signature"), "shared")
+    docs = docs.select(quoted(id_col).cast("long").alias("node"), quoted(text_col).alias("text"))
+    sets = written(docs.mapInArrow(_facts(words), "node long, size long, whole long, sketch array<long>, first long"), "sets")
+    # equal sets: within a task by their first node, among tasks by those
+    firsts = sets.where("node = first").select("node", "size", "whole").distinct()
+    classes = firsts.groupBy("size", "whole").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = sets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    copies = copies.union(firsts.join(classes, ["size", "whole"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    each = docs.mapInArrow(_sign(words, p, q), "node long, signature long")
+    order = Window.partitionBy("signature").orderBy("node")
+    each = each.select("signature", "node", F.first("node").over(order).alias("first"), F.lead("node").over(order).alias("next"))
+    held = written(each.where((F.col("first") != F.col("node")) | (F.col("next") != F.col("node"))).select("signature", "node", "first"), "shared")
     facts = sets.where("node is not null").select("node", "size", "whole", "sketch").dropDuplicates(["node", "whole"])
     side = lambda x: facts.select(F.col("node").alias(x), F.col("whole").alias(f"whole_{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     star = held.where("node <> first").groupBy("first", "node").agg(F.count("*").alias("n"))
@@ -314,18 +354,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     star = star.where((q + p) * _distance(F.col("sketch_a"), F.col("sketch_b")) <= (q - p) * (F.col("size_a") + F.col("size_b")))
     star = written(star.select(*_PAIR), "star")
     same = (F.col("size_a") == F.col("size_b")) & (F.col("whole_a") == F.col("whole_b"))
-    found = written(_verified(star.where(~same), docs, id_col, text_col, words, p, q).union(star.where(same).select("a", "b")), "links")
+    found = written(_verified(star.where(~same), docs, words, p, q).union(star.where(same).select("a", "b")).union(copies), "links")
     groups = written(components(found), "groups")
     # what is left: signatures whose sets are in more than one component. Merge joins, as all of these sides grow with the input
     rest = held.select("signature", "node").join(groups.hint("merge"), "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
     rest_held = rest = written(rest, "rest")
     mixed = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(mixed.where("low < high").select("signature", "blocks").hint("merge"), "signature").join(facts.hint("merge"), "node")
+    rest = rest.join(mixed.where("low < high").select("signature", "blocks").hint("merge"), "signature").join(facts.drop("whole").hint("merge"), "node")
     keys = ["signature", "low", "high"]
-    rest = block_pairs(rest, "node").select(*keys, "half", "node", "size", "whole", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    rest = block_pairs(rest, "node").select(*keys, "half", "node", "size", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     near = written(components(rest.mapInArrow(_near(p, q), "a long, b long")), "near")
-    some = docs.join(sized_broadcast(near.select("node"), MOST_BROADCAST), F.col(id_col) == F.col("node"), "left_semi")
-    some = some.mapInArrow(_gram_lists(text_col, id_col, words), "node long, whole long, size long, grams array<long>")
+    some = docs.join(sized_broadcast(near.select("node"), MOST_BROADCAST), "node", "left_semi")
+    some = some.mapInArrow(_gram_lists(words), "node long, whole long, size long, grams array<long>")
     some = some.join(near.withColumnRenamed("component", "group"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keys = ["group", "low", "high"]
     near_sets = written(some, "near-sets")
@@ -343,7 +383,8 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
     Null and empty texts have an empty set and link with nothing. A null id
     has no component: its component_id is null. Rows of the same id are one node
-    that has the links of each.
+    that has the links of each. Texts are read whole, in numpy passes of a few MB
+    or of one text. An empty table gives an empty result.
     """
     sets, groups = linked(docs, **options)
     return sets.join(groups, "node", "left").select(F.col("node").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
