@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocked, bounded_batches, grouped, local_components, written
+from papyra.llm.common import block_pairs, bounded_batches, grouped, local_components, quoted, sized_broadcast, written
 from papyra.llm.graph import components
 
 THRESHOLD = 0.9
@@ -32,7 +32,10 @@ RECALL = 0.998
 #: Standard errors that an estimate may lie under the threshold before a pair is ruled out.
 DEVIATIONS = 4.0
 #: Vectors that share a band by chance, on average; and rows of a group before it is cut into blocks.
-CHANCE, BLOCK = 16, 1024
+#: A group is compared by products of matrices, so large groups are cheap and fewer bands, hence fewer copies of a vector, give the recall.
+CHANCE, BLOCK = 1024, 4096
+#: Groups of more than a block whose sizes are broadcast; beyond, they are shuffled to.
+MOST_HOT = 1_000_000
 _SEED = 20_240_601
 
 
@@ -98,24 +101,27 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(good)], names=["id", "vector", "good"])
 
 
-def _band(bits: int, bands: int):
+def _band(bits: int, bands: int, whole: bool = True):
+    """A row for each band of each vector: with the code, its correction factor and the vector, or the keys alone."""
     made: dict[int, Codes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
                 for unit, rows, dims in units(part.column("vector")):
                     codes = made.setdefault(dims, Codes(dims, bits, bands))
                     signs = codes.signs(unit)
-                    keys, factor = codes.keys(signs), codes.factor(unit)
-                    packed = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
-                    own = part.take(pa.array(rows))
+                    keys = codes.keys(signs)
+                    if whole:
+                        own = part.take(pa.array(rows))
+                        bits_of = np.packbits(signs, axis=1)
+                        code = pa.array([x.tobytes() for x in bits_of], pa.binary())
+                        factor = pa.array(codes.factor(unit).astype(np.float32))
+                        rest = [own.column("id"), own.column("weight"), code, factor, own.column("vector")]
                     for b in range(bands):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), dims, np.int64)), pa.array(np.full(len(rows), b, np.int64)), pa.array(keys[:, b]), own.column("id"), own.column("weight"), packed, pa.array(factor), own.column("vector")],
-                            names=["dims", "band", "key", "id", "weight", "code", "factor", "vector"],
-                        )
+                        head = [pa.array(np.full(len(rows), dims, np.int32)), pa.array(np.full(len(rows), b, np.int32)), pa.array(keys[:, b])]
+                        yield pa.RecordBatch.from_arrays(head + rest if whole else head, names=["dims", "band", "key", "id", "weight", "code", "factor", "vector"][: 8 if whole else 3])
 
     return run
 
@@ -132,13 +138,16 @@ def _compare(bits: int, bands: int, threshold: float):
         keys = codes.keys(signs) if band else None
         bound = (threshold - DEVIATIONS * error - 1e-5) * factor.astype(np.float32)
         two = bool(half.any() and not half.all())
-        for i in range(0, len(unit), 128):
-            near = (code[i : i + 128] @ turned.T) >= bound[i : i + 128, None]
-            near |= (turned[i : i + 128] @ code.T) >= bound[None, :]
-            near &= (half[i : i + 128, None] != half[None, :]) & ~half[i : i + 128, None] if two else np.arange(len(unit))[i : i + 128, None] < np.arange(len(unit))[None, :]
-            xs, ys = np.nonzero(near)
+        # of two halves, each of one is compared to each of the other; else each to those after it
+        low, high = (np.flatnonzero(~half), np.flatnonzero(half)) if two else (np.arange(len(unit)), np.arange(len(unit)))
+        for i in range(0, len(low), 512):
+            own = low[i : i + 512]
+            other = high if two else high[i:]
+            near = (code[own] @ turned[other].T) >= bound[own, None]
+            near |= (turned[own] @ code[other].T) >= bound[None, other]
+            xs, ys = np.nonzero(near if two else np.triu(near, 1))
             for k in range(0, len(xs), 20_000):
-                x, y = xs[k : k + 20_000] + i, ys[k : k + 20_000]
+                x, y = own[xs[k : k + 20_000]], other[ys[k : k + 20_000]]
                 if band:
                     fresh = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
                     x, y = x[fresh], y[fresh]
@@ -182,11 +191,11 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different lengths. Rows of one id are
     rows of their own with a common component. A null id has links but no
-    component (null).
+    component (null). An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("vector"))
     kind = rows.schema["vector"].dataType.simpleString()
     rows = rows.mapInArrow(_valid, f"id long, vector {kind}, good boolean").withColumns({"one": F.xxhash64("vector"), "two": F.xxhash64(F.lit(1), "vector"), "row": F.monotonically_increasing_id()})
     rows = written(rows, "vectors")
@@ -194,10 +203,14 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     classes = written(good.groupBy("one", "two").agg(F.min("row").alias("row"), F.min("id").alias("first"), F.count("*").alias("weight")), "classes")
     count = classes.count()
     bits, bands = plan(count, threshold, recall)
-    chosen = classes.select("row", "weight").join(good.select("row", "vector"), "row").select(F.col("row").alias("id"), "weight", "vector")
-    parts = chosen.mapInArrow(_band(bits, bands), f"dims long, band long, key long, id long, weight long, code binary, factor double, vector {kind}")
+    chosen = written(classes.select("row", "weight").join(good.select("row", "vector"), "row").select(F.col("row").alias("id"), "weight", "vector"), "chosen")
     keys = ["dims", "band", "key"]
-    parts = blocked(parts, keys, "id", BLOCK).repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
+    # only groups of more than a block need to be known before the vectors are dealt out: so those move once
+    sizes = chosen.mapInArrow(_band(bits, bands, False), "dims int, band int, key long").groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    hot = written(sizes.where("blocks > 1"), "hot")
+    parts = chosen.mapInArrow(_band(bits, bands), f"dims int, band int, key long, id long, weight long, code binary, factor float, vector {kind}")
+    parts = parts.join(sized_broadcast(hot, MOST_HOT), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    parts = block_pairs(parts, "id").repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
     found = written(parts.mapInArrow(_compare(bits, bands, threshold), "id long, links long, to long"), "near")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
