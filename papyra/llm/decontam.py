@@ -1,7 +1,15 @@
-"""Benchmark decontamination: broadcast hash set of normalised test n-grams, window scan, exact verification."""
+"""Benchmark decontamination: broadcast hash set of normalised test n-grams, window scan, exact verification.
+
+A benchmark up to ``BROADCAST_BYTES`` is one broadcast and one pass over the
+documents without a shuffle. A larger one is cut into slices of that size, and
+each is a job of its own that writes the hits of the documents that hit: so a
+task has one Python worker and one hash set whatever the benchmark's size.
+"""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -10,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import ALNUM, Words, bounded_batches, slices, text_bytes, windows
+from papyra.llm.common import ALNUM, Words, bounded_batches, drop_written, quoted, slices, spare, text_bytes, windows, written
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 13
-#: Benchmark text (bytes) in one broadcast hash set; a larger benchmark is cut into slices of this size that pass over the documents one after the other in the same stage.
+#: Benchmark text (bytes) in one broadcast hash set.
 BROADCAST_BYTES = 8 << 20
-_FILTER_BITS = 22
+#: Bits of the filter before the hash set: 32 for each window, within these powers of 2.
+_LEAST_BITS, _MOST_BITS = 10, 22
+#: Tables of hits that are read as one.
+_TABLES = 32
+_RANGES = "array<struct<begin:int,end:int>>"
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -55,14 +67,15 @@ class _Lookup:
             words = Words(*text_bytes(joined), ALNUM)
             hashes, _ = windows(words.hash, words.first, n)
             self.sorted[n] = np.sort(hashes)
-            self.bits[n] = np.zeros(1 << _FILTER_BITS, bool)
-            self.bits[n][hashes >> np.uint64(64 - _FILTER_BITS)] = True
+            size = min(_MOST_BITS, max(_LEAST_BITS, (32 * len(hashes)).bit_length()))
+            self.bits[n] = np.zeros(1 << size, bool)
+            self.bits[n][hashes >> np.uint64(64 - size)] = True
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, list]]:
         """(first word, window length, items) of each verified occurrence."""
         for n, texts in self.exact.items():
             hashes, at = windows(words.hash, words.first, n)
-            maybe = np.flatnonzero(self.bits[n][hashes >> np.uint64(64 - _FILTER_BITS)])
+            maybe = np.flatnonzero(self.bits[n][hashes >> np.uint64(65 - len(self.bits[n]).bit_length())])
             known = self.sorted[n]
             place = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
             for i in at[maybe[known[place] == hashes[maybe]]].tolist():
@@ -71,87 +84,127 @@ class _Lookup:
                     yield i, n, items
 
 
-def _scan(packed, text_col: str, columns: list[str]):
+def _found(words: Words, lookup: _Lookup) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set]]:
+    """(word ranges, items) of each text that hits."""
+    ranges: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set] = {}
+    for i, n, ids in lookup.hits(words):
+        d = int(np.searchsorted(words.first, i, side="right")) - 1
+        begin = i - int(words.first[d])
+        ranges.setdefault(d, []).append((begin, begin + n))
+        items.setdefault(d, set()).update(ids)
+    return {d: _merged(r) for d, r in ranges.items()}, items
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(ranges):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
+
+
+def _range_array(ranges: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"begin": b, "end": e} for b, e in r] for r in ranges], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+
+
+def _made(words: Words, ranges: list[list[tuple[int, int]]], items: list[set]) -> list[pa.Array]:
+    return [
+        pa.array(np.diff(words.first).astype(np.int64)), pa.array([sum(e - b for b, e in r) for r in ranges], pa.int64()), _range_array(ranges),
+        pa.array([sorted(x, key=lambda i: (i is not None, i)) for x in items], pa.list_(pa.string())),
+    ]
+
+
+def _scan(packed, text_col: str, columns: list[str], made: list[str]):
+    kept: list[_Lookup] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not kept:
+            kept.append(_Lookup(packed.value))
+        for batch in slices(batches, text_col):
+            words = Words(*text_bytes(batch.column(text_col)), ALNUM)
+            ranges, items = _found(words, kept[0])
+            n = range(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *_made(words, [ranges.get(d, []) for d in n], [items.get(d, set()) for d in n])], names=columns + made)
+
+    return run
+
+
+def _hits(packed):
+    """(row, ranges, items) of the documents that hit."""
     kept: list[_Lookup] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
             kept.append(_Lookup(packed.value))
+        for batch in slices(batches):
+            ranges, items = _found(Words(*text_bytes(batch.column("text")), ALNUM), kept[0])
+            if ranges:
+                at = sorted(ranges)
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), _range_array([ranges[d] for d in at]), pa.array([list(items[d]) for d in at], pa.list_(pa.string()))], names=["row", "ranges", "items"])
+
+    return run
+
+
+def _gather(text_col: str, columns: list[str], made: list[str], all_ranges: str, all_items: str):
+    """The hits of all slices, put together for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             words = Words(*text_bytes(batch.column(text_col)), ALNUM)
-            ranges: dict[int, list[list[int]]] = {}
-            items: dict[int, set] = {}
-            text_of = np.searchsorted(words.first, np.arange(len(words.start)), side="right") - 1 if len(words.start) else words.start
-            for i, n, ids in kept[0].hits(words):
-                d = int(text_of[i])
-                ranges.setdefault(d, []).append([i - int(words.first[d]), i - int(words.first[d]) + n])
-                items.setdefault(d, set()).update(ids)
-            before_r, before_i = batch.column("_ranges"), batch.column("_items")
-            new_r, new_i, hits = [], [], []
-            for d in range(batch.num_rows):
-                own = [[x["begin"], x["end"]] for x in before_r[d].as_py() or ()] if before_r[d].is_valid else []
-                merged: list[list[int]] = []
-                for b, e in sorted(own + ranges.get(d, [])):
-                    if merged and b <= merged[-1][1]:
-                        merged[-1][1] = max(e, merged[-1][1])
-                    else:
-                        merged.append([b, e])
-                ids = set(before_i[d].as_py() or ()) | items.get(d, set())
-                new_r.append([{"begin": b, "end": e} for b, e in merged])
-                new_i.append(sorted(ids, key=lambda x: (x is not None, x)))
-                hits.append(sum(e - b for b, e in merged))
-            own = {
-                "_ranges": pa.array(new_r, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-                "_items": pa.array(new_i, pa.list_(pa.string())),
-                "_n_words": pa.array(np.diff(words.first).astype(np.int64)),
-                "_n_hit": pa.array(hits, pa.int64()),
-            }
-            yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c) if c in batch.schema.names else None) for c in columns], names=columns)
+            ranges = [_merged([(r["begin"], r["end"]) for r in own or ()]) for own in batch.column(all_ranges).to_pylist()]
+            items = [set(own or ()) for own in batch.column(all_items).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *_made(words, ranges, items)], names=columns + made)
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = BROADCAST_BYTES, made: tuple[str, ...] = ("_n_words", "_n_hit", "_ranges", "_items")) -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_hit``, ``_ranges`` (word ranges that benchmark windows cover) and ``_items`` (ids of the items found).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z
     lower-cased. A window is ``window`` consecutive words of an item, or the
     whole item if it is shorter. Each hash hit is verified on the words
-    themselves. The benchmark is read in groups of ``slice_bytes``; each is
-    broadcast and scanned in turn, without a shuffle, so no size of it is
-    out of reach.
+    themselves.
 
     Null and empty texts have no words and hit nothing; an empty benchmark hits
-    nothing; repeated rows are judged each for itself. Columns of ``docs`` must
-    not begin with ``_n_words``, ``_n_hit``, ``_ranges`` or ``_items``; such
-    columns are replaced.
+    nothing; null and empty items have no window; items of a null id count as one item (null in
+    ``_items``, no part of the digest's hash); items of one id are one item; repeated rows are judged each for itself;
+    an empty table gives an empty result; texts are taken whole, a few MB or one text at a time. ``made`` names the
+    new columns; columns of ``docs`` that are called so are replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    made = ["_n_words", "_n_hit", "_ranges", "_items"]
+    made = list(made)
     own = [c for c in docs.columns if c not in made]
-    out = docs.select(
-        *(F.col(f"`{c}`") for c in own),
-        F.lit(0).cast("long").alias("_n_words"),
-        F.lit(0).cast("long").alias("_n_hit"),
-        F.array().cast("array<struct<begin:int,end:int>>").alias("_ranges"),
-        F.array().cast("array<string>").alias("_items"),
-    )
-    schema = out.schema
-    for group in _groups_or_none(benchmark, item_col, item_text, slice_bytes):
-        packed = spark.sparkContext.broadcast(pickle.dumps(hash_set(group, window)))
-        out = out.mapInArrow(_scan(packed, text_col, [*own, *made]), schema)
+    out = docs.select(*map(quoted, own))
+    schema = out.withColumns(dict(zip(made, [F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast(_RANGES), F.array().cast("array<string>")], strict=True))).schema
+    groups = _slices(benchmark, item_col, item_text, slice_bytes)
+    first, second = next(groups, []), next(groups, None)
+    share = lambda group: spark.sparkContext.broadcast(pickle.dumps(hash_set(group, window)))
+    if second is None:
+        return out.mapInArrow(_scan(share(first), text_col, own, made), schema)
+    row, all_ranges, all_items = spare([*own, *made], "row", "ranges", "items")
+    rows = written(out.withColumn(row, F.monotonically_increasing_id()), "scanned")
+    texts, hits = rows.select(F.col(row).alias("row"), quoted(text_col).alias("text")), []
+    for group in itertools.chain([first, second], groups):
+        packed = share(group)
+        hits.append(written(texts.mapInArrow(_hits(packed), f"row long, ranges {_RANGES}, items array<string>"), "hits"))
+        packed.destroy()
+        if len(hits) == _TABLES:
+            hits = [_together(hits)]
+    found = functools.reduce(DataFrame.union, hits).groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("ranges")).alias(all_ranges), F.flatten(F.collect_list("items")).alias(all_items))
+    return rows.join(found, row, "left").mapInArrow(_gather(text_col, own, made, all_ranges, all_items), schema)
+
+
+def _together(hits: list[DataFrame]) -> DataFrame:
+    out = written(functools.reduce(DataFrame.union, hits), "hits")
+    drop_written(*hits)
     return out
 
 
-def _groups_or_none(benchmark: DataFrame, item_col: str, item_text: str, most: int) -> Iterator[list]:
-    some = False
-    for some in _slices(benchmark, item_col, item_text, most):
-        yield some
-    if some is False:
-        yield []
-
-
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = scan(docs.select("doc_id", "text"), benchmark, **options)
@@ -169,36 +222,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", s
     """``docs`` without contaminated documents (``action="drop"``), or with the covered words cut out of them (``action="cut"``).
 
     A document is contaminated if benchmark windows cover at least one word
-    and ``share`` of its words. The others stay as they are.
+    and ``share`` of its words. The others stay as they are, null and empty texts included.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = scan(docs, benchmark, **options)
-    bad = (F.col("_n_hit") > 0) & (F.col("_n_hit") >= share * F.col("_n_words"))
-    if action == "drop":
-        return found.where(~bad).select(*columns)
-    if action != "cut":
+    if action not in ("drop", "cut"):
         raise ValueError("action is 'drop' or 'cut'")
+    made = spare(docs.columns, "n_words", "n_hit", "ranges", "items", "cut")
+    found = scan(docs, benchmark, made=tuple(made[:4]), **options)
+    bad = (F.col(made[1]) > 0) & (F.col(made[1]) >= share * F.col(made[0]))
+    if action == "drop":
+        return found.where(~bad).select(*map(quoted, docs.columns))
     text_col = options.get("text_col", "text")
-    text = F.when(bad, F.col("_cut")).otherwise(F.col(text_col)).alias(text_col)
-    return found.mapInArrow(_cut(text_col, [*found.columns, "_cut"]), found.withColumn("_cut", F.lit("").cast("string")).schema).select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    out = found.mapInArrow(_cut(text_col, found.columns, made[2], made[4]), found.withColumn(made[4], F.lit("").cast("string")).schema)
+    return out.select(*(F.when(bad, F.col(made[4])).otherwise(quoted(c)).alias(c) if c == text_col else quoted(c) for c in docs.columns))
 
 
-def _cut(text_col: str, columns: list[str]):
+def _cut(text_col: str, columns: list[str], ranges: str, cut: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             data, offsets = text_bytes(batch.column(text_col))
             words = Words(data, offsets, ALNUM)
             out = []
-            for d, found in enumerate(batch.column("_ranges").to_pylist()):
-                at, parts = int(offsets[d]), []
+            for d, found in enumerate(batch.column(ranges).to_pylist()):
+                at, parts, first = int(offsets[d]), [], int(words.first[d])
                 for r in found or ():
-                    first = int(words.first[d])
                     parts.append(data[at : words.start[first + r["begin"]]].tobytes())
                     at = int(words.end[first + r["end"] - 1])
                 parts.append(data[at : offsets[d + 1]].tobytes())
                 out.append(b"".join(parts).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*columns, cut])
 
     return run
-
-
