@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, by_hash, fold, slices, text_bytes
+from papyra.llm.common import bounded_batches, by_hash, fold, quoted, slices, spare, text_bytes
 
 #: Bytes of a chunk, and from one chunk to the next.
 CHUNK, STEP = 512, 448
@@ -22,17 +22,26 @@ THRESHOLD = 0.7
 _PAD = 256
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all chunks, padded; first chunk of each text and the end). Each text has a chunk at least, and each byte is in one."""
+def chunk_bounds(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin and end of each chunk, first chunk of each text and the end). Each text has a chunk at least, and each byte is in one."""
     lengths = np.diff(offsets)
-    counts = np.maximum(1, -(-(lengths - CHUNK) // STEP) + 1)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    text = np.repeat(np.arange(len(lengths)), counts)
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-(lengths - CHUNK) // STEP) + 1))])
+    text = np.repeat(np.arange(len(lengths)), np.diff(first))
     begin = offsets[:-1][text] + (np.arange(first[-1]) - first[:-1][text]) * STEP
+    return begin, np.maximum(np.minimum(begin + CHUNK, offsets[1:][text]), begin), first
+
+
+def cut_out(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of some chunks, padded."""
     at = begin[:, None] + np.arange(CHUNK)
-    inside = at < offsets[1:][text][:, None]
     source = data if len(data) else np.zeros(1, np.uint8)
-    return np.where(inside, source[np.minimum(at, len(source) - 1)], np.int16(_PAD)).astype(np.int16), first
+    return np.where(at < end[:, None], source[np.minimum(at, len(source) - 1)], np.int16(_PAD)).astype(np.int16)
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all chunks, padded; first chunk of each text and the end)."""
+    begin, end, first = chunk_bounds(offsets)
+    return cut_out(data, begin, end), first
 
 
 class Network:
@@ -67,8 +76,12 @@ class Network:
         return np.concatenate([np.maximum.reduceat(pooled, first[:-1]), np.add.reduceat(pooled, first[:-1]) / counts], axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        chunks, first = chunked(data, offsets)
-        z = self.combined(self.pooled(chunks), first).astype(np.float64) @ self.out.astype(np.float64) + float(self.shift[0])
+        """The probability of each whole text; a few hundred chunks at a time are cut out, so memory beside the text is what their pools take."""
+        begin, end, first = chunk_bounds(offsets)
+        pooled = np.empty((len(begin), FILTERS), np.float32)
+        for i in range(0, len(begin), 256):
+            pooled[i : i + 256] = self.pooled(cut_out(data, begin[i : i + 256], end[i : i + 256]))
+        z = self.combined(pooled, first).astype(np.float64) @ self.out.astype(np.float64) + float(self.shift[0])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 48, rate: float = 4e-3, seed: int = 0) -> Network:
@@ -139,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", traina
     return Network().fit([r.text.encode("utf-8", "replace") for r in found], [r.y for r in found])
 
 
-def _score(packed, text_col: str, columns: list[str]):
+def _score(packed, text_col: str, columns: list[str], score: str):
     kept: list[Network] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +160,23 @@ def _score(packed, text_col: str, columns: list[str]):
             kept.append(pickle.loads(packed.value))  # noqa: S301  made by this driver
         for batch in slices(batches, text_col):
             scores = pa.array(kept[0].scores(*text_bytes(batch.column(text_col))), pa.float64())
-            yield pa.RecordBatch.from_arrays([scores if c == "_score" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([scores if c == score else batch.column(c) for c in columns], names=columns)
 
     return run
 
 
-def scored(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score``, the probability of label 1 for each whole text; null is scored as an empty text. Without a network every score is 1."""
+def scored(docs: DataFrame, network: Network | None, text_col: str = "text", score: str = "_score") -> DataFrame:
+    """``docs`` with ``_score`` (a column of that name is replaced), the probability of label 1 for each whole text.
+
+    Null is scored as an empty text; a long text is read whole, some chunks at a time; repeated rows are scored each; an empty
+    table gives an empty result. Without a network every score is 1.
+    """
     bounded_batches(docs.sparkSession)
-    out = docs.withColumn("_score", F.lit(1.0))
+    out = docs.withColumn(score, F.lit(1.0))
     if network is None:
         return out
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(network))
-    return out.mapInArrow(_score(packed, text_col, out.columns), out.schema)
+    return out.mapInArrow(_score(packed, text_col, out.columns, score), out.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -176,4 +193,5 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """``docs`` without the texts that score under ``THRESHOLD``; the network is the one of :func:`digest`."""
     out_fold = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     network = train(docs, labels, trainable=F.col("doc_id").isNotNull() & ~out_fold)
-    return scored(docs, network).where(F.col("_score") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    [score] = spare(docs.columns, "score")
+    return scored(docs, network, score=score).where(F.col(score) >= THRESHOLD).select(*map(quoted, docs.columns))
