@@ -15,6 +15,8 @@ from papyra.llm.common import LOWER, bounded_batches, fold, slices, text_bytes
 
 #: Bytes of the longest n-gram, and n-grams of a profile.
 LONGEST, PROFILE = 4, 400
+#: Bytes of a text that n-grams are counted of at once; a longer text is cut between words.
+PIECE_BYTES = 1 << 20
 #: A profile is counted on about so many texts of its language, by a hash of the id; fewer if there are fewer.
 TRAIN_TEXTS = 600
 MOST_LANGUAGES = 2000
@@ -28,6 +30,26 @@ _GAP = np.uint8(32)
 
 
 def ranked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, count), each text's n-grams from the most frequent on, ties by the n-gram. Texts: 2048 at most, or one of any length."""
+    if len(offsets) != 2 or len(data) <= PIECE_BYTES:
+        return _ranked(data, offsets)
+    grams, counts, at = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    while at < len(data):
+        end = min(at + PIECE_BYTES, len(data))
+        while end < len(data):  # up to the next gap, so that no word is cut
+            gaps = np.flatnonzero(~_LETTER[LOWER[data[end : end + 4096]]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + 4096, len(data))
+        _, own, n = _ranked(data[at:end], np.array([0, end - at]))
+        grams, place = np.unique(np.concatenate([grams, own]), return_inverse=True)
+        counts, at = np.bincount(place, np.concatenate([counts, n])).astype(np.int64), end
+    order = np.lexsort((grams, -counts))
+    return np.zeros(len(grams), np.int64), grams[order], counts[order]
+
+
+def _ranked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, n-gram, count), each text's n-grams from the most frequent on, ties by the n-gram.
 
     Letters are lower-case ASCII letters and all non-ASCII bytes; other bytes
@@ -154,7 +176,7 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Profiles:
     return Profiles({k: [g for _, g in sorted(v)] for k, v in out.items()})
 
 
-def _predict(packed, text_col: str, columns: list[str]):
+def _predict(packed, text_col: str, columns: list[str], lang: str, score: str):
     kept: list[Profiles] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +186,22 @@ def _predict(packed, text_col: str, columns: list[str]):
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
                 languages, scores = kept[0].predict(*text_bytes(batch.column(text_col)))
-                own = {"_lang": pa.array(languages, pa.string()), "_score": pa.array(scores, pa.float64())}
+                own = {lang: pa.array(languages, pa.string()), score: pa.array(scores, pa.float64())}
                 yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in columns], names=columns)
 
     return run
 
 
-def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score`` of each whole text.
+def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """``docs`` with ``_lang`` and ``_score`` of each whole text (columns of these names are replaced).
 
     ``und`` with score 0 for null, for a text without a letter, and if nothing was learned. The score
     is the best language's share when distances are weighed exponentially; ties go to the first name.
+    Long texts are read whole, a piece at a time; repeated rows are judged each; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    out = docs.withColumns({"_lang": F.lit("").cast("string"), "_score": F.lit(0.0)})
-    return out.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(pickle.dumps(profiles)), text_col, out.columns), out.schema)
+    out = docs.withColumns({lang: F.lit("").cast("string"), score: F.lit(0.0)})
+    return out.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(pickle.dumps(profiles)), text_col, out.columns, lang, score), out.schema)
 
 
 def digest(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
