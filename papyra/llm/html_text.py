@@ -7,6 +7,7 @@ import pickle
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, by_hash, slices
+from papyra.llm.common import bounded_batches, by_hash, quoted, slices
 
 #: Slots of the hashed path tokens and words, numbers for each, other numbers of a block, hidden numbers of each direction.
 PATH_SLOTS, WORD_SLOTS, DEPTH, EXTRA, HIDDEN = 1024, 2048, 16, 8, 16
 #: The labeller is fitted on so many pages at most, each of so many blocks and characters at most.
 TRAIN_PAGES, TRAIN_BLOCKS, TRAIN_CHARS = 240, 80, 60_000
+#: Blocks, with padding, of the pages that are labelled together, or one page; time steps whose inputs are multiplied at once.
+CELLS, STEPS = 16_384, 2048
 
 # Element names of the HTML standard.
 _RAW = {"script", "style", "title", "textarea", "iframe"}
@@ -56,7 +59,7 @@ def _tokens(name: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in its order; comments, scripts, styles, titles, text fields, frames and markup are no part of any.
 
-    White space within a block, character references decoded, is one space. Inline
+    Character references are decoded in each piece of text between tags; white space within a block is one space. Inline
     elements, formulas and line breaks do not end a block; buttons, lists of options,
     and what stands for embedded media or scripts are blocks of their own. Broken markup is read as
     browsers do: an unclosed paragraph or item ends with the next, a cut-off
@@ -70,7 +73,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, tuple(t for _, ts in stack for t in ts), linked))
             parts.clear()
@@ -79,7 +82,8 @@ def blocks(page: str) -> list[Block]:
     def text(begin: int, end: int) -> None:
         nonlocal linked
         if end > begin:
-            parts.append(page[begin:end])
+            node = page[begin:end]
+            parts.append(entities.unescape(node) if "&" in node else node)
             if links:
                 linked += end - begin
 
@@ -223,11 +227,13 @@ class Labeller:
     def _run(self, x: np.ndarray, d: str, keep: bool = False) -> tuple:
         """x: time, page, numbers; pages of one length, or padded at the end that comes last."""
         t, n, _ = x.shape
-        gates_x = (x.reshape(t * n, -1) @ self.p[f"x{d}"] + self.p[f"b{d}"]).reshape(t, n, -1)
         h, c, w = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), self.p[f"h{d}"]
         out, kept = np.empty((t, n, HIDDEN), np.float32), []
         for k in range(t):
-            g = gates_x[k] + h @ w
+            if k % STEPS == 0:
+                part = x[k : k + STEPS]
+                gates_x = (part.reshape(-1, part.shape[2]) @ self.p[f"x{d}"] + self.p[f"b{d}"]).reshape(len(part), n, -1)
+            g = gates_x[k % STEPS] + h @ w
             s, u = _sigmoid(g[:, : 3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN :])
             i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
             before, c = c, f * c + i * u
@@ -239,11 +245,13 @@ class Labeller:
         return out, kept
 
     def scores(self, pages: list[tuple]) -> list[np.ndarray]:
-        """The probability of each block; pages of like length run together."""
+        """The probability of each block; pages of like length run together, ``CELLS`` blocks of the longest length at most, or one page."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k][0])), key=lambda k: len(pages[k][0]))
-        for i in range(0, len(order), 64):
-            own = order[i : i + 64]
+        while order:
+            # from the longest page on, so that it is the one that bounds its companions
+            own = order[-max(1, CELLS // len(pages[order[-1]][0])) :]
+            del order[-len(own) :]
             lengths = [len(pages[k][0]) for k in own]
             x = self._inputs([pages[k] for k in own])[0]
             z = self._logits(x, lengths)[0]
@@ -270,14 +278,16 @@ class Labeller:
         joined = np.concatenate([*hidden, x], axis=1)
         return joined @ self.p["out"] + self.p["shift"][0], joined, state
 
-    def fit(self, pages: list[tuple], labels: list[np.ndarray], epochs: int = 10, batch: int = 16, rate: float = 6e-3, seed: int = 0) -> Labeller:
+    def fit(self, pages: list[tuple], labels: list[np.ndarray], sure: list[np.ndarray] | None = None, epochs: int = 10, batch: int = 16, rate: float = 6e-3, seed: int = 0) -> Labeller:
+        """Adam on the cross-entropy of the labels; ``sure`` weighs the blocks, 0 for those whose label isn't known."""
+        sure = sure or [np.ones(len(y), np.float32) for y in labels]
         rng = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for _ in range(epochs):
             order = rng.permutation(len(pages))
             for i in range(0, len(order), batch):
                 own = order[i : i + batch]
-                grads = self._gradients([pages[k] for k in own], np.concatenate([labels[k] for k in own]))
+                grads = self._gradients([pages[k] for k in own], np.concatenate([labels[k] for k in own]), np.concatenate([sure[k] for k in own]))
                 t += 1
                 for k, g in grads.items():
                     m[k] += 0.1 * (g - m[k])
@@ -285,11 +295,11 @@ class Labeller:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def _gradients(self, pages: list[tuple], y: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, pages: list[tuple], y: np.ndarray, sure: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         lengths = [len(p[0]) for p in pages]
         x, path_flat, path_owner, word_flat, word_owner = self._inputs(pages)
         z, joined, state = self._logits(x, lengths, keep=True)
-        dz = ((_sigmoid(z) - y) / len(y)).astype(np.float32)
+        dz = ((_sigmoid(z) - y) * sure / len(y)).astype(np.float32)
         grads = {"out": joined.T @ dz + 1e-4 * self.p["out"], "shift": np.array([dz.sum()], np.float32)}
         dj = dz[:, None] * self.p["out"]
         dx = dj[:, 2 * HIDDEN :].copy()
@@ -329,11 +339,51 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset
 MAIN = {"article", "main", ".article", ".content", ".entry", ".post", ".main", ".story", ".body"}
 
 
-def labels_of(page: list[Block]) -> np.ndarray | None:
-    """1 for blocks of the article, by the page's own element names and classes; None if it names no article."""
-    if not any(MAIN & {*b.path} for b in page):
-        return None
-    return np.array([bool(MAIN & {*b.path}) and not ASIDE & {*b.path} and not (len(b.path) and b.path[0] == "head") for b in page], np.float32)
+#: Elements whose names are hidden in training.
+_NAMED = {"article", "main", "section", "nav", "header", "footer", "aside", "form", "menu", "dialog"}
+#: A block text on so many training pages of a host, and on this share of them, belongs to the host and not to an article.
+REPEATED_PAGES, REPEATED_SHARE = 3, 0.3
+#: Share of linked characters from which, without names, a block is none of the article; words from which it is, if few are linked.
+MOST_LINKED, LEAST_WORDS = 0.5, 12
+
+
+def repeated(pages: list[tuple[str, list[Block]]]) -> dict[str, set[str]]:
+    """Host -> the block texts that its pages repeat."""
+    count, on = Counter(h for h, _ in pages), Counter((h, t) for h, p in pages for t in {b.text for b in p})
+    out: dict[str, set[str]] = {}
+    for (h, t), n in on.items():
+        if n >= max(REPEATED_PAGES, REPEATED_SHARE * count[h]):
+            out.setdefault(h, set()).add(t)
+    return out
+
+
+def labels_of(page: list[Block], host_texts: set[str] | frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray] | None:
+    """(1 for blocks of the article, 1 for blocks whose label is sure), from names, repetition on the host's pages and links.
+
+    Where a page names its article, that decides, except for what the host
+    repeats; where names of an article and of an aside are both around a block,
+    or a named paragraph is all links, it isn't sure. Where a page names
+    none, text of some length with few links is the article, and
+    named asides, linked and repeated texts are not; the rest is not sure. None if there is no sure block of the article.
+    """
+    named = any(MAIN & {*b.path} for b in page)
+    y, sure = np.zeros(len(page), np.float32), np.ones(len(page), np.float32)
+    for k, b in enumerate(page):
+        main, aside, linked = bool(MAIN & {*b.path}), bool(ASIDE & {*b.path}), b.linked / max(len(b.text), 1)
+        if aside or b.text in host_texts or b.path[:1] == ("head",):
+            continue
+        if named:
+            y[k] = main
+            sure[k] = not (main and linked > MOST_LINKED)
+        elif linked <= MOST_LINKED:
+            y[k] = sure[k] = len(b.text.split()) >= LEAST_WORDS and linked < 0.2
+    return (y, sure) if (y * sure).any() else None
+
+
+def hidden(page: list[Block], rng: random.Random) -> list[Block]:
+    """The page without class names and, at random, without telling element names."""
+    names = rng.random() < 0.5
+    return [Block(b.text, tuple("div" if names and t in _NAMED else t for t in b.path if t[0] != "."), b.linked) for b in page]
 
 
 def varied(page: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[list[Block], np.ndarray]:
@@ -344,9 +394,9 @@ def varied(page: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[l
         return page, labels
     root = rng.choice([("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", ".content", "article"), ("div", ".post", ".body"), ("section", ".story"), ("div", ".entry", ".content"), ("div", ".article", ".body"), ("div",)])
     frames = {
-        "before": [("header",), ("div", ".header"), ("nav",), ("nav", "ul", "li"), ("div", ".menu", "ul", "li"), ("ul", ".nav", "li"), ("div", ".breadcrumbs"), ("div", ".cookie", ".notice"), ("div", ".banner"), ("header", "nav", "ul", "li"), ("div", ".skip")],
-        "inside": [("div", ".ad"), ("div", ".ads"), ("div", ".advertisement"), ("aside",), ("aside", "p"), ("div", ".sponsored"), ("div", ".related", "ul", "li"), ("div", ".share"), ("div", ".newsletter", "form"), ("form",), ("div", ".promo", "p"), ("div", ".notice")],
-        "after": [("footer",), ("footer", "p"), ("div", ".footer"), ("aside", ".sidebar"), ("div", ".sidebar", "p"), ("div", ".comments", "p"), ("section", ".comments", "div", ".comment", "p"), ("div", ".comment", "p"), ("ol", ".comment", ".list", "li", "p"), ("form", ".comment", ".form"), ("div", ".related", "a"), ("div", ".subscribe"), ("div", ".copyright"), ("div", ".widget", "ul", "li"), ("div", ".replies", "p"), ("section", ".discussion", "article", ".comment", "p")],
+        "before": [("div", "ul", "li"), ("table", "tr", "td"), ("header",), ("div", ".header"), ("nav",), ("nav", "ul", "li"), ("div", ".menu", "ul", "li"), ("ul", ".nav", "li"), ("div", ".breadcrumbs"), ("div", ".cookie", ".notice"), ("div", ".banner"), ("header", "nav", "ul", "li"), ("div", ".skip")],
+        "inside": [("div", "ul", "li"), ("div", ".ad"), ("div", ".ads"), ("div", ".advertisement"), ("aside",), ("aside", "p"), ("div", ".sponsored"), ("div", ".related", "ul", "li"), ("div", ".share"), ("div", ".newsletter", "form"), ("form",), ("div", ".promo", "p"), ("div", ".notice")],
+        "after": [("div", "ul", "li"), ("table", "tr", "td"), ("footer",), ("footer", "p"), ("div", ".footer"), ("aside", ".sidebar"), ("div", ".sidebar", "p"), ("div", ".comments", "p"), ("section", ".comments", "div", ".comment", "p"), ("div", ".comment", "p"), ("ol", ".comment", ".list", "li", "p"), ("form", ".comment", ".form"), ("div", ".related", "a"), ("div", ".subscribe"), ("div", ".copyright"), ("div", ".widget", "ul", "li"), ("div", ".replies", "p"), ("section", ".discussion", "article", ".comment", "p")],
     }
     out: list[tuple[Block, float]] = []
 
@@ -357,7 +407,9 @@ def varied(page: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[l
                 b = rng.choice(rest if rng.random() < 0.5 else main)
                 words = b.text.split()
                 text = " ".join(words[: rng.choice([1, 2, 3, 8, 20, 60])])
-                linked = len(text) if any(t in ("nav", "li", "a") for t in path) and rng.random() < 0.8 else 0
+                # menus and tables without a name are made of links, or nothing tells them from lists of the article
+                unnamed = path[-3:] in (("div", "ul", "li"), ("table", "tr", "td"))
+                linked = len(text) if unnamed or any(t in ("nav", "li", "a") for t in path) and rng.random() < 0.8 else 0
                 out.append((Block(text, path, linked), 0.0))
 
     inner = rng.choice([(), (), ("div",), ("section",)])
@@ -372,26 +424,41 @@ def varied(page: list[Block], labels: np.ndarray, rng: random.Random) -> tuple[l
     return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
-def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = TRAIN_PAGES) -> Labeller:
-    """A labeller fitted on ``most`` pages in the order of a hash of the id (``TRAIN_CHARS`` characters each at most), labelled by their own element names, and on the same blocks in other layouts."""
-    some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).where(F.length("h").between(1, TRAIN_CHARS))
+def sample(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str | None = "url", most: int = TRAIN_PAGES) -> list[tuple[str, list[Block]]]:
+    """(host, blocks) of ``most`` pages in the order of a hash of the id, of ``TRAIN_CHARS`` characters each at most."""
+    host = F.regexp_extract(quoted(url_col), "//([^/?#]+)", 1) if url_col in pages.columns else F.lit("")
+    some = pages.select(quoted(id_col).alias("i"), quoted(html_col).alias("h"), F.coalesce(host, F.lit("")).alias("u")).where(F.length("h").between(1, TRAIN_CHARS))
     some = by_hash(some, "i", most).withColumn("o", F.xxhash64("i"))
-    found = some.orderBy("o", "i", "h").limit(most).collect()
-    rng, data, labels = random.Random(0), [], []
-    for r in found:
-        page = blocks(r["h"])
-        y = labels_of(page) if page else None
-        if y is None:
+    return [(r["u"], blocks(r["h"])) for r in some.orderBy("o", "i", "h").limit(most).collect()]
+
+
+def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str | None = "url", most: int = TRAIN_PAGES) -> Labeller:
+    """A labeller fitted on :func:`sample`: each page as it is and in another layout, and both with its names hidden."""
+    return fitted(sample(pages, html_col, id_col, url_col, most))
+
+
+def fitted(pages: list[tuple[str, list[Block]]]) -> Labeller:
+    rng, data, labels, sure = random.Random(0), [], [], []
+    common = repeated(pages)
+    for host, page in pages:
+        found = labels_of(page, common.get(host, frozenset())) if page else None
+        if found is None:
             continue
-        for p, t in ((page, y), varied(page, y, rng), varied(page, y, rng)):
+        y, known = found
+        other, other_y = varied(page, y, rng)
+        ones = np.ones(len(other), np.float32)
+        # real pages count more than made-up layouts
+        for p, t, k in ((page, y, 4 * known), (other, other_y, ones), (hidden(page, rng), y, 2 * known), (hidden(other, rng), other_y, ones)):
             if 0 < len(p) <= TRAIN_BLOCKS:
                 data.append(features(p))
                 labels.append(t)
+                sure.append(k)
     for text in () if data else ("A first line.", "Another line of the text, somewhat longer than the first."):
         p, t = varied([Block(text, ("html", "body", "article", "p"), 0)] * 3, np.ones(3, np.float32), rng)
         data.append(features(p))
         labels.append(t)
-    return Labeller().fit(data, labels)
+        sure.append(np.ones(len(t), np.float32))
+    return Labeller().fit(data, labels, sure)
 
 
 def main_text(pages: list[str], labeller: Labeller, threshold: float = 0.5) -> list[str]:
@@ -400,7 +467,7 @@ def main_text(pages: list[str], labeller: Labeller, threshold: float = 0.5) -> l
     return ["\n".join(b.text for b, s in zip(p, own, strict=True) if s >= threshold) if p else "" for p, own in zip(read, scores, strict=True)]
 
 
-def _extract(packed, html_col: str, columns: list[str]):
+def _extract(packed, html_col: str, columns: list[str], text: str):
     kept: list[Labeller] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,19 +475,20 @@ def _extract(packed, html_col: str, columns: list[str]):
             kept.append(pickle.loads(packed.value))  # noqa: S301  made by this driver
         for batch in slices(batches, html_col):
             texts = pa.array(main_text(batch.column(html_col).to_pylist(), kept[0]), pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == "_text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in columns], names=columns)
 
     return run
 
 
-def extracted(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> DataFrame:
-    """``pages`` with ``_text``, the main text of each whole page: the blocks labelled as article, in page order, joined by a line end.
+def extracted(pages: DataFrame, labeller: Labeller, html_col: str = "html", text: str = "_text") -> DataFrame:
+    """``pages`` with ``_text`` (a column of that name is replaced), the main text of each whole page: the blocks labelled as article, in page order, joined by a line end.
 
-    Null and empty pages, and pages without a block of the article, give an empty text.
+    Null and empty pages, and pages without a block of the article, give an empty text. Pages are read whole, some MB or one page at a
+    time, and labelled together by like length; repeated rows are extracted each; an empty table gives an empty result.
     """
     bounded_batches(pages.sparkSession)
-    out = pages.withColumn("_text", F.lit("").cast("string"))
-    return out.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(pickle.dumps(labeller)), html_col, out.columns), out.schema)
+    out = pages.withColumn(text, F.lit("").cast("string"))
+    return out.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(pickle.dumps(labeller)), html_col, out.columns, text), out.schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:
