@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, by_hash, quoted, slices
+from papyra.llm.common import any_names, bounded_batches, by_hash, quoted, slices
 
 #: Slots of the hashed path tokens and words, numbers for each, other numbers of a block, hidden numbers of each direction.
 PATH_SLOTS, WORD_SLOTS, DEPTH, EXTRA, HIDDEN = 1024, 2048, 16, 8, 16
@@ -348,7 +348,8 @@ MOST_LINKED, LEAST_WORDS = 0.5, 12
 
 
 def repeated(pages: list[tuple[str, list[Block]]]) -> dict[str, set[str]]:
-    """Host -> the block texts that its pages repeat."""
+    """Host -> the block texts that its pages repeat; pages of the same text are one."""
+    pages = list({(h, tuple(b.text for b in p)): (h, p) for h, p in pages}.values())
     count, on = Counter(h for h, _ in pages), Counter((h, t) for h, p in pages for t in {b.text for b in p})
     out: dict[str, set[str]] = {}
     for (h, t), n in on.items():
@@ -360,9 +361,8 @@ def repeated(pages: list[tuple[str, list[Block]]]) -> dict[str, set[str]]:
 def labels_of(page: list[Block], host_texts: set[str] | frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray] | None:
     """(1 for blocks of the article, 1 for blocks whose label is sure), from names, repetition on the host's pages and links.
 
-    Where a page names its article, that decides, except for what the host
-    repeats; where names of an article and of an aside are both around a block,
-    or a named paragraph is all links, it isn't sure. Where a page names
+    Where a page names its article, that decides, but blocks of it that the host
+    repeats or that are mostly links aren't sure. Where a page names
     none, text of some length with few links is the article, and
     named asides, linked and repeated texts are not; the rest is not sure. None if there is no sure block of the article.
     """
@@ -370,11 +370,13 @@ def labels_of(page: list[Block], host_texts: set[str] | frozenset[str] = frozens
     y, sure = np.zeros(len(page), np.float32), np.ones(len(page), np.float32)
     for k, b in enumerate(page):
         main, aside, linked = bool(MAIN & {*b.path}), bool(ASIDE & {*b.path}), b.linked / max(len(b.text), 1)
-        if aside or b.text in host_texts or b.path[:1] == ("head",):
+        if aside or b.path[:1] == ("head",):
             continue
         if named:
             y[k] = main
-            sure[k] = not (main and linked > MOST_LINKED)
+            sure[k] = not (main and (linked > MOST_LINKED or b.text in host_texts))
+        elif b.text in host_texts:
+            continue
         elif linked <= MOST_LINKED:
             y[k] = sure[k] = len(b.text.split()) >= LEAST_WORDS and linked < 0.2
     return (y, sure) if (y * sure).any() else None
@@ -480,6 +482,7 @@ def _extract(packed, html_col: str, columns: list[str], text: str):
     return run
 
 
+@any_names
 def extracted(pages: DataFrame, labeller: Labeller, html_col: str = "html", text: str = "_text") -> DataFrame:
     """``pages`` with ``_text`` (a column of that name is replaced), the main text of each whole page: the blocks labelled as article, in page order, joined by a line end.
 
