@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,21 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of a table and options that works on columns with dots in their names too, which Arrow steps can't take."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *others, **options) -> DataFrame:
+        odd = [c for c in docs.columns if "." in c or "`" in c]
+        new = dict(zip(odd, spare(docs.columns, *(c.replace(".", "_").replace("`", "_") for c in odd)), strict=True))
+        options = {k: new.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = stage(docs.toDF(*(new.get(c, c) for c in docs.columns)) if odd else docs, *others, **options)
+        back = {v: k for k, v in new.items()}
+        return out.toDF(*(back.get(c, c) for c in out.columns)) if odd else out
+
+    return run
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts))

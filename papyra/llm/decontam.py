@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import ALNUM, Words, bounded_batches, drop_written, quoted, slices, spare, text_bytes, windows, written
+from papyra.llm.common import ALNUM, Words, any_names, bounded_batches, drop_written, quoted, slices, spare, text_bytes, windows, written
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 13
@@ -161,6 +161,7 @@ def _gather(text_col: str, columns: list[str], made: list[str], all_ranges: str,
     return run
 
 
+@any_names
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_bytes: int = BROADCAST_BYTES, made: tuple[str, ...] = ("_n_words", "_n_hit", "_ranges", "_items")) -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_hit``, ``_ranges`` (word ranges that benchmark windows cover) and ``_items`` (ids of the items found).
 
@@ -218,6 +219,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
+@any_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", share: float = 0.05, **options) -> DataFrame:
     """``docs`` without contaminated documents (``action="drop"``), or with the covered words cut out of them (``action="cut"``).
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import NOT_SPACE, Words, _mixed, block_pairs, blocked, bounded_batches, drop_written, grouped, local_components, quoted, sized_broadcast, slices, text_bytes, windows, written
+from papyra.llm.common import NOT_SPACE, Words, _mixed, any_names, block_pairs, blocked, bounded_batches, drop_written, grouped, local_components, quoted, sized_broadcast, slices, spare, text_bytes, windows, written
 from papyra.llm.graph import components
 
 #: Words of an n-gram, and the least Jaccard similarity as a fraction.
@@ -390,20 +390,24 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     return sets.join(groups, "node", "left").select(F.col("node").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
+@any_names
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the smallest; rows of a null id and documents without words stay.
 
     Repeated rows of the same id and text are one document, of which one row
     stays. Different texts of one id are one node: they stay or go together.
+    Of ids that tie in nothing but their text the smallest stays; an empty table gives an empty result.
     """
     _, groups = linked(docs, id_col=id_col, text_col=text_col, **options)
-    gone = groups.where("node <> component").select(F.col("node").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    held = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    again = written(docs.where(held).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
+    out, twice = spare(docs.columns, "gone", "again")
+    doc, text = quoted(id_col), quoted(text_col)
+    gone = groups.where("node <> component").select(F.col("node").alias(out)).distinct()
+    kept = docs.join(gone, doc == F.col(out), "left_anti")
+    held = doc.isNotNull() & F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = written(docs.where(held).groupBy(doc.alias(twice)).agg(F.count("*").alias("n")).where("n > 1").select(twice), "repeated")
     if not again.limit(1).count():
         return kept
     # only the few rows of repeated ids meet by their texts
-    marked = kept.join(sized_broadcast(again, MOST_BROADCAST), F.col(id_col) == F.col("_again"), "left")
-    once = marked.where(held & F.col("_again").isNotNull()).dropDuplicates([id_col, text_col])
-    return marked.where(~held | F.col("_again").isNull()).union(once).drop("_again")
+    marked = kept.join(sized_broadcast(again, MOST_BROADCAST), doc == F.col(twice), "left")
+    once = marked.where(held & F.col(twice).isNotNull()).dropDuplicates([id_col, text_col])
+    return marked.where(~held | F.col(twice).isNull()).union(once).drop(twice)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import LOWER, bounded_batches, fold, slices, text_bytes
+from papyra.llm.common import LOWER, any_names, bounded_batches, fold, slices, text_bytes
 
 #: Bytes of the longest n-gram, and n-grams of a profile.
 LONGEST, PROFILE = 4, 400
@@ -192,6 +192,7 @@ def _predict(packed, text_col: str, columns: list[str], lang: str, score: str):
     return run
 
 
+@any_names
 def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang: str = "_lang", score: str = "_score") -> DataFrame:
     """``docs`` with ``_lang`` and ``_score`` of each whole text (columns of these names are replaced).
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.llm.common import drop_written, literal, quoted, spare, written
+from papyra.llm.common import any_names, drop_written, literal, quoted, spare, written
 
 #: Parts that weights are fractions of where a caller asks for rounded ones.
 PARTS = 1000
@@ -282,6 +282,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     )
 
 
+@any_names
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with phase, slot, release, deadline, block, units and start of :func:`mixed`; they replace columns of these names.
 

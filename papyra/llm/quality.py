@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, by_hash, fold, quoted, slices, spare, text_bytes
+from papyra.llm.common import any_names, bounded_batches, by_hash, fold, quoted, slices, spare, text_bytes
 
 #: Bytes of a chunk, and from one chunk to the next.
 CHUNK, STEP = 512, 448
@@ -165,6 +165,7 @@ def _score(packed, text_col: str, columns: list[str], score: str):
     return run
 
 
+@any_names
 def scored(docs: DataFrame, network: Network | None, text_col: str = "text", score: str = "_score") -> DataFrame:
     """``docs`` with ``_score`` (a column of that name is replaced), the probability of label 1 for each whole text.
 
@@ -189,6 +190,7 @@ def digest(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2
     return scored(docs.select("doc_id", "text"), network).select("doc_id", out_fold.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@any_names
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """``docs`` without the texts that score under ``THRESHOLD``; the network is the one of :func:`digest`."""
     out_fold = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bounded_batches, char_at, quoted, sized_broadcast, slices, spare, text_bytes, written
+from papyra.llm.common import any_names, bounded_batches, char_at, quoted, sized_broadcast, slices, spare, text_bytes, written
 
 #: Fixed kinds in their listed order, then the kind that the corpus decides on.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -201,6 +201,7 @@ def _redact(text_col: str, columns: list[str], spans: str, live_mark: str, examp
     return run
 
 
+@any_names
 def redact(docs: DataFrame, text_col: str = "text", live_mark: str = "<SECRET>", example_mark: str = "<EXAMPLE>", **options) -> DataFrame:
     """``docs`` with each span replaced by a mark; overlapping spans are replaced as one, with the mark of the first of them (of those that begin there, a live one).
 

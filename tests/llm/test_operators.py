@@ -1,7 +1,10 @@
+import hashlib
 import math
 import random
+import tracemalloc
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import brute
 import numpy as np
@@ -80,6 +83,59 @@ def test_ownership_separates_copied_from_own(spark):
     assert out[10]["spans"] == "opaque:0:24" and out[11]["spans"] == "" and out[12]["spans"] == ""
 
 
+def plain_spans(data):
+    """(doc_id, spans, n_live, n_example) in plain Python, from the spans of single texts."""
+    uses, found = defaultdict(list), []
+    for i, t, source in data:
+        text = (t or "").encode()
+        own = list(secret_scan.byte_spans(text))
+        own = [s for s in own if s[0] < 3 or not any(o[0] < 3 and o[1] < s[2] and s[1] < o[2] for o in own)]
+        found.append((i, text, own))
+        for s in own:
+            uses[text[s[3] : s[4]]].append((secret_scan.repository(text), source))
+    live = {k: len({o for _, o in v}) <= secret_scan.MOST_OWNERS and len({r for r, _ in v}) <= secret_scan.MOST_REPOSITORIES and len(v) <= secret_scan.MOST_USES for k, v in uses.items()}
+    out = []
+    for i, text, own in found:
+        chars = lambda n: len(text[:n].decode())  # noqa: B023, E731
+        spans = sorted((chars(b), k, chars(e), live[text[x:y]]) for k, b, e, x, y in own if k < 3 or live[text[x:y]])
+        out.append((i, ",".join(f"{secret_scan.KINDS[k]}:{b}:{e}" for b, k, e, _ in spans), sum(s[3] for s in spans), sum(not s[3] for s in spans)))
+    return sorted(out, key=repr)
+
+
+def test_spans_match_a_plain_version(spark):
+    rng = random.Random(26)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(30)]
+    data = [(i, f"é {rng.choice(['', 'https://code.example/own/repo%d ' % (i % 4)])}{prose(rng, 5)} {rng.choice(keys)} token={rng.choice(keys)} {rng.choice(['', 'deadbeef' * 4])}", rng.choice(["s1", "s2", None])) for i in range(120)]
+    data += [(200 + k, f"common {keys[0]} {k}", "s9") for k in range(8)] + [(300, None, "s1"), (301, "", "s1"), (302, data[0][1], data[0][2]), (302, data[0][1], data[0][2])]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    assert got(secret_scan.digest(df), "doc_id", "spans", "n_live", "n_example") == plain_spans(data)
+
+
+def test_repositories_are_not_owners(spark):
+    """One owner: a secret in many repositories is an example, one that copies of a text or a repository named in the texts repeat is not."""
+    data = [(k, f"token=manyplaces77 {k}", "a") for k in range(9)] + [(20 + k, "token=copiedtext88", "a") for k in range(9)]
+    data += [(40 + k, f"see https://code.example/me/tool/tree/{k} token=onerepo99", "a") for k in range(9)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secret_scan.digest(df).collect()}
+    assert {out[k] for k in range(9)} == {(0, 1)} and {out[k] for k in range(20, 49) if k in out} == {(1, 0)}
+    named = secret_scan.digest(df.withColumn("repo", F.lit("r")), repo_col="repo").collect()
+    assert {r["n_live"] for r in named} == {1}
+
+
+def test_operators_keep_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline as p
+
+    names = ["_score", "_lang", "_found", "_row", "_spans", "_n_words", "_n_hit", "_ranges", "_items", "_cut", "_gone", "_again", "a.b", "_Row"]
+    text = "token=abcdefgh " + " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text, "en", "s", 10), (2, None, None, None, None), (None, "", "en", "s", 0), (1, text, "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *(F.lit(f"own {n}").alias(n) for n in names if n != "_Row"))
+    for _, stage in p.STAGES:
+        out = stage(spark, df, sf_dir)
+        rows = out.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names if n != "_Row")
+
+
 def test_keys_with_slashes_are_candidates_and_paths_are_not(spark):
     key, rng = "wJ4rXU/tnF3MI/K7MDENG/bPxRf1CYz9kLqT0aVe", random.Random(21)
     paths = ["path/of/words/that/is/long/enough/A1", "/usr/local/lib/Python3/site-packages", "src/main/java/org/acme/UserServiceImpl2", "Docs/2024/Reports/annual_summary-v2"]
@@ -121,6 +177,24 @@ def test_contamination(spark, docs, rows, empty):
     assert all(n == 0 for _, n in none) and len(none) == len(rows)
 
 
+def test_slices_are_jobs_of_their_own(spark, docs, rows):
+    """Fifty slices: the plan of the result still has one Python step, and the result is that of one slice."""
+    texts = [t for _, t in rows if t and len(t.split()) > 20]
+    items = [(k, " ".join(texts[k % len(texts)].split()[k % 7 : k % 7 + 14])) for k in range(50)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.scan(docs.select("doc_id", "text"), b, slice_bytes=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got(decontam.digest(docs, b, slice_bytes=1), *columns) == got(decontam.digest(docs, b), *columns) == sorted(brute.contamination(rows, items), key=repr)
+
+
+def test_an_item_without_an_id_counts_and_is_not_hashed(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "a b"), (7, "b c")], "item_id long, text string")
+    [r] = decontam.digest(d, b).collect()
+    assert (r["n_hit"], r["n_items"], r["items_sha256"]) == (3, 2, hashlib.sha256(b"7").hexdigest())
+
+
 def test_decontaminate_drops_or_cuts(spark):
     d = spark.createDataFrame([(1, "Bad: a b c d e f g h i j k l m. tail"), (2, "fine text"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id long, text string")
@@ -158,6 +232,29 @@ def test_quality_learns_and_scores_everything(spark, docs, rows, empty):
     assert {r["score"] for r in quality.digest(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def plain_quality(net, text):
+    """The network on one text, chunk by chunk and place by place."""
+    data, pools = text.encode("utf-8", "replace"), []
+    for begin in range(0, max(1, len(data) - quality.CHUNK + quality.STEP), quality.STEP):
+        chunk = list(data[begin : begin + quality.CHUNK])
+        x = net.embed[chunk + [quality._PAD] * (quality.CHUNK - len(chunk))].astype(np.float64)
+        places = [x[k : k + quality.WIDTH].ravel() @ net.filters for k in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        pools.append(np.maximum(np.max(places, axis=0) + net.bias, 0))
+        if begin + quality.CHUNK >= len(data):
+            break
+    z = np.concatenate([np.max(pools, axis=0), np.mean(pools, axis=0)]) @ net.out + net.shift[0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_match_a_plain_version(spark):
+    rng = random.Random(27)
+    texts = [None, "", "é", prose(rng, 3), prose(rng, 200), "x" * quality.CHUNK, "y" * (quality.CHUNK + 1), prose(rng, 900)]
+    net = quality.Network(2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, score in got(quality.scored(df, net), "doc_id", "_score"):
+        assert score == pytest.approx(plain_quality(net, texts[i] or ""), abs=1e-4), i
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 1500).astype(np.uint8)
@@ -253,6 +350,36 @@ def test_languages(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.digest(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_profile(texts):
+    count = Counter()
+    for t in texts:
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        for w in "".join(c if c.isalpha() or not c.isascii() else " " for c in low).split(" "):
+            b = b" " + w.encode() + b" "
+            count.update(g for n in range(1, langid.LONGEST + 1) for i in range(len(b) - n + 1) if w and (g := b[i : i + n]) != b" ")
+    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "big")))[: langid.PROFILE]]
+
+
+def test_predictions_match_plain_out_of_place_distances(spark):
+    rng = random.Random(28)
+    kinds = {"aa": "bal don fer gim hul", "bb": "wex yoz don zyx gim", "cc": "éta fer ñum çir àlo"}
+    data = [(i, " ".join(rng.choices(kinds[k].split(), k=rng.randrange(1, 30))), k) for i, k in enumerate(rng.choices(list(kinds), k=90))]
+    profiles = {k: plain_profile([t for i, t, lang in data if lang == k and fold(i, 4) != 2]) for k in kinds}
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.digest(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in data:
+        own = plain_profile([t])
+        far = {k: sum(abs(p.index(g) - r) if g in p else langid.PROFILE for r, g in enumerate(own)) for k, p in profiles.items()}
+        assert out[i] == min(sorted(far), key=far.get)
+
+
+def test_a_long_text_is_counted_in_pieces(monkeypatch):
+    rng = random.Random(29)
+    data = np.frombuffer(" ".join("".join(rng.choices("abcdeéz", k=rng.randrange(1, 9))) for _ in range(3000)).encode(), np.uint8)
+    whole = langid.ranked(data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "PIECE_BYTES", 500)
+    assert all((a == b).all() for a, b in zip(whole, langid.ranked(data, np.array([0, len(data)])), strict=True))
+
+
 def test_ranked_grams_match_plain_counting():
     texts = ["Ab ab, abc!", "", "é 1 é", "zz"]
     owner, grams, counts = langid.ranked(*common.text_bytes(pa.array(texts, pa.large_string())))
@@ -289,6 +416,97 @@ def test_html_text(spark):
     assert html_text.digest(df.limit(0)).count() == 0
 
 
+class Article(HTMLParser):
+    """A plain extractor for the given pages: what stands in ``article``, without adverts."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.inside, self.skip = [], [], 0, 0
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text and self.inside:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in html_text._INLINE:
+            self.flush()
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag not in html_text._INLINE:
+            self.flush()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+
+def test_main_text_of_the_given_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    out = dict(got(html_text.digest(pages), "page_id", "text"))
+    for r in pages.collect():
+        plain = Article()
+        plain.feed(r["html"] or "")
+        plain.close()
+        plain.flush()
+        assert out[r["page_id"]] == "\n".join(plain.blocks)
+
+
+def test_labeller_on_pages_without_names(spark, sf_dir):
+    """Fitted on half of the pages; precision and recall on the others, as they are, without names, and in other layouts."""
+    pages = html_text.sample(spark.read.parquet(f"{sf_dir}/pages.parquet"), most=50)
+    net, rng, found = html_text.fitted(pages[::2]), random.Random(23), {}
+    for _, page in pages[1::2]:
+        y = html_text.labels_of(page)[0]
+        plain = [html_text.Block(b.text, tuple("div" if t in html_text._NAMED else t for t in b.path if t[0] != "."), b.linked) for b in page]
+        for kind, (p, t) in {"own": (page, y), "hidden": (plain, y), "other": html_text.varied(page, y, rng)}.items():
+            score = net.scores([html_text.features(p)])[0] >= 0.5
+            found.setdefault(kind, []).append((int((score & (t > 0)).sum()), int(score.sum()), int(t.sum())))
+    for kind, least in (("own", 0.98), ("hidden", 0.95), ("other", 0.85)):
+        hit, said, real = map(sum, zip(*found[kind], strict=True))
+        assert hit >= least * said and hit >= least * real, (kind, hit, said, real)
+
+
+def test_labels_without_names():
+    block = lambda text, path, linked=0: html_text.Block(text, path, linked)
+    long = " ".join(f"w{k}" for k in range(30))
+    page = [block("Menu", ("div",), 4), block(long, ("div", "p")), block("short", ("div", "p")), block("Subscribe " + long, ("div", "p")), block(long, ("footer", "p"))]
+    y, sure = html_text.labels_of(page, {"Subscribe " + long})
+    assert y.tolist() == [0, 1, 0, 0, 0] and sure.tolist() == [1, 1, 0, 1, 1]
+    same = [("h", [block("Subscribe", ("p",)), block(f"text {k}", ("p",))]) for k in range(5)]
+    assert html_text.repeated(same) == {"h": {"Subscribe"}}
+    assert html_text.labels_of([block("Menu", ("nav",), 4)]) is None
+
+
+def test_a_page_of_many_blocks_takes_bounded_memory():
+    net = html_text.Labeller()
+    pages = ["<p>word one two</p>" * 100_000] + [PAGE.format(n=n) for n in range(63)]
+    cells = []
+    inner = net._logits
+    net._logits = lambda x, lengths, **k: cells.append(max(lengths) * len(lengths)) or inner(x, lengths, **k)
+    read = [html_text.blocks(p) for p in pages]
+    tracemalloc.start()
+    scores = net.scores([html_text.features(p) for p in read])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in scores] == [len(p) for p in read] and len(scores[0]) == 100_000
+    assert max(c for c in cells if c != 100_000) <= html_text.CELLS and peak < 300 << 20
+    # together or alone, a page has the same scores
+    assert np.allclose(scores[5], net.scores([html_text.features(read[5])])[0], atol=1e-5)
+
+
+def test_references_are_decoded_in_each_text_node():
+    own = lambda p: [b.text for b in html_text.blocks(p)]
+    assert own("<p>x &am<b>p;</b> y &amp; z &lt;b&gt;</p>") == ["x &amp; y & z <b>"]
+
+
 def test_blocks_of_broken_markup():
     own = lambda p: [b.text for b in html_text.blocks(p)]
     assert own("<p>a<p>b<ul><li>c<li>d</ul>e") == ["a", "b", "c", "d", "e"]
@@ -390,6 +608,42 @@ def test_sketches_never_rule_out_a_link():
 # --- 8 mixing -------------------------------------------------------------------------------
 
 
+def test_every_prefix_is_within_a_block_of_the_given_weights():
+    rng = random.Random(24)
+    several = [{"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 1.0, "rare": 1e-4}, {f"s{k}": rng.random() ** 3 + 1e-3 for k in range(12)}]
+    for weights in several:
+        own = {k: round(w * mixing.SCALE) for k, w in weights.items()}
+        blocks, total = dict.fromkeys(weights, 200_000), sum(weights.values())
+        had, names = np.zeros(len(own)), sorted(own)
+        share = np.array([weights[k] / total for k in names])
+        for phase, k, _, slot, release, deadline in mixing.every_block(blocks, mixing.exact(own)):
+            had[names.index(k)] += 1
+            assert phase == 0 and release <= slot < deadline
+            assert (np.abs(had - (slot + 1) * share) < 1 + 1e-6).all()
+            if slot == 99_999:
+                break
+
+
+def test_delivered_units_are_within_a_block_and_the_longest_document(spark):
+    rng = random.Random(25)
+    rows = [(i, "x" * rng.choice([1, 30, 200, 900]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights, block = {"a": 0.5, "b": 0.3, "c": 0.2}, 400
+    out = [r for r in mixing.digest(df, block_units=block, weights=weights).orderBy("slot", "start").collect() if r["phase"] == 0]
+    had = Counter()
+    for k, r in enumerate(out):
+        had[r["source"]] += r["units"]
+        if k + 1 == len(out) or out[k + 1]["slot"] != r["slot"]:
+            assert all(abs(had[s] - (r["slot"] + 1) * block * w) < block + 900 for s, w in weights.items())
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    df = spark.createDataFrame([(i, "x" * 50, f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    out = mixing.digest(df, block_units=100).collect()
+    assert len(out) == 600 and max(r["slot"] for r in out) < 45 and {r["start"] // 750 + 1 - r["block"] for r in out} == {0}
+
+
 def test_schedule_keeps_each_source_within_a_block():
     rng = random.Random(10)
     for _ in range(60):
@@ -585,19 +839,57 @@ def test_lm_sets_repeated_documents_apart(spark):
 # --- 10 licences ------------------------------------------------------------------------------
 
 
-def test_license_scan_matches_plain_version(spark, docs, empty):
-    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "He lost his driving license.", "Licensed under the Zorro Terms License.", "x Licensed under CC BY-NC 4.0. y", "© 2020 Me. All rights reserved.", "nothing here", "", "SPDX-License-Identifier: GPL-2.0-only", "LICENSE"]
-    data = [(i, line) for i, line in enumerate(lines)] + [(50, "\n".join(lines)), (51, None), (52, ""), (None, lines[0]), (1, lines[0]), (53, "word " * 100_000 + "\n" + lines[0])]
-    out = got(licenses.digest(table(spark, data)), "doc_id", "families", "n_confirmed", "n_unconfirmed", "n_unknown")
-    expected = []
+def plain_licenses(data):
+    out = []
     for i, t in data:
-        own = [x for x in map(licenses.classify, (t or "").split("\n")) if x]
-        expected.append((i, ",".join(sorted({f for f, _, ok in own if ok})), sum(ok for *_, ok in own), sum(not ok and f != "unknown" for f, _, ok in own), sum(f == "unknown" for f, *_ in own)))
-    assert out == sorted(expected, key=repr)
+        own = [x for x in map(licenses.classify, licenses.paragraphs(t or "")) if x]
+        out.append((i, ",".join(sorted({f for f, _, ok in own if ok})), sum(ok for *_, ok in own), sum(not ok and f != "unknown" for f, _, ok in own), sum(f == "unknown" for f, *_ in own)))
+    return sorted(out, key=repr)
+
+
+LICENSE_COLUMNS = ("doc_id", "families", "n_confirmed", "n_unconfirmed", "n_unknown")
+
+
+def test_license_scan_matches_plain_version(spark, docs, empty, monkeypatch):
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "He lost his driving license.", "Licensed under the Zorro Terms License.", "x Licensed under CC BY-NC 4.0. y", "© 2020 Me. All rights reserved.", "nothing here", "", "SPDX-License-Identifier: GPL-2.0-only", "LICENSE"]
+    wrapped = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\r\nare met:\n\nLicensed under the terms of the\nMIT.\nLicensed under the\n\nISC License\n" + "w" * 121 + "\nReleased under the MIT License."
+    data = [(i, line) for i, line in enumerate(lines)] + [(50, "\n".join(lines)), (51, None), (52, ""), (None, lines[0]), (1, lines[0]), (53, "word " * 100_000 + "\n" + lines[0]), (54, wrapped), (55, "\n\n\n"), (56, "mit MIT MIT!!")]
+    data += [(100 + k, text) for k, (text, _) in enumerate(licenses.examples()[::7])]
+    assert got(licenses.digest(table(spark, data)), *LICENSE_COLUMNS) == plain_licenses(data)
     assert licenses.classify(lines[0])[0] == "mit" and licenses.classify(lines[2]) is None
     assert licenses.classify("Licensed under the Boost Software License.")[0] == "unknown"
     assert licenses.digest(empty).count() == 0
     assert all(n == 0 for _, n in got(licenses.digest(docs), "doc_id", "n_confirmed"))
+    # verdicts that are shuffled to the lines
+    monkeypatch.setattr(licenses, "MOST_ROWS", 3)
+    assert got(licenses.digest(table(spark, data[:20])), *LICENSE_COLUMNS) == plain_licenses(data[:20])
+
+
+def test_wrapped_notices_and_names_elsewhere():
+    assert licenses.paragraphs("Licensed under the terms of the\nMIT.\nNext\n\nlast") == ["Licensed under the terms of the MIT.", "Next", "", "last"]
+    for family, names in licenses.NAMES.items():
+        for name in names:
+            if " " in name:  # wrapped in the middle of the name
+                text = f"This work is licensed under the {name}.".replace(name, name.replace(" ", "\n", 1))
+                assert [licenses.classify(p)[0] for p in licenses.paragraphs(text)] == [family], name
+    for text in ("the copyright of the apache tribe", "We interviewed the MIT professor about copyright law", "mit der Bahn", "The Apache people lived in the southwest."):
+        assert licenses.classify(text) is None
+    assert not licenses.classify("You may use the GNU General Public License under the terms of your company.")[0] == "agpl"
+
+
+def test_paragraphs_without_a_key_word_are_none():
+    """What the key words rule out, the model would rule out: shown on mixtures of all its other n-grams."""
+    rng, keys = random.Random(22), set(licenses.key_words())
+    words = sorted({w for g in licenses.model()[0] for w in g.split()} - keys | licenses.FUNCTION_WORDS - keys)
+    assert len(words) > 100
+    for _ in range(400):
+        assert licenses.classify(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 300)))) is None
+
+
+def test_calibration_has_unseen_examples_only():
+    assert len({t for t, _ in licenses.examples()}) > 1500
+    right = [(licenses.classify(t) or ("none",))[0] == f for t, f in licenses.examples()]
+    assert sum(right) >= 0.98 * len(right)
 
 
 def test_license_plan_is_native(docs):
@@ -629,7 +921,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(x.columns == columns for x in kept[:-1]) and kept[-1].columns[:5] == columns
     good = {r["doc_id"] for r in kept[1].collect()}
     before = [(r["doc_id"], r["text"]) for r in kept[1].collect()]
-    expected = {d for d, _, c in brute.jaccard_components(before) if d == c}
+    expected = {d for d, _, c in brute.jaccard_components(before, 80, 100, 5) if d == c}
     assert {r["doc_id"] for r in kept[2].collect()} == expected <= good
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {x[0] for x in brute.contamination([(r["doc_id"], r["text"]) for r in kept[2].collect()], items) if x[5]}
