@@ -119,12 +119,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """The parity of each bucket of the set, a bit a bucket, about as many as n-grams.
+    """The parity of each bucket of the set, a bit a bucket, one to two for each n-gram: sets that share little differ in twice as many bits as links may.
 
     Two sets differ in at least as many n-grams as their sketches in bits; half a
     sketch xor the other half is the sketch of half the length.
     """
-    length = 1 << max(0, len(grams).bit_length() - 7)
+    length = 1 << max(0, len(grams).bit_length() - 6)
     bit = _mixed(grams ^ _EMPTY) & np.uint64(64 * length - 1)
     odd = (np.bincount(bit.astype(np.int64), minlength=64 * length) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
