@@ -228,12 +228,33 @@ def classify(paragraph: str) -> tuple[str, float, bool] | None:
 
 
 def _paragraphs(text: Column) -> Column:
+    # the line end comes first, so that nothing is looked back from other places
     plain = F.translate(text, "\r", "")
-    return F.split(F.regexp_replace(plain, rf"(?<=(?:^|\n)[^\n]{{0,{WRAPPED - 1}}}[^\n.!?:;])\n(?=[^\n])", " "), "\n")
+    return F.split(F.regexp_replace(plain, rf"\n(?<=(?:^|\n)[^\n]{{0,{WRAPPED - 1}}}[^\n.!?:;]\n)(?=[^\n])", " "), "\n")
+
+
+def _plain(paragraph: Column) -> Column:
+    return F.lower(F.when(F.contains(paragraph, F.lit("MIT")), F.regexp_replace(paragraph, _UPPER, _UPPER_TO)).otherwise(paragraph))
 
 
 def _words(paragraph: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(F.regexp_replace(paragraph, _UPPER, _UPPER_TO)), F.lit(f"({_WORD})"), 1), lambda w: F.rtrim(w, F.lit(".+")))
+    return F.transform(F.regexp_extract_all(_plain(paragraph), F.lit(f"({_WORD})"), 1), lambda w: F.rtrim(w, F.lit(".+")))
+
+
+def _branches(words: list[str]) -> str:
+    """An expression for any of some words that looks at each letter once."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[:1], []).append(w[1:])
+    if "" in first:
+        return ""
+    return "(?:" + "|".join(re.escape(c) + _branches(rest) for c, rest in sorted(first.items())) + ")"
+
+
+def _has_key(paragraph: Column) -> Column:
+    """Whether a paragraph has a key word: first whether a word begins like one, which is cheap, then on the very words."""
+    begins = rf"(?<![a-z0-9]){_branches(list(key_words()))}"
+    return F.rlike(_plain(paragraph), F.lit(begins)) & F.arrays_overlap(_words(paragraph), F.array(*map(F.lit, key_words())))
 
 
 def _grams(words: Column) -> Column:
@@ -255,9 +276,8 @@ def statements(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """
     spark = docs.sparkSession
     weights, bias = model()
-    keys = F.array(*map(F.lit, key_words()))
     said = F.transform(_paragraphs(quoted(text_col)), lambda s, i: F.struct(i.alias("paragraph"), s.alias("said")))
-    said = F.filter(said, lambda x: F.arrays_overlap(_words(x["said"]), keys))
+    said = F.filter(said, lambda x: _has_key(x["said"]))
     if "_row" in keep:
         raise ValueError("_row is the row number of the result")
     [found] = spare(list(keep), "said")
