@@ -64,15 +64,27 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------
 
 
+#: Texts in presentation forms, ligatures and full-width characters, which the tables have none of.
+FORMS = ["ﻻ ﬁne １２３ ＡＢＣ", "ﻋﻘﺪ اﻹيجار ٢٠٢٤", "ﬂat ½ №５ ①", "ｒｅｎｔ ﷺ"]
+
+
+def _with_forms(spark, sf_dir):
+    """(doc_id, text) of ``documents`` and, under negative ids, of ``FORMS``."""
+    forms = spark.range(1).select(F.posexplode(F.array(*map(F.lit, FORMS))).alias("k", "text")).select((-1 - F.col("k")).cast("long").alias("doc_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).union(forms)
+
+
 @query
 def normalize_text(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalized("text").alias("norm"))
+    return _with_forms(spark, sf_dir).select("doc_id", text.normalized("text").alias("norm"))
 
 
 @query
 def normalize_digits(spark, sf_dir):
     eastern = F.translate("text", "0123456789", rules.DIGITS[0][:10])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.ascii_digits(eastern).alias("digits"))
+    wide = F.translate("text", "0123456789", "０１２３４５６７８９")
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", text.ascii_digits(eastern).alias("digits"), text.ascii_digits(wide).alias("wide"))
 
 
 @query
@@ -121,7 +133,7 @@ def content_hash(spark, sf_dir):
 
 @query
 def keyword_match(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalized("text").alias("norm"))
+    docs = _with_forms(spark, sf_dir).select("doc_id", text.normalized("text").alias("norm"))
     return docs.select("doc_id", *(text.has_keyword(F.col("norm"), k).alias(f"hit_{i}") for i, k in enumerate(KEYWORDS)))
 
 
@@ -350,7 +362,9 @@ def normalize_filename(spark, sf_dir):
 
 @query
 def archive_export(spark, sf_dir):
-    return store.exported(business(spark, sf_dir)).drop("due_or_expiry_date", "iban", "rent_amount", "summary")
+    docs = business(spark, sf_dir)
+    state = F.when(F.trim("text") == "", "needs_ocr").otherwise("indexed")
+    return store.exported(docs.withColumns({"status": state, "ocr_quality": text.quality("text")["label"], "path": F.concat(F.lit("/inbox/"), "name")}))
 
 
 # --- store ---------------------------------------------------------------------------------
@@ -371,7 +385,11 @@ def _states(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    return store.status_counts(_states(spark, sf_dir))
+    rows = {"folders": "pages", "chunks": "conversations", "embeddings": "embeddings"}
+    others = {k: table(spark, sf_dir, v) for k, v in rows.items()}
+    others["fts_rows"] = others["chunks"].where(F.size(text.index_tokens(F.col("text"))) > 0)
+    others["embeddings"] = others["embeddings"].where(F.size("embedding") > 0)
+    return store.status_counts(_states(spark, sf_dir), **others)
 
 
 @query

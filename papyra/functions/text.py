@@ -5,10 +5,8 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from papyra.functions import rules
 
@@ -21,10 +19,10 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility folding; texts that are folded already pass unchanged. Spark has no function for it."""
-    return s.map(lambda x: x if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility folding, of texts that aren't plain ASCII: by the library that Spark has for collations, so no Python worker is needed."""
+    folded = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def plain(text: str | None) -> str:
@@ -37,8 +35,8 @@ def plain(text: str | None) -> str:
     return " ".join(re.sub("[^\\w؀-ۿ]+", " ", text).split())
 
 
-def normalized(c: Column | str, fold: bool = False) -> Column:
-    """Lower-case words parted by single spaces, Arabic letters unified, vowel marks dropped. ``fold`` adds compatibility folding, a Python step for presentation forms that tables of clean text don't need."""
+def normalized(c: Column | str, fold: bool = True) -> Column:
+    """Lower-case words parted by single spaces, Arabic letters unified, vowel marks dropped. ``fold``: presentation forms, ligatures and full-width characters first become what they stand for."""
     x = text_of(c)
     if fold:
         x = nfkc(x)
@@ -47,8 +45,8 @@ def normalized(c: Column | str, fold: bool = False) -> Column:
 
 
 def ascii_digits(c: Column | str) -> Column:
-    """Arabic-Indic and Persian digits and separators as ASCII."""
-    return F.translate(text_of(c), *rules.DIGITS)
+    """Arabic-Indic, Persian and full-width digits and separators as ASCII, after compatibility folding."""
+    return F.translate(nfkc(text_of(c)), *rules.DIGITS)
 
 
 def let(value: Column, f) -> Column:

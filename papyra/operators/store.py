@@ -74,14 +74,19 @@ def folder_defaults(docs: DataFrame, folders: DataFrame, path: str = "path", mos
     return docs.withColumn("_path", low).join(best, "_path", "left").drop("_path")
 
 
-def status_counts(docs: DataFrame) -> DataFrame:
-    """One row, in one pass: all documents, by status, by quality known, characters."""
-    return docs.agg(
-        F.count("*").alias("documents"),
-        F.count_if(F.col("status") == "indexed").alias("indexed"),
-        F.count_if(F.col("status") != "indexed").alias("not_indexed"),
-        F.count_if(F.col("status") == "needs_ocr").alias("needs_ocr"),
-        F.count_if(F.col("status") == "duplicate").alias("duplicates"),
+def status_counts(docs: DataFrame, **others: DataFrame) -> DataFrame:
+    """One row, in one pass: all documents, by status, by quality, and the rows of each further table under its name (folders, chunks, ...)."""
+    rows = docs.select(F.lit("documents").alias("of"), "status", F.coalesce("ocr_quality", F.lit("unknown")).alias("quality"))
+    for name, table in others.items():
+        rows = rows.unionByName(table.select(F.lit(name).alias("of"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("quality")))
+    count = lambda test: F.count_if(test)
+    return rows.agg(
+        *(count(F.col("of") == n).alias(n) for n in ("documents", *others)),
+        count(F.col("status") == "indexed").alias("indexed"),
+        count(F.col("status") != "indexed").alias("needs_review"),
+        count(F.col("status") == "needs_ocr").alias("needs_ocr"),
+        count(F.col("status") == "duplicate").alias("duplicates"),
+        *(count(F.col("quality") == q).alias(f"quality_{q}") for q in ("good", "medium", "poor", "empty", "unknown")),
     )
 
 
@@ -100,9 +105,9 @@ def browse(docs: DataFrame, order: str, doc_type: str | None = None, language: s
 
 
 def exported(docs: DataFrame) -> DataFrame:
-    """The flat table of an export: fields in columns of their own, the summary cut to 500 characters."""
-    names = ["invoice_number", "due_or_expiry_date", "total", "currency", "vat_number", "iban", "rent_amount"]
-    return docs.select("doc_id", "title", "doc_type", "language", "company", "date_guess", "amount", *(F.col(f"fields.{n}").alias(n) for n in names), F.substring("summary", 1, 500).alias("summary"))
+    """The flat table of an export, in its order of columns: fields in columns of their own, the summary cut to 500 characters."""
+    names = ["total", "currency", "invoice_number", "vat_number", "iban", "due_or_expiry_date"]
+    return docs.select("doc_id", "title", "doc_type", "language", "date_guess", "company", "amount", *(F.col(f"fields.{n}").alias(n) for n in names), "status", "ocr_quality", "path", F.substring("summary", 1, 500).alias("summary"))
 
 
 def parsed(c: Column | str, schema: str, otherwise: Column | None = None) -> Column:

@@ -22,6 +22,16 @@ def norm(x: str) -> str:
     return f"trim(regexp_replace(lower(translate({x}, {s(letters)}, {s(rules.LETTERS[1] + ' ' * len(rules.SPACES))})), '[^\\p{{L}}\\p{{N}}_{AR}]+', ' ', 'g'))"
 
 
+#: What the characters of the catalogue's FORMS stand for: written out here, as DuckDB has no compatibility folding.
+FOLDS = {"ﻻ": "لا", "ﬁ": "fi", "ﬂ": "fl", "ﻋ": "ع", "ﻘ": "ق", "ﺪ": "د", "ﻹ": "لإ", "½": "1⁄2", "№": "No", "①": "1", "ﷺ": "صلى الله عليه وسلم"} | dict(zip("０１２３４５６７８９ＡＢＣｒｅｎｔ", "0123456789ABCrent", strict=True))
+
+
+def folded(x: str) -> str:
+    for k, v in FOLDS.items():
+        x = f"replace({x}, {s(k)}, {s(v)})"
+    return x
+
+
 def times(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, {s(pattern)}))"
 
@@ -300,9 +310,11 @@ def _wins(t: str) -> str:
     return f"(trim({t}) <> '' AND ({points(t)} >= {points('t0')} OR ({_UNSURE} AND length(trim({t})) >= 20 AND NOT {garbled(t)})))"
 
 
+#: Written out again, as the catalogue imports this module.
+_FORMS = "(SELECT doc_id, text FROM documents UNION ALL VALUES (-1, 'ﻻ ﬁne １２３ ＡＢＣ'), (-2, 'ﻋﻘﺪ اﻹيجار ٢٠٢٤'), (-3, 'ﬂat ½ №５ ①'), (-4, 'ｒｅｎｔ ﷺ'))"
 ORACLE_SQL = {
-    "normalize_text": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
-    "normalize_digits": "SELECT conv_id, turn, text AS digits FROM conversations",
+    "normalize_text": f"SELECT doc_id, {norm(folded('text'))} AS norm FROM {_FORMS}",
+    "normalize_digits": "SELECT conv_id, turn, text AS digits, text AS wide FROM conversations",
     "token_count": f"SELECT doc_id, CAST({tokens('text')} AS BIGINT) AS tokens FROM documents",
     "text_quality": f"SELECT id, CAST(p AS BIGINT) AS points, {label('body', 'p')} AS label FROM ({_Q})",
     "garbled_flag": f"SELECT id, {garbled('body')} AS garbled FROM ({READINGS})",
@@ -310,7 +322,7 @@ ORACLE_SQL = {
     "detect_language": f"SELECT id, CASE WHEN a AND l THEN 'Arabic + English' WHEN a THEN 'Arabic' WHEN l THEN 'English' ELSE 'unknown' END AS language FROM (SELECT id, regexp_matches(coalesce(body, ''), '[{AR}]') AS a, regexp_matches(coalesce(body, ''), '[A-Za-z]') AS l FROM ({READINGS}))",
     "char_trigrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS gram FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS w FROM benchmark)) GROUP BY gram",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "keyword_match": f"SELECT doc_id, {', '.join(f'{keyword("n", k)} AS hit_{i}' for i, k in enumerate(['the', 'license', 'apache license', 'rent', 'عقد', 'de la']))} FROM (SELECT doc_id, {norm('text')} AS n FROM documents)",
+    "keyword_match": f"SELECT doc_id, {', '.join(f'{keyword("n", k)} AS hit_{i}' for i, k in enumerate(['the', 'license', 'apache license', 'rent', 'عقد', 'de la']))} FROM (SELECT doc_id, {norm(folded('text'))} AS n FROM {_FORMS})",
     "query_expand": f"SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]), ' ') AS terms FROM (SELECT conv_id, turn, list_filter(string_split({norm('text')}, ' '), lambda w: length(w) > 1) AS ws FROM conversations WHERE role = 'user')",
     "query_plan": f"SELECT conv_id, turn, {rule('n', rules.INTENTS, 'NULL')} AS doc_type, CASE WHEN {some('n', rules.ASKS_AMOUNT)} THEN 'amount' WHEN {some('n', rules.ASKS_DATE)} THEN 'date' END AS field, CASE WHEN {some('n', rules.ASKS_LATEST)} THEN 'latest' END AS sort FROM (SELECT conv_id, turn, {norm(_ASKED)} AS n FROM conversations WHERE role = 'user')",
     "lexical_score": f"SELECT item_id, CAST({_SCORE} AS BIGINT) AS points FROM (SELECT item_id, n, string_split(n, ' ') AS ws FROM (SELECT item_id, {norm('text')} AS n FROM benchmark))",
@@ -358,9 +370,9 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN n = 1 THEN relative ELSE replace(relative, '.pdf', '-' || CAST(n AS VARCHAR) || '.pdf') END AS target, CASE WHEN doc_id = first THEN 'copy' ELSE 'already-exists' END AS action FROM c JOIN g USING (relative, content)""",
     "company_counts": _F + " SELECT firm AS company_name, firm_n AS n FROM firms",
     "normalize_filename": f"SELECT page_id, {file_name('url')} AS file FROM pages",
-    "archive_export": _B + f" SELECT doc_id, title, doc_type, language, company, date_guess, amount, {first('text', 'invoice\\s*(?:no|number|#)\\s*[:#-]?\\s*([A-Z0-9\\-/]+)')} AS invoice_number, coalesce({', '.join(first('total_line', _TOTAL_LINE, k) for k in (1, 2, 3))}) AS total, {first('text', '(' + rules.CURRENCY + ')')} AS currency, {first('text', '(?:vat\\s*(?:no|number|reg(?:istration)?)?|tax\\s*(?:no|number))\\s*[:#.]?\\s*([0-9]{9,15})')} AS vat_number FROM business",
+    "archive_export": _B + f" SELECT doc_id, title, doc_type, language, company, date_guess, amount, CASE WHEN trim(text) = '' THEN 'needs_ocr' ELSE 'indexed' END AS status, {label('text', points('text'))} AS ocr_quality, '/inbox/' || name AS path, substr(summary, 1, 500) AS summary, nullif(substr(regexp_replace({first('text', '(?:due\\s*date|expiry\\s*date)\\s*[:#-]?\\s*([0-9A-Za-z\\-/\\.\\s]+)')}, '^\\s+|\\s+$', '', 'g'), 1, 60), '') AS due_or_expiry_date, substr(regexp_replace({first('text', 'iban\\s*[:#-]?\\s*([A-Z]{2}\\s?[0-9]{2}[0-9A-Z\\s]{10,32})')}, '\\s+', '', 'g'), 1, 34) AS iban, {first('text', 'invoice\\s*(?:no|number|#)\\s*[:#-]?\\s*([A-Z0-9\\-/]+)')} AS invoice_number, coalesce({', '.join(first('total_line', _TOTAL_LINE, k) for k in (1, 2, 3))}) AS total, {first('text', '(' + rules.CURRENCY + ')')} AS currency, {first('text', '(?:vat\\s*(?:no|number|reg(?:istration)?)?|tax\\s*(?:no|number))\\s*[:#.]?\\s*([0-9]{9,15})')} AS vat_number FROM business",
     "dedup_exact": "SELECT doc_id, CASE WHEN doc_id = original THEN 'indexed' ELSE 'duplicate' END AS status, original FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS original FROM documents)",
-    "status_counts": f"WITH {_STATES} SELECT count(*) AS documents, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status <> 'indexed') AS not_indexed, count(*) FILTER (status = 'needs_ocr') AS needs_ocr, count(*) FILTER (status = 'duplicate') AS duplicates FROM states",
+    "status_counts": f"WITH {_STATES} SELECT count(*) AS documents, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status <> 'indexed') AS needs_review, count(*) FILTER (status = 'needs_ocr') AS needs_ocr, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (coalesce(ocr_quality, 'unknown') = 'good') AS quality_good, count(*) FILTER (coalesce(ocr_quality, 'unknown') = 'medium') AS quality_medium, count(*) FILTER (coalesce(ocr_quality, 'unknown') = 'poor') AS quality_poor, count(*) FILTER (coalesce(ocr_quality, 'unknown') = 'empty') AS quality_empty, count(*) FILTER (coalesce(ocr_quality, 'unknown') = 'unknown') AS quality_unknown, (SELECT count(*) FROM pages) AS folders, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM embeddings WHERE len(embedding) > 0) AS embeddings, (SELECT count(*) FROM conversations WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) AS fts_rows FROM states",
     "quality_histogram": f"WITH {_STATES} SELECT coalesce(ocr_quality, 'unknown') AS quality, count(*) AS n FROM states GROUP BY 1",
     "browse_filter": f"SELECT doc_id, 'Lang-' || upper(lang) AS language, 'Document ' || CAST(doc_id AS VARCHAR) AS title FROM ({_DOCS}) WHERE contains(lower('Lang-' || upper(lang)), 'lang-e') ORDER BY updated_at DESC, doc_id LIMIT 50",
     "documents_page": f"SELECT doc_id, 'Document ' || CAST(doc_id AS VARCHAR) AS title FROM ({_DOCS}) ORDER BY updated_at DESC, doc_id LIMIT 25 OFFSET 50",
