@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ class Archive:
     def exists(self) -> bool:
         return bool(self._versions("documents"))
 
-    def ingest(self, source: str, force: bool = False) -> DataFrame:
-        """Index the files below a folder; returns the number of files by status."""
+    def ingest(self, source: str, force: bool = False, file_base: str | None = None) -> DataFrame:
+        """Index the files below a folder; returns the number of files by status. With ``file_base``, new documents are filed below it, if they aren't there."""
         found = files.scan(self.spark, source)
         if self.exists():
             known = self.read("documents").select("path", "sha256", "mtime", "status")
@@ -54,8 +56,22 @@ class Archive:
         status = store.new_files(found.select("path", "sha256", "mtime"), known, force)
         fresh = found.join(status.where("status = 'new'").select("path"), "path", "left_semi")
         texts = files.whole_texts(files.pages(fresh))
+        before = max(self._versions("documents"), default=0)
+        counts = status.groupBy("status").agg(F.count("*").alias("n")).collect()
         self._index(texts.join(found.select("path", "sha256", "mtime"), "path"))
-        return status.groupBy("status").agg(F.count("*").alias("n"))
+        if file_base:
+            old = self.spark.read.parquet(f"{self.folder}/documents/v{before}").select("path") if before else self.spark.createDataFrame([], "path string")
+            self._carry_out(self.filing_plan().join(old, "path", "left_anti"), file_base, "auto")
+        return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
+
+    def upload(self, name: str, content: bytes) -> DataFrame:
+        """Store a file under a safe name in the archive's own folder and index it."""
+        path = f"{self.folder}/files/{datetime.now():%Y%m%d_%H%M%S_%f}_{files.safe_name(name)}"
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        out.write(bytearray(content))
+        out.close()
+        return self.ingest(path)
 
     def _index(self, texts: DataFrame) -> None:
         defaults = store.folder_defaults(texts.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")), self.folders(), "_at").drop("_at")
@@ -66,8 +82,20 @@ class Archive:
             "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(),
             "norm": text.normalized(F.concat_ws(" ", "text", "title", F.array_join("tags", " "), F.to_json("fields"))),
         })
-        docs = self.write("documents", store.upserted(self.read("documents"), rows.select(*self.read("documents").columns)) if self.exists() else rows)
-        self.rebuild(docs)
+        if not self.exists():
+            self.rebuild(self.write("documents", rows))
+            return
+        changed = texts.select(F.xxhash64("path").alias("doc_id")).distinct()
+        self.reindex(changed, self.write("documents", store.upserted(self.read("documents"), rows.select(*self.read("documents").columns))))
+
+    def reindex(self, ids: DataFrame | list[int], docs: DataFrame | None = None) -> DataFrame:
+        """Chunks, words and vectors of the given documents anew; those of others are kept as they are."""
+        if isinstance(ids, list):
+            ids = self.spark.createDataFrame([(i,) for i in sorted({*ids})], "doc_id long")
+        docs = (docs if docs is not None else self.read("documents")).join(ids, "doc_id", "left_semi")
+        made = retrieve.with_ids(chunk.chunks(docs.where("status = 'indexed'"), "doc_id"), docs)
+        old = store.deleted(self.read("chunks"), ids)
+        return self.write("chunks", old.unionByName(made.select(*old.columns)))
 
     def rebuild(self, docs: DataFrame | None = None) -> DataFrame:
         """Chunks of all documents anew, from stored texts."""
@@ -86,20 +114,41 @@ class Archive:
         old = self.read("documents").where(F.col("doc_id") == doc_id)
         self._index(old.select("path", "sha256", "mtime").withColumns({"text": F.lit(body), "engine": F.lit("manual-correction")}))
 
-    def delete(self, ids: list[int]) -> None:
-        """Documents and all that was made of them go; the files stay."""
-        gone = self.spark.createDataFrame([(i,) for i in sorted({*ids})], "id long")
-        self.write("documents", store.deleted(self.read("documents"), gone, "doc_id"))
+    def delete(self, ids: list[int] | None = None, everything: bool = False, remove_files: bool = False) -> int:
+        """Documents (or all) and all that was made of them go. Files stay, unless asked for: then those below the archive's own folder go too, and no others. Returns the files removed."""
+        if everything:
+            gone = self.read("documents").select(F.col("doc_id").alias("id"))
+        else:
+            gone = self.spark.createDataFrame([(i,) for i in sorted({*(ids or [])})], "id long")
+        old, removed = self.read("documents"), 0
+        paths = old.join(gone, old["doc_id"] == gone["id"], "left_semi").select("path")
+        self.write("documents", store.deleted(old, gone, "doc_id"))
         self.write("chunks", store.deleted(self.read("chunks"), gone))
+        for r in paths.toLocalIterator() if remove_files else ():
+            if self.owns(r["path"]):
+                fs, p = self._fs(r["path"])
+                removed += fs.delete(p, False)
+        return removed
+
+    def owns(self, path: str) -> bool:
+        """Whether a file lies below the archive's own folder of files."""
+        plain = lambda x: "/" + os.path.normpath(x.partition(":")[2] if ":" in x else x).lstrip("/")
+        return plain(path).startswith(plain(self.folder + "/files") + "/")
+
+    def document(self, doc_id: int) -> DataFrame:
+        """One document with its text, or no row."""
+        return self.read("documents").where(F.col("doc_id") == doc_id)
 
     def documents(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return store.browse(self.read("documents"), "updated_at", limit=limit, offset=offset)
 
     def status(self) -> DataFrame:
-        return store.status_counts(self.read("documents"))
+        chunks = self.read("chunks")
+        return store.status_counts(self.read("documents"), folders=self.folders(), chunks=chunks, embeddings=chunks.where("vec is not null and size(vec) > 0"), fts_rows=chunks.where("size(words) > 0"))
 
     def export(self) -> DataFrame:
-        return store.exported(self.read("documents"))
+        """All documents, the latest change first."""
+        return store.exported(self.read("documents").orderBy(F.desc("updated_at"), "doc_id"))
 
     def search(self, question: str, doc_type: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:
         docs = self.read("documents")
@@ -118,9 +167,23 @@ class Archive:
     def filing_plan(self) -> DataFrame:
         return filing.without_collisions(filing.planned(self.read("documents")))
 
-    def file(self, base: str, mode: str = "copy") -> list[tuple[str, int]]:
-        """Carry out the filing plan below ``base``; (status, number of files)."""
-        return sorted(Counter(status.partition(":")[0] for _, status, _ in apply.carried_out(self.spark, self.filing_plan(), base, mode)).items())
+    def file(self, base: str, mode: str = "copy", doc_id: int | None = None) -> list[tuple[str, int]]:
+        """Carry out the filing plan below ``base``, of all documents or one; (status, number of files)."""
+        found = self.filing_plan()
+        return self._carry_out(found if doc_id is None else found.where(F.col("doc_id") == doc_id), base, mode)
+
+    def organize(self, base: str) -> list[tuple[str, int]]:
+        """Move all documents to where the plan wants them, then remove folders that are empty."""
+        done = self.file(base, "move")
+        apply.Files(self.spark, base).prune(base)
+        return done
+
+    def company_count(self, company: str) -> int:
+        """Documents of a company, as the plan's threshold counts them."""
+        return filing.company_counts(self.read("documents").where(F.col("company") == company)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def _carry_out(self, found: DataFrame, base: str, mode: str) -> list[tuple[str, int]]:
+        return sorted(Counter(status.partition(":")[0] for _, status, _ in apply.carried_out(self.spark, found, base, mode)).items())
 
     def highlight(self, document_id: int, question: str) -> DataFrame:
         """(document_id, page, position, t): the words of a document that a question's terms mark."""
@@ -152,6 +215,9 @@ class Archive:
         number = (self.eval_cases().agg(F.max("id")).first()[0] or 0) + 1
         self.write("eval_cases", self.eval_cases().unionByName(self.spark.createDataFrame([(number, question, expected, must_cite)], "id long, question string, expected string, must_cite string")))
 
+    def remove_eval_case(self, number: int) -> None:
+        self.write("eval_cases", self.eval_cases().where(F.col("id") != number))
+
     def evaluate(self) -> tuple[DataFrame, DataFrame]:
         """(each case judged, the score). Cases are a short list that users write; each is answered in turn."""
         answers, cited = [], []

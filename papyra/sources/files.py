@@ -8,6 +8,7 @@ pages come out empty, marked with the reader's name, and wait for recognition.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -38,15 +39,62 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, sha256, mtime, length, reader, content) of the supported files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     if not recursive:
-        files = files.where(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).endswith(folder.rstrip("/").rpartition("/")[2]))
+        # paths begin with a scheme, the folder may not
+        own = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", folder).strip("/")
+        files = files.where(F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+$", 1), r"^[a-z][a-z0-9+.-]*:/*", "") == own)
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("modificationTime").cast("double").alias("mtime"), "length", reader("path").alias("reader"), "content").where("reader is not null")
 
 
+#: Groups of an RTF file that hold no text of the document.
+_RTF_ASIDE = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "themedata", "listtable", "listoverridetable", "rsidtbl", "generator", "xmlnstbl", "datastore", "latentstyles"}
+_RTF_PART = re.compile(r"\\u(-?\d+) ?|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\([^a-zA-Z])|([{}])|([^\\{}]+)")
+
+
 def rtf_text(raw: str) -> str:
-    """Words of an RTF file: escapes, control words and braces dropped, white space collapsed."""
-    raw = re.sub(r"\\'[0-9a-fA-F]{2}", " ", raw)
-    raw = re.sub(r"\\[a-zA-Z]+-?\d* ?", " ", raw)
-    return " ".join(re.sub(r"[{}]", " ", raw).split())
+    """Words of an RTF file: text outside of tables of settings, ``\\uN`` and ``\\'hh`` (in the code page of the file) decoded, white space collapsed."""
+    page = next((f"cp{n}" for n in re.findall(r"\\ansicpg(\d+)", raw)[:1]), "cp1252")
+    out: list[str] = []
+    # of each open group: whether it is left out, and the stand-ins that follow a \uN
+    groups, skip = [(False, 1)], 0
+    for m in _RTF_PART.finditer(raw):
+        code, byte, word, number, sign, brace, text = m.groups()
+        aside, stand_ins = groups[-1]
+        if brace == "{":
+            groups.append(groups[-1])
+        elif brace:
+            groups[1:] = groups[1:-1]
+        elif sign == "*" or word in _RTF_ASIDE:
+            groups[-1] = (True, stand_ins)
+        elif aside:
+            continue
+        elif code:
+            out.append(chr(int(code) % 65536))
+            skip = stand_ins
+        elif byte:
+            if skip:
+                skip -= 1
+            else:
+                try:
+                    out.append(bytes.fromhex(byte).decode(page, "replace"))
+                except LookupError:
+                    out.append(" ")
+        elif word == "uc":
+            groups[-1] = (aside, int(number or 1))
+        elif word in ("par", "line", "tab", "cell", "row", "page", "sect"):
+            out.append("\n")
+        elif sign:
+            out.append(sign if sign in "\\{}" else " " if sign in "~_\n\r" else "")
+        elif text:
+            out.append(text[skip:])
+            skip = max(0, skip - len(text))
+    joined = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return " ".join(joined.split())
+
+
+def safe_name(name: str) -> str:
+    """A file name without folders, of word characters, dots, hyphens and spaces only."""
+    last = re.split(r"[/\\]", name)[-1]
+    return re.sub(r"[^\w.\- ]+", "_", last).strip(" .") or "file"
 
 
 def _local(tag: str) -> str:
@@ -59,7 +107,22 @@ def _texts(node: ElementTree.Element) -> str:
 
 def _table_rows(node: ElementTree.Element) -> Iterator[str]:
     for row in (x for x in node.iter() if _local(x.tag) == "tr"):
-        yield " | ".join(" ".join(_texts(c).split()) for c in row if _local(c.tag) == "tc")
+        cells = (" ".join(_texts(c).split()) for c in row if _local(c.tag) == "tc")
+        yield " | ".join(c for c in cells if c)
+
+
+def _related(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Relation id -> the part of the package that it names, for one part."""
+    folder, _, name = part.rpartition("/")
+    path = f"{folder}/_rels/{name}.rels"
+    if path not in z.namelist():
+        return {}
+    own = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read(path)) if x.get("TargetMode") != "External"}
+    return {k: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}") for k, t in own.items()}
+
+
+def _relation(node: ElementTree.Element) -> str | None:
+    return next((v for k, v in node.items() if k.endswith("}id")), None)
 
 
 def word_pages(content: bytes) -> list[str]:
@@ -72,17 +135,15 @@ def word_pages(content: bytes) -> list[str]:
 
 
 def excel_pages(content: bytes) -> list[str]:
-    """A page for each sheet: its name, then rows without blank cells."""
+    """A page for each sheet in the workbook's order: its name, then rows without blank cells. Sheets are found by their relations, or by number where a file has none."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
+        names, related = set(z.namelist()), _related(z, "xl/workbook.xml")
         strings = [_texts(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        sheets = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
         out = []
-        for k, name in enumerate(sheets, 1):
-            if f"xl/worksheets/sheet{k}.xml" not in names:
-                continue
-            lines = [f"Sheet: {name}"]
-            for row in (x for x in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter() if _local(x.tag) == "row"):
+        for k, sheet in enumerate((x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"), 1):
+            part = related.get(_relation(sheet) or "", f"xl/worksheets/sheet{k}.xml")
+            lines = [f"Sheet: {sheet.get('name')}"]
+            for row in (x for x in ElementTree.fromstring(z.read(part)).iter() if _local(x.tag) == "row") if part in names and "/worksheets/" in part else ():
                 cells = []
                 for c in row:
                     value = next((v.text or "" for v in c if _local(v.tag) == "v"), "")
@@ -95,12 +156,21 @@ def excel_pages(content: bytes) -> list[str]:
     return out
 
 
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """The slides in the order of the presentation, or of their numbers where a file names no order."""
+    numbered = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
+    if "ppt/presentation.xml" not in z.namelist():
+        return numbered
+    related = _related(z, "ppt/presentation.xml")
+    ordered = [related.get(_relation(x) or "") for x in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if _local(x.tag) == "sldId"]
+    return [n for n in ordered if n in z.namelist()] or numbered
+
+
 def slide_pages(content: bytes) -> list[str]:
-    """A page for each slide: its number, paragraphs of its shapes, table rows."""
+    """A page for each slide: its place, paragraphs of its shapes, table rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
         out = []
-        for k, name in enumerate(slides, 1):
+        for k, name in enumerate(_slides(z), 1):
             root = ElementTree.fromstring(z.read(name))
             tables = [x for x in root.iter() if _local(x.tag) == "tbl"]
             inside = {id(p) for t in tables for p in t.iter()}
@@ -110,6 +180,7 @@ def slide_pages(content: bytes) -> list[str]:
 
 
 def text_pages(content: bytes) -> list[str]:
+    """One page. Texts that aren't UTF-8 are read in the Arabic code page rather than with their letters dropped."""
     for name in ("utf-8-sig", "cp1256", "latin-1"):
         try:
             return [content.decode(name)]

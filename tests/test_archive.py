@@ -30,10 +30,74 @@ def test_readers():
     assert files.word_pages(DOCX) == ["Lease contract\nRent | AED 500"]
     assert files.excel_pages(XLSX) == ["Sheet: One\nShared | 12", "Sheet: Two"]
     assert files.slide_pages(PPTX) == ["Slide 1\nFirst", "Slide 2\nSecond"]
-    assert files.rtf_text(r"{\rtf1\ansi Hello \b bold\b0  caf\'e9}") == "Hello bold caf"
+    assert files.rtf_text(r"{\rtf1\ansi Hello \b bold\b0  caf\'e9}") == "Hello bold café"
     assert files.text_pages("عقد".encode("cp1256")) == ["عقد"] and files.text_pages("﻿é".encode()) == ["é"]
 
 
+R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def test_sheets_and_slides_by_relation():
+    """A sheet was deleted and the order changed: file numbers say nothing."""
+    book = zipped(
+        xl__workbook_xml=f'<workbook {R}><sheets><sheet name="Last" r:id="rId9"/><sheet name="First" r:id="rId2"/></sheets></workbook>',
+        **{"xl___rels__workbook_xml.rels": '<Relationships><Relationship Id="rId2" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/sheet7.xml"/></Relationships>'},
+        xl__worksheets__sheet1_xml='<worksheet><row><c><v>1</v></c></row></worksheet>', xl__worksheets__sheet7_xml='<worksheet><row><c><v>7</v></c></row></worksheet>',
+    )
+    book = renamed(book, "xl/workbook.xml.rels", "xl/_rels/workbook.xml.rels")
+    assert files.excel_pages(book) == ["Sheet: Last\n7", "Sheet: First\n1"]
+    deck = zipped(
+        ppt__presentation_xml=f'<p {R}><sldIdLst><sldId r:id="b"/><sldId r:id="a"/></sldIdLst></p>', **{"rels.rels": '<Relationships><Relationship Id="a" Target="slides/slide1.xml"/><Relationship Id="b" Target="slides/slide2.xml"/></Relationships>'},
+        ppt__slides__slide2_xml=f"<sld {A}><a:p><a:r><a:t>Second</a:t></a:r></a:p></sld>", ppt__slides__slide1_xml=f"<sld {A}><a:p><a:r><a:t>First</a:t></a:r></a:p></sld>",
+    )
+    assert files.slide_pages(renamed(deck, "rels.rels", "ppt/_rels/presentation.xml.rels")) == ["Slide 1\nSecond", "Slide 2\nFirst"]
+
+
+def renamed(content, old, new):
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as a, zipfile.ZipFile(out, "w") as b:
+        for n in a.namelist():
+            b.writestr(new if n == old or n.endswith(".rels") else n, a.read(n))
+    return out.getvalue()
+
+
+def test_rich_text():
+    assert files.rtf_text(r"{\rtf1\ansi\ansicpg1256{\fonttbl{\f0 Arial;}}{\*\generator x;}\uc1 a\u1593?b \'da\'de\'cf\par next \{x\}}") == "aعb عقد next {x}"
+    assert files.safe_name("../a/b\\c?d*.pdf") == "c_d_.pdf" and files.safe_name("../..") == "file"
+
+
+def test_archive_of_its_own_files(spark, tmp_path):
+    fill(tmp_path / "in")
+    a = Archive(spark, str(tmp_path / "archive"))
+    a.ingest(str(tmp_path / "in"), file_base=str(tmp_path / "filed"))
+    assert sum(p.is_file() and not p.name.startswith(".") for p in (tmp_path / "filed").rglob("*")) == 5
+    kept = {r["chunk_id"]: r["updated_at"] for r in a.read("chunks").collect()}
+    a.upload("../no te?.txt", "Rent ﻋﻘﺪ of the ﬁne house".encode())
+    new = a.read("documents").where("name like '%_no te_.txt'").first()
+    assert a.document(new["doc_id"]).count() == 1 and new["doc_id"] in {r["document_id"] for r in a.search("عقد").collect()}
+    # chunks of other documents are the ones that were there
+    now = {r["chunk_id"]: r["updated_at"] for r in a.read("chunks").where(F.col("document_id") != new["doc_id"]).collect()}
+    assert now == kept
+    before = a.read("chunks").count()
+    a.reindex([new["doc_id"]])
+    assert a.read("chunks").count() == before
+    s = a.status().first()
+    assert (s["documents"], s["chunks"], s["fts_rows"], s["embeddings"], s["folders"], s["needs_review"]) == (6, before, before, before, 0, 2)
+    assert a.export().columns[:3] == ["doc_id", "title", "doc_type"] and len(a.export().columns) == 17
+    a.add_eval_case("x")
+    a.remove_eval_case(1)
+    assert a.eval_cases().count() == 0
+    lease = a.read("documents").where("name = 'lease.docx'").first()
+    assert a.delete([new["doc_id"], lease["doc_id"]], remove_files=True) == 1 and (tmp_path / "in" / "lease.docx").exists()
+    assert not a.owns(f"{a.folder}/files/../x") and a.delete(everything=True) == 0 and a.read("documents").count() == 0
+
+
+def test_flat_scan_reads_one_folder(spark, tmp_path):
+    fill(tmp_path / "sub")
+    names = {r["path"].rpartition("/")[2] for r in files.scan(spark, str(tmp_path / "sub"), recursive=False).select("path").collect()}
+    assert names == {"lease.docx", "sheet.xlsx", "broken.docx", "scan.png"}
+
+
 def fill(folder):
     (folder / "sub").mkdir(parents=True)
     (folder / "lease.docx").write_bytes(DOCX)
