@@ -176,7 +176,7 @@ def _faults(rows: DataFrame) -> DataFrame:
     dealt = rows.withColumn("key", F.col("conv_id").cast("string")).repartition("key")
     again = Window.partitionBy("key", F.col("copies") > 0, "role", F.xxhash64("text"), "text").orderBy(F.asc_nulls_first("turn"))
     body = F.rtrim(F.col("text"), F.lit(_SPACES))
-    return dealt.withColumns({"seen": F.row_number().over(again) > 1, "blank": body == "", "cut": ~F.right(body, F.lit(1)).isin(".", "!", "?")}).sortWithinPartitions("key", *_order())
+    return dealt.withColumns({"seen": F.row_number().over(again) > 1, "blank": body == "", "cut": ~F.right(body, F.lit(1)).isin(".", "!", "?")}).sortWithinPartitions("key", *_order(), "seen")
 
 
 def _summed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -85,12 +85,14 @@ def _repair() -> str:
         broken AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, h FROM hashed WHERE h <> 0),
         damaged AS (SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE h = 3),
         placed AS (
-            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, NOT regexp_matches(text, '{_SPACED}') AS blank,
+            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, NOT regexp_matches(text, '{_SPACED}') AS blank,
                 right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS open
             FROM damaged
         ),
-        item AS MATERIALIZED (SELECT *, blank OR seen AS gone, CASE WHEN open AND NOT blank AND NOT seen THEN 1 ELSE 0 END AS cut, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+        item AS MATERIALIZED (
+            SELECT *, blank OR seen AS gone, CASE WHEN open AND NOT blank AND NOT seen THEN 1 ELSE 0 END AS cut, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed)
+        ),
         counts AS (
             SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate,
                 sum(cut) AS truncated, count(*) FILTER (before || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
@@ -160,8 +162,8 @@ def _hosts() -> str:
     worst = lambda names: f"greatest({', '.join(map(rate, names))})"
     return f"""
         WITH words AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}+') AS ws FROM documents),
-        starts AS (SELECT r, unnest(range(1, len(ws) - {w} + 2)) AS i, ws FROM words WHERE len(ws) >= {w}),
-        found AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i:i + {w - 1}]) AS n FROM starts) WHERE n > 1),
+        starts AS (SELECT r, unnest(list_transform(range(1, len(ws) - {w} + 2), lambda i: {{'i': i, 'g': array_to_string(ws[i:i + {w - 1}], ' ')}})) AS x FROM words WHERE len(ws) >= {w}),
+        found AS (SELECT r, unnest(places) AS i FROM (SELECT r, list(x.i) AS places FROM starts GROUP BY r, x.g HAVING count(*) > 1)),
         covered AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {w})) AS j FROM found) GROUP BY r),
         fact AS (
             SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
