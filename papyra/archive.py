@@ -10,41 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, text
-from papyra.operators import apply, chunk, evaluate, filing, retrieve, store
+from papyra.operators import apply, chunk, evaluate, filing, inverted, many, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
+from papyra.tables import Change, Tables
+
+#: What the tables are dealt into buckets by. Documents and chunks share their buckets.
+_KEYS = {"documents": "doc_id", "chunks": "document_id", "folders": "path", "eval_cases": "id"}
 
 
 class Archive:
-    """Documents and chunks as Parquet snapshots below ``folder``.
+    """Documents, their chunks and the inverted index as tables below ``folder`` (see :mod:`papyra.tables`).
 
-    Every write makes a new numbered snapshot and then names it the current one,
-    so readers never see half a write.
+    A change of some documents writes the buckets they are in and appends to the
+    index; documents, chunks and index become visible together, or not at all.
+    ``buckets`` holds for a new archive.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.tables = Tables(spark, folder, buckets)
+        self.index = inverted.Inverted(self.tables)
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _versions(self, table: str) -> list[int]:
-        fs, p = self._fs(f"{self.folder}/{table}")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.folder}/{table}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in done)
+        return self.tables._fs(path)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}/v{self._versions(table)[-1]}")
+        return self.tables.read(table)
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
-        version = (self._versions(table) or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version}")
+        """New contents of a whole table."""
+        with self.tables.change() as change:
+            change.replace(table, _KEYS[table], rows)
         return self.read(table)
 
     def exists(self) -> bool:
-        return bool(self._versions("documents"))
+        return self.tables.exists("documents")
 
     def ingest(self, source: str, force: bool = False, file_base: str | None = None) -> DataFrame:
         """Index the files below a folder; returns the number of files by status. With ``file_base``, new documents are filed below it, if they aren't there."""
@@ -56,11 +57,10 @@ class Archive:
         status = store.new_files(found.select("path", "sha256", "mtime"), known, force)
         fresh = found.join(status.where("status = 'new'").select("path"), "path", "left_semi")
         texts = files.whole_texts(files.pages(fresh))
-        before = max(self._versions("documents"), default=0)
+        old = self.read("documents").select("path") if self.exists() else self.spark.createDataFrame([], "path string")
         counts = status.groupBy("status").agg(F.count("*").alias("n")).collect()
         self._index(texts.join(found.select("path", "sha256", "mtime"), "path"))
         if file_base:
-            old = self.spark.read.parquet(f"{self.folder}/documents/v{before}").select("path") if before else self.spark.createDataFrame([], "path string")
             self._carry_out(self.filing_plan().join(old, "path", "left_anti"), file_base, "auto")
         return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
 
@@ -82,26 +82,48 @@ class Archive:
             "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(),
             "norm": text.normalized(F.concat_ws(" ", "text", "title", F.array_join("tags", " "), F.to_json("fields"))),
         })
-        if not self.exists():
-            self.rebuild(self.write("documents", rows))
+        with self.tables.change() as change:
+            if not self.exists():
+                self._chunked(change, change.replace("documents", "doc_id", rows))
+                return
+            ids = texts.select(F.xxhash64("path").alias("doc_id")).distinct()
+            touched = self.tables.buckets_of("documents", ids)
+            old = self.tables.read("documents", touched)
+            docs = change.replace("documents", "doc_id", store.upserted(old, rows.select(*old.columns)), touched)
+            self._chunked(change, docs, ids)
+
+    def _chunked(self, change: Change, docs: DataFrame, ids: DataFrame | None = None) -> None:
+        """Chunks, words and vectors of the documents of the given ids anew, or of all; the inverted index follows."""
+        own = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
+        made = retrieve.with_ids(chunk.chunks(own.where("status = 'indexed'"), "doc_id"), own)
+        if ids is None:
+            for name in [n for n in ("postings", "terms", "corpus") if n in change.state["tables"]]:
+                change.state["tables"][name]["files"] = {}
+            inverted.add(change, change.replace("chunks", "document_id", made))
             return
-        changed = texts.select(F.xxhash64("path").alias("doc_id")).distinct()
-        self.reindex(changed, self.write("documents", store.upserted(self.read("documents"), rows.select(*self.read("documents").columns))))
+        touched = self.tables.buckets_of("chunks", ids)
+        old = self.tables.read("chunks", touched)
+        now = change.replace("chunks", "document_id", store.deleted(old, ids).unionByName(made.select(*old.columns)), touched)
+        mine = lambda rows: rows.join(ids.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+        inverted.add(change, mine(now), mine(old))
 
-    def reindex(self, ids: DataFrame | list[int], docs: DataFrame | None = None) -> DataFrame:
+    def reindex(self, ids: DataFrame | list[int]) -> DataFrame:
         """Chunks, words and vectors of the given documents anew; those of others are kept as they are."""
         if isinstance(ids, list):
             ids = self.spark.createDataFrame([(i,) for i in sorted({*ids})], "doc_id long")
-        docs = (docs if docs is not None else self.read("documents")).join(ids, "doc_id", "left_semi")
-        made = retrieve.with_ids(chunk.chunks(docs.where("status = 'indexed'"), "doc_id"), docs)
-        old = store.deleted(self.read("chunks"), ids)
-        return self.write("chunks", old.unionByName(made.select(*old.columns)))
+        with self.tables.change() as change:
+            self._chunked(change, self.tables.read("documents", self.tables.buckets_of("documents", ids)), ids)
+        return self.read("chunks")
+
+    def rebuild(self) -> DataFrame:
+        """Chunks of all documents anew, from stored texts, and the index with them."""
+        with self.tables.change() as change:
+            self._chunked(change, self.read("documents"))
+        return self.read("chunks")
 
-    def rebuild(self, docs: DataFrame | None = None) -> DataFrame:
-        """Chunks of all documents anew, from stored texts."""
-        docs = docs if docs is not None else self.read("documents")
-        made = chunk.chunks(docs.where("status = 'indexed'"), "doc_id")
-        return self.write("chunks", retrieve.with_ids(made, docs))
+    def compact(self) -> None:
+        """Put what many changes have appended to the index into one file set for each bucket."""
+        self.index.compact()
 
     def reclassify(self) -> DataFrame:
         """Metadata of all documents anew, from stored texts."""
@@ -111,7 +133,7 @@ class Archive:
 
     def correct_text(self, doc_id: int, body: str) -> None:
         """Replace one document's text and index it again."""
-        old = self.read("documents").where(F.col("doc_id") == doc_id)
+        old = self.document(doc_id)
         self._index(old.select("path", "sha256", "mtime").withColumns({"text": F.lit(body), "engine": F.lit("manual-correction")}))
 
     def delete(self, ids: list[int] | None = None, everything: bool = False, remove_files: bool = False) -> int:
@@ -120,10 +142,14 @@ class Archive:
             gone = self.read("documents").select(F.col("doc_id").alias("id"))
         else:
             gone = self.spark.createDataFrame([(i,) for i in sorted({*(ids or [])})], "id long")
-        old, removed = self.read("documents"), 0
+        touched, removed = self.tables.buckets_of("documents", gone), 0
+        old, chunks = self.tables.read("documents", touched), self.tables.read("chunks", touched)
         paths = old.join(gone, old["doc_id"] == gone["id"], "left_semi").select("path")
-        self.write("documents", store.deleted(old, gone, "doc_id"))
-        self.write("chunks", store.deleted(self.read("chunks"), gone))
+        lost = chunks.join(gone, chunks["document_id"] == gone["id"], "left_semi")
+        with self.tables.change() as change:
+            change.replace("documents", "doc_id", store.deleted(old, gone, "doc_id"), touched)
+            change.replace("chunks", "document_id", store.deleted(chunks, gone), touched)
+            inverted.add(change, lost.limit(0), lost)
         for r in paths.toLocalIterator() if remove_files else ():
             if self.owns(r["path"]):
                 fs, p = self._fs(r["path"])
@@ -137,7 +163,7 @@ class Archive:
 
     def document(self, doc_id: int) -> DataFrame:
         """One document with its text, or no row."""
-        return self.read("documents").where(F.col("doc_id") == doc_id)
+        return self.tables.read("documents", self.tables.buckets_of("documents", [doc_id])).where(F.col("doc_id") == doc_id)
 
     def documents(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return store.browse(self.read("documents"), "updated_at", limit=limit, offset=offset)
@@ -154,11 +180,11 @@ class Archive:
         docs = self.read("documents")
         if not question.strip():
             return store.browse(docs, "updated_at", doc_type, language, limit)
-        return retrieve.search(self.read("chunks"), docs.withColumnRenamed("doc_id", "document_id"), question, limit, doc_type, language)
+        return retrieve.search(self.read("chunks"), docs.withColumnRenamed("doc_id", "document_id"), question, limit, doc_type, language, self.index)
 
     def ask(self, question: str, limit: int = 8) -> tuple[str, DataFrame]:
         """(an answer made of the best excerpts, its sources)."""
-        found = retrieve.hybrid(self.read("chunks"), question, max(1, min(limit, 12)))
+        found = retrieve.hybrid(self.read("chunks"), question, max(1, min(limit, 12)), stored=self.index)
         return retrieve.extractive_answer(found, question).first()["answer"], retrieve.sources(found)
 
     def plan(self, question: str):
@@ -187,11 +213,11 @@ class Archive:
 
     def highlight(self, document_id: int, question: str) -> DataFrame:
         """(document_id, page, position, t): the words of a document that a question's terms mark."""
-        rows = self.read("documents").where(F.col("doc_id") == document_id).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("position", "t"))
+        rows = self.document(document_id).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("position", "t"))
         return retrieve.highlighted(rows, question)
 
     def _settings(self, table: str, schema: str) -> DataFrame:
-        return self.read(table) if self._versions(table) else self.spark.createDataFrame([], schema)
+        return self.read(table) if self.tables.exists(table) else self.spark.createDataFrame([], schema)
 
     def folders(self) -> DataFrame:
         """Watched folders: path, recursive, watch, default_type."""
@@ -219,11 +245,6 @@ class Archive:
         self.write("eval_cases", self.eval_cases().where(F.col("id") != number))
 
     def evaluate(self) -> tuple[DataFrame, DataFrame]:
-        """(each case judged, the score). Cases are a short list that users write; each is answered in turn."""
-        answers, cited = [], []
-        for case in self.eval_cases().toLocalIterator():
-            answer, sources = self.ask(case["question"])
-            answers.append((case["id"], answer))
-            cited += [(case["id"], r["title"]) for r in sources.select("title").collect()]
-        results = evaluate.judged(self.eval_cases(), self.spark.createDataFrame(answers, "id long, answer string"), self.spark.createDataFrame(cited, "id long, cited string"))
+        """(each case judged, the score): all cases are answered at once."""
+        results = many.evaluated(self.eval_cases(), self.read("chunks"), self.index)
         return results, evaluate.score(results)

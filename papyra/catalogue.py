@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, rules, text, vectors
-from papyra.operators import chunk, evaluate, filing, index, ocr, retrieve, store
+from papyra.operators import chunk, evaluate, filing, inverted, many, ocr, retrieve, store
 from papyra.oracle import ORACLE_SQL
 from papyra.plans import question as questions
 from papyra.sources import rendered
 from papyra.sources.tables import spread, table
+from papyra.tables import Tables, scratch
 
 #: Fixed questions of the retrieval queries: words of the corpus, and words that plans look for.
 QUESTION = "latest license amount of the thing on heer onatth"
@@ -39,18 +39,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str], Tables] = {}
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk index of ``documents``. An archive stores it; here it is kept for the session, as many queries read it."""
+def stored(spark: SparkSession, sf_dir: str) -> Tables:
+    """``documents`` as chunks with their inverted index, as an archive stores them: tables in the shared folder, made once a session, as many queries read them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        docs = documents(spark, sf_dir)
-        _stored[key] = retrieve.with_ids(chunk.chunks(docs, "doc_id"), docs).persist(StorageLevel.MEMORY_AND_DISK)
+        docs, tables = documents(spark, sf_dir), scratch(spark, "archive")
+        with tables.change() as change:
+            inverted.add(change, change.replace("chunks", "document_id", retrieve.with_ids(chunk.chunks(docs, "doc_id"), docs)))
+        _stored[key] = tables
     return _stored[key]
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of ``documents`` with index words and vectors."""
+    return stored(spark, sf_dir).read("chunks")
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> inverted.Inverted:
+    return inverted.Inverted(stored(spark, sf_dir))
+
+
 def business(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered business documents with their metadata."""
     return extract.with_metadata(rendered.documents(spark, sf_dir), year=YEAR)
@@ -181,14 +192,13 @@ def chunks_documents_join(spark, sf_dir):
 
 @query
 def bm25_doc_stats(spark, sf_dir):
-    rows = index.postings(chunks(spark, sf_dir))
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return word_index(spark, sf_dir).counts()
 
 
 @query
 def bm25_topk(spark, sf_dir):
     terms = questions.index_terms(text.terms_of(QUESTION))
-    return index.bm25(chunks(spark, sf_dir), terms).orderBy(F.desc(F.round("bm25", 9)), "chunk_id").limit(rules.CANDIDATES).select("chunk_id", F.round("bm25", 9).alias("bm25"))
+    return word_index(spark, sf_dir).bm25(terms).orderBy(F.desc(F.round("bm25", 9)), "chunk_id").limit(rules.CANDIDATES).select("chunk_id", F.round("bm25", 9).alias("bm25"))
 
 
 @query
@@ -221,20 +231,20 @@ def vector_threshold(spark, sf_dir):
 
 
 def _found(spark, sf_dir, limit=rules.RESULTS):
-    return retrieve.hybrid(chunks(spark, sf_dir), QUESTION, limit)
+    return retrieve.hybrid(chunks(spark, sf_dir), QUESTION, limit, stored=word_index(spark, sf_dir))
 
 
 @query
 def hybrid_fusion(spark, sf_dir):
     rows = chunks(spark, sf_dir)
-    out = retrieve.candidates(rows, QUESTION, questions.plan(QUESTION))
+    out = retrieve.candidates(rows, QUESTION, questions.plan(QUESTION), stored=word_index(spark, sf_dir))
     return out.select("chunk_id", F.round("score", 6).alias("score"), "retrieval")
 
 
 @query
 def rerank(spark, sf_dir):
     rows, plan = chunks(spark, sf_dir), questions.plan(QUESTION)
-    out = retrieve.reranked(rows.join(retrieve.candidates(rows, QUESTION, plan), "chunk_id"), plan)
+    out = retrieve.reranked(rows.join(retrieve.candidates(rows, QUESTION, plan, stored=word_index(spark, sf_dir)), "chunk_id"), plan)
     return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -252,7 +262,7 @@ def best_chunk_per_doc(spark, sf_dir):
 def document_search(spark, sf_dir):
     rows = chunks(spark, sf_dir)
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("lang").alias("language"))
-    out = retrieve.search(rows, docs, QUESTION, 10, language="e")
+    out = retrieve.search(rows, docs, QUESTION, 10, language="e", stored=word_index(spark, sf_dir))
     return out.select("document_id", "title", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -282,6 +292,31 @@ def rag_eval(spark, sf_dir):
     return evaluate.judged(cases, answers, cited)
 
 
+def _asked(spark, sf_dir):
+    """Each benchmark item as a question; its document is to be found by its own words."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.substring("text", 1, 40).alias("expected"), F.concat(F.lit("Document "), F.col("item_id").cast("string")).alias("must_cite"))
+
+
+@query
+def search_many(spark, sf_dir):
+    """The best chunks of each of many questions, all questions at once."""
+    found = many.hybrid(_asked(spark, sf_dir), chunks(spark, sf_dir), word_index(spark, sf_dir))
+    return found.select("id", F.col("place").cast("long").alias("place"), "chunk_id", F.round("score", 6).alias("score"), "retrieval")
+
+
+@query
+def ask_many(spark, sf_dir):
+    """The answer to each of many questions."""
+    asked = _asked(spark, sf_dir)
+    return many.answers(asked, many.hybrid(asked, chunks(spark, sf_dir), word_index(spark, sf_dir)))
+
+
+@query
+def rag_eval_retrieved(spark, sf_dir):
+    """Evaluation cases answered by retrieval: the answer must hold the item's first words, and a document of the item's number be cited."""
+    return many.evaluated(_asked(spark, sf_dir), chunks(spark, sf_dir), word_index(spark, sf_dir))
+
+
 # --- business documents ------------------------------------------------------------------
 
 

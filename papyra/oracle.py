@@ -182,6 +182,47 @@ RETRIEVAL = CHUNKS + f""",
     top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)"""
 
 
+#: The same for each item of ``benchmark`` as a question.
+_SEARCHED = f"""list_filter(regexp_split_to_array(strip_accents(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"""
+_POINTS = """list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(ws, t) THEN 4 ELSE 0 END + (length(n) - length(replace(n, t, ''))) // length(t)
+    + CASE WHEN length(t) > 3 AND len(list_filter(ws, lambda w: length(w) > 3 AND (starts_with(w, t) OR starts_with(t, w)))) > 0 THEN 1 ELSE 0 END))"""
+MANY = CHUNKS + f""",
+    item AS (SELECT concat_ws(':', CAST(doc_id AS VARCHAR), '1', CAST(chunk_index AS VARCHAR)) AS chunk_id, doc_id, text, {norm('text')} AS n, {_INDEXED} AS words FROM chunk),
+    corpus AS (SELECT count(*) AS n_chunks, sum(len(words)) AS n_words FROM item),
+    ask AS (SELECT item_id AS q, text AS question, {norm('text')} AS n FROM benchmark),
+    planned AS (
+        SELECT q, question, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]) AS terms, {some('n', rules.ASKS_AMOUNT)} AS amount, {some('n', rules.ASKS_DATE)} AS date, {some('n', rules.ASKS_LATEST)} AS latest
+        FROM (SELECT q, question, n, list_filter(string_split(n, ' '), lambda w: length(w) > 1) AS ws FROM ask)
+    ),
+    search AS (SELECT DISTINCT q, unnest({_SEARCHED}) AS term FROM (SELECT q, unnest(list_filter(terms[1:12], lambda t: length(t) >= 2)) AS t FROM planned)),
+    tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(words) AS dl, unnest(words) AS term FROM item) WHERE term IN (SELECT term FROM search) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    word_score AS (
+        SELECT q, chunk_id, round(sum(greatest(ln((n_chunks - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (n_words / n_chunks)))), 12) AS bm25
+        FROM search JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY q, chunk_id
+    ),
+    own AS ({hashed('ask', 'q', 'n')}),
+    vec AS ({hashed('item', 'chunk_id', 'n')}),
+    near AS (
+        SELECT q, chunk_id, dot / (sqrt(a.size) * sqrt(b.size)) AS sim FROM (SELECT q, chunk_id, sum(vec.weight * own.weight) AS dot FROM vec JOIN own USING (dim) GROUP BY q, chunk_id)
+        JOIN (SELECT chunk_id, sum(weight * weight) AS size FROM vec GROUP BY chunk_id) a USING (chunk_id) JOIN (SELECT q, sum(weight * weight) AS size FROM own GROUP BY q) b USING (q)
+    ),
+    w60 AS (SELECT q, chunk_id, 2.0 + greatest(bm25, 0) AS score FROM word_score QUALIFY row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, chunk_id) <= 60),
+    v60 AS (SELECT q, chunk_id, 1.5 + 3.0 * sim AS near FROM near WHERE sim > 0.18 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, chunk_id) <= 60),
+    fused AS (SELECT q, chunk_id, coalesce(score, 0) + coalesce(near, 0) AS score, CASE WHEN near IS NULL THEN 'bm25' WHEN score IS NULL THEN 'vector' ELSE 'bm25+vector' END AS retrieval FROM w60 FULL JOIN v60 USING (q, chunk_id)),
+    scored AS (
+        SELECT q AS id, chunk_id, text, retrieval, 'Document ' || CAST(doc_id AS VARCHAR) AS title,
+            round(score + least(3.0, 0.08 * {_POINTS}) + CASE WHEN amount AND regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)') THEN 0.9 ELSE 0 END
+                + CASE WHEN NOT amount AND date AND regexp_matches(text, '(?i)20[0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}|expiry|due|انتهاء|تاريخ') THEN 0.7 ELSE 0 END + CASE WHEN latest THEN 0.15 ELSE 0 END, 9) AS score
+        FROM fused JOIN (SELECT *, string_split(n, ' ') AS ws FROM item) USING (chunk_id) JOIN planned USING (q)
+    ),
+    top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS place FROM scored QUALIFY place <= 8),
+    answer AS (
+        SELECT q AS id, concat_ws(chr(10), 'Closest matches from your archive:', string_agg('[' || CAST(place AS VARCHAR) || '] ' || title || ' - page 1: ' || substr(text, 1, 360) || '...', chr(10) ORDER BY place)) AS answer
+        FROM ask LEFT JOIN (SELECT * FROM top WHERE place <= 4) ON id = q GROUP BY q
+    )"""
+
+
 def snippet(x: str, source: str) -> str:
     clean = f"trim(regexp_replace(coalesce({x}, ''), '{_SPACE}+', ' ', 'g'))"
     at = "coalesce(" + ", ".join(f"nullif(strpos(n, {s(t)}), 0)" for t in QUESTION_TERMS) + ")"
@@ -347,6 +388,10 @@ ORACLE_SQL = {
     "rag_eval": f"""SELECT id, e AS expected_ok, c AS cite_ok, e AND c AS pass FROM (
         SELECT item_id AS id, contains({norm("CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 20) ELSE '>> ' || text END")}, {norm('substr(text, 1, 40)')}) AS e,
             contains('item ' || CAST(item_id + CASE WHEN item_id % 5 = 0 THEN 1000 ELSE 0 END AS VARCHAR) || ' benchmark', 'item ' || CAST(item_id AS VARCHAR)) AS c FROM benchmark)""",
+    "search_many": f"WITH RECURSIVE {MANY} SELECT id, CAST(place AS BIGINT) AS place, chunk_id, round(score, 6) AS score, retrieval FROM top",
+    "ask_many": f"WITH RECURSIVE {MANY} SELECT id, answer FROM answer",
+    "rag_eval_retrieved": f"""WITH RECURSIVE {MANY} SELECT id, e AS expected_ok, c AS cite_ok, e AND c AS pass FROM (
+        SELECT answer.id, contains({norm('answer')}, {norm('substr(question, 1, 40)')}) AS e, EXISTS (SELECT 1 FROM top WHERE top.id = answer.id AND contains(lower(title), 'document ' || CAST(answer.id AS VARCHAR))) AS c FROM answer JOIN ask ON q = answer.id)""",
     "classify_documents": _B + " SELECT doc_id, doc_type, language FROM business",
     "extract_date": _B + " SELECT doc_id, date_guess FROM business",
     "extract_amount": _B + " SELECT doc_id, amount FROM business",
