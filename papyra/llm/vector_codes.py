@@ -86,13 +86,16 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
 
     annulus(every)
     compared = len(x)
-    for k, entry in enumerate(order):
-        rows = np.flatnonzero((low <= k) & (k < high) & (first != k))
+    # outwards from the part's own norm, so that the best distance soon is a short one
+    for step in (s for k in range(1, len(book)) for s in (k, -k)):
+        place = first + step
+        rows = np.flatnonzero((low <= place) & (place < high))
+        entry = order[place[rows]]
         d = distance(rows, entry)
         compared += len(rows)
         better = (d < best[rows]) | ((d == best[rows]) & (entry < code[rows]))
-        rows, d = rows[better], d[better]
-        best[rows], code[rows] = d, entry
+        rows = rows[better]
+        best[rows], code[rows] = d[better], entry[better]
         annulus(rows)
     return code, best, compared
 
