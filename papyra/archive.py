@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from collections import Counter
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, text
-from papyra.operators import apply, chunk, evaluate, filing, inverted, many, retrieve, store
+from papyra.operators import apply, cells, chunk, evaluate, filing, inverted, many, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
-from papyra.tables import Change, Tables
+from papyra.tables import Change, Tables, written
 
+#: The model of the vectors that chunks have of themselves.
+HASHED = "local-hash-384"
 #: What the tables are dealt into buckets by. Documents and chunks share their buckets.
 _KEYS = {"documents": "doc_id", "chunks": "document_id", "folders": "path", "eval_cases": "id"}
 
 
+@dataclasses.dataclass(frozen=True)
+class Model:
+    """An embedding model: its name, how a table (id, text) becomes (id, vector, error), and how one question becomes a vector."""
+
+    name: str
+    passages: Callable[[DataFrame], DataFrame]
+    question: Callable[[str], list[float]]
+
+
 class Archive:
     """Documents, their chunks and the inverted index as tables below ``folder`` (see :mod:`papyra.tables`).
 
@@ -27,10 +40,11 @@ class Archive:
     ``buckets`` holds for a new archive.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32, model: Model | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.tables = Tables(spark, folder, buckets)
-        self.index = inverted.Inverted(self.tables)
+        self.index, self.cells = inverted.Inverted(self.tables), cells.Cells(self.tables)
+        self.model = model
 
     def _fs(self, path: str):
         return self.tables._fs(path)
@@ -121,6 +135,39 @@ class Archive:
             self._chunked(change, self.read("documents"))
         return self.read("chunks")
 
+    def _live(self) -> DataFrame:
+        """(chunk_id, content, text) of the chunks as they are; the content is what is embedded."""
+        body = F.concat_ws("\n", F.col("title"), F.col("text"))
+        return self.read("chunks").select("chunk_id", F.xxhash64(body).alias("content"), body.alias("text"))
+
+    def active_model(self) -> str:
+        """The model that questions are compared by: the archive's own once it has vectors, else the hashed one."""
+        return self.model.name if self.model and self.model.name in self.cells.models() else HASHED
+
+    def embed(self, cells: int | None = None) -> int:
+        """Embed the chunks that have no vector of the archive's model for their present text; returns how many. The first call fits the model's cells."""
+        if not self.model:
+            raise ValueError("the archive has no model")
+        todo = self.cells.missing(self.model.name, self._live())
+        made = self.model.passages(todo.select(F.col("chunk_id").alias("id"), "text"))
+        made = written(made.select("id", "vector", "error").join(todo.select(F.col("chunk_id").alias("id"), "content"), "id"), "embedded")
+        n = made.count()
+        with self.tables.change() as change:
+            own = None if self.model.name in self.cells.models() else self.cells.fit(change, self.model.name, made, cells)
+            if n:
+                self.cells.add(change, self.model.name, made, own)
+        return n
+
+    def prune_vectors(self) -> None:
+        """Drop vectors of chunks that have gone or changed."""
+        with self.tables.change() as change:
+            self.cells.pruned(change, self._live())
+
+    def _near(self, question: str, exact: bool) -> DataFrame | None:
+        if self.active_model() == HASHED:
+            return None
+        return self.cells.hits(self.model.name, self.model.question(question), self._live(), None if exact else cells.PROBES)
+
     def compact(self) -> None:
         """Put what many changes have appended to the index into one file set for each bucket."""
         self.index.compact()
@@ -176,15 +223,16 @@ class Archive:
         """All documents, the latest change first."""
         return store.exported(self.read("documents").orderBy(F.desc("updated_at"), "doc_id"))
 
-    def search(self, question: str, doc_type: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:
+    def search(self, question: str, doc_type: str | None = None, language: str | None = None, limit: int = 20, exact: bool = False) -> DataFrame:
+        """The best documents. ``exact``: all vectors of the active model are compared, not those of the nearest cells."""
         docs = self.read("documents")
         if not question.strip():
             return store.browse(docs, "updated_at", doc_type, language, limit)
-        return retrieve.search(self.read("chunks"), docs.withColumnRenamed("doc_id", "document_id"), question, limit, doc_type, language, self.index)
+        return retrieve.search(self.read("chunks"), docs.withColumnRenamed("doc_id", "document_id"), question, limit, doc_type, language, self.index, self._near(question, exact))
 
     def ask(self, question: str, limit: int = 8) -> tuple[str, DataFrame]:
         """(an answer made of the best excerpts, its sources)."""
-        found = retrieve.hybrid(self.read("chunks"), question, max(1, min(limit, 12)), stored=self.index)
+        found = retrieve.hybrid(self.read("chunks"), question, max(1, min(limit, 12)), stored=self.index, near=self._near(question, False))
         return retrieve.extractive_answer(found, question).first()["answer"], retrieve.sources(found)
 
     def plan(self, question: str):

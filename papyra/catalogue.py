@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, rules, text, vectors
-from papyra.operators import chunk, evaluate, filing, inverted, many, ocr, retrieve, store
+from papyra.operators import cells, chunk, evaluate, filing, inverted, many, ocr, retrieve, store
 from papyra.oracle import ORACLE_SQL
 from papyra.plans import question as questions
 from papyra.sources import rendered
@@ -230,6 +231,59 @@ def vector_threshold(spark, sf_dir):
     return _near(spark, sf_dir).where("cosine > 0.18").select("vec_id", F.round(1.5 + 3.0 * F.col("cosine"), 6).alias("score"))
 
 
+#: Models of the vectors of ``embeddings``, by id; every 50th embedding has failed.
+MODELS = ["multilingual-e5-small", "local-hash-384", "some-model"]
+
+
+def _by_model(spark, sf_dir):
+    model = F.get(F.array(*map(F.lit, MODELS)), F.pmod("vec_id", F.lit(3)).cast("int"))
+    failed = F.col("vec_id") % 50 == 7
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("id"), model.alias("model"), F.xxhash64("vec_id").alias("content"), F.when(~failed, F.col("embedding")).alias("vector"), F.when(failed, "timeout").alias("error"))
+
+
+_cells: dict[tuple[str, str], cells.Cells] = {}
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """``embeddings`` as stored vectors of three models, in cells."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        rows, own = _by_model(spark, sf_dir), cells.Cells(scratch(spark, "vectors"))
+        for m in MODELS:
+            mine = rows.where(F.col("model") == m).drop("model")
+            with own.tables.change() as change:
+                own.add(change, m, mine, own.fit(change, m, mine))
+        _cells[key] = own
+    return _cells[key]
+
+
+def _vector(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == NEAREST_TO).select("embedding").first()[0]
+
+
+@query
+def knn_by_model(spark, sf_dir):
+    """The nearest vectors of each model, exactly: all cells are read."""
+    own, q = vector_cells(spark, sf_dir), _vector(spark, sf_dir)
+    found = [own.similar(m, q, None).select(F.lit(m).alias("model"), F.col("id").cast("long").alias("vec_id"), F.round("similarity", 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(rules.CANDIDATES) for m in MODELS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query
+def model_scores(spark, sf_dir):
+    """Hits of each model by its own least cosine and scale."""
+    own, q = vector_cells(spark, sf_dir), _vector(spark, sf_dir)
+    near = lambda m: own.similar(m, q, None).where(F.col("similarity") > cells.least(m)).select(F.lit(m).alias("model"), F.col("id").cast("long").alias("vec_id"), F.round(cells.score(m, F.col("similarity")), 6).alias("score"))
+    return functools.reduce(DataFrame.unionByName, map(near, MODELS))
+
+
+@query
+def embedding_errors(spark, sf_dir):
+    """What the stored vectors of each model are."""
+    rows = vector_cells(spark, sf_dir).tables.read("vectors")
+    return rows.groupBy("model", "dims").agg(F.count("*").alias("n"))
+
+
 def _found(spark, sf_dir, limit=rules.RESULTS):
     return retrieve.hybrid(chunks(spark, sf_dir), QUESTION, limit, stored=word_index(spark, sf_dir))
 

@@ -40,10 +40,10 @@ def reranked(candidates: DataFrame, plan: questions.Plan) -> DataFrame:
     return candidates.withColumn("score", F.round(score, 9))
 
 
-def candidates(chunks: DataFrame, question: str, plan: questions.Plan, most: int = rules.CANDIDATES, stored: Inverted | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, question: str, plan: questions.Plan, most: int = rules.CANDIDATES, stored: Inverted | None = None, near: DataFrame | None = None) -> DataFrame:
     """The best ``most`` chunks of each index, fused. Statistics of the index are those of all chunks; the type restricts the lists.
 
-    With a ``stored`` inverted index the chunks' words aren't read.
+    With a ``stored`` inverted index the chunks' words aren't read. ``near`` (chunk_id, score) takes the place of the hashed vectors' list: hits of another model.
     """
     some = chunks.where(F.col("doc_type") == plan.doc_type) if plan.doc_type else chunks
     terms = questions.index_terms(plan.terms)
@@ -53,7 +53,10 @@ def candidates(chunks: DataFrame, question: str, plan: questions.Plan, most: int
         scores = index.bm25(chunks, terms)
         scores = scores.join(some.select("chunk_id"), "chunk_id", "left_semi") if plan.doc_type else scores
     words = scores.orderBy(F.desc("bm25"), "chunk_id").limit(most).select("chunk_id", (2.0 + F.greatest(F.col("bm25"), F.lit(0.0))).alias("score"))
-    near = index.vector_hits(some, question).orderBy(F.desc("sim"), "chunk_id").limit(most).select("chunk_id", (1.5 + 3.0 * F.col("sim")).alias("score"))
+    if near is None:
+        near = index.vector_hits(some, question).orderBy(F.desc("sim"), "chunk_id").limit(most).select("chunk_id", (1.5 + 3.0 * F.col("sim")).alias("score"))
+    elif plan.doc_type:
+        near = near.join(some.select("chunk_id"), "chunk_id", "left_semi")
     return fused(words, near)
 
 
@@ -63,7 +66,7 @@ def lexical(chunks: DataFrame, plan: questions.Plan) -> DataFrame:
     return some.select("chunk_id", (text.lexical_score(F.col("norm"), plan.terms) / 5.0).alias("score"), F.lit("lexical").alias("retrieval")).where("score > 0")
 
 
-def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | None = None, stored: Inverted | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | None = None, stored: Inverted | None = None, near: DataFrame | None = None) -> DataFrame:
     """The best chunks for a question, at most ``RESULTS``, with score and how they were found; ties go to the smaller chunk_id.
 
     If neither index has a candidate, chunks are scored by the question's words.
@@ -71,7 +74,7 @@ def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | Non
     own = questions.plan(question)
     plan = questions.Plan(doc_type or own.doc_type, own.field, own.sort, own.terms)
     # two lists of CANDIDATES rows at most: kept on the driver, so that they are found once
-    some = candidates(chunks, question, plan, stored=stored)
+    some = candidates(chunks, question, plan, stored=stored, near=near)
     rows = some.collect()
     if rows:
         found = F.broadcast(chunks.sparkSession.createDataFrame(rows, some.schema))
@@ -87,9 +90,9 @@ def best_chunks(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def search(chunks: DataFrame, documents: DataFrame, question: str, limit: int = 20, doc_type: str | None = None, language: str | None = None, stored: Inverted | None = None) -> DataFrame:
+def search(chunks: DataFrame, documents: DataFrame, question: str, limit: int = 20, doc_type: str | None = None, language: str | None = None, stored: Inverted | None = None, near: DataFrame | None = None) -> DataFrame:
     """(document_id, title, score, retrieval, snippet), best first. The language restricts what the limit has left."""
-    found = best_chunks(hybrid(chunks, question, max(30, 3 * limit), doc_type, stored)).orderBy(F.desc("score"), "chunk_id").limit(max(1, min(limit, 100)))
+    found = best_chunks(hybrid(chunks, question, max(30, 3 * limit), doc_type, stored, near)).orderBy(F.desc("score"), "chunk_id").limit(max(1, min(limit, 100)))
     if language:
         found = found.join(documents.select(F.col("document_id"), "language"), "document_id").where(F.contains(F.col("language"), F.lit(language)))
     return found.select("document_id", "title", "score", "retrieval", text.snippet("text", text.terms_of(question)).alias("snippet")).orderBy(F.desc("score"), "document_id")

@@ -351,6 +351,8 @@ def _wins(t: str) -> str:
     return f"(trim({t}) <> '' AND ({points(t)} >= {points('t0')} OR ({_UNSURE} AND length(trim({t})) >= 20 AND NOT {garbled(t)})))"
 
 
+_MODELLED = """m AS (SELECT vec_id, ['multilingual-e5-small', 'local-hash-384', 'some-model'][vec_id % 3 + 1] AS model, embedding AS e, vec_id % 50 = 7 AS failed FROM embeddings),
+    sim AS (SELECT vec_id, model, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(q AS DOUBLE[])) AS cosine FROM m, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE NOT failed)"""
 #: Written out again, as the catalogue imports this module.
 _FORMS = "(SELECT doc_id, text FROM documents UNION ALL VALUES (-1, 'ﻻ ﬁne １２３ ＡＢＣ'), (-2, 'ﻋﻘﺪ اﻹيجار ٢٠٢٤'), (-3, 'ﬂat ½ №５ ①'), (-4, 'ｒｅｎｔ ﷺ'))"
 ORACLE_SQL = {
@@ -377,6 +379,9 @@ ORACLE_SQL = {
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "knn_cosine": "SELECT vec_id, cosine FROM (SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY cosine DESC, vec_id LIMIT 60",
     "vector_threshold": "SELECT vec_id, round(1.5 + 3.0 * cosine, 6) AS score FROM (SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE cosine > 0.18",
+    "knn_by_model": f"WITH {_MODELLED} SELECT model, vec_id, round(cosine, 6) AS cosine FROM sim QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(cosine, 6) DESC, vec_id) <= 60",
+    "model_scores": f"WITH {_MODELLED} SELECT model, vec_id, round(CASE WHEN model = 'multilingual-e5-small' THEN 1.5 + (cosine - 0.75) * 10.0 ELSE 1.5 + cosine * 3.0 END, 6) AS score FROM sim WHERE cosine > CASE model WHEN 'multilingual-e5-small' THEN 0.78 WHEN 'local-hash-384' THEN 0.18 ELSE 0.12 END",
+    "embedding_errors": f"WITH {_MODELLED} SELECT CASE WHEN failed THEN 'embedding-error:timeout' ELSE model END AS model, CAST(CASE WHEN failed THEN 0 ELSE len(e) END AS INTEGER) AS dims, count(*) AS n FROM m GROUP BY ALL",
     "hybrid_fusion": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, round(score, 6) AS score, retrieval FROM fused",
     "rerank": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, round(score, 6) AS score FROM scored",
     "hybrid_search": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, document_id, title, round(score, 6) AS score, retrieval FROM top",
