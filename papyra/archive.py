@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, text
-from papyra.operators import apply, cells, chunk, evaluate, filing, inverted, many, retrieve, store
+from papyra.operators import apply, cells, evaluate, filing, inverted, many, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
 from papyra.tables import Change, Tables, written
@@ -109,7 +109,7 @@ class Archive:
     def _chunked(self, change: Change, docs: DataFrame, ids: DataFrame | None = None) -> None:
         """Chunks, words and vectors of the documents of the given ids anew, or of all; the inverted index follows."""
         own = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
-        made = retrieve.with_ids(chunk.chunks(own.where("status = 'indexed'"), "doc_id"), own)
+        made = retrieve.chunked(own.where("status = 'indexed'"))
         if ids is None:
             for name in [n for n in ("postings", "terms", "corpus") if n in change.state["tables"]]:
                 change.state["tables"][name]["files"] = {}

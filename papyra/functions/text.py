@@ -217,6 +217,16 @@ def snippet(c: Column | str, terms: list[str], size: int = 360, before: int = 10
     return let(F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " ")), cut)
 
 
+def counted(values: Column) -> Column:
+    """array<struct<value, n>>: the distinct elements of an array, sorted, with their numbers, by one sort of the array."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("value"), (F.coalesce(F.get(b, k + 1), F.size(s)) - at).alias("n"))))
+
+    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.filter(F.transform(s, lambda x: F.struct(x.alias("value"), F.lit(0).alias("n"))), lambda x: F.lit(False))))
+
+
 def file_name(c: Column | str) -> Column:
     """A name that is safe in any file system: letters of the Latin and Arabic blocks, digits, and single underscores."""
     x = F.regexp_replace(F.translate(text_of(c), "ـ", ""), f"[^A-Za-z0-9{rules.ARABIC}_.-]+", "_")

@@ -40,6 +40,23 @@ def hashed(docs, key: str, norm: Column, dims: int = rules.DIMENSIONS):
     return each.groupBy(key, "dim").agg(F.sum("sign").alias("weight")).where("weight <> 0")
 
 
+def hashed_array(norm: Column, dims: int = rules.DIMENSIONS) -> Column:
+    """:func:`hashed` of a text as array<struct<dim, weight>>, sorted by dim: within the row, without a shuffle."""
+    # a feature as one number: its dimension, then its sign
+    code = lambda h: F.pmod(h, F.lit(dims)) * 2 + F.shiftright(h, 3).bitwiseAND(F.lit(1))
+    codes = F.transform(features(norm), lambda f: text.let(feature_hash(f), code))
+
+    def weights(r: Column) -> Column:
+        before, after = lambda k: F.get(r, k - 1), lambda k: F.get(r, k + 1)
+        # the positive ones of a dimension follow its negative ones, if there are any
+        plus = lambda x, k: x["n"] - F.when(before(k)["value"] == x["value"] - 1, before(k)["n"]).otherwise(0)
+        minus = lambda x, k: F.when(after(k)["value"] == x["value"] + 1, 0).otherwise(-x["n"])
+        summed = F.transform(r, lambda x, k: F.struct(F.floor(x["value"] / 2).cast("int").alias("dim"), F.when(x["value"] % 2 == 1, plus(x, k)).otherwise(minus(x, k)).cast("long").alias("weight")))
+        return F.filter(summed, lambda x: x["weight"] != 0)
+
+    return text.let(text.counted(codes), weights)
+
+
 def hashed_plain(question: str, dims: int = rules.DIMENSIONS) -> dict[int, int]:
     """:func:`hashed` of one text on the driver."""
     out: dict[int, int] = {}

@@ -112,9 +112,12 @@ class Cells:
         return np.array([r["centroid"] for r in rows]) if rows else np.empty((0, 0))
 
     def fit(self, change: Change, model: str, rows: DataFrame, cells: int | None = None) -> np.ndarray:
-        """Centroids of a model that has none, from vectors (id, vector): about the root of their number, if ``cells`` isn't given."""
-        n = cells or max(1, round(rows.count() ** 0.5))
-        own = centroids(rows.where(F.size("vector") > 0), n)
+        """Centroids of a model that has none, from vectors (id, vector) of the size that most have: about the root of their number, if ``cells`` isn't given."""
+        sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"))
+        most = sizes.orderBy(F.desc("n"), "dims").first()
+        if not most:
+            return np.empty((0, 0))  # nothing to fit: the next call may
+        own = centroids(rows.where(F.size("vector") == most["dims"]), cells or max(1, round(most["n"] ** 0.5)))
         made = [(model, k, [float(x) for x in c]) for k, c in enumerate(own)]
         change.append("cells", "model", self.tables.spark.createDataFrame(made, "model string, cell int, centroid array<double>"))
         return own

@@ -61,8 +61,8 @@ def packed(parts: Column, most: int = rules.CHUNK_TOKENS, overlap: int = rules.O
     return F.aggregate(F.transform(parts, _piece), start, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(joined(a["open"])))).otherwise(a["done"]))
 
 
-def chunks(pages: DataFrame, key: str, text_col: str = "text", page_col: str | None = None) -> DataFrame:
-    """(key, page, chunk_index, text, token_count); the index starts anew on each page, a blank page has no chunk."""
+def chunks(pages: DataFrame, key: str, text_col: str = "text", page_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(key, page, chunk_index, text, token_count) and the columns to ``keep``; the index starts anew on each page, a blank page has no chunk."""
     page = F.col(page_col) if page_col else F.lit(1)
-    each = pages.select(key, page.alias("page"), F.posexplode(packed(blocks(text_col))).alias("chunk_index", "chunk"))
-    return each.select(key, "page", "chunk_index", F.col("chunk.text").alias("text"), F.col("chunk.tokens").alias("token_count"))
+    each = pages.select(key, *(keep or []), page.alias("page"), F.posexplode(packed(blocks(text_col))).alias("chunk_index", "chunk"))
+    return each.select(key, *(keep or []), "page", "chunk_index", F.col("chunk.text").alias("text"), F.col("chunk.tokens").alias("token_count"))

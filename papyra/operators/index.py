@@ -16,11 +16,9 @@ def indexed_text():
     return F.concat_ws(" ", "title", "text", "norm")
 
 
-def indexed(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``chunks`` with what retrieval reads: ``words`` of the inverted index and ``vec``, the hashed vector as array<struct<dim, weight>>. Built once, when chunks are stored."""
-    rows = chunks.withColumn("words", text.index_tokens(indexed_text()))
-    v = vectors.hashed(chunks, key, F.col("norm")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("vec"))
-    return rows.join(v, key, "left")
+def indexed(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with what retrieval reads: ``words`` of the inverted index and ``vec``, the hashed vector as array<struct<dim, weight>>. Built once, when chunks are stored, within the row."""
+    return chunks.withColumns({"words": text.index_tokens(indexed_text()), "vec": vectors.hashed_array(F.col("norm"))})
 
 
 def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:

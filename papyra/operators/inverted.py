@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions import text
 from papyra.operators import index
 from papyra.tables import Change, Tables
 
@@ -23,10 +24,8 @@ POSTINGS = "term string, chunk_id string, tf int, dl int, doc_type string"
 
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(term, chunk_id, tf, dl, doc_type) of chunks with index ``words``, counted within each chunk: nothing is shuffled."""
-    words = F.col("words")
-    counts = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("tf")))
-    rows = chunks.where(F.size("words") > 0).select(F.col(key).alias("chunk_id"), F.size("words").alias("dl"), F.col("doc_type"), F.inline(counts))
-    return rows.select("term", "chunk_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), "doc_type")
+    rows = chunks.where(F.size("words") > 0).select(F.col(key).alias("chunk_id"), F.size("words").alias("dl"), "doc_type", F.inline(text.counted(F.col("words"))))
+    return rows.select(F.col("value").alias("term"), "chunk_id", F.col("n").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), "doc_type")
 
 
 def add(change: Change, chunks: DataFrame, gone: DataFrame | None = None) -> None:

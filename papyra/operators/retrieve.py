@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyra.functions import rules, text
-from papyra.operators import index
+from papyra.operators import chunk, index
 from papyra.operators.inverted import Inverted
 from papyra.plans import question as questions
 
@@ -116,8 +116,16 @@ def extractive_answer(found: DataFrame, question: str, limit: int = 4) -> DataFr
     return gathered.select(F.concat_ws("\n", F.lit(intro), F.transform("rows", line)).alias("answer"))
 
 
+def chunked(documents: DataFrame, key: str = "doc_id", page_col: str | None = None) -> DataFrame:
+    """The chunks of documents as retrieval reads and stores them: ids that are the same in each run, titles and types, index words and vectors. Nothing is shuffled."""
+    each = chunk.chunks(documents, key, page_col=page_col, keep=["title", "doc_type", "updated_at"])
+    ids = F.concat_ws(":", key, "page", "chunk_index").alias("chunk_id")
+    rows = each.select(F.col(key).alias("document_id"), ids, "page", "chunk_index", "text", "token_count", text.normalized("text").alias("norm"), "title", "doc_type", "updated_at")
+    return index.indexed(rows)
+
+
 def with_ids(chunks: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks as retrieval reads and stores them: ids that are the same in each run, titles and types of their documents, index words and vectors."""
+    """:func:`chunked` for chunks that have been made already, with their documents."""
     ids = F.concat_ws(":", key, "page", "chunk_index").alias("chunk_id")
     own = documents.select(F.col(key), "title", "doc_type", "updated_at")
     rows = chunks.select(ids, F.col(key), "page", "chunk_index", "text", "token_count", text.normalized("text").alias("norm")).join(own, key)
