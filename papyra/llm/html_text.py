@@ -7,7 +7,7 @@ import pickle
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "mspace", "menclose", "merror", "maction", "semantics", "annotation"}
 _ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "select": {"select"}}
 _HOLDS = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "aside", "nav", "header", "footer", "blockquote", "form"}
+#: Elements that implied end tags close or stop at.
+_STOPS = _HOLDS | _APART | set().union(*_ENDS_ITSELF.values())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -39,13 +41,56 @@ _RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.I | re.A) for name in _
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Elements above a link or other inline element that ends among them, for which it is taken out of their paths.
+UNLINKED = 64
+
+
+class _Open:
+    """An open element: its parent, and what of the path down to it blocks need. Paths share their beginnings, so a page takes memory for its tags, however deep they are."""
+
+    __slots__ = ("dead", "links", "mask", "name", "outer", "parent", "place", "stops", "tokens")
+
+    def __init__(self, name: str, tokens: tuple[str, ...], parent: _Open | None, place: int):
+        self.name, self.tokens, self.parent, self.place, self.dead = name, tokens, parent, place, False
+        mask = parent.mask if parent else 0
+        for t in tokens:
+            mask |= 1 << _slot(t, PATH_SLOTS)
+        #: slots of all tokens of the path as bits, links and elements that aren't inline among them
+        self.mask = mask
+        self.links = (parent.links if parent else 0) + (name == "a")
+        self.outer = (parent.outer if parent else 0) + (name not in _INLINE)
+        #: the nearest element that an implied end tag looks at
+        self.stops = self if name in _STOPS else parent.stops if parent else None
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at:
+            out.append(at.tokens)
+            at = at.parent
+        return tuple(t for ts in reversed(out) for t in ts)
+
+
 class Block:
-    """Text between two breaks, with the tokens of the elements around it."""
+    """Text between two breaks, with the tokens of the elements around it: as a tuple, or as the element that it stands in."""
+
+    __slots__ = ("inside", "linked", "own", "text")
 
-    __slots__ = ("linked", "path", "text")
+    def __init__(self, text: str, path: tuple[str, ...] | None, linked: int, inside: _Open | None = None):
+        self.text, self.own, self.linked, self.inside = text, path, linked, inside
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.own if self.own is not None else self.inside.path() if self.inside else ()
+
+    def slots(self) -> tuple[int, str]:
+        """(slots of the distinct tokens as bits, the last two elements)."""
+        if self.own is None:
+            e = self.inside
+            return (e.mask, f"{e.parent.name}>{e.name}" if e.parent else e.name) if e else (0, "")
+        mask = 0
+        for t in {*self.own}:
+            mask |= 1 << _slot(t, PATH_SLOTS)
+        return mask, ">".join([x for x in self.own if x[0] != "."][-2:])
 
 
 def _tokens(name: str, attributes: str) -> tuple[str, ...]:
@@ -66,7 +111,8 @@ def blocks(page: str) -> list[Block]:
     tag is dropped.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # of each name, the places in the stack
     parts: list[str] = []
     linked = at = links = 0
 
@@ -75,10 +121,27 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(t for _, ts in stack for t in ts), linked))
+                out.append(Block(text, None, linked, stack[-1] if stack else None))
             parts.clear()
         linked = 0
 
+    def cut(k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        while len(stack) > k:
+            e = stack.pop()
+            if not e.dead:
+                open_at[e.name].pop()
+
+    def unlink(k: int) -> None:
+        """Close an inline element that others have been opened in since."""
+        open_at[stack[k].name].pop()
+        below = stack[k].parent
+        stack[k].dead = True
+        if len(stack) - k <= UNLINKED:
+            for i in range(k + 1, len(stack)):
+                if not stack[i].dead:
+                    stack[i] = below = _Open(stack[i].name, stack[i].tokens, below, i)
+
     def text(begin: int, end: int) -> None:
         nonlocal linked
         if end > begin:
@@ -121,15 +184,17 @@ def blocks(page: str) -> list[Block]:
                 continue
             closing, name, attributes = page[mark + 1] == "/", m[1].lower(), ""
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name not in _INLINE:
                 flush()
-            if k >= 0:
-                if name in _INLINE and any(x not in _INLINE for x, _ in stack[k + 1 :]):
-                    del stack[k]
+            if open_at[name]:
+                k = open_at[name][-1]
+                if name in _INLINE and stack[-1].outer > stack[k].outer:
+                    unlink(k)
                 else:
-                    del stack[k:]
-                links = sum(x == "a" for x, _ in stack)
+                    cut(k)
+                while stack and stack[-1].dead:
+                    stack.pop()
+                links = stack[-1].links if stack else 0
             continue
         if name in _RAW:
             parts.append(" ")
@@ -144,16 +209,18 @@ def blocks(page: str) -> list[Block]:
         else:
             flush()
             ends = _ENDS_ITSELF.get(name) or ({"p"} if name not in _VOID and name not in _APART else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _HOLDS or stack[i][0] in _APART:
-                    break
-            links = sum(x == "a" for x, _ in stack)
+            e = stack[-1].stops if stack else None
+            while e and e.name not in ends and e.name not in _HOLDS and e.name not in _APART:
+                e = e.parent.stops if e.parent else None
+            if e and e.name in ends:
+                cut(e.place)
+                while stack and stack[-1].dead:
+                    stack.pop()
+            links = stack[-1].links if stack else 0
         if name not in _VOID and not (attributes.endswith("/") and name not in _HOLDS):
-            stack.append((name, _tokens(name, attributes)))
-            links += name == "a"
+            open_at[name].append(len(stack))
+            stack.append(_Open(name, _tokens(name, attributes), stack[-1] if stack else None, len(stack)))
+            links = stack[-1].links
     flush()
     return out
 
@@ -165,7 +232,7 @@ def _slot(token: str, slots: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % slots
 
 
-_paths: dict[tuple[str, ...], list[int]] = {}
+_paths: dict[tuple[int, str], list[int]] = {}
 
 
 def features(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
@@ -173,12 +240,12 @@ def features(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.nd
     extra = np.zeros((len(page), EXTRA), np.float32)
     paths, words = [], []
     for k, b in enumerate(page):
-        own = _paths.get(b.path)
+        mask, tail = b.slots()
+        own = _paths.get((mask, tail))
         if own is None:
             if len(_paths) > 50_000:
                 _paths.clear()
-            tail = [x for x in b.path if x[0] != "."][-2:]
-            own = _paths[b.path] = [_slot(t, PATH_SLOTS) for t in {*b.path, ">".join(tail)}]
+            own = _paths[mask, tail] = [k for k in range(mask.bit_length()) if mask >> k & 1] + [_slot(tail, PATH_SLOTS)]
         paths.append(own)
         ws = b.text.lower().split()
         words.append([_slot(w, WORD_SLOTS) for w in ws])
