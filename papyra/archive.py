@@ -79,13 +79,15 @@ class Archive:
         return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
 
     def upload(self, name: str, content: bytes) -> DataFrame:
-        """Store a file under a safe name in the archive's own folder and index it."""
+        """Store a file under a safe name in the archive's own folder and index it, also if its content is known; a file of an unsupported kind isn't stored, and counts as skipped."""
+        if files.suffix_of(name) not in files.SUFFIXES:
+            return self.spark.createDataFrame([("skipped", 1)], "status string, n long")
         path = f"{self.folder}/files/{datetime.now():%Y%m%d_%H%M%S_%f}_{files.safe_name(name)}"
         fs, p = self._fs(path)
         out = fs.create(p, True)
         out.write(bytearray(content))
         out.close()
-        return self.ingest(path)
+        return self.ingest(path, force=True)
 
     def _index(self, texts: DataFrame) -> None:
         defaults = store.folder_defaults(texts.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")), self.folders(), "_at").drop("_at")

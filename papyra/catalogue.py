@@ -14,7 +14,7 @@ from papyra.oracle import ORACLE_SQL
 from papyra.plans import question as questions
 from papyra.sources import rendered
 from papyra.sources.tables import spread, table
-from papyra.tables import Tables, scratch
+from papyra.tables import Tables, scratch, written
 
 #: Fixed questions of the retrieval queries: words of the corpus, and words that plans look for.
 QUESTION = "latest license amount of the thing on heer onatth"
@@ -69,8 +69,9 @@ def business(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = business(spark, sf_dir).withColumn("norm", text.normalized(F.concat_ws(" ", "text", "title")))
-    return filing.planned(docs)
+    # written once: the plan counts companies and then reads the documents, and extraction is dear
+    docs = business(spark, sf_dir).withColumn("norm", F.substring(text.normalized(F.concat_ws(" ", "text", "title")), 1, 2000)).drop("text", "fields", "tags")
+    return filing.planned(written(docs, "extracted"))
 
 
 # --- text ---------------------------------------------------------------------------
@@ -80,6 +81,15 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMS = ["ﻻ ﬁne １２３ ＡＢＣ", "ﻋﻘﺪ اﻹيجار ٢٠٢٤", "ﬂat ½ №５ ①", "ｒｅｎｔ ﷺ"]
 
 
+#: Texts with digits of another script, which the tables have none of: a law of thirteen articles, a date before a company, symbols.
+EASTERN = ["\n".join(f"المادة ({d}) نص" for d in "١٢٣٤٥٦٧٨٩٠١٢٣"), "٢٠٢٤/٠٥/٠١\nشركة النور للتجارة\n١٢", "؟؟؟ ????? ١٢٣", "١٢٣٤٥٦٧٨٩٠", "المادة ٣ و المادة ٤"]
+
+
+def _eastern(spark):
+    """(doc_id, text) of ``EASTERN`` under negative ids."""
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, EASTERN))).alias("k", "text")).select((-1 - F.col("k")).cast("long").alias("doc_id"), "text")
+
+
 def _with_forms(spark, sf_dir):
     """(doc_id, text) of ``documents`` and, under negative ids, of ``FORMS``."""
     forms = spark.range(1).select(F.posexplode(F.array(*map(F.lit, FORMS))).alias("k", "text")).select((-1 - F.col("k")).cast("long").alias("doc_id"), "text")
@@ -119,7 +129,7 @@ def text_quality(spark, sf_dir):
 
 @query
 def garbled_flag(spark, sf_dir):
-    return _readings(spark, sf_dir).select("id", text.garbled("body").alias("garbled"))
+    return _readings(spark, sf_dir).union(_eastern(spark)).select("id", text.garbled("body").alias("garbled"))
 
 
 @query
@@ -307,6 +317,27 @@ def hybrid_search(spark, sf_dir):
     return _found(spark, sf_dir).select("chunk_id", "document_id", "title", F.round("score", 6).alias("score"), "retrieval")
 
 
+@query
+def ranked_from_outside(spark, sf_dir):
+    """The best chunks in the order of a ranker that likes even documents, the last of them first, and doesn't list others."""
+
+    def ranker(shown):
+        return shown.where("document_id % 2 = 0").select("chunk_id", (-F.col("document_id")).alias("place"))
+
+    out = retrieve.hybrid(chunks(spark, sf_dir), QUESTION, rules.RESULTS, stored=word_index(spark, sf_dir), ranker=ranker)
+    return out.select("chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query
+def supported_answers(spark, sf_dir):
+    """Whether each answer to many questions rests on what was asked: benchmark items stand for the excerpts, and every third answer is of the next item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    shifted = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    both = items.join(shifted, "item_id", "left")
+    answer = F.when((F.col("item_id") % 3 == 0) & F.col("other").isNotNull(), F.substring("other", 1, 200)).otherwise(F.substring("text", 1, 200))
+    return both.select("item_id", retrieve.supported(answer, "text").alias("supported"))
+
+
 @query
 def best_chunk_per_doc(spark, sf_dir):
     return retrieve.best_chunks(_found(spark, sf_dir)).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
@@ -391,7 +422,7 @@ def extract_amount(spark, sf_dir):
 
 @query
 def extract_company(spark, sf_dir):
-    return business(spark, sf_dir).select("doc_id", "company")
+    return business(spark, sf_dir).select("doc_id", "company").union(_eastern(spark).select("doc_id", extract.company("text")))
 
 
 @query
@@ -535,6 +566,19 @@ def engine_select(spark, sf_dir):
     return ocr.chosen(first.union(second).union(third), "doc_id").select("doc_id", "engine", F.sha2("text", 256).alias("sha256"))
 
 
+@query
+def grid_choice(spark, sf_dir):
+    """Six readings of each document in two variants, with parts of its letters lost and confidences by a rule, and three of the page turned round."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = ["etaoin", "eta", "", "e", "etaoinshr", "a"]
+    turned = [(90, k) for k in range(3)]
+    rows = docs.select("doc_id", "text", F.explode(F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(k).alias("step")) for a, k in [*((0, k) for k in range(6)), *turned]))).alias("r")).select("doc_id", "text", "r.*")
+    body = F.get(F.array(*(F.translate("text", x, "?" * len(x)) for x in lost)), F.pmod(F.col("step") + F.when(F.col("angle") > 0, F.lit(2)).otherwise(F.lit(0)) + F.col("doc_id"), F.lit(6)).cast("int"))
+    words = F.transform(F.slice(F.split(body, " "), 1, 6), lambda w, i: F.struct(w.alias("t"), ((F.col("doc_id") * 7 + F.col("step") * 13 + F.col("angle") + i * 5) % 110 - 10).cast("int").alias("conf")))
+    made = rows.select("doc_id", "angle", "step", F.when(F.col("step") < 3, "plain").otherwise("sharp").alias("variant"), F.lit("eng").alias("languages"), F.col("step").cast("string").alias("mode"), body.alias("text"), F.when(F.col("doc_id") % 11 != 3, words).alias("words"))
+    return ocr.grid_choice(made, "doc_id").select("doc_id", "engine", F.sha2("text", 256).alias("sha256"), F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("boxes"))
+
+
 @query
 def json_props(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("props"))
@@ -557,7 +601,7 @@ def scan_tally(spark, sf_dir):
 
 @query
 def legislation_flag(spark, sf_dir):
-    docs = rendered.documents(spark, sf_dir).select("doc_id", "text", text.normalized("text").alias("norm"))
+    docs = rendered.documents(spark, sf_dir).select("doc_id", "text").union(_eastern(spark)).withColumn("norm", text.normalized("text"))
     return docs.select("doc_id", extract.legislation(F.col("text"), F.col("norm")).alias("legislation"))
 
 

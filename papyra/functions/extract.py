@@ -10,9 +10,6 @@ from papyra.functions import rules, text
 _NEWLINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
 _I = "(?i)"
 _PREFIXED, _SUFFIXED = rf"{rules.CURRENCY}\s*({rules.NUMBER})", rf"({rules.NUMBER})\s*{rules.CURRENCY}"
-_SYMBOLS = r"^(?:[^\p{L}\p{N}_]|[0-9_])+$"
-_TOTAL = r"(?:grand\s*total|total\s*(?:due|amount)?|الاجمالي|الإجمالي|المجموع|المبلغ\s*الاجمالي|المبلغ\s*المستحق|صافي)"
-_LAW_LINE = r"(?:law|decree|resolution|regulation|rules|قانون|مرسوم|قرار|لائح|نظام)"
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -31,7 +28,7 @@ def lines(c: Column | str) -> Column:
 
 def legislation(raw: Column, norm: Column) -> Column:
     """A law by its form: a marker of one, or many numbered articles without the words of a contract's parties."""
-    articles = text.matches(raw, _I + r"(?:الماد[ةه]|article)\s*\(?\s*[0-9]+\s*\)?")
+    articles = text.matches(raw, _I + rules.ARTICLE)
     return text.has_any(norm, rules.LEGISLATION) | ((articles >= 12) & ~text.has_any(norm, rules.PARTIES))
 
 
@@ -47,7 +44,7 @@ def legal_title(raw: Column | str) -> Column:
     """The first of the opening lines that names a law; null without one."""
 
     def names(x: Column) -> Column:
-        return F.length(x).between(12, 140) & ~x.rlike(_SYMBOLS) & ~text.garbled(x) & (text.has_any(text.normalized(x), rules.LEGISLATION) | x.rlike(_I + _LAW_LINE))
+        return F.length(x).between(12, 140) & x.rlike(rules.WORDLY) & ~text.garbled(x) & (text.has_any(text.normalized(x), rules.LEGISLATION) | x.rlike(_I + rules.LAW_LINE))
 
     return F.try_element_at(F.filter(F.slice(lines(raw), 1, 40), names), F.lit(1))
 
@@ -75,7 +72,7 @@ def amount(raw: Column | str) -> Column:
 
 def company(raw: Column | str) -> Column:
     """The first of the opening lines that can be a name."""
-    return F.try_element_at(F.filter(F.slice(lines(raw), 1, 12), lambda x: F.length(x).between(2, 80) & ~text.garbled(x) & ~x.rlike(_SYMBOLS)), F.lit(1))
+    return F.try_element_at(F.filter(F.slice(lines(raw), 1, 12), lambda x: F.length(x).between(2, 80) & ~text.garbled(x) & x.rlike(rules.WORDLY)), F.lit(1))
 
 
 def title(name: Column | str, kind: Column, law: Column) -> Column:
@@ -103,7 +100,7 @@ def fields(raw: Column | str, kind: Column, name: Column, firm: Column, date: Co
     pairs = F.zip_with(every(digits, both, 1), every(digits, both, 2), lambda a, b: F.when(a != "", a).otherwise(b))
     amounts = text.let(pairs, lambda p: F.when(F.size(p) > 0, F.slice(p, F.greatest(F.size(p) - 7, F.lit(1)), 8)))
     total_line = rf"({rules.NUMBER})\s*{rules.CURRENCY}|{rules.CURRENCY}\s*({rules.NUMBER})|({rules.NUMBER})\s*$"
-    totals = F.filter(lines(digits), lambda x: x.rlike(_I + _TOTAL) & x.rlike(_I + total_line))
+    totals = F.filter(lines(digits), lambda x: x.rlike(_I + rules.TOTAL) & x.rlike(_I + total_line))
     total = F.try_element_at(totals, F.lit(1))
     iban = F.substring(F.regexp_replace(found(digits, r"(?:iban|ايبان|آيبان)\s*[:#-]?\s*([A-Z]{2}\s?[0-9]{2}[0-9A-Z\s]{10,32})"), r"\s+", ""), 1, 34)
     people = F.transform(F.slice(every(text.text_of(raw), r"(?:name|الاسم)\s*[:#-]?\s*([^\n]{3,80})"), 1, 6), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))

@@ -78,6 +78,14 @@ SPACES = "؟،؛ـ"
 DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬", "01234567890123456789.,")
 CURRENCY = r"(?:AED|SAR|USD|EUR|GBP|QAR|KWD|BHD|OMR|EGP|JOD|\$|€|£|د\.إ|ر\.س|ر\.ق|د\.ك|د\.ب|ر\.ع|د\.ا|درهم|ريال|دينار|جنيه|دولار|يورو)"
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]{1,2})?"
+#: A character that a line of symbols and digits, of any script, doesn't have.
+WORDLY = r"[\p{L}\p{Nl}\p{No}]"
+#: A law's numbered article, a line of a total, a line that names a law, signs of an amount and of a date in a text: fixed values.
+ARTICLE = r"(?:الماد[ةه]|article)\s*\(?\s*\p{Nd}+\s*\)?"
+TOTAL = r"(?:grand\s*total|total\s*(?:due|amount)?|الاجمالي|الإجمالي|المجموع|المبلغ\s*الاجمالي|المبلغ\s*المستحق|صافي)"
+LAW_LINE = r"(?:law|decree|resolution|regulation|rules|قانون|مرسوم|قرار|لائح|نظام)"
+AMOUNT_SIGN = r"(?:AED|د\.إ|درهم|total|amount|اجمالي|مبلغ|\p{Nd}+[,.]?\p{Nd}*)"
+DATE_SIGN = r"20\p{Nd}{2}|\p{Nd}{1,2}[-/.]\p{Nd}{1,2}|expiry|due|انتهاء|تاريخ"
 #: Characters that aren't odd in clean text, as the inside of a character class.
 USUAL = "A-Za-z0-9" + ARABIC + "\\s.,:;!؟،؛()\\[\\]{}_/\\\\+\\-=٪%$€£¥@#&*'\"|<>"
 DATES = [

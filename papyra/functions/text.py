@@ -91,7 +91,7 @@ def garbled(c: Column | str) -> Column:
             | ((n >= 8) & (_times(x, "?�□■") > 0.22 * n))
             | (matches(x, r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]") >= 2)
             | ((n >= 20) & (_odd(x) > 0.08 * n))
-            | (x.rlike(r"^(?:[^\p{L}\p{N}_]|[?0-9_])+$") & (_times(x, "?") >= 4))
+            | (~x.rlike(rules.WORDLY) & (_times(x, "?") >= 4))
         )
 
     return let(F.regexp_replace(text_of(c), r"(?U)\s+", ""), bad)

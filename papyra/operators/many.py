@@ -172,8 +172,8 @@ def _reranked(rows: DataFrame) -> DataFrame:
     plan = lambda name: F.col(f"plan.{name}")
     score = F.col("score") + F.least(F.lit(3.0), _points(F.col("norm"), plan("terms")) * 0.08)
     score = score + F.when(F.col("doc_type") == plan("doc_type"), 1.2).otherwise(0.0)
-    score = score + F.when((plan("field") == "amount") & F.col("text").rlike(retrieve._AMOUNT), 0.9).otherwise(0.0)
-    score = score + F.when((plan("field") == "date") & F.col("text").rlike(retrieve._DATE), 0.7).otherwise(0.0)
+    score = score + F.when((plan("field") == "amount") & F.col("text").rlike(retrieve.AMOUNT), 0.9).otherwise(0.0)
+    score = score + F.when((plan("field") == "date") & F.col("text").rlike(retrieve.DATE), 0.7).otherwise(0.0)
     if "updated_at" in rows.columns:
         score = score + F.when((plan("sort") == "latest") & F.col("updated_at").isNotNull(), 0.15).otherwise(0.0)
     return rows.withColumn("score", F.round(score, 9))

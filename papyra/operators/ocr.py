@@ -48,6 +48,70 @@ def chosen(readings: DataFrame, key: str = "page_id") -> DataFrame:
     return out.select(key, F.coalesce(named, F.col("_engine")).alias("engine"), F.coalesce("_best.text", "_text").alias("text"))
 
 
+#: A reading that is good and of this mean confidence ends the search; one below the other is read again turned round, which must be better by the third.
+ENOUGH, DOUBTFUL, BETTER_BY = 60, 50, 10
+#: Language combinations in the order they are tried, and what is tried without any.
+LANGUAGES, DEFAULT_LANGUAGE = ["ara+eng", "eng+ara", "ara", "eng"], "eng"
+
+
+def attempts(available: Column) -> Column:
+    """The language combinations that can be tried with the languages of an array, in their order."""
+    tried = F.filter(F.array(*map(F.lit, LANGUAGES)), lambda x: F.size(F.array_except(F.split(x, r"\+"), available)) == 0)
+    return F.when(F.size(tried) > 0, tried).otherwise(F.array(F.lit(DEFAULT_LANGUAGE)))
+
+
+def mean_confidence(words: Column) -> Column:
+    """The mean confidence of a reading's words (array<struct<t, conf>>): of those that aren't blank and have one (0 or more), 0 without any; -1 where words couldn't be had."""
+    known = F.filter(words, lambda w: (F.trim(w["t"]) != "") & (w["conf"] >= 0))
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda s, w: s + w["conf"].cast("int"))
+    return F.when(words.isNull(), -1.0).when(F.size(known) == 0, 0.0).otherwise(total / F.size(known))
+
+
+def _grid_best(readings: DataFrame, key: str) -> DataFrame:
+    """(key, angle, step, points, conf): of each grid the reading that its search ends with."""
+    judged = readings.select(key, "angle", "step", text.legibility("text").alias("points"), (text.quality("text")["label"] == "good").alias("good"), mean_confidence(F.col("words")).alias("conf"))
+    # a grid has a row for each variant, language and mode: a hundred or so, without their texts
+    grid = judged.groupBy(key, "angle").agg(F.array_sort(F.collect_list(F.struct("step", "points", "good", "conf"))).alias("tried"))
+    start = F.struct(F.lit(-1).cast("int").alias("step"), F.lit(0).cast("int").alias("points"), F.lit(-1.0).alias("conf"), F.lit(False).alias("ended"))
+
+    def step(best: Column, r: Column) -> Column:
+        ends = r["good"] & ((r["conf"] < 0) | (r["conf"] >= ENOUGH))
+        new = F.struct(r["step"].cast("int").alias("step"), r["points"].cast("int").alias("points"), r["conf"].alias("conf"), ends.alias("ended"))
+        return F.when(best["ended"] | (r["points"] <= best["points"]), best).otherwise(new)
+
+    return grid.select(key, "angle", F.aggregate("tried", start, step).alias("b")).select(key, "angle", "b.step", "b.points", "b.conf")
+
+
+def grid_choice(readings: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, engine, text, words): the reading that a search over a grid of variants, languages and modes keeps of each page.
+
+    ``readings`` has key, angle (0, or that by which a page was turned), step (the
+    place in the grid), variant, languages, mode, text and words (array<struct<t,
+    conf>>). The search goes by steps and keeps what has more points than all before; one that is good and sure ends it. A
+    turned page is only taken where the straight one is empty, poor or
+    doubtful, and if it is clearly surer, or has more points and no confidence. Its word boxes don't
+    fit the page and go. A page that nothing was read of has an empty text.
+    """
+    best = _grid_best(readings, key)
+    straight, turned = best.where("angle = 0"), best.where("angle <> 0")
+    turned = turned.groupBy(key).agg(F.min_by(F.struct("angle", "step", "points", "conf"), "angle").alias("t"))
+    texts = readings.select(key, "angle", "step", "text", "words", F.concat_ws(":", F.lit("tesseract"), "languages", F.concat(F.lit("psm"), F.col("mode")), "variant").alias("engine"))
+    both = readings.select(key).distinct().join(straight.drop("angle"), key, "left").join(turned, key, "left")
+    own = both.join(texts.where("angle = 0").drop("angle"), [key, "step"], "left")
+    doubtful = text.quality("text")["label"].isin("empty", "poor") | F.coalesce((F.col("conf") >= 0) & (F.col("conf") < DOUBTFUL), F.lit(False))
+    surer = (F.col("t.conf") >= 0) & (F.col("t.conf") > F.greatest(F.coalesce("conf", F.lit(0.0)), F.lit(0.0)) + BETTER_BY)
+    more = (F.col("t.conf") < 0) & (F.col("t.points") > F.coalesce("points", F.lit(0)))
+    own = own.withColumn("turn", F.coalesce(doubtful & (surer | more), F.lit(False)))
+    other = texts.where("angle <> 0").select(F.col(key).alias("_key"), F.col("angle").alias("_angle"), F.col("step").alias("_step"), F.col("text").alias("_text"), F.col("engine").alias("_engine"))
+    out = own.join(other, F.col("turn") & (F.col(key) == F.col("_key")) & (F.col("t.angle") == F.col("_angle")) & (F.col("t.step") == F.col("_step")), "left")
+    body = text.text_of(F.when(F.col("turn"), F.col("_text")).otherwise(F.col("text")))
+    conf = F.when(F.col("turn"), F.col("t.conf")).otherwise(F.col("conf"))
+    name = F.when(F.col("turn"), F.concat("_engine", F.lit(":rot"), F.col("_angle").cast("string"))).otherwise(F.col("engine"))
+    label = F.concat(name, F.when(conf >= 0, F.concat(F.lit(":conf"), conf.cast("int").cast("string"))).otherwise(""))
+    empty = F.trim(body) == ""
+    return out.select(key, F.when(empty, "tesseract-no-text").otherwise(label).alias("engine"), F.when(empty, "").otherwise(body).alias("text"), F.when(~F.col("turn") & ~empty, F.col("words")).alias("words"))
+
+
 def with_engine(images: DataFrame, engine: Callable[[bytes], tuple[str, str]], content: str = "content") -> DataFrame:
     """``images`` with ``text`` and ``engine`` from a function of the image's bytes; an error is a page that needs recognition, not a failed job."""
 

@@ -6,6 +6,8 @@ doc_type, words and vec, and, where a question asks for the latest, updated_at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +17,7 @@ from papyra.operators import chunk, index
 from papyra.operators.inverted import Inverted
 from papyra.plans import question as questions
 
-_AMOUNT = r"(?i)(?:AED|د\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)"
-_DATE = r"(?i)20[0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}|expiry|due|انتهاء|تاريخ"
+AMOUNT, DATE = "(?i)" + rules.AMOUNT_SIGN, "(?i)" + rules.DATE_SIGN
 
 
 def fused(words: DataFrame, vectors: DataFrame, key: str | list[str] = "chunk_id") -> DataFrame:
@@ -32,14 +33,39 @@ def reranked(candidates: DataFrame, plan: questions.Plan) -> DataFrame:
     if plan.doc_type:
         score = score + F.when(F.col("doc_type") == plan.doc_type, 1.2).otherwise(0.0)
     if plan.field == "amount":
-        score = score + F.when(F.col("text").rlike(_AMOUNT), 0.9).otherwise(0.0)
+        score = score + F.when(F.col("text").rlike(AMOUNT), 0.9).otherwise(0.0)
     if plan.field == "date":
-        score = score + F.when(F.col("text").rlike(_DATE), 0.7).otherwise(0.0)
+        score = score + F.when(F.col("text").rlike(DATE), 0.7).otherwise(0.0)
     if plan.sort == "latest" and "updated_at" in candidates.columns:
         score = score + F.when(F.col("updated_at").isNotNull(), 0.15).otherwise(0.0)
     return candidates.withColumn("score", F.round(score, 9))
 
 
+def reordered(ranked: DataFrame, order: DataFrame | None, limit: int) -> DataFrame:
+    """The first ``limit`` rows of ``ranked`` (chunk_id, score, ...) in an order from outside: ``order`` (chunk_id, place), from any ranker.
+
+    Listed chunks come first, by place; unlisted ones follow in their own order. Places that repeat count once, at the first. An empty order, or none, is the
+    identity, so that a ranker that fails changes nothing. ``rank`` tells the order of what is returned.
+    """
+    size = max(1, min(limit, rules.RESULTS))
+    if order is None:
+        own = ranked.withColumn("_place", F.lit(None).cast("long"))
+    else:
+        places = order.where("place is not null").groupBy("chunk_id").agg(F.min("place").cast("long").alias("_place"))
+        own = ranked.join(F.broadcast(places), "chunk_id", "left")  # a ranker orders what it was shown: two lists of candidates at most
+    best = own.orderBy(F.asc_nulls_last("_place"), F.desc("score"), "chunk_id").limit(size)
+    by = Window.orderBy(F.asc_nulls_last("_place"), F.desc("score"), "chunk_id")  # RESULTS rows at most
+    return best.withColumn("rank", F.row_number().over(by)).drop("_place")
+
+
+def supported(answer: Column | str, excerpts: Column | str, least: float = 0.6) -> Column:
+    """Whether an answer rests on its sources: the share of its words of four letters or more, and of its numbers, that occur in the excerpts. An answer without any is supported."""
+    told = lambda c: F.split(text.normalized(c), " ")
+    weighty = F.filter(F.array_distinct(told(answer)), lambda w: (F.length(w) > 3) | w.rlike(r"\p{Nd}"))
+    found = F.array_intersect(weighty, told(excerpts))
+    return (F.size(weighty) == 0) | (F.size(found) >= least * F.size(weighty))
+
+
 def candidates(chunks: DataFrame, question: str, plan: questions.Plan, most: int = rules.CANDIDATES, stored: Inverted | None = None, near: DataFrame | None = None) -> DataFrame:
     """The best ``most`` chunks of each index, fused. Statistics of the index are those of all chunks; the type restricts the lists.
 
@@ -66,10 +92,10 @@ def lexical(chunks: DataFrame, plan: questions.Plan) -> DataFrame:
     return some.select("chunk_id", (text.lexical_score(F.col("norm"), plan.terms) / 5.0).alias("score"), F.lit("lexical").alias("retrieval")).where("score > 0")
 
 
-def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | None = None, stored: Inverted | None = None, near: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | None = None, stored: Inverted | None = None, near: DataFrame | None = None, ranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best chunks for a question, at most ``RESULTS``, with score and how they were found; ties go to the smaller chunk_id.
 
-    If neither index has a candidate, chunks are scored by the question's words.
+    If neither index has a candidate, chunks are scored by the question's words. A ``ranker`` gets the reranked chunks and returns (chunk_id, place); see :func:`reordered`.
     """
     own = questions.plan(question)
     plan = questions.Plan(doc_type or own.doc_type, own.field, own.sort, own.terms)
@@ -81,6 +107,8 @@ def hybrid(chunks: DataFrame, question: str, limit: int = 8, doc_type: str | Non
     else:
         found = lexical(chunks, plan)
     ranked = reranked(chunks.join(found, "chunk_id"), plan)
+    if ranker:
+        return reordered(ranked, ranker(ranked.orderBy(F.desc("score"), "chunk_id").limit(rules.RESULTS)), limit)
     return ranked.orderBy(F.desc("score"), "chunk_id").limit(max(1, min(limit, rules.RESULTS)))
 
 

@@ -58,7 +58,7 @@ def garbled(x: str) -> str:
     return f"""(length({c}) = 0 OR (length({c}) >= 8 AND {chars(c, '?�□■')} > 0.22 * length({c}))
         OR {times(c, '[\\x{0370}-\\x{03FF}\\x{1F00}-\\x{1FFF}]')} >= 2
         OR (length({c}) >= 20 AND {odd(c)} > 0.08 * length({c}))
-        OR (NOT regexp_matches({c}, '[\\p{{L}}]|[^\\P{{N}}0-9]') AND {chars(c, '?')} >= 4))"""
+        OR (NOT regexp_matches({c}, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]') AND {chars(c, '?')} >= 4))"""
 
 
 def points(x: str) -> str:
@@ -176,7 +176,7 @@ RETRIEVAL = CHUNKS + f""",
     ),
     scored AS (
         SELECT chunk_id, doc_id AS document_id, chunk_index, text, retrieval, 'Document ' || CAST(doc_id AS VARCHAR) AS title,
-            round(score + least(3.0, 0.08 * ({_SCORE})) + CASE WHEN regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)') THEN 0.9 ELSE 0 END + 0.15, 9) AS score
+            round(score + least(3.0, 0.08 * ({_SCORE})) + CASE WHEN regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|\\p{{Nd}}+[,.]?\\p{{Nd}}*)') THEN 0.9 ELSE 0 END + 0.15, 9) AS score
         FROM fused JOIN (SELECT *, string_split(n, ' ') AS ws FROM item) USING (chunk_id)
     ),
     top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)"""
@@ -212,8 +212,8 @@ MANY = CHUNKS + f""",
     fused AS (SELECT q, chunk_id, coalesce(score, 0) + coalesce(near, 0) AS score, CASE WHEN near IS NULL THEN 'bm25' WHEN score IS NULL THEN 'vector' ELSE 'bm25+vector' END AS retrieval FROM w60 FULL JOIN v60 USING (q, chunk_id)),
     scored AS (
         SELECT q AS id, chunk_id, text, retrieval, 'Document ' || CAST(doc_id AS VARCHAR) AS title,
-            round(score + least(3.0, 0.08 * {_POINTS}) + CASE WHEN amount AND regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|[0-9]+[,.]?[0-9]*)') THEN 0.9 ELSE 0 END
-                + CASE WHEN NOT amount AND date AND regexp_matches(text, '(?i)20[0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}|expiry|due|انتهاء|تاريخ') THEN 0.7 ELSE 0 END + CASE WHEN latest THEN 0.15 ELSE 0 END, 9) AS score
+            round(score + least(3.0, 0.08 * {_POINTS}) + CASE WHEN amount AND regexp_matches(text, '(?i)(?:AED|د\\.إ|درهم|total|amount|اجمالي|مبلغ|\\p{{Nd}}+[,.]?\\p{{Nd}}*)') THEN 0.9 ELSE 0 END
+                + CASE WHEN NOT amount AND date AND regexp_matches(text, '(?i)20\\p{{Nd}}{{2}}|\\p{{Nd}}{{1,2}}[-/.]\\p{{Nd}}{{1,2}}|expiry|due|انتهاء|تاريخ') THEN 0.7 ELSE 0 END + CASE WHEN latest THEN 0.15 ELSE 0 END, 9) AS score
         FROM fused JOIN (SELECT *, string_split(n, ' ') AS ws FROM item) USING (chunk_id) JOIN planned USING (q)
     ),
     top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS place FROM scored QUALIFY place <= 8),
@@ -260,8 +260,8 @@ def _rendered() -> str:
 
 
 _PRE, _SUF = f"{rules.CURRENCY}\\s*({rules.NUMBER})", f"({rules.NUMBER})\\s*{rules.CURRENCY}"
-_ARTICLES = "(?i)(?:الماد[ةه]|article)\\s*\\(?\\s*[0-9]+\\s*\\)?"
-_SYMBOLS = "^(?:[^\\p{L}\\p{N}_]|[0-9_])+$"
+_ARTICLES = "(?i)(?:الماد[ةه]|article)\\s*\\(?\\s*\\p{Nd}+\\s*\\)?"
+_WORDLY = "[\\p{L}\\p{Nl}\\p{No}]"
 _LAW = "(?i)(?:law|decree|resolution|regulation|rules|قانون|مرسوم|قرار|لائح|نظام)"
 _YEARS = "list_max(list_transform(regexp_extract_all(' ' || regexp_replace({x}, '([0-9]+)', ' \\1 ', 'g'), ' ((?:19|20)[0-9]{{2}}) ', 1), lambda y: CAST(y AS INTEGER)))"
 _TOTAL_LINE = f"({rules.NUMBER})\\s*{rules.CURRENCY}|{rules.CURRENCY}\\s*({rules.NUMBER})|({rules.NUMBER})\\s*$"
@@ -269,7 +269,7 @@ _TOTAL = "(?i)(?:grand\\s*total|total\\s*(?:due|amount)?|الاجمالي|الإ
 
 
 def _business() -> str:
-    law_line = f"length(l) BETWEEN 12 AND 140 AND NOT regexp_matches(l, {s(_SYMBOLS)}) AND NOT {garbled('l')} AND ({some(norm('l'), ['federal law', 'decree law', 'law no', 'decree no', 'official gazette'])} OR regexp_matches(l, {s(_LAW)}))"
+    law_line = f"length(l) BETWEEN 12 AND 140 AND regexp_matches(l, {s(_WORDLY)}) AND NOT {garbled('l')} AND ({some(norm('l'), ['federal law', 'decree law', 'law no', 'decree no', 'official gazette'])} OR regexp_matches(l, {s(_LAW)}))"
     each = lambda p, g=1: f"regexp_extract_all(text, {s('(?i)' + p)}, {g})"
     both = f"{_PRE}|{_SUF}"
     return f"""{_rendered()},
@@ -279,7 +279,7 @@ def _business() -> str:
     ),
     read AS (
         SELECT *, 'English' AS language, coalesce({each(_PRE)}[-1], {each(_SUF)}[-1]) AS amount,
-            list_filter({lines('text')}[:12], lambda l: length(l) BETWEEN 2 AND 80 AND NOT {garbled('l')} AND NOT regexp_matches(l, {s(_SYMBOLS)}))[1] AS company,
+            list_filter({lines('text')}[:12], lambda l: length(l) BETWEEN 2 AND 80 AND NOT {garbled('l')} AND regexp_matches(l, {s(_WORDLY)}))[1] AS company,
             CASE WHEN doc_type = 'legal' THEN list_filter({lines('text')}[:40], lambda l: {law_line})[1] END AS legal_title
         FROM typed
     ),
@@ -355,12 +355,14 @@ _MODELLED = """m AS (SELECT vec_id, ['multilingual-e5-small', 'local-hash-384',
     sim AS (SELECT vec_id, model, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(q AS DOUBLE[])) AS cosine FROM m, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE NOT failed)"""
 #: Written out again, as the catalogue imports this module.
 _FORMS = "(SELECT doc_id, text FROM documents UNION ALL VALUES (-1, 'ﻻ ﬁne １２３ ＡＢＣ'), (-2, 'ﻋﻘﺪ اﻹيجار ٢٠٢٤'), (-3, 'ﬂat ½ №５ ①'), (-4, 'ｒｅｎｔ ﷺ'))"
+#: The same, of the catalogue's EASTERN.
+_EASTERN = f"""(SELECT * FROM (VALUES (-1, {s(chr(10).join(f"المادة ({d}) نص" for d in "١٢٣٤٥٦٧٨٩٠١٢٣"))}), (-2, '٢٠٢٤/٠٥/٠١' || chr(10) || 'شركة النور للتجارة' || chr(10) || '١٢'), (-3, '؟؟؟ ????? ١٢٣'), (-4, '١٢٣٤٥٦٧٨٩٠'), (-5, 'المادة ٣ و المادة ٤')) v(doc_id, text))"""
 ORACLE_SQL = {
     "normalize_text": f"SELECT doc_id, {norm(folded('text'))} AS norm FROM {_FORMS}",
     "normalize_digits": "SELECT conv_id, turn, text AS digits, text AS wide FROM conversations",
     "token_count": f"SELECT doc_id, CAST({tokens('text')} AS BIGINT) AS tokens FROM documents",
     "text_quality": f"SELECT id, CAST(p AS BIGINT) AS points, {label('body', 'p')} AS label FROM ({_Q})",
-    "garbled_flag": f"SELECT id, {garbled('body')} AS garbled FROM ({READINGS})",
+    "garbled_flag": f"SELECT id, {garbled('body')} AS garbled FROM ({READINGS} UNION ALL SELECT * FROM {_EASTERN})",
     "needs_ocr": f"SELECT id, length(x) < 25 OR {garbled('x')} AS needs_ocr FROM (SELECT id, {strip('body')} AS x FROM ({READINGS}))",
     "detect_language": f"SELECT id, CASE WHEN a AND l THEN 'Arabic + English' WHEN a THEN 'Arabic' WHEN l THEN 'English' ELSE 'unknown' END AS language FROM (SELECT id, regexp_matches(coalesce(body, ''), '[{AR}]') AS a, regexp_matches(coalesce(body, ''), '[A-Za-z]') AS l FROM ({READINGS}))",
     "char_trigrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS gram FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS w FROM benchmark)) GROUP BY gram",
@@ -385,6 +387,10 @@ ORACLE_SQL = {
     "hybrid_fusion": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, round(score, 6) AS score, retrieval FROM fused",
     "rerank": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, round(score, 6) AS score FROM scored",
     "hybrid_search": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, document_id, title, round(score, 6) AS score, retrieval FROM top",
+    "ranked_from_outside": f"WITH RECURSIVE {RETRIEVAL} SELECT chunk_id, row_number() OVER (ORDER BY CASE WHEN document_id % 2 = 0 THEN -document_id END NULLS LAST, score DESC, chunk_id) AS rank, round(score, 6) AS score FROM top",
+    "supported_answers": f"""SELECT item_id, len(w) = 0 OR len(list_filter(w, lambda x: list_contains(e, x))) >= 0.6 * len(w) AS supported FROM (
+        SELECT item_id, string_split({norm('text')}, ' ') AS e, list_filter(list_distinct(string_split({norm('answer')}, ' ')), lambda x: length(x) > 3 OR regexp_matches(x, '\\p{{Nd}}')) AS w
+        FROM (SELECT a.item_id, a.text, substr(CASE WHEN a.item_id % 3 = 0 AND b.text IS NOT NULL THEN b.text ELSE a.text END, 1, 200) AS answer FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1))""",
     "best_chunk_per_doc": f"WITH RECURSIVE {RETRIEVAL} SELECT document_id, chunk_id, round(score, 6) AS score FROM top QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) = 1",
     "document_search": f"WITH RECURSIVE {RETRIEVAL}, best AS (SELECT * FROM (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) = 1) ORDER BY score DESC, chunk_id LIMIT 10) SELECT document_id, title, round(score, 6) AS score, snippet FROM ({snippet('text', "(SELECT * FROM best JOIN (SELECT doc_id, lang FROM documents) d ON d.doc_id = document_id WHERE contains(lang, 'e'))")})",
     "ask_sources": f"WITH RECURSIVE {RETRIEVAL} SELECT CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS source, document_id, title, 1 AS page, substr(text, 1, 650) AS snippet FROM top ORDER BY score DESC, chunk_id LIMIT 8",
@@ -400,7 +406,7 @@ ORACLE_SQL = {
     "classify_documents": _B + " SELECT doc_id, doc_type, language FROM business",
     "extract_date": _B + " SELECT doc_id, date_guess FROM business",
     "extract_amount": _B + " SELECT doc_id, amount FROM business",
-    "extract_company": _B + " SELECT doc_id, company FROM business",
+    "extract_company": _B + f" SELECT doc_id, company FROM business UNION ALL SELECT doc_id, list_filter({lines('text')}[:12], lambda l: length(l) BETWEEN 2 AND 80 AND NOT {garbled('l')} AND regexp_matches(l, {s(_WORDLY)}))[1] FROM {_EASTERN}",
     "structured_fields": _B + f""" SELECT doc_id, title, coalesce(amount, found[-1]) AS amount, {first('text', 'invoice\\s*(?:no|number|#)\\s*[:#-]?\\s*([A-Z0-9\\-/]+)')} AS invoice_number,
         nullif(substr(regexp_replace({first('text', '(?:due\\s*date|expiry\\s*date)\\s*[:#-]?\\s*([0-9A-Za-z\\-/\\.\\s]+)')}, '^\\s+|\\s+$', '', 'g'), 1, 60), '') AS due_or_expiry_date,
         CASE WHEN len(found) > 0 THEN array_to_string(found[-8:], ';') END AS amounts_found, {first('text', '(' + rules.CURRENCY + ')')} AS currency,
@@ -434,13 +440,32 @@ ORACLE_SQL = {
     "engine_select": f"""SELECT doc_id, CASE WHEN {_WANTS} AND doc_id % 2 = 0 AND {_wins('t1')} THEN 'ollama:fallback-from-' || e0 WHEN {_WANTS} AND {_wins('t2')} THEN 'azure:fallback-from-' || e0 ELSE e0 END AS engine,
         sha256(CASE WHEN {_WANTS} AND doc_id % 2 = 0 AND {_wins('t1')} THEN t1 WHEN {_WANTS} AND {_wins('t2')} THEN t2 ELSE t0 END) AS sha256
         FROM (SELECT doc_id, doc_id % 90 + 10 AS conf, 'tesseract:conf' || CAST(doc_id % 90 + 10 AS VARCHAR) AS e0, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'etaoin', '??????') ELSE text END AS t0, translate(text, 'e', '?') AS t1, substr(text, 1, 300) AS t2 FROM documents)""",
+    "grid_choice": f"""WITH RECURSIVE reading AS (
+            SELECT doc_id, angle, step, body, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE list_transform(list_slice(string_split(body, ' '), 1, 6), lambda w, i: {{'t': w, 'c': (doc_id * 7 + step * 13 + angle + (i - 1) * 5) % 110 - 10}}) END AS words
+            FROM (
+                SELECT doc_id, angle, step, CASE (step + CASE WHEN angle > 0 THEN 2 ELSE 0 END + doc_id) % 6 WHEN 0 THEN translate(text, 'etaoin', '??????') WHEN 1 THEN translate(text, 'eta', '???') WHEN 2 THEN text WHEN 3 THEN translate(text, 'e', '?') WHEN 4 THEN translate(text, 'etaoinshr', '?????????') ELSE translate(text, 'a', '?') END AS body
+                FROM documents, (SELECT unnest([{{'angle': 0, 'step': 0}}, {{'angle': 0, 'step': 1}}, {{'angle': 0, 'step': 2}}, {{'angle': 0, 'step': 3}}, {{'angle': 0, 'step': 4}}, {{'angle': 0, 'step': 5}}, {{'angle': 90, 'step': 0}}, {{'angle': 90, 'step': 1}}, {{'angle': 90, 'step': 2}}], recursive := true))
+            )
+        ),
+        known AS (SELECT *, list_filter(words, lambda w: trim(w.t) <> '' AND w.c >= 0) AS sure, {points('body')} AS points FROM reading),
+        scored AS (SELECT doc_id, angle, step, body, words, points, {label('body', 'points')} AS label, CASE WHEN words IS NULL THEN -1.0 WHEN len(sure) = 0 THEN 0.0 ELSE list_sum(list_transform(sure, lambda w: w.c)) / len(sure) END AS conf FROM known),
+        record AS (SELECT *, points > greatest(0, coalesce(max(points) OVER (PARTITION BY doc_id, angle ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS leads FROM scored),
+        won AS (SELECT * FROM record WHERE leads QUALIFY row_number() OVER (PARTITION BY doc_id, angle ORDER BY CASE WHEN label = 'good' AND (conf < 0 OR conf >= 60) THEN step ELSE 1000 - step END) = 1),
+        pair AS (
+            SELECT d.doc_id, s.step, s.body, s.words, s.conf, t.step AS t_step, t.body AS t_body, t.conf AS t_conf,
+                coalesce((s.doc_id IS NULL OR s.label IN ('empty', 'poor') OR (s.conf >= 0 AND s.conf < 50)) AND ((t.conf >= 0 AND t.conf > greatest(coalesce(s.conf, 0), 0) + 10) OR (t.conf < 0 AND t.points > coalesce(s.points, 0))), false) AS turn
+            FROM documents d LEFT JOIN (SELECT * FROM won WHERE angle = 0) s ON s.doc_id = d.doc_id LEFT JOIN (SELECT * FROM won WHERE angle = 90) t ON t.doc_id = d.doc_id
+        ),
+        taken AS (SELECT doc_id, turn, words, coalesce(CASE WHEN turn THEN t_body ELSE body END, '') AS x, CASE WHEN turn THEN t_conf ELSE conf END AS c, CASE WHEN turn THEN t_step ELSE step END AS k FROM pair)
+        SELECT doc_id, CASE WHEN trim(x) = '' THEN 'tesseract-no-text' ELSE 'tesseract:eng:psm' || CAST(k AS VARCHAR) || CASE WHEN k < 3 THEN ':plain' ELSE ':sharp' END || CASE WHEN turn THEN ':rot90' ELSE '' END || CASE WHEN c >= 0 THEN ':conf' || CAST(CAST(trunc(c) AS INTEGER) AS VARCHAR) ELSE '' END END AS engine,
+            sha256(CASE WHEN trim(x) = '' THEN '' ELSE x END) AS sha256, CASE WHEN turn OR trim(x) = '' OR words IS NULL THEN 0 ELSE len(words) END AS boxes FROM taken""",
     "json_props": "SELECT event_type, count(*) AS n, count(k) AS known, CAST(sum(k) AS BIGINT) AS k_sum FROM (SELECT event_type, CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events) GROUP BY event_type",
     "quality_rollup": f"SELECT lang, quality, count(*) AS n FROM (SELECT lang, {label('text', points('text'))} AS quality FROM documents) GROUP BY ROLLUP (lang, quality)",
     "event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "new_files": """WITH d AS (SELECT doc_id, '/f/' || CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha FROM documents), k AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE doc_id % 3 = 0)
         SELECT path, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 9 = 0 THEN 'new' ELSE 'unchanged' END
             WHEN sha IN (SELECT sha FROM k) OR path > min(CASE WHEN doc_id % 3 <> 0 THEN path END) OVER (PARTITION BY sha) THEN 'duplicate' ELSE 'new' END AS status FROM d""",
-    "legislation_flag": f"WITH {_rendered()} SELECT doc_id, {some('n', rules.LEGISLATION)} OR ({times('text', _ARTICLES)} >= 12 AND NOT {some('n', rules.PARTIES)}) AS legislation FROM (SELECT *, {norm('text')} AS n FROM rendered)",
+    "legislation_flag": f"WITH {_rendered()} SELECT doc_id, {some('n', rules.LEGISLATION)} OR ({times('text', _ARTICLES)} >= 12 AND NOT {some('n', rules.PARTIES)}) AS legislation FROM (SELECT doc_id, text, {norm('text')} AS n FROM (SELECT doc_id, text FROM rendered UNION ALL SELECT * FROM {_EASTERN}))",
     "vision_fallback": f"SELECT doc_id, {label('text', points('text'))} IN ('empty', 'poor') OR doc_id % 100 < 65 OR (regexp_matches(text, '[{AR}]') AND {label('text', points('text'))} = 'medium') AS wants FROM documents",
     "engine_labels": "SELECT source, string_agg(e, ', ' ORDER BY e) AS engines FROM (SELECT DISTINCT source, ['text', 'ocr', 'word'][doc_id % 3 + 1] AS e FROM documents) GROUP BY source",
     "conversation_length": "SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id",

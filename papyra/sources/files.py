@@ -29,6 +29,11 @@ def suffix(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def suffix_of(name: str) -> str:
+    """:func:`suffix` of one name on the driver."""
+    return name.rpartition(".")[2].lower() if "." in name else ""
+
+
 def reader(path: Column | str) -> Column:
     """The kind of reader of a file by its suffix; null for an unsupported one."""
     table = F.create_map(*(x for k, v in SUFFIXES.items() for x in (F.lit(k), F.lit(v))))

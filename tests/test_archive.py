@@ -92,6 +92,14 @@ def test_archive_of_its_own_files(spark, tmp_path):
     assert not a.owns(f"{a.folder}/files/../x") and a.delete(everything=True) == 0 and a.read("documents").count() == 0
 
 
+def test_uploads_of_known_and_of_unsupported_files(spark, tmp_path):
+    a = Archive(spark, str(tmp_path / "archive"), buckets=2)
+    assert {r["status"]: r["n"] for r in a.upload("a.txt", b"Same words").collect()} == {"new": 1}
+    assert {r["status"]: r["n"] for r in a.upload("b.txt", b"Same words").collect()} == {"new": 1}
+    assert {r["status"]: r["n"] for r in a.upload("c.exe", b"MZ").collect()} == {"skipped": 1} and a.read("documents").count() == 2
+    assert not list((tmp_path / "archive" / "files").glob("*.exe")) and {r["status"] for r in a.read("documents").collect()} == {"indexed"}
+
+
 def test_flat_scan_reads_one_folder(spark, tmp_path):
     fill(tmp_path / "sub")
     names = {r["path"].rpartition("/")[2] for r in files.scan(spark, str(tmp_path / "sub"), recursive=False).select("path").collect()}

@@ -79,6 +79,18 @@ def test_types(spark):
         assert r.doc_type == r.kind, r.text
 
 
+def test_digits_of_another_script(spark):
+    """Laws number their articles, and texts their amounts and dates, in digits of their own script."""
+    law = "\n".join(f"المادة ({d}) نص" for d in "١٢٣٤٥٦٧٨٩٠١٢٣")
+    r = extract.with_metadata(spark.createDataFrame([(law, "x.pdf"), ("٢٠٢٤/٠٥/٠١\nشركة النور\nنص", "y.pdf")], "text string, name string")).collect()
+    assert r[0].doc_type == "legal" and r[1].company == "شركة النور" and r[1].doc_type == "general"
+    df = spark.createDataFrame([("a", "المجموع ٥٠٠", 1.0), ("b", "٥٠٠", 1.0), ("c", "نص", 1.0)], "chunk_id string, text string, score double").withColumns({"norm": F.lit("x"), "doc_type": F.lit("general")})
+    points = {r.chunk_id: r.score for r in retrieve.reranked(df, questions.Plan(None, "amount", None, ["zz"])).collect()}
+    assert points == {"a": 1.9, "b": 1.9, "c": 1.0}
+    df = df.withColumn("text", F.when(F.col("chunk_id") == "a", "١٢/٣").otherwise(F.col("text")))
+    assert {r.chunk_id: r.score for r in retrieve.reranked(df, questions.Plan(None, "date", None, ["zz"])).collect()} == {"a": 1.7, "b": 1.0, "c": 1.0}
+
+
 def test_fields(spark):
     body = "Acme LLC\nInvoice No: INV-7/A\nDue date: 3/7/2026\nPaid AED 1,250.50 and 99 USD\nTotal due: 1,349.50\nVAT no: 123456789012\nIBAN: AE07 0331 2345 6789\n"
     r = extract.with_metadata(spark.createDataFrame([(body, "my_file-1.pdf")], "text string, name string")).first()
@@ -230,3 +242,43 @@ def test_engine_choice(spark):
 def test_highlights(spark):
     words = spark.createDataFrame([(1, 0, "Rental"), (1, 1, "of"), (1, 2, "ren"), (1, 3, "x")], "document_id int, position int, t string")
     assert [r.position for r in retrieve.highlighted(words, "the rent").collect()] == [0, 2]
+
+
+GOOD = "A clean English sentence with several words in it."
+
+
+def grid(spark, rows):
+    df = spark.createDataFrame([(p, a, k, "v", "eng", "3", t, None if w is None else [(x, c) for x, c in w]) for p, a, k, t, w in rows], "page_id long, angle int, step int, variant string, languages string, mode string, text string, words array<struct<t:string,conf:int>>")
+    return {r.page_id: (r.engine, r.text, r.words and len(r.words)) for r in ocr.grid_choice(df.repartition(3)).collect()}
+
+
+def test_a_grid_of_readings_ends_early(spark):
+    sure, unsure = [("a", 90), ("b", 61), (" ", 10), ("c", -1)], [("a", 30)]
+    out = grid(spark, [
+        (1, 0, 0, "two ?? words", sure), (1, 0, 1, GOOD, sure), (1, 0, 2, GOOD + " And much more of it.", sure),  # ended by the second
+        (2, 0, 0, GOOD, unsure), (2, 0, 1, GOOD + " And much more of it.", unsure), (2, 0, 2, GOOD, sure),  # never sure: the most points
+        (3, 0, 0, "? ?", unsure), (3, 90, 0, GOOD, sure), (3, 180, 0, GOOD, sure),  # turned: its boxes go
+        (4, 0, 0, GOOD, [("a", 55)]), (4, 90, 0, GOOD + " And more.", sure),  # not doubtful
+        (5, 0, 0, "", []), (5, 0, 1, None, None), (6, 0, 0, "xyz", unsure), (6, 90, 0, GOOD, [("a", 39)]), (7, 0, 0, GOOD, None), (8, 90, 0, GOOD, None),
+    ])
+    assert out[1] == ("tesseract:eng:psm3:v:conf75", GOOD, 4)
+    assert out[2] == ("tesseract:eng:psm3:v:conf30", GOOD + " And much more of it.", 1)
+    assert out[3] == ("tesseract:eng:psm3:v:rot90:conf75", GOOD, None)
+    assert out[4] == ("tesseract:eng:psm3:v:conf55", GOOD, 1)
+    assert out[5] == ("tesseract-no-text", "", None)
+    assert out[6][0].endswith("v:conf30") and out[7] == ("tesseract:eng:psm3:v", GOOD, None) and out[8][0].endswith(":rot90")
+
+
+def test_language_attempts(spark):
+    df = spark.createDataFrame([(["eng", "osd"],), (["ara", "eng"],), (["ara"],), ([],), (["deu"],)], "have array<string>")
+    assert [r[0] for r in df.select(ocr.attempts(F.col("have"))).collect()] == [["eng"], ["ara+eng", "eng+ara", "ara", "eng"], ["ara"], ["eng"], ["eng"]]
+
+
+def test_an_order_from_outside(spark):
+    ranked = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 2.0), ("d", 1.0)], "chunk_id string, score double")
+    ids = lambda order, n=9: [r.chunk_id for r in sorted(retrieve.reordered(ranked, order and spark.createDataFrame(order, "chunk_id string, place int"), n).collect(), key=lambda r: r["rank"])]
+    assert ids(None) == ["a", "b", "c", "d"] and ids([("d", 1), ("b", 2), ("d", 9), ("z", 0), ("a", None)]) == ["d", "b", "a", "c"] and ids([("d", 1)], 2) == ["d", "a"]
+    nothing = retrieve.reordered(ranked, spark.createDataFrame([], "chunk_id string, place int"), 9)
+    assert [r.chunk_id for r in sorted(nothing.collect(), key=lambda r: r["rank"])] == ["a", "b", "c", "d"]
+    told = spark.createDataFrame([("Rent is AED 500", "the rent: 500 aed"), ("Rent is AED 900", "the rent: 500 aed"), ("", "x"), (None, None)], "answer string, source string")
+    assert [r[0] for r in told.select(retrieve.supported("answer", "source")).collect()] == [True, False, True, True]
