@@ -20,7 +20,7 @@ from papyra.tables import Change, Tables, written
 #: The model of the vectors that chunks have of themselves.
 HASHED = "local-hash-384"
 #: What the tables are dealt into buckets by. Documents and chunks share their buckets.
-_KEYS = {"documents": "doc_id", "chunks": "document_id", "folders": "path", "eval_cases": "id"}
+_KEYS = {"documents": "doc_id", "pages": "doc_id", "chunks": "document_id", "folders": "path", "eval_cases": "id"}
 
 
 @dataclasses.dataclass(frozen=True)
@@ -63,17 +63,19 @@ class Archive:
 
     def ingest(self, source: str, force: bool = False, file_base: str | None = None) -> DataFrame:
         """Index the files below a folder; returns the number of files by status. With ``file_base``, new documents are filed below it, if they aren't there."""
-        found = files.scan(self.spark, source)
+        contents = files.scan(self.spark, source)
+        # hashed once; afterwards only new files are read
+        found = written(contents.select("path", "sha256", "mtime"), "found")
         if self.exists():
             known = self.read("documents").select("path", "sha256", "mtime", "status")
         else:
             known = self.spark.createDataFrame([], "path string, sha256 string, mtime double, status string")
-        status = store.new_files(found.select("path", "sha256", "mtime"), known, force)
-        fresh = found.join(status.where("status = 'new'").select("path"), "path", "left_semi")
-        texts = files.whole_texts(files.pages(fresh))
+        status = written(store.new_files(found, known, force), "status")
+        fresh = contents.join(status.where("status = 'new'").select("path"), "path", "left_semi")
+        pages = written(files.pages(fresh).join(found, "path"), "pages")
         old = self.read("documents").select("path") if self.exists() else self.spark.createDataFrame([], "path string")
         counts = status.groupBy("status").agg(F.count("*").alias("n")).collect()
-        self._index(texts.join(found.select("path", "sha256", "mtime"), "path"))
+        self._index(pages)
         if file_base:
             self._carry_out(self.filing_plan().join(old, "path", "left_anti"), file_base, "auto")
         return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
@@ -89,7 +91,17 @@ class Archive:
         out.close()
         return self.ingest(path, force=True)
 
-    def _index(self, texts: DataFrame) -> None:
+    def reocr(self, doc_id: int, reader: Callable[[bytes], list]) -> None:
+        """Read one document's file again with another reader or engine (see :func:`papyra.sources.files.pages`) and index what it gives."""
+        row = self.document(doc_id).select("path").first()
+        if row:
+            found = files.scan(self.spark, row["path"])
+            self._index(files.pages(found, dict.fromkeys(set(files.SUFFIXES.values()), reader)).join(found.select("path", "sha256", "mtime"), "path"))
+
+    def _index(self, pages: DataFrame) -> None:
+        """Documents of pages (path, page, text, engine, words, sha256, mtime)."""
+        texts = files.whole_texts(pages).join(pages.groupBy("path").agg(F.first("sha256").alias("sha256"), F.first("mtime").alias("mtime")), "path")
+        new = pages.select(F.xxhash64("path").alias("doc_id"), "page", "text", "engine", "words")
         defaults = store.folder_defaults(texts.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")), self.folders(), "_at").drop("_at")
         named = defaults.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("doc_id", F.xxhash64("path"))
         # a folder may say what it holds; what is said of the text itself stays
@@ -100,18 +112,20 @@ class Archive:
         })
         with self.tables.change() as change:
             if not self.exists():
-                self._chunked(change, change.replace("documents", "doc_id", rows))
+                self._chunked(change, change.replace("documents", "doc_id", rows), change.replace("pages", "doc_id", new))
                 return
             ids = texts.select(F.xxhash64("path").alias("doc_id")).distinct()
             touched = self.tables.buckets_of("documents", ids)
             old = self.tables.read("documents", touched)
             docs = change.replace("documents", "doc_id", store.upserted(old, rows.select(*old.columns)), touched)
-            self._chunked(change, docs, ids)
-
-    def _chunked(self, change: Change, docs: DataFrame, ids: DataFrame | None = None) -> None:
-        """Chunks, words and vectors of the documents of the given ids anew, or of all; the inverted index follows."""
-        own = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
-        made = retrieve.chunked(own.where("status = 'indexed'"))
+            other = store.deleted(self.tables.read("pages", touched), ids, "doc_id")
+            self._chunked(change, docs, change.replace("pages", "doc_id", other.unionByName(new), touched), ids)
+
+    def _chunked(self, change: Change, docs: DataFrame, pages: DataFrame, ids: DataFrame | None = None) -> None:
+        """Chunks, words and vectors of the documents of the given ids anew, page by page, or of all; the inverted index follows."""
+        own = docs.where("status = 'indexed'").select("doc_id", "title", "doc_type", "updated_at")
+        own = own if ids is None else own.join(ids, "doc_id", "left_semi")
+        made = retrieve.chunked(pages.select("doc_id", "page", "text").join(own, "doc_id"), page_col="page")
         if ids is None:
             for name in [n for n in ("postings", "terms", "corpus") if n in change.state["tables"]]:
                 change.state["tables"][name]["files"] = {}
@@ -128,13 +142,14 @@ class Archive:
         if isinstance(ids, list):
             ids = self.spark.createDataFrame([(i,) for i in sorted({*ids})], "doc_id long")
         with self.tables.change() as change:
-            self._chunked(change, self.tables.read("documents", self.tables.buckets_of("documents", ids)), ids)
+            touched = self.tables.buckets_of("documents", ids)
+            self._chunked(change, self.tables.read("documents", touched), self.tables.read("pages", touched), ids)
         return self.read("chunks")
 
     def rebuild(self) -> DataFrame:
         """Chunks of all documents anew, from stored texts, and the index with them."""
         with self.tables.change() as change:
-            self._chunked(change, self.read("documents"))
+            self._chunked(change, self.read("documents"), self.read("pages"))
         return self.read("chunks")
 
     def _live(self) -> DataFrame:
@@ -183,7 +198,7 @@ class Archive:
     def correct_text(self, doc_id: int, body: str) -> None:
         """Replace one document's text and index it again."""
         old = self.document(doc_id)
-        self._index(old.select("path", "sha256", "mtime").withColumns({"text": F.lit(body), "engine": F.lit("manual-correction")}))
+        self._index(old.select("path", "sha256", "mtime").withColumns({"page": F.lit(1), "text": F.lit(body), "engine": F.lit("manual-correction"), "words": F.lit(None).cast(files.BOXES)}))
 
     def delete(self, ids: list[int] | None = None, everything: bool = False, remove_files: bool = False) -> int:
         """Documents (or all) and all that was made of them go. Files stay, unless asked for: then those below the archive's own folder go too, and no others. Returns the files removed."""
@@ -197,6 +212,7 @@ class Archive:
         lost = chunks.join(gone, chunks["document_id"] == gone["id"], "left_semi")
         with self.tables.change() as change:
             change.replace("documents", "doc_id", store.deleted(old, gone, "doc_id"), touched)
+            change.replace("pages", "doc_id", store.deleted(self.tables.read("pages", touched), gone, "doc_id"), touched)
             change.replace("chunks", "document_id", store.deleted(chunks, gone), touched)
             inverted.add(change, lost.limit(0), lost)
         for r in paths.toLocalIterator() if remove_files else ():
@@ -214,6 +230,15 @@ class Archive:
         """One document with its text, or no row."""
         return self.tables.read("documents", self.tables.buckets_of("documents", [doc_id])).where(F.col("doc_id") == doc_id)
 
+    def pages(self, doc_id: int) -> DataFrame:
+        """(page, text, engine, words) of one document, in order."""
+        rows = self.tables.read("pages", self.tables.buckets_of("pages", [doc_id])).where(F.col("doc_id") == doc_id)
+        return rows.drop("doc_id").orderBy("page")
+
+    def chunks(self, doc_id: int) -> DataFrame:
+        """The chunks of one document, by page and place."""
+        return self.tables.read("chunks", self.tables.buckets_of("chunks", [doc_id])).where(F.col("document_id") == doc_id).orderBy("page", "chunk_index")
+
     def documents(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return store.browse(self.read("documents"), "updated_at", limit=limit, offset=offset)
 
@@ -262,9 +287,10 @@ class Archive:
         return sorted(Counter(status.partition(":")[0] for _, status, _ in apply.carried_out(self.spark, found, base, mode)).items())
 
     def highlight(self, document_id: int, question: str) -> DataFrame:
-        """(document_id, page, position, t): the words of a document that a question's terms mark."""
-        rows = self.document(document_id).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("position", "t"))
-        return retrieve.highlighted(rows, question)
+        """(document_id, page, position, t, x0, y0, x1, y1): the words of a document that a question's terms mark, with their boxes where its engine had them."""
+        plain = F.from_json(F.to_json(F.transform(F.split("text", r"\s+"), lambda t: F.struct(t.alias("t")))), files.BOXES)
+        rows = self.pages(document_id).select(F.lit(document_id).alias("document_id"), "page", F.posexplode(F.coalesce("words", plain)).alias("position", "w"))
+        return retrieve.highlighted(rows.select("document_id", "page", "position", "w.*"), question)
 
     def _settings(self, table: str, schema: str) -> DataFrame:
         return self.read(table) if self.tables.exists(table) else self.spark.createDataFrame([], schema)

@@ -22,7 +22,9 @@ from papyra import importable
 from papyra.functions import rules
 
 SUFFIXES = {x: kind for kind, xs in rules.EXTENSIONS.items() for x in xs}
-PAGE = "path string, page int, text string, engine string"
+#: A page's words with their boxes, as shares of the page, from engines that have them.
+BOXES = "array<struct<t:string,x0:double,y0:double,x1:double,y1:double>>"
+PAGE = f"path string, page int, text string, engine string, words {BOXES}"
 
 
 def suffix(path: Column | str) -> Column:
@@ -197,8 +199,11 @@ def text_pages(content: bytes) -> list[str]:
 READERS: dict[str, Callable[[bytes], list[str]]] = {"text": text_pages, "rtf": lambda b: [rtf_text(text_pages(b)[0])], "word": word_pages, "excel": excel_pages, "slides": slide_pages}
 
 
-def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
-    """(path, page, text, engine) of the files of :func:`scan`: a row for each page. A file that can't be read gives one empty page with the error's name as engine."""
+def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list]] | None = None) -> DataFrame:
+    """(path, page, text, engine, words) of the files of :func:`scan`: a row for each page. A file that can't be read gives one empty page with the error's name as engine.
+
+    A reader returns a text for each page, or the text and its words as dictionaries of ``BOXES``.
+    """
     importable(files.sparkSession)
     known = READERS | (readers or {})
 
@@ -207,13 +212,14 @@ def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]] | N
             out = []
             for path, kind, content in zip(batch["path"], batch["reader"], batch["content"], strict=True):
                 if kind not in known:
-                    out.append((path, 1, "", f"{kind}:no-reader"))
+                    out.append((path, 1, "", f"{kind}:no-reader", None))
                     continue
                 try:
-                    out += [(path, k, t, kind) for k, t in enumerate(known[kind](bytes(content)), 1)]
+                    each = ((t, None) if isinstance(t, str) else t for t in known[kind](bytes(content)))
+                    out += [(path, k, t, kind, words) for k, (t, words) in enumerate(each, 1)]
                 except Exception as error:  # noqa: BLE001  a broken file is a result
-                    out.append((path, 1, "", f"{kind}:error:{type(error).__name__}"))
-            yield pd.DataFrame(out, columns=["path", "page", "text", "engine"])
+                    out.append((path, 1, "", f"{kind}:error:{type(error).__name__}", None))
+            yield pd.DataFrame(out, columns=["path", "page", "text", "engine", "words"])
 
     return files.select("path", "reader", "content").mapInPandas(run, PAGE)
 

@@ -92,6 +92,27 @@ def test_archive_of_its_own_files(spark, tmp_path):
     assert not a.owns(f"{a.folder}/files/../x") and a.delete(everything=True) == 0 and a.read("documents").count() == 0
 
 
+def test_pages_and_their_words_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sheet.xlsx").write_bytes(renamed(zipped(
+        xl__workbook_xml='<workbook><sheets><sheet name="One"/><sheet name="Two"/></sheets></workbook>',
+        xl__worksheets__sheet1_xml='<worksheet><row><c><v>12</v></c></row></worksheet>', xl__worksheets__sheet2_xml='<worksheet><row><c><v>river 34</v></c></row></worksheet>',
+    ), "none", "none"))
+    a = Archive(spark, str(tmp_path / "archive"), buckets=2)
+    a.ingest(str(tmp_path / "in"))
+    one = a.read("documents").first()["doc_id"]
+    assert [(r["page"], r["text"]) for r in a.pages(one).collect()] == [(1, "Sheet: One\n12"), (2, "Sheet: Two\nriver 34")]
+    assert [(r["page"], r["chunk_index"], r["chunk_id"]) for r in a.chunks(one).collect()] == [(1, 0, f"{one}:1:0"), (2, 0, f"{one}:2:0")]
+    assert [(r["page"], r["position"], r["t"], r["x0"]) for r in a.highlight(one, "river").collect()] == [(2, 2, "river", None)]
+    assert a.ask("river")[1].first()["page"] == 2
+    # another engine, that knows where its words are
+    a.reocr(one, lambda b: [("green river", [{"t": "green", "x0": 0.1, "y0": 0.2, "x1": 0.3, "y1": 0.4}, {"t": "river", "x0": 0.5, "y0": 0.2, "x1": 0.7, "y1": 0.4}])])
+    assert [tuple(r)[1:] for r in a.highlight(one, "river").collect()] == [(1, 1, "river", 0.5, 0.2, 0.7, 0.4)]
+    assert a.pages(one).count() == a.chunks(one).count() == 1 and a.index.corpus()[0] == 1
+    a.delete([one])
+    assert a.read("pages").count() == 0
+
+
 def test_uploads_of_known_and_of_unsupported_files(spark, tmp_path):
     a = Archive(spark, str(tmp_path / "archive"), buckets=2)
     assert {r["status"]: r["n"] for r in a.upload("a.txt", b"Same words").collect()} == {"new": 1}
