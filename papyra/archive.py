@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, text
-from papyra.operators import apply, cells, evaluate, filing, inverted, many, retrieve, store
+from papyra.operators import apply, cells, evaluate, filing, index, inverted, many, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
 from papyra.tables import Change, Tables, written
@@ -63,14 +63,16 @@ class Archive:
 
     def ingest(self, source: str, force: bool = False, file_base: str | None = None) -> DataFrame:
         """Index the files below a folder; returns the number of files by status. With ``file_base``, new documents are filed below it, if they aren't there."""
-        contents = files.scan(self.spark, source)
-        # hashed once; afterwards only new files are read
-        found = written(contents.select("path", "sha256", "mtime"), "found")
         if self.exists():
-            known = self.read("documents").select("path", "sha256", "mtime", "status")
+            known = self.read("documents").select("path", "sha256", "mtime", "status", "size")
         else:
-            known = self.spark.createDataFrame([], "path string, sha256 string, mtime double, status string")
-        status = written(store.new_files(found, known, force), "status")
+            known = self.spark.createDataFrame([], "path string, sha256 string, mtime double, status string, size long")
+        # files are listed; those of a known time and length aren't read, others are hashed once, and new ones read
+        contents = files.scan(self.spark, source) if force or not self.exists() else files.changed(self.spark, source, known)
+        found = written(contents.select("path", "sha256", "mtime", F.col("length").alias("size")), "found")
+        status = store.new_files(found.drop("size"), known.drop("size"), force)
+        rest = files.listed(self.spark, source).join(found.select("path"), "path", "left_anti").select("path", F.lit("unchanged").alias("status"))
+        status = written(status.select("path", "status").union(rest), "status")
         fresh = contents.join(status.where("status = 'new'").select("path"), "path", "left_semi")
         pages = written(files.pages(fresh).join(found, "path"), "pages")
         old = self.read("documents").select("path") if self.exists() else self.spark.createDataFrame([], "path string")
@@ -96,11 +98,11 @@ class Archive:
         row = self.document(doc_id).select("path").first()
         if row:
             found = files.scan(self.spark, row["path"])
-            self._index(files.pages(found, dict.fromkeys(set(files.SUFFIXES.values()), reader)).join(found.select("path", "sha256", "mtime"), "path"))
+            self._index(files.pages(found, dict.fromkeys(set(files.SUFFIXES.values()), reader)).join(found.select("path", "sha256", "mtime", F.col("length").alias("size")), "path"))
 
     def _index(self, pages: DataFrame) -> None:
-        """Documents of pages (path, page, text, engine, words, sha256, mtime)."""
-        texts = files.whole_texts(pages).join(pages.groupBy("path").agg(F.first("sha256").alias("sha256"), F.first("mtime").alias("mtime")), "path")
+        """Documents of pages (path, page, text, engine, words, sha256, mtime, size)."""
+        texts = files.whole_texts(pages).join(pages.groupBy("path").agg(*(F.first(c).alias(c) for c in ("sha256", "mtime", "size"))), "path")
         new = pages.select(F.xxhash64("path").alias("doc_id"), "page", "text", "engine", "words")
         defaults = store.folder_defaults(texts.withColumn("_at", F.regexp_replace("path", "^file:/*", "/")), self.folders(), "_at").drop("_at")
         named = defaults.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("doc_id", F.xxhash64("path"))
@@ -125,11 +127,12 @@ class Archive:
         """Chunks, words and vectors of the documents of the given ids anew, page by page, or of all; the inverted index follows."""
         own = docs.where("status = 'indexed'").select("doc_id", "title", "doc_type", "updated_at")
         own = own if ids is None else own.join(ids, "doc_id", "left_semi")
-        made = retrieve.chunked(pages.select("doc_id", "page", "text").join(own, "doc_id"), page_col="page")
+        whole = pages.select("doc_id", "page", "text").join(own, "doc_id")
+        made = retrieve.chunked(self.tables.dealt("chunks", whole, "doc_id") if ids is None else whole, page_col="page")
         if ids is None:
             for name in [n for n in ("postings", "terms", "corpus") if n in change.state["tables"]]:
                 change.state["tables"][name]["files"] = {}
-            inverted.add(change, change.replace("chunks", "document_id", made))
+            inverted.add(change, change.replace("chunks", "document_id", made, dealt=True))
             return
         touched = self.tables.buckets_of("chunks", ids)
         old = self.tables.read("chunks", touched)
@@ -198,7 +201,7 @@ class Archive:
     def correct_text(self, doc_id: int, body: str) -> None:
         """Replace one document's text and index it again."""
         old = self.document(doc_id)
-        self._index(old.select("path", "sha256", "mtime").withColumns({"page": F.lit(1), "text": F.lit(body), "engine": F.lit("manual-correction"), "words": F.lit(None).cast(files.BOXES)}))
+        self._index(old.select("path", "sha256", "mtime", "size").withColumns({"page": F.lit(1), "text": F.lit(body), "engine": F.lit("manual-correction"), "words": F.lit(None).cast(files.BOXES)}))
 
     def delete(self, ids: list[int] | None = None, everything: bool = False, remove_files: bool = False) -> int:
         """Documents (or all) and all that was made of them go. Files stay, unless asked for: then those below the archive's own folder go too, and no others. Returns the files removed."""
@@ -244,7 +247,7 @@ class Archive:
 
     def status(self) -> DataFrame:
         chunks = self.read("chunks")
-        return store.status_counts(self.read("documents"), folders=self.folders(), chunks=chunks, embeddings=chunks.where("vec is not null and size(vec) > 0"), fts_rows=chunks.where("size(words) > 0"))
+        return store.status_counts(self.read("documents"), folders=self.folders(), chunks=chunks, embeddings=chunks.where("vec is not null and size(vec) > 0"), fts_rows=index.with_words(chunks).where("size(words) > 0"))
 
     def export(self) -> DataFrame:
         """All documents, the latest change first."""

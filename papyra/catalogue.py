@@ -49,7 +49,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Tables:
     if key not in _stored:
         docs, tables = documents(spark, sf_dir), scratch(spark, "archive")
         with tables.change() as change:
-            inverted.add(change, change.replace("chunks", "document_id", retrieve.chunked(docs)))
+            inverted.add(change, change.replace("chunks", "document_id", retrieve.chunked(tables.dealt("chunks", docs, "doc_id")), dealt=True))
         _stored[key] = tables
     return _stored[key]
 

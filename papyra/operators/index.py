@@ -16,9 +16,14 @@ def indexed_text():
     return F.concat_ws(" ", "title", "text", "norm")
 
 
+def with_words(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``words``, what the inverted index sees of them; those that have the column keep it."""
+    return chunks if "words" in chunks.columns else chunks.withColumn("words", text.index_tokens(indexed_text()))
+
+
 def indexed(chunks: DataFrame) -> DataFrame:
     """``chunks`` with what retrieval reads: ``words`` of the inverted index and ``vec``, the hashed vector as array<struct<dim, weight>>. Built once, when chunks are stored, within the row."""
-    return chunks.withColumns({"words": text.index_tokens(indexed_text()), "vec": vectors.hashed_array(F.col("norm"))})
+    return with_words(chunks).withColumn("vec", vectors.hashed_array(F.col("norm")))
 
 
 def postings(rows: DataFrame, key: str = "chunk_id") -> DataFrame:

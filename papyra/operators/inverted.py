@@ -23,8 +23,8 @@ POSTINGS = "term string, chunk_id string, tf int, dl int, doc_type string"
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(term, chunk_id, tf, dl, doc_type) of chunks with index ``words``, counted within each chunk: nothing is shuffled."""
-    rows = chunks.where(F.size("words") > 0).select(F.col(key).alias("chunk_id"), F.size("words").alias("dl"), "doc_type", F.inline(text.counted(F.col("words"))))
+    """(term, chunk_id, tf, dl, doc_type) of chunks, counted within each chunk: nothing is shuffled."""
+    rows = index.with_words(chunks).where(F.size("words") > 0).select(F.col(key).alias("chunk_id"), F.size("words").alias("dl"), "doc_type", F.inline(text.counted(F.col("words"))))
     return rows.select(F.col("value").alias("term"), "chunk_id", F.col("n").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"), "doc_type")
 
 
@@ -36,20 +36,22 @@ def add(change: Change, chunks: DataFrame, gone: DataFrame | None = None) -> Non
     if gone is None:
         new = change.append("postings", "term", postings(chunks), sort=["term", "chunk_id"])
         signed = new.withColumn("sign", F.lit(1))
+        each = chunks.select(F.lit(1).alias("n"), F.lit(0).alias("w")).union(new.select(F.lit(0), F.col("tf")))
+        sums = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("w"), F.lit(0)).alias("n_words")).select(F.lit("all").alias("corpus"), "n_chunks", "n_words")
     else:
         signed = postings(chunks).withColumn("sign", F.lit(1)).unionByName(postings(gone).withColumn("sign", F.lit(-1)))
         # of one chunk's old and new postings the new one stays; a term that it has lost is marked
         last = signed.groupBy("term", "chunk_id").agg(F.max_by(F.struct("tf", "dl", "doc_type", "sign"), "sign").alias("r"))
         marked = last.select("term", "chunk_id", F.when(F.col("r.sign") > 0, F.col("r.tf")).otherwise(0).alias("tf"), "r.dl", "r.doc_type")
         change.append("postings", "term", marked, sort=["term", "chunk_id"])
+        sums = _sums(chunks, 1).unionByName(_sums(gone, -1))
     counts = signed.groupBy("term").agg(F.sum("sign").alias("df"), F.sum(F.col("tf").cast("long") * F.col("sign")).alias("cf"))
     change.append("terms", "term", counts.where("df <> 0 or cf <> 0"), sort=["term"])
-    sums = _sums(chunks, 1) if gone is None else _sums(chunks, 1).unionByName(_sums(gone, -1))
     change.append("corpus", "corpus", sums)
 
 
 def _sums(chunks: DataFrame, sign: int) -> DataFrame:
-    sums = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0)).alias("w"))
+    sums = index.with_words(chunks).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0)).alias("w"))
     return sums.select(F.lit("all").alias("corpus"), (F.col("n") * sign).alias("n_chunks"), (F.col("w") * sign).alias("n_words"))
 
 

@@ -1,7 +1,7 @@
 """Hybrid retrieval: inverted index and vectors, fused, reranked and cut to the best.
 
 Chunks have chunk_id, document_id, page, chunk_index, title, text, norm,
-doc_type, words and vec, and, where a question asks for the latest, updated_at.
+doc_type and vec, without a stored index words too, and, where a question asks for the latest, updated_at.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyra.functions import rules, text
+from papyra.functions import rules, text, vectors
 from papyra.operators import chunk, index
 from papyra.operators.inverted import Inverted
 from papyra.plans import question as questions
@@ -20,9 +20,9 @@ from papyra.plans import question as questions
 AMOUNT, DATE = "(?i)" + rules.AMOUNT_SIGN, "(?i)" + rules.DATE_SIGN
 
 
-def fused(words: DataFrame, vectors: DataFrame, key: str | list[str] = "chunk_id") -> DataFrame:
+def fused(words: DataFrame, near: DataFrame, key: str | list[str] = "chunk_id") -> DataFrame:
     """(key, score, retrieval): scores of both candidate lists are added."""
-    both = words.join(vectors.withColumnRenamed("score", "near"), key, "full_outer")
+    both = words.join(near.withColumnRenamed("score", "near"), key, "full_outer")
     how = F.when(F.col("near").isNull(), "bm25").when(F.col("score").isNull(), "vector").otherwise("bm25+vector")
     return both.select(*([key] if isinstance(key, str) else key), (F.coalesce("score", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("score"), how.alias("retrieval"))
 
@@ -145,15 +145,15 @@ def extractive_answer(found: DataFrame, question: str, limit: int = 4) -> DataFr
 
 
 def chunked(documents: DataFrame, key: str = "doc_id", page_col: str | None = None) -> DataFrame:
-    """The chunks of documents as retrieval reads and stores them: ids that are the same in each run, titles and types, index words and vectors. Nothing is shuffled."""
+    """The chunks of documents as an archive stores them: ids that are the same in each run, titles, types and hashed vectors; their words are in the stored index. Nothing is shuffled."""
     each = chunk.chunks(documents, key, page_col=page_col, keep=["title", "doc_type", "updated_at"])
     ids = F.concat_ws(":", key, "page", "chunk_index").alias("chunk_id")
     rows = each.select(F.col(key).alias("document_id"), ids, "page", "chunk_index", "text", "token_count", text.normalized("text").alias("norm"), "title", "doc_type", "updated_at")
-    return index.indexed(rows)
+    return rows.withColumn("vec", vectors.hashed_array(F.col("norm")))
 
 
 def with_ids(chunks: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """:func:`chunked` for chunks that have been made already, with their documents."""
+    """Chunks that have been made already, with what their documents say and their index ``words``, for retrieval without a stored index."""
     ids = F.concat_ws(":", key, "page", "chunk_index").alias("chunk_id")
     own = documents.select(F.col(key), "title", "doc_type", "updated_at")
     rows = chunks.select(ids, F.col(key), "page", "chunk_index", "text", "token_count", text.normalized("text").alias("norm")).join(own, key)

@@ -42,14 +42,41 @@ def reader(path: Column | str) -> Column:
     return F.try_element_at(table, suffix(path))
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, sha256, mtime, length, reader, content) of the supported files below a folder."""
+#: Changed files that are read by their names; of more, the whole folder is read.
+MOST_PATHS = 10_000
+
+
+def _found(spark: SparkSession, folder: str | list[str], recursive: bool) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     if not recursive:
         # paths begin with a scheme, the folder may not
         own = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", folder).strip("/")
         files = files.where(F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]+$", 1), r"^[a-z][a-z0-9+.-]*:/*", "") == own)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("modificationTime").cast("double").alias("mtime"), "length", reader("path").alias("reader"), "content").where("reader is not null")
+    return files.withColumns({"mtime": F.col("modificationTime").cast("double"), "reader": reader("path")}).where("reader is not null")
+
+
+def scan(spark: SparkSession, folder: str | list[str], recursive: bool = True) -> DataFrame:
+    """(path, sha256, mtime, length, reader, content) of the supported files below a folder, or of a list of files."""
+    return _found(spark, folder, recursive).select("path", F.sha2("content", 256).alias("sha256"), "mtime", "length", "reader", "content")
+
+
+def listed(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, mtime, length) of the supported files below a folder: no content is read."""
+    return _found(spark, folder, recursive).select("path", "mtime", "length")
+
+
+def changed(spark: SparkSession, folder: str, known: DataFrame, recursive: bool = True) -> DataFrame:
+    """:func:`scan` of the files whose time or length isn't that of ``known`` (path, mtime, size): only they are read."""
+    there = listed(spark, folder, recursive)
+    own = known.select("path", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"))
+    same = (F.abs(F.col("mtime") - F.col("_mtime")) < 0.001) & (F.col("length") == F.col("_size"))
+    new = there.join(own, "path", "left").where(~F.coalesce(same, F.lit(False))).select("path")
+    some = [r["path"] for r in new.limit(MOST_PATHS + 1).collect()]
+    if not some:
+        return scan(spark, folder, recursive).limit(0)
+    if len(some) <= MOST_PATHS:
+        return scan(spark, some)
+    return scan(spark, folder, recursive).join(new, "path", "left_semi")
 
 
 #: Groups of an RTF file that hold no text of the document.

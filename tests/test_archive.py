@@ -92,6 +92,28 @@ def test_archive_of_its_own_files(spark, tmp_path):
     assert not a.owns(f"{a.folder}/files/../x") and a.delete(everything=True) == 0 and a.read("documents").count() == 0
 
 
+def test_unchanged_files_are_listed_and_not_read(spark, tmp_path, monkeypatch):
+    import os
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"n{k}.txt").write_text(f"paper {k}")
+    a = Archive(spark, str(tmp_path / "archive"), buckets=2)
+    a.ingest(str(tmp_path / "in"))
+    # other words under the same time and length: only who reads them can tell
+    times = os.stat(tmp_path / "in" / "n0.txt").st_mtime_ns
+    (tmp_path / "in" / "n0.txt").write_text("river 0")
+    os.utime(tmp_path / "in" / "n0.txt", ns=(times, times))
+    (tmp_path / "in" / "n1.txt").write_text("river and house")
+    (tmp_path / "in" / "n3.txt").write_text("paper 2")
+    assert {r["status"]: r["n"] for r in a.ingest(str(tmp_path / "in")).collect()} == {"unchanged": 2, "new": 1, "duplicate": 1}
+    assert sorted(r["text"] for r in a.read("documents").collect()) == ["paper 0", "paper 2", "river and house"]
+    monkeypatch.setattr(files, "MOST_PATHS", 1)
+    names = lambda df: {r["path"].rpartition("/")[2] for r in df.select("path").collect()}
+    assert names(files.changed(spark, str(tmp_path / "in"), a.read("documents").where("name = 'n0.txt'"))) == {"n1.txt", "n2.txt", "n3.txt"}
+    assert {r["status"]: r["n"] for r in a.ingest(str(tmp_path / "in"), force=True).collect()} == {"new": 4}
+
+
 def test_pages_and_their_words_are_kept(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "sheet.xlsx").write_bytes(renamed(zipped(
