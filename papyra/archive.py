@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import threading
+import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from papyra.functions import extract, text
 from papyra.operators import apply, cells, evaluate, filing, index, inverted, many, retrieve, store
 from papyra.plans.question import plan
 from papyra.sources import files
+from papyra.streaming import watch as watching
 from papyra.tables import Change, Tables, written
 
 #: The model of the vectors that chunks have of themselves.
@@ -45,6 +50,7 @@ class Archive:
         self.tables = Tables(spark, folder, buckets)
         self.index, self.cells = inverted.Inverted(self.tables), cells.Cells(self.tables)
         self.model = model
+        self._turn = threading.RLock()
 
     def _fs(self, path: str):
         return self.tables._fs(path)
@@ -63,24 +69,75 @@ class Archive:
 
     def ingest(self, source: str, force: bool = False, file_base: str | None = None) -> DataFrame:
         """Index the files below a folder; returns the number of files by status. With ``file_base``, new documents are filed below it, if they aren't there."""
+        old = self.read("documents").select("path") if self.exists() else self.spark.createDataFrame([], "path string")
+        # files are listed; those of a known time and length aren't read
+        contents = files.scan(self.spark, source) if force or not self.exists() else files.changed(self.spark, source, self.read("documents"))
+        with self._told(source):
+            status = self._take(contents, force)
+            rest = files.listed(self.spark, source).join(status.select("path"), "path", "left_anti").select("path", F.lit("unchanged").alias("status"))
+            counts = status.union(rest).groupBy("status").agg(F.count("*").alias("n")).collect()
+            self._counts.update({r["status"]: r["n"] for r in counts})
+        if file_base:
+            self._carry_out(self.filing_plan().join(old, "path", "left_anti"), file_base, "auto")
+        return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
+
+    def _take(self, contents: DataFrame, force: bool = False) -> DataFrame:
+        """(path, status) of files (path, sha256, mtime, length, content, reader), of which the new ones are read and indexed. Taking the same files again changes nothing."""
         if self.exists():
-            known = self.read("documents").select("path", "sha256", "mtime", "status", "size")
+            known = self.read("documents").select("path", "sha256", "mtime", "status")
         else:
-            known = self.spark.createDataFrame([], "path string, sha256 string, mtime double, status string, size long")
-        # files are listed; those of a known time and length aren't read, others are hashed once, and new ones read
-        contents = files.scan(self.spark, source) if force or not self.exists() else files.changed(self.spark, source, known)
+            known = self.spark.createDataFrame([], "path string, sha256 string, mtime double, status string")
         found = written(contents.select("path", "sha256", "mtime", F.col("length").alias("size")), "found")
-        status = store.new_files(found.drop("size"), known.drop("size"), force)
-        rest = files.listed(self.spark, source).join(found.select("path"), "path", "left_anti").select("path", F.lit("unchanged").alias("status"))
-        status = written(status.select("path", "status").union(rest), "status")
+        status = written(store.new_files(found.drop("size"), known, force).select("path", "status"), "status")
         fresh = contents.join(status.where("status = 'new'").select("path"), "path", "left_semi")
         pages = written(files.pages(fresh).join(found, "path"), "pages")
-        old = self.read("documents").select("path") if self.exists() else self.spark.createDataFrame([], "path string")
-        counts = status.groupBy("status").agg(F.count("*").alias("n")).collect()
-        self._index(pages)
-        if file_base:
-            self._carry_out(self.filing_plan().join(old, "path", "left_anti"), file_base, "auto")
-        return self.spark.createDataFrame([tuple(r) for r in counts], "status string, n long")
+        if not self.exists() or pages.limit(1).count():
+            self._index(pages)
+        return status
+
+    @contextmanager
+    def _told(self, source: str) -> Iterator[None]:
+        """Rows of progress around a scan: running, then finished with its counts or failed with its error. Scans of one archive take turns."""
+        with self._turn:
+            self._counts: dict[str, int] = {}
+            scan = uuid.uuid4().hex
+            self._tell(scan, source, "running")
+            try:
+                yield
+            except Exception as error:
+                self._tell(scan, source, "failed", f"{type(error).__name__}: {error}"[:500])
+                raise
+            self._tell(scan, source, "finished")
+
+    def _tell(self, scan: str, source: str, state: str, error: str | None = None) -> None:
+        row = self.spark.createDataFrame([(scan, source, state, error, dict(self._counts))], "scan string, source string, state string, error string, counts map<string,long>")
+        with self.tables.change() as change:
+            change.append("scans", "scan", row.withColumn("told_at", F.current_timestamp()))
+
+    def progress(self) -> DataFrame:
+        """(scan, source, state, error, counts, began_at, told_at) of each scan of a folder or batch of a watched one, the latest first."""
+        if not self.tables.exists("scans"):
+            return self.spark.createDataFrame([], "scan string, source string, state string, error string, counts map<string,long>, began_at timestamp, told_at timestamp")
+        rows = self.read("scans").groupBy("scan").agg(F.max_by(F.struct("source", "state", "error", "counts"), F.struct("told_at", (F.col("state") != "running").cast("int"))).alias("r"), F.min("told_at").alias("began_at"), F.max("told_at").alias("told_at"))
+        return rows.select("scan", "r.*", "began_at", "told_at").orderBy(F.desc("began_at"), "scan")
+
+    def watch(self, checkpoint: str, seconds: int | None = watching.WATCH_SECONDS) -> list[StreamingQuery]:
+        """A stream for each folder of the settings that is watched: what arrives is indexed, batch by batch, into this archive.
+
+        What is known are the archive's documents, so a batch that runs again after a failure changes nothing, and earlier batches aren't read. With ``seconds`` None present files are indexed, then the streams end.
+        """
+        streams = []
+        for r in self.folders().where("watch").orderBy("path").collect():  # a short list of settings
+
+            def take(batch: DataFrame, number: int, source: str = r["path"]) -> None:
+                with self._told(f"{source}#{number}"):
+                    status = self._take(batch)
+                    self._counts.update({x["status"]: x["n"] for x in status.groupBy("status").agg(F.count("*").alias("n")).collect()})
+
+            name = "".join(c if c.isalnum() else "_" for c in r["path"]).strip("_")
+            out = watching.arriving(self.spark, r["path"]).writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
+            streams.append((out.trigger(availableNow=True) if seconds is None else out.trigger(processingTime=f"{seconds} seconds")).start())
+        return streams
 
     def upload(self, name: str, content: bytes) -> DataFrame:
         """Store a file under a safe name in the archive's own folder and index it, also if its content is known; a file of an unsupported kind isn't stored, and counts as skipped."""

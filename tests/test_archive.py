@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.archive import Archive
@@ -231,3 +232,32 @@ def test_moving_and_pruning(spark, tmp_path):
     assert done[0] == "moved" and done[1].startswith("error") and done[2] == "already-filed"
     assert [s for _, s, _ in apply.carried_out(spark, plan, f"{tmp_path}/out", "auto")][3] == "inside-archive"
     assert apply.Files(spark, str(tmp_path)).prune(f"{tmp_path}/in") == 2
+
+
+def test_watched_folders_and_their_progress(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("river paper")
+    (tmp_path / "other" / "b.txt").write_text("not watched")
+    a = Archive(spark, str(tmp_path / "archive"), buckets=2)
+    a.add_folder(str(tmp_path / "in"), watch=True)
+    a.add_folder(str(tmp_path / "other"))
+
+    def run():
+        streams = a.watch(str(tmp_path / "checkpoint"), seconds=None)
+        assert len(streams) == 1
+        streams[0].awaitTermination()
+
+    run()
+    (tmp_path / "in" / "c.txt").write_text("river paper")
+    (tmp_path / "in" / "d.txt").write_text("green house")
+    run()
+    run()  # nothing has arrived
+    assert {r["name"]: r["text"] for r in a.read("documents").collect()} == {"a.txt": "river paper", "d.txt": "green house"}
+    done = a.progress().collect()
+    assert [(r["state"], r["counts"]) for r in done] == [("finished", {"duplicate": 1, "new": 1}), ("finished", {"new": 1})] and "in#" in done[0]["source"]
+    with pytest.raises(ValueError, match="broken"), a._told("somewhere"):
+        assert a.progress().first()["state"] == "running"
+        raise ValueError("broken")
+    last = a.progress().first()
+    assert (last["source"], last["state"], last["error"]) == ("somewhere", "failed", "ValueError: broken")
