@@ -35,9 +35,11 @@ LEAST_SIMILARITY = 0.18
 _FOUND = "q int, chunk_id string, value double"
 
 
-def asked(cases: DataFrame, key: str = "id", question: str = "question") -> DataFrame:
-    """(id, question, norm, plan, search) of each question: its plan, and the words that search the inverted index."""
+def asked(cases: DataFrame, key: str = "id", question: str = "question", typed: bool = True) -> DataFrame:
+    """(id, question, norm, plan, search) of each question: its plan, and the words that search the inverted index. ``typed`` questions ask for documents of the type that their words name."""
     planned = questions.planned(cases.select(F.col(key).alias("id"), text.text_of(question).alias("question")))
+    if not typed:
+        planned = planned.withColumn("plan", F.col("plan").withField("doc_type", F.lit(None).cast("string")))
     some = F.filter(F.slice("plan.terms", 1, 12), lambda t: F.length(t) >= 2)
     return planned.withColumns({"norm": text.normalized("question"), "search": F.array_distinct(F.flatten(F.transform(some, text.index_tokens)))})
 
@@ -188,7 +190,7 @@ def _block(block: DataFrame, chunks: DataFrame, stored: Inverted, limit: int, mo
     matrix = np.zeros((rules.DIMENSIONS, len(rows)))
     for r in vectors.hashed(known, "q", F.col("norm")).collect():
         matrix[r["dim"], r["q"]] = r["weight"]
-    parts = stored.parts(sorted({t for own in terms for t in own})).repartition("chunk_id").sortWithinPartitions("chunk_id")
+    parts = stored.parts(sorted({t for own in terms for t in own})).repartition("chunk_id").sortWithinPartitions("chunk_id", "term")  # equal chunks get equal sums
     words = best_of(parts.mapInArrow(lambda b: _by_words(b, terms, types, most), _FOUND), most)
     near = chunks.where(F.size("vec") > 0).select("chunk_id", "doc_type", "vec").mapInArrow(lambda b: _by_vectors(b, matrix, types, most), _FOUND)
     near = best_of(near, most)
@@ -208,13 +210,14 @@ def _block(block: DataFrame, chunks: DataFrame, stored: Inverted, limit: int, mo
     return gathered.select("id", F.posexplode(F.slice("x", 1, max(1, min(limit, rules.RESULTS)))).alias("place", "r")).select("id", (F.col("place") + 1).alias("place"), *(F.col(f"r.{c}") for c in columns))
 
 
-def hybrid(cases: DataFrame, chunks: DataFrame, stored: Inverted, limit: int = 8, key: str = "id", question: str = "question", most: int = rules.CANDIDATES) -> DataFrame:
+def hybrid(cases: DataFrame, chunks: DataFrame, stored: Inverted, limit: int = 8, key: str = "id", question: str = "question", most: int = rules.CANDIDATES, typed: bool = True) -> DataFrame:
     """(id, place, chunk_id, document_id, title, page, text, score, retrieval): the best chunks of each question, best first.
 
-    Ids are distinct. A null question is an empty one; one that nothing is found for has no rows.
+    Ids are distinct. A null question is an empty one; one that nothing is found for has no rows. Questions that aren't ``typed``, such as
+    passages of text, are looked for in documents of all types, whatever their words.
     """
     importable(chunks.sparkSession)
-    own = asked(cases, key, question)
+    own = asked(cases, key, question, typed)
     blocks = max(1, -(-own.count() // MOST_QUESTIONS))
     out = None
     for b in range(blocks):
@@ -234,7 +237,7 @@ def answers(cases: DataFrame, found: DataFrame, key: str = "id", question: str =
     return own.select("id", F.concat_ws("\n", intro, F.transform("rows", line)).alias("answer"))
 
 
-def evaluated(cases: DataFrame, chunks: DataFrame, stored: Inverted, limit: int = 8) -> DataFrame:
+def evaluated(cases: DataFrame, chunks: DataFrame, stored: Inverted, limit: int = 8, typed: bool = True) -> DataFrame:
     """(id, expected_ok, cite_ok, pass) of cases (id, question, expected, must_cite), each answered by retrieval, all at once."""
-    found = written(hybrid(cases, chunks, stored, limit), "answers")
+    found = written(hybrid(cases, chunks, stored, limit, typed=typed), "answers")
     return evaluate.judged(cases, answers(cases, found), found.select("id", F.col("title").alias("cited")))
