@@ -21,9 +21,9 @@ def confidence(engine: Column | str) -> Column:
     return F.regexp_extract(text.text_of(engine), r":conf([0-9]+)", 1).try_cast("int")
 
 
-def wants_fallback(body: Column | str, engine: Column | str, cloud: bool = True) -> Column:
-    """Whether a reading is bad enough to ask another engine."""
-    label = text.quality(body)["label"]
+def wants_fallback(body: Column | str, engine: Column | str, cloud: bool = True, tally: Column | None = None) -> Column:
+    """Whether a reading is bad enough to ask another engine. ``tally``: that of the reading, if it is known."""
+    label = text.judged(text.tally(body) if tally is None else tally)["label"]
     doubtful = text.text_of(engine).contains("tesseract") & text.has_arabic(body) & (label == "medium") & F.lit(cloud)
     return label.isin("empty", "poor") | F.coalesce(confidence(engine) < LEAST_CONFIDENCE, F.lit(False)) | doubtful
 
@@ -38,7 +38,8 @@ def chosen(readings: DataFrame, key: str = "page_id") -> DataFrame:
     Without a winner a first text stays, if there is any.
     """
     first = readings.where("place = 0").select(key, F.col("engine").alias("_engine"), text.text_of("text").alias("_text"))
-    first = first.withColumns({"_points": text.legibility("_text"), "_wants": (F.trim("_text") == "") | wants_fallback("_text", "_engine"), "_unsure": (F.trim("_text") == "") | F.coalesce(confidence("_engine") < LEAST_CONFIDENCE, F.lit(False)) | text.quality("_text")["label"].isin("empty", "poor")})
+    first = first.withColumn("_tally", text.tally("_text"))
+    first = first.withColumns({"_points": F.col("_tally.points"), "_wants": (F.trim("_text") == "") | wants_fallback("_text", "_engine", tally=F.col("_tally")), "_unsure": (F.trim("_text") == "") | F.coalesce(confidence("_engine") < LEAST_CONFIDENCE, F.lit(False)) | text.judged(F.col("_tally"))["label"].isin("empty", "poor")}).drop("_tally")
     other = readings.where("place > 0").join(first, key)
     body = text.text_of("text")
     wins = (F.trim(body) != "") & ((text.legibility("text") >= F.col("_points")) | (F.col("_unsure") & (F.length(F.trim(body)) >= 20) & ~text.garbled("text")))
@@ -68,18 +69,19 @@ def mean_confidence(words: Column) -> Column:
 
 
 def _grid_best(readings: DataFrame, key: str) -> DataFrame:
-    """(key, angle, step, points, conf): of each grid the reading that its search ends with."""
-    judged = readings.select(key, "angle", "step", text.legibility("text").alias("points"), (text.quality("text")["label"] == "good").alias("good"), mean_confidence(F.col("words")).alias("conf"))
+    """(key, angle, step, points, conf, label): of each grid the reading that its search ends with; angle 0 without a step where nothing was read of the straight page."""
+    judged = readings.select(key, "angle", "step", text.tally("text").alias("_tally"), mean_confidence(F.col("words")).alias("conf"))
+    judged = judged.select(key, "angle", "step", "_tally.points", text.judged(F.col("_tally"))["label"].alias("label"), "conf")
     # a grid has a row for each variant, language and mode: a hundred or so, without their texts
-    grid = judged.groupBy(key, "angle").agg(F.array_sort(F.collect_list(F.struct("step", "points", "good", "conf"))).alias("tried"))
-    start = F.struct(F.lit(-1).cast("int").alias("step"), F.lit(0).cast("int").alias("points"), F.lit(-1.0).alias("conf"), F.lit(False).alias("ended"))
+    grid = judged.groupBy(key, "angle").agg(F.array_sort(F.collect_list(F.struct("step", "points", "label", "conf"))).alias("tried"))
+    start = F.struct(F.lit(-1).cast("int").alias("step"), F.lit(0).cast("int").alias("points"), F.lit(-1.0).alias("conf"), F.lit("empty").alias("label"), F.lit(False).alias("ended"))
 
     def step(best: Column, r: Column) -> Column:
-        ends = r["good"] & ((r["conf"] < 0) | (r["conf"] >= ENOUGH))
-        new = F.struct(r["step"].cast("int").alias("step"), r["points"].cast("int").alias("points"), r["conf"].alias("conf"), ends.alias("ended"))
+        ends = (r["label"] == "good") & ((r["conf"] < 0) | (r["conf"] >= ENOUGH))
+        new = F.struct(r["step"].cast("int").alias("step"), r["points"].cast("int").alias("points"), r["conf"].alias("conf"), r["label"].alias("label"), ends.alias("ended"))
         return F.when(best["ended"] | (r["points"] <= best["points"]), best).otherwise(new)
 
-    return grid.select(key, "angle", F.aggregate("tried", start, step).alias("b")).select(key, "angle", "b.step", "b.points", "b.conf")
+    return grid.select(key, "angle", F.aggregate("tried", start, step).alias("b")).select(key, "angle", "b.step", "b.points", "b.conf", "b.label")
 
 
 def grid_choice(readings: DataFrame, key: str = "page_id") -> DataFrame:
@@ -93,20 +95,18 @@ def grid_choice(readings: DataFrame, key: str = "page_id") -> DataFrame:
     fit the page and go. A page that nothing was read of has an empty text.
     """
     best = _grid_best(readings, key)
-    straight, turned = best.where("angle = 0"), best.where("angle <> 0")
-    turned = turned.groupBy(key).agg(F.min_by(F.struct("angle", "step", "points", "conf"), "angle").alias("t"))
+    row = F.struct("angle", "step", "points", "conf", "label")
+    both = best.groupBy(key).agg(F.min(F.when(F.col("angle") == 0, row)).alias("s"), F.min(F.when(F.col("angle") != 0, row)).alias("t"))
+    doubtful = F.coalesce(F.col("s.label"), F.lit("empty")).isin("empty", "poor") | F.coalesce((F.col("s.conf") >= 0) & (F.col("s.conf") < DOUBTFUL), F.lit(False))
+    surer = (F.col("t.conf") >= 0) & (F.col("t.conf") > F.greatest(F.coalesce("s.conf", F.lit(0.0)), F.lit(0.0)) + BETTER_BY)
+    more = (F.col("t.conf") < 0) & (F.col("t.points") > F.coalesce("s.points", F.lit(0)))
+    turn = F.coalesce(doubtful & (surer | more), F.lit(False))
+    # one row a page, so that each reading's text is looked for once
+    taken = both.select(key, turn.alias("turn"), F.when(turn, F.col("t")).otherwise(F.col("s")).alias("r")).select(key, "turn", "r.angle", "r.step", "r.conf")
     texts = readings.select(key, "angle", "step", "text", "words", F.concat_ws(":", F.lit("tesseract"), "languages", F.concat(F.lit("psm"), F.col("mode")), "variant").alias("engine"))
-    both = readings.select(key).distinct().join(straight.drop("angle"), key, "left").join(turned, key, "left")
-    own = both.join(texts.where("angle = 0").drop("angle"), [key, "step"], "left")
-    doubtful = text.quality("text")["label"].isin("empty", "poor") | F.coalesce((F.col("conf") >= 0) & (F.col("conf") < DOUBTFUL), F.lit(False))
-    surer = (F.col("t.conf") >= 0) & (F.col("t.conf") > F.greatest(F.coalesce("conf", F.lit(0.0)), F.lit(0.0)) + BETTER_BY)
-    more = (F.col("t.conf") < 0) & (F.col("t.points") > F.coalesce("points", F.lit(0)))
-    own = own.withColumn("turn", F.coalesce(doubtful & (surer | more), F.lit(False)))
-    other = texts.where("angle <> 0").select(F.col(key).alias("_key"), F.col("angle").alias("_angle"), F.col("step").alias("_step"), F.col("text").alias("_text"), F.col("engine").alias("_engine"))
-    out = own.join(other, F.col("turn") & (F.col(key) == F.col("_key")) & (F.col("t.angle") == F.col("_angle")) & (F.col("t.step") == F.col("_step")), "left")
-    body = text.text_of(F.when(F.col("turn"), F.col("_text")).otherwise(F.col("text")))
-    conf = F.when(F.col("turn"), F.col("t.conf")).otherwise(F.col("conf"))
-    name = F.when(F.col("turn"), F.concat("_engine", F.lit(":rot"), F.col("_angle").cast("string"))).otherwise(F.col("engine"))
+    out = taken.join(texts, [key, "angle", "step"], "left")
+    body, conf = text.text_of("text"), F.col("conf")
+    name = F.when(F.col("turn"), F.concat("engine", F.lit(":rot"), F.col("angle").cast("string"))).otherwise(F.col("engine"))
     label = F.concat(name, F.when(conf >= 0, F.concat(F.lit(":conf"), conf.cast("int").cast("string"))).otherwise(""))
     empty = F.trim(body) == ""
     return out.select(key, F.when(empty, "tesseract-no-text").otherwise(label).alias("engine"), F.when(empty, "").otherwise(body).alias("text"), F.when(~F.col("turn") & ~empty, F.col("words")).alias("words"))
