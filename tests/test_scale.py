@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from papyra.operators import inverted, many, retrieve
+from papyra.functions import extract, rules, text, vectors
+from papyra.operators import index, inverted, many, ocr, retrieve
 from papyra.tables import Tables
 
 
@@ -22,3 +23,44 @@ def test_passages_find_documents_of_any_type(spark, tmp_path):
     assert {r["id"] for r in found[True]} == {2} and {r["id"] for r in found[False]} == {1, 2}
     cited = many.evaluated(cases.withColumns({"expected": F.lit("stone"), "must_cite": F.lit("Paper")}), t.read("chunks"), own, typed=False)
     assert {r["id"]: r["pass"] for r in cited.collect()} == {1: True, 2: True}
+
+
+TEXTS = ["", None, "  \n ", "Straße Ünïcode ÀÉ 12 x", "?? □ odd ☃ marks �", " عقد إيجار ٢٣ ½ ", "a b cd", "Ω μέγα 𝟙𝟚", "one two ", "ﻻ ﬁne １２３", "x" * 50]
+
+
+def test_counts_by_batch_are_those_of_the_patterns(spark, monkeypatch):
+    monkeypatch.setattr(text, "_AT_ONCE", 7)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "id int, body string").repartition(1)
+    x = F.regexp_replace(F.coalesce("body", F.lit("")), r"(?U)^\s+|\s+$", "")
+    words, n = text.matches(x, text.WORD + "{2,}"), lambda p: text.matches(x, p)
+    bad = n("[?�□]")
+    points = 2 * (n(f"[{rules.ARABIC}]") + n("[A-Za-z]")) + n(r"\p{Nd}") + 3 * words - 10 * bad - 2 * F.length(F.regexp_replace(x, f"[{rules.USUAL}]", ""))
+    out = rows.select("id", text.tally("body").alias("t"), F.length(x).alias("n"), bad.alias("bad"), words.alias("words"), points.alias("points")).collect()
+    assert len(out) == len(TEXTS) and all(r["t"].asDict() == {k: r[k] for k in ("n", "bad", "words", "points")} for r in out)
+    assert text.word_counts([t or "" for t in TEXTS]).tolist() == [r[0] for r in rows.orderBy("id").select(text.matches(text.text_of("body"), text.WORD + "+")).collect()]
+
+
+def test_vectors_and_postings_by_batch_are_those_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_KNOWN", 2)
+    rows = spark.createDataFrame([(str(k), t or "") for k, t in enumerate(TEXTS * 3)], "chunk_id string, text string")
+    norm = text.normalized("text")
+    own = {(r["chunk_id"], x["dim"], x["weight"]) for r in rows.select("chunk_id", vectors.hashed_array(norm).alias("vec")).collect() for x in r["vec"]}
+    assert own == {tuple(r) for r in vectors.hashed(rows, "chunk_id", norm).select("chunk_id", "dim", "weight").collect()} and own
+    chunks = rows.select("chunk_id", "text", norm.alias("norm"), F.lit("Über 1").alias("title"), F.lit("general").alias("doc_type"))
+    made = {(r["term"], r["chunk_id"], r["tf"], r["dl"]) for r in inverted.postings(chunks).collect()}
+    assert made == {(r["term"], r["chunk_id"], r["tf"], r["dl"]) for r in index.postings(index.with_words(chunks)).collect()}
+
+
+def test_the_first_line_that_fits_ends_the_search(spark):
+    fits = lambda x: F.assert_true(x != "late").isNull() & x.startswith("b")
+    rows = spark.createDataFrame([(["a", "b1", "late"],), ([],), (["c"],)], "x array<string>")
+    assert [r[0] for r in rows.select(extract.first_of(F.col("x"), fits)).collect()] == ["b1", None, None]
+
+
+def test_the_grid_takes_each_reading_once(spark):
+    made = [(1, 0, 0, "good words " * 9, 70), (1, 0, 1, "more good words " * 9, 70), (1, 90, 0, "turned words " * 20, 99), (2, 0, 0, "? ?", 10), (2, 90, 0, "turned words " * 9, 80), (3, 0, 0, "", 0)]
+    rows = spark.createDataFrame([(k, a, s, "plain", "eng", str(s), t, [("w", c)]) for k, a, s, t, c in made], "page_id int, angle int, step int, variant string, languages string, mode string, text string, words array<struct<t:string,conf:int>>")
+    out = ocr.grid_choice(rows)
+    assert {r["page_id"]: r["engine"] for r in out.collect()} == {1: "tesseract:eng:psm0:plain:conf70", 2: "tesseract:eng:psm0:plain:rot90:conf80", 3: "tesseract-no-text"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
