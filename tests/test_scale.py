@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, rules, text, vectors
-from papyra.operators import index, inverted, many, ocr, retrieve
+from papyra.operators import chunk, index, inverted, many, ocr, retrieve
 from papyra.tables import Tables
 
 
@@ -64,3 +64,28 @@ def test_the_grid_takes_each_reading_once(spark):
     assert {r["page_id"]: r["engine"] for r in out.collect()} == {1: "tesseract:eng:psm0:plain:conf70", 2: "tesseract:eng:psm0:plain:rot90:conf80", 3: "tesseract-no-text"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_a_task_packs_postings_by_term_and_type(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "AT_ONCE", 5)
+    data = [(str(k), "river Über stone_age " * (k + 1), ["general", None, "id"][k % 3]) for k in range(9)]
+    rows = spark.createDataFrame(data, "chunk_id string, text string, doc_type string").coalesce(1)
+    chunks = rows.select("chunk_id", "text", text.normalized("text").alias("norm"), F.lit("Paper").alias("title"), "doc_type")
+    held = inverted.blocks(chunks).collect()
+    assert len(held) == 5 * 3 and {len(r["tf"]) for r in held} == {3}
+    single = {(r["term"], r["chunk_id"], r["tf"], r["dl"], r["doc_type"]) for r in inverted.postings(chunks).collect()}
+    assert single == {tuple(r) for r in index.postings(index.with_words(chunks)).join(chunks.select("chunk_id", "doc_type"), "chunk_id").select("term", "chunk_id", "tf", "dl", "doc_type").collect()}
+    again = {tuple(r) for r in inverted._single(inverted._in_blocks(inverted.postings(chunks))).collect()}
+    assert again == single
+
+
+def test_a_text_in_a_task_is_normalised_and_cut_as_a_column_is(spark):
+    texts = [t or "" for t in TEXTS] + ["ÀÉ ß_x y ª²½ µ", "İstanbul ΑΣ. ΟΔΟΣ", "“quoted” — dash… ǅ", "a.\x1cb\x85c d", "One. Two\n \nThree\x0bfour.  عقد. five. Six", "　\n\n.\n\n x", "إأآ ؟ ـ ﷺ عَقْد", "Ⅷ ٣ 𝟙 é ﬁ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    made = {r["id"]: r for r in rows.select("id", text.normalized("body").alias("norm"), vectors.seen("body")["norm"].alias("own"), chunk.blocks("body").alias("blocks"), text.index_tokens(F.col("body")).alias("words")).collect()}
+    for k, t in enumerate(texts):
+        assert made[k]["own"] == made[k]["norm"] == text.normal(t), t
+        assert made[k]["blocks"] == chunk.blocks_of(t), t
+        assert sorted(map(text.without_accents, text.index_words(t))) == sorted(made[k]["words"]), t
+        assert not text.folded(t) or text.index_words_of(text.normal(t)) == text.index_words(t), t
+    assert chunk._tokens(texts) == [r[0] for r in rows.orderBy("id").select(text.token_count("body")).collect()]
