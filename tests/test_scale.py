@@ -1,5 +1,6 @@
 """Results that must hold at any size: types that prose doesn't ask for, counts by batch, postings in blocks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions import extract, rules, text, vectors
@@ -77,6 +78,8 @@ def test_a_task_packs_postings_by_term_and_type(spark, monkeypatch):
     assert single == {tuple(r) for r in index.postings(index.with_words(chunks)).join(chunks.select("chunk_id", "doc_type"), "chunk_id").select("term", "chunk_id", "tf", "dl", "doc_type").collect()}
     again = {tuple(r) for r in inverted._single(inverted._in_blocks(inverted.postings(chunks))).collect()}
     assert again == single
+    with pytest.raises(ValueError, match="make it anew"):
+        inverted._single(inverted.postings(chunks))
 
 
 def test_a_text_in_a_task_is_normalised_and_cut_as_a_column_is(spark):
