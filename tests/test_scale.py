@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from papyra import catalogue
 from papyra.functions import extract, rules, text, vectors
 from papyra.operators import chunk, index, inverted, many, ocr, retrieve
 from papyra.tables import Tables
@@ -115,3 +116,37 @@ def test_extraction_by_cheaper_patterns_is_that_of_the_plain_ones(spark):
     assert sum(r["k1"] for r in out) == 2 and [r["c1"] for r in out[:24]].count(None) == 2
     # a text without a word of a total isn't cut into lines for one
     assert "CASE WHEN RLIKE(" in rows.select(extract.fields("body", *[F.lit("general")] * 5)["total"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_indexed_as_their_chunks_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "_SOME", 100)
+    data = [*((k, t) for k, t in enumerate(TEXTS)), (20, "Café au lait\n\n" + "river stone_age " * 900), (21, " ".join(f"Über{k}." for k in range(1500))), (22, "the\x85rent ªº ² œ ’x’ STRASSE ẞ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").select("doc_id", "text", F.when(F.col("doc_id") != 3, F.concat(F.lit("Papér_"), "doc_id")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "general").alias("doc_type"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+    plain, direct = Tables(spark, str(tmp_path / "a"), buckets=4), Tables(spark, str(tmp_path / "b"), buckets=4)
+    with plain.change() as c:
+        inverted.add(c, c.replace("chunks", "document_id", retrieve.chunked(docs)))
+    with direct.change() as c:
+        inverted.add_documents(c, docs)
+    one, two = inverted.Inverted(plain), inverted.Inverted(direct)
+    assert one.corpus() == two.corpus() and two.corpus()[0] == plain.read("chunks").count()
+    counts = sorted(one.counts().collect())
+    assert counts == sorted(two.counts().collect()) and len(counts) > 1500
+    stored = lambda own: {(r["term"], r["chunk_id"], r["tf"], r["dl"], r["doc_type"]) for r in inverted._last(own.tables.read("postings", changes=True), own.tables, "postings").collect()}
+    assert stored(one) == stored(two) == {tuple(r) for r in inverted.postings(plain.read("chunks")).select("term", "chunk_id", "tf", "dl", "doc_type").collect()}
+    two.compact()
+    assert counts == sorted(two.counts().collect()) and stored(one) == stored(two) and one.corpus() == two.corpus()
+
+
+def test_words_are_asked_without_stored_chunks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue, "_stored", {})
+    monkeypatch.setattr(vectors, "seen", lambda *_: pytest.fail("vectors are made"))
+    assert catalogue.QUERIES["bm25_doc_stats"](spark, sf_dir).count() > 1000
+    assert catalogue.QUERIES["bm25_topk"](spark, sf_dir).count() == 60
+    assert not catalogue._archive(spark, sf_dir).exists("chunks")
+
+
+def test_counts_of_terms_read_no_postings(spark, tmp_path):
+    t, own = archive(spark, str(tmp_path / "t"), [(k, "stone river " * (k + 1)) for k in range(5)])
+    rows = t.read("postings")
+    assert {r["term"]: (r["df"], r["cf"]) for r in rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).collect()} == {r["term"]: (r["df"], r["cf"]) for r in own.counts().collect()}
+    assert all(r["df"] == len(r["tf"]) and r["cf"] == sum(r["tf"]) for r in rows.collect())
