@@ -150,3 +150,30 @@ def test_counts_of_terms_read_no_postings(spark, tmp_path):
     rows = t.read("postings")
     assert {r["term"]: (r["df"], r["cf"]) for r in rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).collect()} == {r["term"]: (r["df"], r["cf"]) for r in own.counts().collect()}
     assert all(r["df"] == len(r["tf"]) and r["cf"] == sum(r["tf"]) for r in rows.collect())
+
+
+def test_vector_hits_are_those_of_plain_cosines(spark):
+    texts = ["stone river", "", None, "the rent of a stone house", "عقد إيجار", "river river stone", "q"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").repartition(2)
+    held = rows.select("chunk_id", vectors.hashed_array(text.normalized("text")).alias("vec"))
+    asked = vectors.hashed_plain("stone river house")
+    plain = {}
+    for r in held.collect():
+        dot, size = sum(x["weight"] * asked.get(x["dim"], 0) for x in r["vec"]), sum(x["weight"] ** 2 for x in r["vec"])
+        if size and (sim := dot / (size**0.5 * sum(w * w for w in asked.values()) ** 0.5)) > 0.1:
+            plain[r["chunk_id"]] = pytest.approx(sim)
+    found = index.vector_hits(held, "stone river house", 0.1)
+    assert {r["chunk_id"]: r["sim"] for r in found.collect()} == plain and len(plain) == 3
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_of_new_words_are_hashed_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(vectors, "_KNOWN", 3)
+    norms = ["stone é éßçx عقدالإيجار", "", "a ab abc abcd 𝟙𐐨üz", "stone_age ünïcode x عقدالإيجار"]
+    for _ in range(2):
+        for norm, own in zip(norms, vectors._hasher(7)(norms).to_pylist(), strict=True):
+            plain = {}
+            for f in [f for w in norm.split() if len(w) > 1 for f in [w, *((w[k : k + 3] for k in range(len(w) - 2)) if len(w) > 3 else ())]]:
+                code = vectors._code(f, 7)
+                plain[code // 2] = plain.get(code // 2, 0) + (1 if code % 2 else -1)
+            assert {x["dim"]: x["weight"] for x in own} == {d: w for d, w in plain.items() if w}
